@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, packing, quality, substrings, suffixes, urls
+from . import bpe, chat, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -45,8 +49,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    named = (op1_minhash, op2_byte_bpe, op4_suffixes, op5_chat, op6_substrings, op7_quality, op8_packing, op9_urls)
+    named = (op1_minhash, op2_byte_bpe, op3_pii, op4_suffixes, op5_chat, op6_substrings, op7_quality, op8_packing, op9_urls, op10_fingerprints)
     return {f.__name__: f for f in named}
 
 

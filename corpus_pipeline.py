@@ -1,4 +1,74 @@
-STAGES = []
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from candlewick.llm import minhash, packing, pii, quality, substrings
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of ``documents``, with ``n_chars`` of the text as it now is; a null text stays null."""
+    return df.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their host's verdict reject go; all others stay as they are."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    judged = quality.judge(docs.select("doc_id", "source", "text", F.xxhash64(text).alias("_h")), keep=("doc_id", "source", "_h"))
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "_h").distinct()
+    same = (F.xxhash64(text) == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one of least id (one row, if rows repeat it)."""
+    kept = minhash.link(docs).filter("kept").select(F.col("doc_id").alias("_i")).distinct()
+    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").select(*COLUMNS)
+    named = chosen.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return named.unionByName(chosen.filter(F.col("doc_id").isNull()))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated windows go, in all places; a text that loses none keeps its white space."""
+    done = substrings.dedup(docs.select(*COLUMNS))
+    return _documents(done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets."""
+    return _documents(pii.redact(docs.select(*COLUMNS)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("pii", personal_data), ("packing", pack)]
+
+#: Near-dedup and packing are no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared checkpoint folder and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candlewick-pipeline-")
+    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{at}/{k}-{name}")
+            docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs
