@@ -1,0 +1,15 @@
+"""All registered queries of the market operators."""
+
+from . import market
+from .registry import QUERIES, SQL
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+__all__ = ["all_queries", "all_sql", "market"]
