@@ -1,6 +1,6 @@
 """Exact repeats over a whole corpus with small shuffles.
 
-Documents travel in blocks of about 2 MB. A block sends the distinct hashes that it asks about, packed by range of the
+Documents travel in blocks of 2 MB or less. A block sends the distinct hashes that it asks about, packed by range of the
 hash, once for each range; a task for each range sorts what all blocks sent and answers in the same order. So what is
 shuffled is the hashes and the answers, hot hashes are counted within a block before they leave it, and each task
 holds one range, whose size the number of shuffle partitions sets.
@@ -16,19 +16,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import PIECE_BYTES, cut, pieces
 
 SCHEMA = "block long, rows binary"
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """(block, rows): all columns of ``docs`` in compressed record batches; written out, as later passes must see the same blocks."""
+def blocks_of(docs: DataFrame, limit: int = PIECE_BYTES) -> DataFrame:
+    """(block, rows): all columns of ``docs`` in compressed record batches of about ``limit`` bytes of text.
+
+    Written out, as later passes must see the same blocks. A longer document is a block of its own.
+    """
 
     def run(batches):
         where, n = TaskContext.get().partitionId() << 32, 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit):
                 sink = pa.BufferOutputStream()
                 whole = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in piece.columns], schema=piece.schema)
                 with pa.ipc.new_stream(sink, piece.schema, options=options) as writer:

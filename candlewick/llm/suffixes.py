@@ -20,6 +20,8 @@ from .common import buffer_of
 from .hashing import BYTE_CODE, Prefix, mix
 
 WINDOW, GRAM = 200, 32
+#: Bytes of text in a block: about ten arrays of eight times that size are held at once.
+BLOCK = 512 << 10
 _C = np.uint64(0xD6E8FEB86659FD93)
 #: States of an anchor: in a bucket of its own; in a bucket that falls apart (and with a double there); in one that agrees.
 ALONE, SINGLE, AGREED, DOUBLE = 0, 1, 2, 3
@@ -139,7 +141,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*new).withColumn("text", F.col("text").cast("string"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks_of(docs)
+    blocks = blocks_of(docs, BLOCK)
 
     def ask(batches):
         for batch in batches:
