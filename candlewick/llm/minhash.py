@@ -8,7 +8,8 @@ that it shares no key at all is below 1e-9. Candidates are confirmed on the full
 
 Equal sets are collapsed first. Only membership of components is asked for, so a bucket does not expand into pairs:
 its members meet one pivot, confirmed links are merged, and only members that are still apart meet again, with other
-pivots and at last with each other.
+pivots. What is then still apart meets only where a bound allows a link: shingles that no other open document has are
+in no intersection, which rules out heavily edited copies of a large group without looking at its members.
 """
 
 from __future__ import annotations
@@ -145,6 +146,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "left", "text").mapInArrow(run, "u long, v long").distinct()
 
 
+def own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, shared, own): how many of a node's shingles other nodes of ``texts`` have too, and how many are its own.
+
+    Both are null for a node with several texts (rows that repeat its id), of which no bound is known.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = shingle_sets(piece.column("text"))
+                nodes = np.repeat(np.asarray(piece.column("node")), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "node long, shingle long")
+    twice = texts.groupBy("node").agg((F.count(F.lit(1)) > 1).alias("many"))
+    by = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("top"))
+    own = by.filter(F.col("node") == F.col("top")).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    counted = size.join(own, "node", "left").join(twice, "node")
+    mine = F.coalesce("own", F.lit(0))
+    return counted.select("node", F.when(~F.col("many"), F.col("n") - mine).alias("shared"), F.when(~F.col("many"), mine).alias("own"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; kept = it names its component.
 
@@ -176,8 +200,12 @@ def link(docs: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
         if last:
-            other = open_.select("key", F.col("node").alias("v"), F.col("c").alias("d"))
-            pairs = open_.select("key", F.col("node").alias("u"), "c").join(other, "key").filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("d"))).select("u", "v")
+            sizes = own_shingles(texts.join(open_.select("node").distinct(), "node", "left_semi"))
+            left = open_.select("key", "node", "c").join(sizes, "node")
+            right = left.select("key", F.col("node").alias("v"), F.col("c").alias("d"), F.col("shared").alias("sd"), F.col("own").alias("od"))
+            possible = DENOMINATOR * F.least("shared", "sd") >= NUMERATOR * (F.col("own") + F.col("od") + F.greatest("shared", "sd"))
+            possible = F.coalesce(F.when(F.col("own").isNotNull() & F.col("od").isNotNull(), possible), F.lit(True))
+            pairs = left.withColumnRenamed("node", "u").join(right, "key").filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("d")) & possible).select("u", "v")
         else:
             pivot = open_.filter(F.col("node") == F.col("p")).select("key", F.col("c").alias("d"))
             pairs = open_.join(pivot, "key").filter(F.col("c") != F.col("d")).select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
