@@ -1,6 +1,6 @@
 """All registered queries of the market operators."""
 
-from . import market
+from . import market, regime_queries, search_queries
 from .registry import QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def all_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["all_queries", "all_sql", "market"]
+__all__ = ["all_queries", "all_sql", "market", "regime_queries", "search_queries"]

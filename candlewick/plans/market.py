@@ -13,9 +13,9 @@ from .registry import DAILY, RSI_RULE, W, intraday, query, roll
 S = ["symbol"]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All double columns rounded."""
-    return df.select(*(r6(F.col(n), digits).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """All double columns rounded; other digits by name."""
+    return df.select(*(r6(F.col(n), other.get(n, digits)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
 
 
 def rule(spark, sf_dir):
@@ -203,8 +203,7 @@ def f06_f20_more(spark, sf_dir):
     """F1 (log) F6 F8 F10 F13 F20."""
     p = features.Pipeline("more", [features.returns(1, log=True), features.true_range(), features.volume_ma(20), features.vwap(), features.roll_spread(20), features.market_depth(10), features.amihud(20)])
     x = p.compute(B.daily_bars(spark, sf_dir)).select("symbol", "ts", *p.names())
-    out = rounded(x.withColumn("amihud_20", 1000000 * F.col("amihud_20")).drop("true_range"))
-    return out.join(x.select("symbol", "ts", r6(F.col("true_range"), 9).alias("true_range")), ["symbol", "ts"])
+    return rounded(x.withColumn("amihud_20", 1000000 * F.col("amihud_20")), true_range=9)
 
 
 @query(DAILY + """ SELECT symbol, round(least(greatest(avg(volume) * 50000 / 1e6 * 4, 0), 40) + least(greatest(40 - avg((high - low) / close) * 10 * 2, 0), 40) + least(greatest(sum(volume) * 100000 / 1e9 * 2, 0), 20), 6) AS score FROM bars GROUP BY symbol""")
@@ -227,8 +226,7 @@ def f22_pine(spark, sf_dir):
 @query(RSI_RULE + " SELECT symbol, trade_id, entry_ts, round(entry_price, 6) AS entry_price, ts AS exit_ts, round(exit_price, 6) AS exit_price, round(100 * (f - 1), 4) AS pct_change, round(equity_after / f, 4) AS equity_before, round(equity_after, 4) AS equity_after FROM filled WHERE ends")
 def s07_s08_trades(spark, sf_dir):
     t = signals.trades(rule(spark, sf_dir), S)
-    r4 = {n: r6(F.col(n), 4) for n in ("pct_change", "equity_before", "equity_after")}
-    return t.withColumns(r4 | {n: r6(F.col(n), 6) for n in ("entry_price", "exit_price")})
+    return rounded(t, 4, entry_price=6, exit_price=6)
 
 
 @query(RSI_RULE + " SELECT symbol, ts, round(equity, 4) AS equity FROM eq")
