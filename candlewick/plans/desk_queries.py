@@ -76,13 +76,13 @@ la AS (SELECT symbol, max(ts) AS mt FROM hb GROUP BY symbol), fi AS (SELECT symb
 ma AS (SELECT ch.*, coalesce((SELECT min(hb.ts) FROM hb WHERE hb.symbol = ch.symbol AND hb.ts >= ch.ts), mt) AS bt FROM ch JOIN la USING (symbol)),
 fl AS (SELECT ma.*, CASE WHEN order_type = 'market' THEN hb.close * CASE WHEN side = 'buy' THEN 1.00025 ELSE 0.99975 END WHEN side = 'buy' AND hb.low <= limit_price THEN least(limit_price, hb.open) WHEN side = 'sell' AND hb.high >= limit_price THEN greatest(limit_price, hb.open) END AS px FROM ma JOIN hb ON ma.symbol = hb.symbol AND bt = hb.ts),
 a AS (SELECT parent_id, symbol, side, sum(qty) FILTER (px IS NOT NULL) AS filled, sum(qty * px) AS v, sum(qty) AS q FROM fl GROUP BY ALL)
-SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 6) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
+SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 9) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
 def x12_x13_fills(spark, sf_dir):
     """First bar at or after each child order, fills (all touched limits fill), statistics by parent."""
     bars = B.intraday_bars(spark, sf_dir, "hourly")
     kids = X.route(parents(spark, sf_dir), volumes(spark, sf_dir))
     f = X.fill(X.next_bar(kids, bars), probability=1.0)
-    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4)
+    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4, avg_price=9)
 
 
 @query(ORDERS + " SELECT parent_id, CAST(k AS INT) AS slice, round(qty * (1 - k / 6.0), 6) AS remaining FROM o, range(7) AS r(k)")
