@@ -7,9 +7,9 @@ error brings together all such pairs. At a Jaccard similarity of 0.75 a pair's d
 that it shares no key at all is below 1e-9. Candidates are confirmed on the full sets.
 
 Equal sets are collapsed first. Only membership of components is asked for, so a bucket does not expand into pairs:
-its members meet one pivot, confirmed links are merged, and only members that are still apart meet again, with other
-pivots. What is then still apart meets only where a bound allows a link: shingles that no other open document has are
-in no intersection, which rules out heavily edited copies of a large group without looking at its members.
+its members meet one pivot, and confirmed links are merged. Members of a bucket that are then still apart are compared
+on their full sets in blocks of bounded size, which return a spanning forest and not pairs. Shingles that no other open
+document has are in no intersection, which rules out heavily edited copies of a large group before that.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ ROWS = HASHES // CHUNKS
 #: Distance up to which the join is whole by construction, and from which a candidate is not worth an exact check:
 #: at similarity 0.75 a distance over 40 has a chance below 1e-10.
 SURE, HOPELESS = 2 * CHUNKS - 1, 40
+#: Documents that a task compares with each other at once.
+BLOCK = 512
 
 _rng = np.random.default_rng(75)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,6 +171,80 @@ def own_shingles(texts: DataFrame) -> DataFrame:
     return counted.select("node", F.when(~F.col("many"), F.col("n") - mine).alias("shared"), F.when(~F.col("many"), mine).alias("own"))
 
 
+def _tree(near_: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a similarity matrix whose rows are in groups already."""
+    _, group = np.unique(group, return_inverse=True)
+    n = int(group.max()) + 1
+    rows, cols = np.nonzero(near_ & (group[:, None] < group[None, :]))
+    first: dict[tuple[int, int], tuple[int, int]] = {}
+    key, at = np.unique(group[rows].astype(np.int64) * n + group[cols], return_index=True)
+    for k, i in zip(key.tolist(), at.tolist(), strict=True):
+        first[divmod(k, n)] = (int(rows[i]), int(cols[i]))
+    up = list(range(n))
+    out = []
+    for (a, b), edge in first.items():
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append(edge)
+    return out
+
+
+def similar(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Which pairs of sets are similar enough: counts of common members, by products of 0/1 matrices of so many columns."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    shingle, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = df > 1
+    place = np.cumsum(keep) - 1
+    row, code = np.repeat(np.arange(len(sets)), sizes), code
+    inside = keep[code]
+    row, code = row[inside], place[code[inside]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(keep.sum()), columns):
+        a, b = np.searchsorted(code, [low, low + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[a:b], code[a:b] - low] = 1
+        both += m @ m.T
+    return DENOMINATOR * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
+
+
+def block_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join what is apart in ``open_`` (key, node, c): enough of them for the components.
+
+    Nodes that share open keys, by whatever chain, form a cluster; clusters are dealt to blocks of about BLOCK nodes,
+    and larger ones to all pairs of their blocks. A task compares its block on the full sets and returns a spanning
+    forest, so no list of pairs is ever made. Nodes that have too many shingles of their own are left out first.
+    """
+    nodes = open_.select("node", "c").distinct()
+    sizes = own_shingles(texts.join(nodes.select("node"), "node", "left_semi"))
+    able = cut(nodes.join(sizes.filter(F.col("own").isNull() | (DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("own") + F.col("shared")))).select("node"), "node"))
+    first = open_.join(able.select("node"), "node").select("key", "node")
+    star = first.join(first.groupBy("key").agg(F.min("node").alias("v")), "key").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
+    cluster = cut(components(star))
+    counts = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    small = counts.filter(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
+    lone = F.col("n") <= BLOCK
+    dealt = cluster.join(counts, "component").select(
+        "node", F.when(lone, -1 - F.pmod(F.xxhash64("component"), F.lit(1 + small // BLOCK))).otherwise(F.col("component")).alias("g"), lone.alias("lone"), F.when(lone, 1).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
+    )
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = dealt.select("node", "g", "lone", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")).join(able, "node").join(texts, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        sets = [x for piece in pieces(batch) for x in shingle_sets(piece.column("text"))]
+        node, c = np.asarray(batch.column("node")), np.asarray(batch.column("c"))
+        edges = _tree(similar(sets), c)
+        return pa.table({"u": pa.array([int(node[i]) for i, _ in edges], pa.int64()), "v": pa.array([int(node[j]) for _, j in edges], pa.int64())})
+
+    return placed.groupBy("g", "lone", "a", "b").applyInArrow(run, "u long, v long")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; kept = it names its component.
 
@@ -179,7 +255,8 @@ def link(docs: DataFrame) -> DataFrame:
     rows = cut(signed(docs))
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
     classes = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    found = entries(classes)
+    # One shuffle for both the pivots and the join: no key holds more than one entry of each class, 1 in 64 of its own.
+    found = entries(classes).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     shared = found.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter(F.col("pivot") < F.col("top")).select("key", "pivot")
     members = cut(found.join(shared, "key").select("key", "node", "pivot"))
     # Repeated doc_ids tie their sets together.
@@ -191,29 +268,13 @@ def link(docs: DataFrame) -> DataFrame:
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node"))
     asked = cut(near(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), classes))
     links = cut(confirmed(asked, texts).unionByName(tied).unionByName(selves))
-    for last in (False, True):
-        groups = cut(components(links))
-        # Buckets whose members are not yet all together, with each member's component.
-        at = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        apart = at.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min_by("node", F.xxhash64("key", "node")).alias("p")).filter(F.col("a") < F.col("b"))
-        open_ = cut(at.join(apart.select("key", "p"), "key"))
-        if open_.isEmpty():
-            break
-        if last:
-            sizes = own_shingles(texts.join(open_.select("node").distinct(), "node", "left_semi"))
-            left = open_.select("key", "node", "c").join(sizes, "node")
-            right = left.select("key", F.col("node").alias("v"), F.col("c").alias("d"), F.col("shared").alias("sd"), F.col("own").alias("od"))
-            possible = DENOMINATOR * F.least("shared", "sd") >= NUMERATOR * (F.col("own") + F.col("od") + F.greatest("shared", "sd"))
-            possible = F.coalesce(F.when(F.col("own").isNotNull() & F.col("od").isNotNull(), possible), F.lit(True))
-            pairs = left.withColumnRenamed("node", "u").join(right, "key").filter((F.col("u") < F.col("v")) & (F.col("c") != F.col("d")) & possible).select("u", "v")
-        else:
-            pivot = open_.filter(F.col("node") == F.col("p")).select("key", F.col("c").alias("d"))
-            pairs = open_.join(pivot, "key").filter(F.col("c") != F.col("d")).select(F.least("p", "node").alias("u"), F.greatest("p", "node").alias("v"))
-        new = cut(near(pairs.distinct().join(asked, ["u", "v"], "left_anti"), classes))
-        asked = asked.unionByName(new)
-        links = cut(links.unionByName(confirmed(new, texts)))
-    else:
-        groups = components(links)
+    groups = cut(components(links))
+    # Buckets whose members are not yet all together meet in blocks.
+    at = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    apart = at.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter(F.col("a") < F.col("b")).select("key")
+    open_ = cut(at.join(apart, "key"))
+    if not open_.isEmpty():
+        groups = components(cut(links.unionByName(block_links(open_, texts))))
     of_set = classes.select("set_id", "node").join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
