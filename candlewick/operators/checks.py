@@ -68,7 +68,7 @@ def adjust_splits(bars: DataFrame, splits: DataFrame) -> DataFrame:
     events = splits.filter(F.col("ratio") > 0).groupBy("symbol", F.col("date").cast("timestamp").alias("ts")).agg(F.product("ratio").alias("_r"))
     both = bars.withColumn("_r", F.lit(1.0)).withColumn("_bar", F.lit(True)).unionByName(events.withColumn("_bar", F.lit(False)), allowMissingColumns=True)
     # Splits of a bar's own day do not change it: rows of one day stand with the split first.
-    w = Window.partitionBy("symbol").orderBy("ts", "_bar").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("_bar")).rowsBetween(Window.unboundedPreceding, -1)
     factor = F.coalesce(F.product("_r").over(w), F.lit(1.0))
     adjusted = both.withColumn("_f", factor).filter("_bar")
     return adjusted.select(*((F.col(c) / F.col("_f")).alias(c) if c in PRICES else (F.col(c) * F.col("_f")).alias(c) if c == "volume" else F.col(c) for c in bars.columns))
@@ -78,6 +78,6 @@ def adjust_dividends(bars: DataFrame, dividends: DataFrame) -> DataFrame:
     """Prices before an ex-date times 1 - amount / close of that day; ex-dates that are no bar are left out."""
     d = dividends.groupBy("symbol", F.col("ex_date").cast("timestamp").alias("ts")).agg(F.sum("amount").alias("_a"))
     x = bars.join(d, ["symbol", "ts"], "left").withColumn("_k", F.coalesce(1 - div(F.col("_a"), F.col("close")), F.lit(1.0)))
-    later = Window.partitionBy("symbol", "tf").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("symbol", "tf").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_f", F.coalesce(F.product("_k").over(later), F.lit(1.0)))
     return x.select(*((F.col(c) * F.col("_f")).alias(c) if c in PRICES else F.col(c) for c in bars.columns))

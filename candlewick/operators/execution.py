@@ -116,14 +116,14 @@ def route(orders: DataFrame, volumes: DataFrame) -> DataFrame:
 def next_bar(children: DataFrame, bars: DataFrame) -> DataFrame:
     """Each child order with the first bar at or after its time, else the symbol's last bar.
 
-    Both sides are one stream by time, orders before bars at equal times, and each order looks forward for a bar: one
-    sort a symbol, no range join.
+    Both sides are one stream by falling time, bars before orders at equal times, and each order takes the last bar
+    seen: one sort and one running value a symbol, no range join.
     """
     bar = F.struct("ts", "open", "high", "low", "close")
     b = bars.select("symbol", "ts", F.lit(1).alias("_k"), bar.alias("_bar"))
     o = children.withColumn("_o", F.struct(*children.columns)).select("symbol", "ts", F.lit(0).alias("_k"), "_o")
-    w = Window.partitionBy("symbol").orderBy("ts", "_k").rowsBetween(0, Window.unboundedFollowing)
-    both = b.unionByName(o, allowMissingColumns=True).withColumns({"_next": F.first("_bar", ignorenulls=True).over(w)})
+    w = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    both = b.unionByName(o, allowMissingColumns=True).withColumn("_next", F.last("_bar", ignorenulls=True).over(w))
     last = bars.groupBy("symbol").agg(F.max_by(bar, "ts").alias("_last"))
     x = both.filter("_k = 0").join(last, "symbol", "left").select("_o.*", F.coalesce("_next", "_last").alias("bar"))
     return x

@@ -1,6 +1,6 @@
 """All registered queries of the market operators."""
 
-from . import desk_queries, market, regime_queries, search_queries
+from . import desk_queries, job_queries, market, regime_queries, search_queries
 from .registry import QUERIES, SQL
 
 
@@ -12,4 +12,4 @@ def all_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-__all__ = ["all_queries", "all_sql", "desk_queries", "market", "regime_queries", "search_queries"]
+__all__ = ["all_queries", "all_sql", "desk_queries", "job_queries", "market", "regime_queries", "search_queries"]
