@@ -127,6 +127,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), reject_
     least ``min_docs`` documents). Null texts have no words, so they fail; repeated rows are each judged.
     """
     measured = cut(measures(docs, keep))
-    hosts = host_rates(measured).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), ((F.col("rate") > reject_rate) & (F.col("n_docs") >= min_docs)).alias("_bad"))
+    # Cut, so that both sides of the join are shuffles of their own and a hot host's rows can be split.
+    hosts = cut(host_rates(measured)).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), ((F.col("rate") > reject_rate) & (F.col("n_docs") >= min_docs)).alias("_bad"))
     joined = measured.join(hosts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host"), "left")
     return joined.select(*measured.columns, "host_rate", (~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False))).alias("kept"))
