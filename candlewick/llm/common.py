@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Cut, and read as so few partitions that each has about ``rows`` rows: small tables then make few small files."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch whose ``text`` column holds at most ``limit`` bytes, one row at least."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64)

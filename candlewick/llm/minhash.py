@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, pieces
+from .common import buffer_of, compact, pieces
 from .components import components
 from .hashing import Prefix, mix, word_bounds, word_hashes
 
@@ -222,10 +222,10 @@ def block_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """
     nodes = open_.select("node", "c").distinct()
     sizes = own_shingles(texts.join(nodes.select("node"), "node", "left_semi"))
-    able = cut(nodes.join(sizes.filter(F.col("own").isNull() | (DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("own") + F.col("shared")))).select("node"), "node"))
+    able = compact(nodes.join(sizes.filter(F.col("own").isNull() | (DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("own") + F.col("shared")))).select("node"), "node"))
     first = open_.join(able.select("node"), "node").select("key", "node")
     star = first.join(first.groupBy("key").agg(F.min("node").alias("v")), "key").filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v").distinct()
-    cluster = cut(components(star))
+    cluster = compact(components(star))
     counts = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     small = counts.filter(F.col("n") <= BLOCK).agg(F.sum("n")).first()[0] or 0
     lone = F.col("n") <= BLOCK
@@ -252,29 +252,29 @@ def link(docs: DataFrame) -> DataFrame:
     document, so their sets are linked; all of them return, and all are kept if they name the component. Rows without a
     doc_id have no component: null, and kept.
     """
-    rows = cut(signed(docs))
+    rows = compact(signed(docs), 25_000)
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
-    classes = cut(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
+    classes = compact(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), 10_000)
     # One shuffle for both the pivots and the join: no key holds more than one entry of each class, 1 in 64 of its own.
     found = entries(classes).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     shared = found.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter(F.col("pivot") < F.col("top")).select("key", "pivot")
-    members = cut(found.join(shared, "key").select("key", "node", "pivot"))
+    members = compact(found.join(shared, "key").select("key", "node", "pivot"))
     # Repeated doc_ids tie their sets together.
     twice = named.join(classes.select("set_id", "node"), "set_id").filter(F.col("doc_id") != F.col("node")).select("doc_id", "node").distinct()
     tied = twice.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter(F.col("u") < F.col("v")).select("u", "v")
     selves = twice.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     nodes = members.select("node").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node"))
-    asked = cut(near(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), classes))
-    links = cut(confirmed(asked, texts).unionByName(tied).unionByName(selves))
-    groups = cut(components(links))
+    texts = compact(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node"), 10_000)
+    asked = compact(near(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), classes))
+    links = compact(confirmed(asked, texts).unionByName(tied).unionByName(selves))
+    groups = compact(components(links))
     # Buckets whose members are not yet all together meet in blocks.
     at = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     apart = at.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter(F.col("a") < F.col("b")).select("key")
-    open_ = cut(at.join(apart, "key"))
+    open_ = compact(at.join(apart, "key"))
     if not open_.isEmpty():
-        groups = components(cut(links.unionByName(block_links(open_, texts))))
+        groups = components(compact(links.unionByName(block_links(open_, texts))))
     of_set = classes.select("set_id", "node").join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
