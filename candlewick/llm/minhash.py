@@ -140,7 +140,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     kept = (left, shingle_sets(pa.array([left], pa.string()))[0])
                 a = kept[1]
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(DENOMINATOR * both >= NUMERATOR * (len(a) + len(b) - both))
+                union = len(a) + len(b) - both
+                good.append(union > 0 and DENOMINATOR * both >= NUMERATOR * union)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     right = pairs.join(texts.select(F.col("node").alias("v"), "text"), "v")
@@ -210,7 +211,8 @@ def similar(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
         m = np.zeros((len(sets), columns), np.float32)
         m[row[a:b], code[a:b] - low] = 1
         both += m @ m.T
-    return DENOMINATOR * both >= NUMERATOR * (sizes[:, None] + sizes[None, :] - both)
+    union = sizes[:, None] + sizes[None, :] - both
+    return (union > 0) & (DENOMINATOR * both >= NUMERATOR * union)
 
 
 def block_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def link(docs: DataFrame) -> DataFrame:
     selves = twice.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
 
     nodes = members.select("node").distinct()
-    texts = compact(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node"), 10_000)
+    texts = compact(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node").dropDuplicates(["node", "text"]), 10_000)
     asked = compact(near(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), classes))
     links = compact(confirmed(asked, texts).unionByName(tied).unionByName(selves))
     groups = compact(components(links))

@@ -11,7 +11,7 @@ import uuid
 
 import public_tokenizers
 from candlewick.llm import minhash, packing, pii, quality, substrings
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,12 +31,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A key of a row's content, the same in each scan: rows have one key only if they agree in all columns.
+
+    The hash's seed is raised until no two different rows share a key, by a second hash.
+    """
+    row = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS] + [F.col(c).isNull() for c in COLUMNS]
+    for seed in range(8):
+        key = F.xxhash64(F.lit(seed), *row)
+        both = docs.select(key.alias("k"), F.xxhash64(F.lit(-1 - seed), *row).alias("h"))
+        if both.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter(F.col("a") < F.col("b")).isEmpty():
+            return key
+    raise RuntimeError("row keys did not come apart")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least id (one row, if rows repeat it)."""
-    kept = minhash.link(docs).filter("kept").select(F.col("doc_id").alias("_i")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").select(*COLUMNS)
-    named = chosen.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(chosen.filter(F.col("doc_id").isNull()))
+    """One row of each group of near copies stays: of least doc_id (null last), then of least key; blank texts all stay.
+
+    Rows are linked by what they hold and not by doc_id, so rows that repeat an id with other texts stay and rows
+    without an id are linked like others.
+    """
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^ \t-\r]")
+    full = docs.filter(~blank).select(*COLUMNS)
+    keyed = full.withColumn("_k", _row_key(full))
+    groups = minhash.link(keyed.select(F.col("_k").alias("doc_id"), "text")).select(F.col("doc_id").alias("_k"), F.col("component_id").alias("_c")).distinct()
+    named = groups.join(keyed.select("_k", "doc_id").distinct(), "_k")
+    kept = named.groupBy("_c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k"))["_k"].alias("_k")).select("_k")
+    # Rows of one key are equal, so any of them will do.
+    return keyed.join(kept, "_k", "left_semi").dropDuplicates(["_k"]).select(*COLUMNS).unionByName(docs.filter(blank).select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

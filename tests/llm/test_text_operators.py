@@ -391,3 +391,27 @@ def test_packed_pairs_compare_in_blocks(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     want = classes({i: shingles(t) for i, t in rows})
     assert {i: r["component_id"] for i, r in by_id(minhash.link(spark.createDataFrame(rows, "doc_id long, text string"))).items()} == want
+
+
+def test_near_dedup_repeated_and_null_ids(spark):
+    """Different texts of one id stay, near copies without an id go, blank rows stay and link nothing."""
+    import corpus_pipeline
+
+    def words(c):
+        return " ".join(f"{c}{k}" for k in range(60))
+
+    one, two, three, four = words("a"), words("b"), words("c"), words("d")
+    rows = [(1, one), (1, two), (1, one), (None, one + " x"), (None, three), (None, three + " y"), (7, four), (3, four + " z"), (3, four + " z"), (5, None), (5, None), (None, " \n")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    c = next(t for i, t in got if i == "None" and t.startswith("c"))
+    assert c in (three, three + " y")
+    assert got == sorted([("1", one), ("1", two), ("None", c), ("3", four + " z"), ("5", "None"), ("5", "None"), ("None", " \n")])
+
+
+def test_minhash_blank_rows_of_repeated_ids_link_nothing(spark):
+    """Two ids that share an index key and each have a blank row besides are not near copies of each other."""
+    assert not minhash.similar([np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.array([1], np.uint64)])[0, 1]
+    pairs = spark.createDataFrame([(1, 2)], "u long, v long")
+    texts = spark.createDataFrame([(1, "a b c d e f"), (1, " "), (2, "g h i j k l"), (2, None)], "node long, text string")
+    assert minhash.confirmed(pairs, texts).count() == 0
