@@ -22,7 +22,8 @@ LEAST_ID = -(2**63)
 def anchors(text: Column) -> Column:
     """The fingerprint's anchors as longs, by rising hash: the first place of each distinct closed syncmer.
 
-    A text of one or two words is one anchor; one without words has none.
+    A text of one to three words is one anchor, and of more words has one at least (of two k-mers in a row not both have
+    their least hash inside); one without words has none.
     """
     top = F.lit((1 << PLACE_BITS) - 1)
 
@@ -31,7 +32,7 @@ def anchors(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         n = F.size(h)
-        edge = F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.least(h[i], h[i + 2]) <= h[i + 1])
+        edge = F.filter(F.sequence(F.lit(0), n - 3), lambda i: (n == 3) | (F.least(h[i], h[i + 2]) <= h[i + 1]))
         many = F.transform(edge, lambda i: tag(F.xxhash64(h[i], h[i + 1], h[i + 2]), i))
         few = F.array(tag(F.xxhash64(h[0], F.try_element_at(h, F.lit(2))), F.lit(0)))
         return F.when(n >= 3, many).when(n > 0, few).otherwise(F.array().cast("array<long>"))
@@ -42,6 +43,26 @@ def anchors(text: Column) -> Column:
     return let(F.sort_array(let(F.transform(word_array(text), lambda w: F.xxhash64(w)), of)), first)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, anchor, place): every anchor of every row of ``docs``, at every place in words; nothing is left out."""
+    words = docs.select("doc_id", F.transform(word_array(F.coalesce(F.col("text").cast("string"), F.lit(""))), lambda w: F.xxhash64(w)).alias("h"))
+    h, n = F.col("h"), F.size("h")
+    at = F.when(n > 3, F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.least(h[i], h[i + 2]) <= h[i + 1])).when(n > 0, F.array(F.lit(0)))
+    place = F.col("place")
+    return words.withColumn("place", F.explode(at)).select("doc_id", F.xxhash64(*(F.try_element_at(h, place + k) for k in (1, 2, 3))).alias("anchor"), "place")
+
+
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id, shift, n_anchors, left_from, left_to) of two tables of ``placed``: anchors that agree at one shift.
+
+    ``shift`` is the place in the left text less that in the right; the range is of the places in the left text.
+    """
+    a = left.select(F.col("doc_id").alias("left_id"), "anchor", F.col("place").alias("p"))
+    b = right.select(F.col("doc_id").alias("right_id"), "anchor", F.col("place").alias("q"))
+    both = a.join(b, "anchor").groupBy("left_id", "right_id", (F.col("p") - F.col("q")).alias("shift"))
+    return both.agg(F.count(F.lit(1)).alias("n_anchors"), F.min("p").alias("left_from"), F.max("p").alias("left_to"))
+
+
 def shown(marks: Column) -> Column:
     """A fingerprint as a string: hash in hexadecimal, colon, place; comma-joined."""
     place = F.lit((1 << PLACE_BITS) - 1)

@@ -415,3 +415,24 @@ def test_minhash_blank_rows_of_repeated_ids_link_nothing(spark):
     pairs = spark.createDataFrame([(1, 2)], "u long, v long")
     texts = spark.createDataFrame([(1, "a b c d e f"), (1, " "), (2, "g h i j k l"), (2, None)], "node long, text string")
     assert minhash.confirmed(pairs, texts).count() == 0
+
+
+def test_fingerprints_of_three_words_are_not_empty(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3))) for i in range(40)] + [(40, None)]
+    got = by_id(fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(got[i]["fingerprint"] and got[i]["near_next"] == 0 for i in range(40)) and got[40]["fingerprint"] == ""
+    assert len({got[i]["fingerprint"] for i in range(40)}) == 40
+
+
+def test_anchors_align_a_passage_shared_by_long_texts(spark):
+    """All anchors of a shared passage agree at its shift, however long the texts are."""
+    prose = lambda c, k: " ".join(f"{c}{i}" for i in range(k))
+    shared = prose("s", 30)
+    rows = [(1, prose("a", 3000) + " " + shared), (2, prose("b", 500) + " " + shared + " " + prose("c", 4000)), (3, None), (4, "x y z")]
+    marks = fingerprints.placed(spark.createDataFrame(rows, "doc_id long, text string"))
+    own = {r["place"] for r in marks.filter("doc_id = 1").collect()}
+    (r,) = fingerprints.aligned(marks.filter("doc_id = 1"), marks.filter("doc_id = 2")).collect()
+    inside = [p for p in own if 3000 <= p <= 3027]
+    assert (r["shift"], r["n_anchors"], r["left_from"], r["left_to"]) == (2500, len(inside), min(inside), max(inside))
+    assert marks.filter("doc_id = 3").count() == 0 and marks.filter("doc_id = 4").count() == 1
