@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,17 +20,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (tests, a laptop) a temporary folder is taken.
-    """
+    """Checkpoint into the folder that the cluster names in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="candlewick-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a temporary one is taken in local mode only.
+
+    A local folder on a cluster would be one that the executors don't share, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="candlewick-checkpoint-")
+
+
 def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Cut, and read as so few partitions that each has about ``rows`` rows: small tables then make few small files."""
     df = cut(df)
@@ -48,8 +56,31 @@ def pieces(batch: pa.RecordBatch, limit: int = PIECE_BYTES) -> Iterator[pa.Recor
         first = last
 
 
+def slices(texts: pa.Array, limit: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, documents, bases): pieces of texts, about ``limit`` bytes at once.
+
+    A longer text is cut into pieces that go on for ``overlap`` bytes into the next, so each run of ``overlap`` + 1 bytes
+    begins in one piece only and is whole there. ``bases`` says where in its document a piece begins.
+    """
+    data, offsets = buffer_of(texts)
+    first = 0
+    while first < len(offsets) - 1:
+        begin, end = int(offsets[first]), int(offsets[first + 1])
+        if end - begin > limit:
+            for at in range(0, end - begin, limit):
+                piece = data[begin + at : min(begin + at + limit + overlap, end)]
+                yield piece, np.array([0, len(piece)]), np.array([first]), np.array([at])
+            first += 1
+            continue
+        last = max(first + 1, int(np.searchsorted(offsets, begin + limit, side="right")) - 1)
+        yield data[begin : offsets[last]], offsets[first : last + 1] - begin, np.arange(first, last), np.zeros(last - first, np.int64)
+        first = last
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (one more offset than texts). Null is empty."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     texts = pc.fill_null(texts, "")
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())

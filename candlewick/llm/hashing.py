@@ -8,8 +8,9 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 5
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
-#: A random 64-bit value for each byte.
-BYTE_CODE = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE_2 = 0xC2B2AE3D27D4EB4F
+#: Random 64-bit values for each byte, two sets that are independent: with both, a hash has 128 bits.
+BYTE_CODE, BYTE_CODE_2 = (np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240131, 20240132))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,10 +42,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Prefix:
     """Hashes of any run of a sequence of 64-bit codes: two look-ups and a product each."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, base: int = BASE):
         self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * powers(BASE, len(codes)), out=self.sums[1:])
-        self.back = powers(pow(BASE, -1, 2**64), len(codes) + 1)
+        np.cumsum(codes * powers(base, len(codes)), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 2**64), len(codes) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])

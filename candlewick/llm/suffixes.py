@@ -1,11 +1,18 @@
 """Substring dedup on bytes, by bucket-pointer refinement of sampled suffixes.
 
-Initial buckets are the q-grams. Identifiers of longer strings are made from bucket identifiers at later offsets, each
-round reusing the last one's: 32 bytes, 64, 128, then a whole window of 200. To keep the suffixes few, only those at
-anchors are sorted at first: the place of the least q-gram within each window of 200 bytes, which is the same place
-for equal windows. Buckets with one member end there. Within a bucket, members are sorted on the identifier of all that
-the anchor's windows cover; where all members agree, their windows are settled at once. The windows of buckets that
-fall apart are sorted on their own identifiers in a last round.
+Suffixes are sampled at anchors: the place of the least q-gram within each window of 200 bytes, which is the same place
+for equal windows. Rounds then refine their buckets, each by what the last one found, and only what is still open
+travels to the next:
+
+1. The initial buckets are the q-grams at the anchors. Buckets with one member are singletons and end there.
+2. An anchor stands for a run of windows. Its refined identifier is the pair of its bucket and of the identifier of all
+   that the run covers, before and after it. Members that agree with another one are settled with all their windows.
+3. In buckets that fall apart, one member for each refined identifier stays open. Their windows are sorted on the pair
+   of the identifiers of their first 128 bytes and of their bytes from 72 on, which are pairs of identifiers of 64
+   bytes, which are pairs of those of 32 bytes at later offsets: each doubling reuses the last one's.
+
+Identifiers are hashes of 128 bits and not ranks, so a bucket's identifier is the same on each machine without a global
+order; with n identifiers a wrong match has a chance of about n^2 / 2^127.
 """
 
 from __future__ import annotations
@@ -15,120 +22,184 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answered, blocks_of, opened, read, repeated, sent, unique_of
-from .common import buffer_of
-from .hashing import BYTE_CODE, Prefix, mix
+from .blocks import ALONE, FIRST, answered, blocks_of, distinct, opened, parts_for, repeated, repeats, sent
+from .common import slices
+from .hashing import BASE, BASE_2, BYTE_CODE, BYTE_CODE_2, Prefix, mix
 
 WINDOW, GRAM = 200, 32
-#: Bytes of text in a block: about ten arrays of eight times that size are held at once.
-BLOCK = 512 << 10
+#: Bytes of text that are hashed at once: about ten arrays of eight times that size are held.
+SLICE = 512 << 10
 _C = np.uint64(0xD6E8FEB86659FD93)
-#: States of an anchor: in a bucket of its own; in a bucket that falls apart (and with a double there); in one that agrees.
-ALONE, SINGLE, AGREED, DOUBLE = 0, 1, 2, 3
-
-
-def refine(ids: np.ndarray, shift: int) -> np.ndarray:
-    """Identifiers of longer strings: each identifier with the one at a later offset."""
-    n = max(0, len(ids) - shift)
-    return ids[:n] * _C + ids[shift : shift + n]
-
-
-def window_ids(grams: np.ndarray) -> np.ndarray:
-    """Identifiers of the 200-byte window at each place, by doubling."""
-    ids, width = grams, GRAM
-    while 2 * width <= WINDOW:
-        ids, width = refine(ids, width), 2 * width
-    return refine(ids, WINDOW - width) if width < WINDOW else ids
+_FAMILIES = ((BYTE_CODE, BASE), (BYTE_CODE_2, BASE_2))
+
+
+def pair(ids: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+    """The refined identifiers of places: the identifier there with the one at a later offset."""
+    return mix(ids[at] * _C + ids[at + shift])
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Place, first and last window, and bucket (the q-gram's identifier, spread once more) of each anchor."""
+    grams, n = Prefix(BYTE_CODE[data]).windows(GRAM), len(data) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    bits = max(1, int(len(data)).bit_length())
+    tagged = (grams >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(grams), dtype=np.uint64)
+    width, span = 1, WINDOW - GRAM + 1
+    while 2 * width <= span:
+        tagged, width = np.minimum(tagged[: len(tagged) - width], tagged[width:]), 2 * width
+    if width < span:
+        tagged = np.minimum(tagged[: len(tagged) - (span - width)], tagged[span - width :])
+    least = (tagged & np.uint64((1 << bits) - 1)).astype(np.int64)[:n]
+    ends = np.repeat(offsets[1:], np.diff(offsets))[:n]
+    inside = np.flatnonzero(np.arange(n) + WINDOW <= ends)
+    of = least[inside]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)
+    begin = np.flatnonzero(new)
+    place, low = of[begin], inside[begin]
+    high = inside[np.append(begin[1:], len(of)) - 1] if len(of) else low
+    # An anchor is a minimum, so its hash is small: mixed again, or all would fall into the first ranges.
+    return place, low, high, mix(grams[place] ^ _C)
+
+
+def spread(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... (``size`` of them) for each run, end to end."""
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
 class Suffixes:
-    """Anchors of a block: their place, and the first and last window that each of them stands for."""
+    """The anchors of a block, and what the rounds so far have found about them."""
 
     def __init__(self, texts: pa.Array):
-        self.data, self.offsets = buffer_of(texts)
-        self.grams = Prefix(BYTE_CODE[self.data]).windows(GRAM)
-        n = len(self.data) - WINDOW + 1
-        if n <= 0:
-            self.place = self.low = self.high = np.zeros(0, np.int64)
-            return
-        bits = max(1, int(len(self.data)).bit_length())
-        tagged = (self.grams >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(self.grams), dtype=np.uint64)
-        width, span = 1, WINDOW - GRAM + 1
-        while 2 * width <= span:
-            tagged, width = np.minimum(tagged[: len(tagged) - width], tagged[width:]), 2 * width
-        if width < span:
-            tagged = np.minimum(tagged[: len(tagged) - (span - width)], tagged[span - width :])
-        least = (tagged & np.uint64((1 << bits) - 1)).astype(np.int64)[:n]
-        ends = np.repeat(self.offsets[1:], np.diff(self.offsets))[:n]
-        inside = np.flatnonzero(np.arange(n) + WINDOW <= ends)
-        of = least[inside]
-        new = np.ones(len(of), bool)
-        new[1:] = (of[1:] != of[:-1]) | (inside[1:] != inside[:-1] + 1)
-        begin = np.flatnonzero(new)
-        self.place, self.low = of[begin], inside[begin]
-        self.high = inside[np.append(begin[1:], len(of)) - 1] if len(of) else self.low
-
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each anchor, and the identifier of all that its windows cover."""
-        ids = window_ids(self.grams)
-        cover = ids[self.low] * _C + ids[self.high]
-        shape = ((self.high - self.low) * 4096 + (self.place - self.low)).astype(np.uint64)
-        return self.grams[self.place], mix(cover * _C + shape)
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (bucket, cover) in order of bucket, which are there twice, and the place of each anchor's."""
-        bucket, cover = self.keys()
-        _, at, back, n = np.unique(bucket * _C + cover, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(bucket[at], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return bucket[at][order], cover[at][order], (n[order] > 1).astype(np.uint8), rank[back]
-
-    def starts(self, chosen: np.ndarray) -> np.ndarray:
-        """Window starts of the chosen anchors."""
-        low, size = self.low[chosen], (self.high - self.low)[chosen] + 1
-        return np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
-def _states(bucket: np.ndarray, cover: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    order = np.lexsort((cover, bucket))
-    b, c, n = bucket[order], cover[order], twice[order].astype(np.int64) + 1
-    new_b = np.concatenate([[True], b[1:] != b[:-1]])
-    new_c = new_b | np.concatenate([[True], c[1:] != c[:-1]])
-    at_b, at_c = np.flatnonzero(new_b), np.flatnonzero(new_c)
-    size_b, size_c = np.diff(np.append(at_b, len(b))), np.diff(np.append(at_c, len(b)))
-    members = np.repeat(np.add.reduceat(n, at_b), size_b)
-    kinds = np.repeat(np.add.reduceat(new_c.astype(np.int64), at_b), size_b)
-    doubles = np.repeat(np.add.reduceat(n, at_c), size_c)
-    out = np.empty(len(b), np.uint8)
-    out[order] = np.where(members == 1, ALONE, np.where(kinds == 1, AGREED, np.where(doubles > 1, DOUBLE, SINGLE)))
+        self.texts = texts
+        found = [anchors_of(data, offsets) for data, offsets, _, _ in self.slices()]
+        self.counts = [len(x[0]) for x in found]
+        kinds = (np.int64, np.int64, np.int64, np.uint64)
+        self.place, self.low, self.high, self.bucket = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in enumerate(kinds))
+
+    def slices(self):
+        return slices(self.texts, SLICE, WINDOW - 1)
+
+    def parts(self):
+        """(slice, where its anchors begin and end) for each slice."""
+        at = 0
+        for piece, n in zip(self.slices(), self.counts, strict=True):
+            yield piece, at, at + n
+            at += n
+
+    def refine(self, buckets: np.ndarray) -> None:
+        """From the answers of the first round: ``live`` are the anchors whose buckets are no singletons."""
+        self.live = np.flatnonzero(buckets[distinct(self.bucket)[2]] != ALONE)
+
+    def covers(self) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers, in two halves, of all that the live anchors' windows cover, with their place around the anchor."""
+        out = np.empty((2, len(self.live)), np.uint64)
+        for (data, *_), a, b in self.parts():
+            i, j = np.searchsorted(self.live, [a, b])
+            mine = self.live[i:j]
+            if len(mine):
+                low, high = self.low[mine], self.high[mine]
+                shape = ((high - low) * 4096 + (self.place[mine] - low)).astype(np.uint64)
+                for k, (code, base) in enumerate(_FAMILIES):
+                    out[k, i:j] = mix(Prefix(code[data], base).of(low, high + WINDOW) * _C + shape)
+        return out[0], out[1]
+
+    def settle(self, said: np.ndarray) -> None:
+        """From the answers of the second round: anchors all of whose windows are repeated, and those that stay open."""
+        n = len(distinct(self.bucket[self.live])[0][0])
+        apart = said[:n][distinct(self.bucket[self.live])[2]] > 0
+        same = said[n:][distinct(*self.covers())[2]]
+        self.agreed, self.open = self.live[same != ALONE], self.live[apart & ((same == ALONE) | (same == FIRST))]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers, in two halves, of the windows of open anchors."""
+        outs = []
+        for (data, *_), a, b in self.parts():
+            mine = self.open[slice(*np.searchsorted(self.open, [a, b]))]
+            if not len(mine):
+                continue
+            size = self.high[mine] - self.low[mine] + 1
+            starts = spread(self.low[mine], size)
+            around = (np.repeat(self.place[mine], size) - starts).astype(np.uint64)
+            halves = []
+            for code, base in _FAMILIES:
+                ids, width = Prefix(code[data], base).windows(GRAM), GRAM
+                while 4 * width <= WINDOW:  # all places of the longest doubled strings
+                    ids, width = mix(ids[: len(ids) - width] * _C + ids[width:]), 2 * width
+                tail = WINDOW - 2 * width
+                both = pair(ids, starts, width) * _C + pair(ids, starts + tail, width)
+                halves.append(mix(both * _C + around))
+            outs.append(halves)
+        return tuple(np.concatenate([x[k] for x in outs]) if outs else np.zeros(0, np.uint64) for k in (0, 1))
+
+    def gone(self, said: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(document, base, mask) of each piece: which of its bytes a repeated window covers."""
+        twice = said[distinct(*self.windows())[2]] != ALONE
+        out, at = [], 0
+        for (data, offsets, docs, bases), a, b in self.parts():
+            mine = self.open[slice(*np.searchsorted(self.open, [a, b]))]
+            all_ = self.agreed[slice(*np.searchsorted(self.agreed, [a, b]))]
+            starts = spread(self.low[mine], self.high[mine] - self.low[mine] + 1)
+            starts = starts[twice[at : at + len(starts)]]
+            at += int((self.high[mine] - self.low[mine] + 1).sum())
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, starts, 1)
+            np.add.at(step, starts + WINDOW, -1)
+            np.add.at(step, self.low[all_], 1)
+            np.add.at(step, self.high[all_] + WINDOW, -1)
+            mask = np.cumsum(step[:-1]) > 0
+            out += [(int(d), int(base), mask[x:y]) for d, base, x, y in zip(docs, bases, offsets[:-1], offsets[1:], strict=True)]
+        return out
+
+
+def _buckets(rows: pa.RecordBatch) -> tuple[np.ndarray]:
+    return (Suffixes(rows.column("text")).bucket,)
+
+
+def _windows(rows: pa.RecordBatch, buckets: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _settled(rows, buckets, same).windows()
+
+
+def _settled(rows: pa.RecordBatch, buckets: np.ndarray, same: np.ndarray) -> Suffixes:
+    of = Suffixes(rows.column("text"))
+    of.refine(buckets)
+    of.settle(same)
+    return of
+
+
+def _apart(blocks: np.ndarray, bucket: np.ndarray, low: np.ndarray, high: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """1 for each row of a bucket whose least and greatest identifiers differ."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    at = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+    differ = np.minimum.reduceat(low[order], at) != np.maximum.reduceat(high[order], at)
+    out = np.empty(len(order), np.uint8)
+    out[order] = np.repeat(differ, np.diff(np.append(at, len(order))))
     return out
 
 
-def _state(of: Suffixes, said: str | None) -> np.ndarray:
-    return read(said)[of.distinct()[3]]
-
+def _classes(blocks: DataFrame, parts: int) -> DataFrame:
+    """Adds the answers of the second round: does a bucket hold several identifiers, and which identifiers are repeated."""
 
-def _window_keys(rows: pa.RecordBatch, said: str | None) -> np.ndarray:
-    of = Suffixes(rows.column("text"))
-    state = _state(of, said)
-    chosen = of.starts(np.flatnonzero((state == SINGLE) | (state == DOUBLE)))
-    return mix(window_ids(of.grams)[chosen]) if len(chosen) else np.zeros(0, np.uint64)
+    def ask(batches):
+        for batch in batches:
+            for block, rows, (buckets,) in opened(batch):
+                of = Suffixes(rows.column("text"))
+                of.refine(buckets)
+                one, two = of.covers()
+                (bucket,), _, back = distinct(of.bucket[of.live])
+                low, high = np.full(len(bucket), 2**64 - 1, np.uint64), np.zeros(len(bucket), np.uint64)
+                np.minimum.at(low, back, one)
+                np.maximum.at(high, back, one)
+                yield sent(block, parts, [bucket, low, high, np.zeros(len(bucket), np.uint8)])
+                (first, second), twice, _ = distinct(one, two)
+                yield sent(block, parts, [first, second, np.zeros(0, np.uint64), twice], question=1)
 
+    from .blocks import repeats
 
-def removed_bytes(rows: pa.RecordBatch, of_anchors: str | None, of_windows: str | None) -> tuple[Suffixes, np.ndarray]:
-    """A block's bytes and which of them a repeated window covers."""
-    of = Suffixes(rows.column("text"))
-    state = _state(of, of_anchors)
-    open_ = of.starts(np.flatnonzero((state == SINGLE) | (state == DOUBLE)))
-    twice = of.starts(np.flatnonzero(state == AGREED))
-    if len(open_):
-        _, _, back = unique_of(mix(window_ids(of.grams)[open_]))
-        twice = np.concatenate([twice, open_[read(of_windows)[back] > 0]])
-    step = np.zeros(len(of.data) + WINDOW + 1, np.int32)
-    step[twice] += 1
-    step[twice + WINDOW] -= 1
-    return of, np.cumsum(step)[: len(of.data)] > 0
+    asked = blocks.mapInArrow(ask, "part int, block long, c0 binary, c1 binary, c2 binary, c3 binary")
+    return blocks.join(answered(asked, "classes", parts, (_apart, repeats)), "block", "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -136,37 +207,34 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     A byte goes if a string of 200 bytes that covers it also starts anywhere else, in the same document or another;
     a match never crosses documents. Null texts are empty; texts below 200 bytes lose nothing; repeated rows lose all
-    their windows. Columns named like the new ones are replaced.
+    their windows. A long text is hashed in overlapping pieces, so memory beyond its own few copies is bounded. Columns
+    named like the new ones are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept"]
     docs = docs.drop(*new).withColumn("text", F.col("text").cast("string"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks_of(docs, BLOCK)
-
-    def ask(batches):
-        for batch in batches:
-            for block, rows, _ in opened(batch):
-                bucket, cover, twice, _ = Suffixes(rows.column("text")).distinct()
-                yield sent(block, bucket, parts, cover, twice)
-
-    asked = blocks.mapInArrow(ask, "part int, block long, c0 binary, c1 binary, c2 binary")
-    blocks = blocks.join(answered(asked, _states, "anchors"), "block", "left")
-    blocks = repeated(blocks, _window_keys, "windows")
+    blocks = blocks_of(docs)
+    parts = parts_for(blocks)
+    blocks = repeated(blocks, _buckets, "buckets", parts)
+    blocks = repeated(_classes(blocks, parts), _windows, "windows", parts)
 
     def run(batches):
         for batch in batches:
-            for _, rows, (of_anchors, of_windows) in opened(batch):
-                of, gone = removed_bytes(rows, of_anchors, of_windows)
-                size, at = np.diff(of.offsets), of.offsets
-                sums = np.concatenate([[0], np.cumsum(gone)])
-                begins = gone.copy()
-                begins[1:] &= ~gone[:-1]
-                inner = at[:-1][size > 0]
-                begins[inner] = gone[inner]
-                spans = np.concatenate([[0], np.cumsum(begins)])
-                raw = of.data
-                kept = [(raw[a:b][~gone[a:b]] if sums[b] > sums[a] else raw[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(size, pa.int64()), pa.array(np.diff(sums[at]), pa.int64()), pa.array(np.diff(spans[at]), pa.int64()), pa.array(kept, pa.binary())], names=[*rows.schema.names, *new])
+            for _, rows, (buckets, same, windows) in opened(batch):
+                masks: dict[int, list[tuple[int, np.ndarray]]] = {}
+                for d, base, mask in _settled(rows, buckets, same).gone(windows):
+                    masks.setdefault(d, []).append((base, mask))
+                size, removed, spans, kept = [], [], [], []
+                for d, value in enumerate(rows.column("text")):
+                    raw = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid else np.zeros(0, np.uint8)
+                    gone = np.zeros(len(raw), bool)
+                    for base, mask in masks.get(d, []):
+                        gone[base : base + len(mask)] |= mask
+                    n = int(gone.sum())
+                    size.append(len(raw))
+                    removed.append(n)
+                    spans.append(int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0]) if n else 0)
+                    kept.append(raw[~gone].tobytes() if n else raw.tobytes())
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.binary())], names=[*rows.schema.names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return blocks.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")

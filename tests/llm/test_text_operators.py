@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from candlewick.llm import blocks, bpe, chat, components, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
@@ -217,10 +218,56 @@ def test_suffixes(docs, rows):
 
 def test_ranges_cover_all_keys():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
-    at = blocks.ranges(keys, 7)
+    at = blocks.starts_of(keys, 7)
     assert at[0] == 0 and at[-1] == 1000 and (np.diff(at) >= 0).all()
 
 
+def test_anchor_buckets_fill_ranges_evenly():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(400_000))
+    found = suffixes.Suffixes(pa.array([text]))
+    sizes = np.diff(blocks.starts_of(np.sort(found.bucket), 16))
+    assert sizes.sum() > 3000 and sizes.max() < 2 * sizes.mean()
+
+
+def test_repeats_name_one_first():
+    of = np.array([5, 3, 9, 3, 5], np.int64)
+    one, two = (np.array(x, np.uint64) for x in ([7, 7, 7, 8, 9], [1, 1, 2, 1, 1]))
+    assert blocks.repeats(of, one, two, np.array([0, 0, 0, 0, 1], np.uint8)).tolist() == [blocks.REPEATED, blocks.FIRST, blocks.ALONE, blocks.ALONE, blocks.FIRST]
+
+
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    same = noise(900)
+    limit = suffixes.SLICE
+    long = noise(limit - 400) + same + noise(limit - 800) + same[:450] + noise(3000) + "z" * 1500
+    rows = [(1, long), (2, noise(50) + same + noise(70)), (3, "w" * (3 << 20)), (4, same)]
+    got = by_id(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    seen, gone = {}, {i: np.zeros(len(t), bool) for i, t in rows}
+    for i, t in rows:
+        for k in range(0 if i != 3 else len(t) - 300, len(t) - 199):
+            seen.setdefault(hash(t[k : k + 200]), []).append((i, k))
+    for places in seen.values():
+        if len(places) > 1:
+            for i, k in places:
+                gone[i][k : k + 200] = True
+    gone[3][:] = True
+    for i, t in rows:
+        kept = "".join(c for c, g in zip(t, gone[i].tolist(), strict=True) if not g)
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept"].decode()) == (len(t), int(gone[i].sum()), kept), i
+    monkeypatch.setattr(substrings, "SLICE", 64)
+    monkeypatch.setattr(substrings, "RUN", 50)
+    text = " ".join(noise(rng.choice([1, 5, 300])).replace(" ", "x") for _ in range(400))
+    small = substrings.Words(pa.array([text, "", text[:900]]))
+    at = np.arange(0, 300, 7)
+    pieced = [small.hashes(at, 35, k) for k in (0, 1)]
+    anchors = small.anchors()
+    monkeypatch.undo()
+    whole = substrings.Words(pa.array([text, "", text[:900]]))
+    assert all((a == whole.hashes(at, 35, k)).all() for k, a in enumerate(pieced)) and (anchors == whole.anchors()).all()
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
