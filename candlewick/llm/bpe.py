@@ -22,15 +22,46 @@ PIECE_CHARS = 1 << 15
 
 #: A boundary is safe between a character that is surely no white space and an ASCII space or line feed: no alternative
 #: of the pattern holds white space after another character, and the look-ahead for white space only looks forward.
-#: For scripts without spaces: after ideographic punctuation, before a letter or digit, where runs of marks end too.
-SAFE = re.compile("[A-Za-z0-9.,;:!?)\\]}À-ɏͰ-ԯぁ-ヾ一-鿿](?=[ \n])|[。！，？](?=[0-9A-Za-z一-鿿])")
+#: It is safe between a letter or digit and what is neither (no match holds a letter before a mark or a digit), and, for
+#: scripts without spaces, after ideographic punctuation before a letter or digit.
+SAFE = re.compile(
+    "[A-Za-z0-9.,;:!?)\\]}À-ɏͰ-ԯぁ-ヾ一-鿿](?=[ \n])|[。！，？](?=[0-9A-Za-z一-鿿])"
+    "|[A-Za-zÀ-ÖØ-öø-ʯА-яא-תا-غぁ-ゖァ-ヺ一-鿿가-힣](?=[0-9,.;:!?()\"-])|[0-9](?=[A-Za-z,.;:!?()\"-])"
+)
+#: White space as the pattern's \s has it (fixed values), and so much of it that the library's look-ahead runs out of stack
+#: at some hundred thousand characters.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = re.compile(f"[{SPACE}]{{4096,}}")
+
+
+class Ordinary(tiktoken.Encoding):
+    """The tiktoken library on texts of any form, without special tokens.
+
+    The split pattern takes a run of white space whole at the end of a text, and else all of it but the last character.
+    Runs too long for its look-ahead are cut so here and encoded as the one match that they are.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.match = tiktoken.Encoding("match", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if len(text) < 4096:
+            return super().encode_ordinary(text)
+        at, out = 0, []
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += super().encode_ordinary(text[at : run.start()])
+            out += self.match.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + super().encode_ordinary(text[at:])
 
 
 @lru_cache(maxsize=4)
-def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+def encoding(ranks_path: str, pattern: str) -> Ordinary:
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return Ordinary(ranks, pattern)
 
 
 def split_safely(text: str, size: int = PIECE_CHARS) -> Iterator[str]:

@@ -18,11 +18,12 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Ordinary
+
 #: Tokens in a full sequence.
 CAPACITY = 1024
 #: Remainders that a task gathers before it packs them.
@@ -52,7 +53,7 @@ def tokenizer(path: str):
 
 
 @lru_cache(maxsize=2)
-def merges_of(path: str) -> tiktoken.Encoding:
+def merges_of(path: str) -> Ordinary:
     """The same vocabulary for the tiktoken library, which encodes single words many times faster to the same ids."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -61,7 +62,7 @@ def merges_of(path: str) -> tiktoken.Encoding:
     back = {chr(c): b for b, c in shown.items()}
     ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if all(c in back for c in token)}
     special = {token for token in vocab if token.startswith("<|") and token.endswith("|>")}
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k.decode("latin-1") not in special}, special_tokens={})
+    return Ordinary({k: v for k, v in ranks.items() if k.decode("latin-1") not in special}, public_tokenizers.PATTERN)
 
 
 class Encoder:
@@ -142,6 +143,9 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int,
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, buffer: int = BUFFER) -> DataFrame:
     """A row for each piece of each document's ids (its text's ids, then 0): where it stands in which sequence.
 
+    Control strings such as ``<|endoftext|>`` in a text are ordinary text, as the vocabulary's own description reads texts
+    (``encode_special_tokens``): a document must not be able to end itself with a control id.
+
     Null and empty texts are the single id 0. Repeated rows are packed each for itself. Sequence ids hold the number
     of the partition in their upper half, so they are unique and come out the same when a task is run again.
     """

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import tiktoken
 
 from candlewick.llm import blocks, bpe, chat, components, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
 
@@ -177,6 +178,45 @@ def test_word_encoder_equals_the_library():
         assert e(t) == e.direct(t), t
 
 
+def fuzz(rng, n):
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", "\u3000", "\u2009", "\x85", "\x1c", "a", "Zx", "é", "ß", "中", "。", "字", "7", "½", "'s", "'ll", "'", ".", ",!", "-", "_", "😀", "\u0301", "\u200b", "<|", "ท", "한"]
+    return ["".join(rng.choice(parts) * rng.choice([1, 1, 1, 2, 5]) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+
+
+def test_both_encoders_equal_their_libraries_on_odd_texts():
+    texts = fuzz(random.Random(6), 10_000)
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    own, word = bpe.encoding(ranks, P.PATTERN), packing.Encoder(P.path("byte_bpe_50k.json"))
+    library = word.library.encode_batch(texts, add_special_tokens=False)
+    for t, ids in zip(texts, library, strict=True):
+        pieces = list(bpe.split_safely(t, 5))
+        assert "".join(pieces) == t and [i for p in pieces for i in own.encode_ordinary(p)] == tiktoken.Encoding.encode_ordinary(own, t), repr(t)
+        assert word(t) == np.asarray(ids.ids, "<u4").tobytes(), repr(t)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "x", "\u0301", "\u3000", " \t\n"])
+def test_encoders_take_long_runs(run):
+    own, word = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), packing.Encoder(P.path("byte_bpe_50k.json"))
+    for before, after in (("", ""), ("ab", "cd"), ("ab ", " 's"), ("", ".")):
+        t = before + run * 60_000 + after  # the libraries can still take it
+        assert [i for p in bpe.split_safely(t) for i in own.encode_ordinary(p)] == tiktoken.Encoding.encode_ordinary(own, t)
+        assert word(t) == word.direct(t)
+    t = "ab" + run * 3_000_000 + "cd"
+    assert own.decode_bytes([i for p in bpe.split_safely(t) for i in own.encode_ordinary(p)]).decode() == t
+    assert len(word(t)) > 4 * 100_000
+
+
+def test_encoders_on_small_tables(spark):
+    rows = [(1, None), (1, None), (2, "a b"), (2, "a b"), (None, ""), (3, "word " * 4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, bpe.round_trip(table, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()), key=str)
+    assert len(got) == 6 and len({r for r in got if r[0] == 2}) == 1
+    pieces = packing.pack(table, P.path("byte_bpe_50k.json")).collect()
+    assert sum(r["length"] for r in pieces) == 2 * 1 + 2 * 3 + 1 + 4002 and max(r["length"] for r in pieces) == 1024
+    empty = table.limit(0)
+    assert bpe.round_trip(empty, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0 == packing.pack(empty, P.path("byte_bpe_50k.json")).count()
+
+
 def test_substrings(docs, rows):
     count, words = Counter(), {}
     for i, t in rows:
