@@ -10,7 +10,7 @@ from ..functions.exprs import Z95, Z99, div, running
 #: Impact model (fixed values): permanent and temporary coefficient, exponent.
 GAMMA, ETA, POWER = 0.1, 0.01, 0.6
 #: Share of a day's volume by hour for the volume-weighted schedule (fixed values); other hours 0.08.
-HOURLY = {9: 0.12, 10: 0.10, 11: 0.08, 12: 0.07, 13: 0.07, 14: 0.09, 15: 0.15}
+HOURLY = {9: 0.15, 10: 0.12, 11: 0.08, 12: 0.06, 13: 0.07, 14: 0.09, 15: 0.13, 16: 0.30}
 
 
 def impacts(size: Column, adv: Column, sigma: Column, minutes: Column) -> tuple[Column, Column]:
@@ -146,7 +146,7 @@ def fill_stats(filled: DataFrame, first_close: DataFrame) -> DataFrame:
     return a.select("parent_id", "symbol", F.coalesce("filled", F.lit(0.0)).alias("filled"), "avg_price", "fill_rate", realised_slippage(F.col("side"), F.col("avg_price"), F.col("first_close")).alias("slippage_bps"))
 
 
-def pre_trade(orders: DataFrame, max_order: float = 10000, max_position: float = 100000, max_concentration: float = 0.2, max_adv: float = 0.1) -> DataFrame:
+def pre_trade(orders: DataFrame, max_order: float = 10000, max_position: float = 100000, max_concentration: float = 0.10, max_adv: float = 0.25) -> DataFrame:
     """First failing check of each order, NULL if all pass; needs qty, side, position, price, portfolio_value, adv."""
     after = F.coalesce("position", F.lit(0.0)) + F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
     reason = (

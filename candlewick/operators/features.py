@@ -124,23 +124,27 @@ def amihud(n: int = 20) -> Feature:
 
 
 def liquidity_score(volume: Column, spread_bps: Column, market_cap: Column) -> Column:
-    """0 to 100: volume up to 40, spread up to 40, market capitalisation up to 20."""
-    return clip(volume / 1e6 * 4, 0.0, 40.0) + clip(40 - spread_bps * 2, 0.0, 40.0) + clip(market_cap / 1e9 * 2, 0.0, 20.0)
+    """0 to 100: volume up to 40 (4 a million), 40 less 0.4 a basis point of spread, market capitalisation up to 20 (2 a billion)."""
+    return F.least(F.lit(40.0), volume / 1e6 * 4) + F.greatest(F.lit(0.0), 40 - spread_bps * 0.4) + F.least(F.lit(20.0), market_cap / 1e9 * 2)
 
 
 def pine_set(n: int = 20) -> Feature:
-    """Indicator set of the charting script: volatility and its trend, clipped yearly return, Wilder RSI, ROC, drawdowns."""
+    """Indicator set of the charting script: volatility (population deviation) and its trend, clipped yearly return and
+    rate of change as ratios (0 on the first ``n`` bars), Wilder RSI, drawdown from the running peak, and the worst of 60
+    bars' drawdowns from the highest close of the 60 bars up to each.
+    """
+    early = lag("close", n).isNull()
     first = {
-        "_ret": _RET["_ret"], "_diff": _DIFF["_diff"], "pine_roc": lambda: 100 * (div(c("close"), lag("close", n)) - 1),
-        "pine_drawdown": lambda: div(c("close"), F.max("close").over(running(*KEYS))) - 1,
+        "_ret": _RET["_ret"], "_diff": _DIFF["_diff"], "pine_roc": lambda: F.when(early, 0.0).otherwise(clip(div(c("close"), lag("close", n)) - 1, -1.0, 10.0)),
+        "pine_drawdown": lambda: div(c("close"), F.max("close").over(running(*KEYS))) - 1, "_fall": lambda: div(c("close"), roll(F.max, c("close"), 60, *KEYS)) - 1,
     }
     second = {
-        "pine_vol": lambda: roll(F.stddev_samp, c("_ret"), n, *KEYS) * math.sqrt(YEAR),
+        "pine_vol": lambda: roll(F.stddev_pop, c("_ret"), n, *KEYS) * math.sqrt(YEAR),
         "_up": lambda: F.coalesce(F.greatest(c("_diff"), F.lit(0.0)), F.lit(0.0)), "_down": lambda: F.coalesce(F.greatest(-c("_diff"), F.lit(0.0)), F.lit(0.0)),
-        "pine_ann_return": lambda: clip(F.pow(div(c("close"), lag("close", n)), F.lit(YEAR / n)) - 1, -1.0, 10.0),
-        "pine_max_drawdown": lambda: roll(F.min, c("pine_drawdown"), 60, *KEYS),
+        "pine_ann_return": lambda: F.when(early, 0.0).otherwise(clip(F.pow(div(c("close"), lag("close", n)), F.lit(YEAR / n)) - 1, -1.0, 10.0)),
+        "pine_max_drawdown": lambda: roll(F.min, c("_fall"), 60, *KEYS),
     }
-    third = {"pine_vol_trend": lambda: div(c("pine_vol"), lag("pine_vol", n)) - 1, "_g": lambda: ema(c("_up"), None, *KEYS, alpha=1 / 14, depth=15), "_l": lambda: ema(c("_down"), None, *KEYS, alpha=1 / 14, depth=15)}
+    third = {"pine_vol_trend": lambda: F.when(lag("pine_vol", n) > 0, c("pine_vol") / lag("pine_vol", n) - 1).otherwise(0.0), "_g": lambda: ema(c("_up"), None, *KEYS, alpha=1 / 14, depth=15), "_l": lambda: ema(c("_down"), None, *KEYS, alpha=1 / 14, depth=15)}
     return Feature("pine", (first, second, third, {"pine_rsi": lambda: F.when(c("_l") > 0, 100 - 100 / (1 + div(c("_g"), c("_l")))).otherwise(100.0)}), "charting script", needs=("close",), parameters={"lookback": n})
 
 

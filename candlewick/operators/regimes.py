@@ -122,9 +122,11 @@ def position_size(regime: Column, confidence: Column, stay: Column) -> Column:
     return clip(sure * stay + (1 - stay), 0.1, 2.0)
 
 
-def display_score(confidence: Column, stay: Column, vol: Column) -> Column:
-    """The charting script's score: confidence and persistence, less for volatility."""
-    return clip(0.4 * confidence + 0.4 * stay + 0.2 * (1 - F.least(vol, F.lit(1.0))), 0.0, 1.0)
+def display_score(confidence: Column, stay: Column, trend: Column, vol: Column) -> Column:
+    """The charting script's score: confidence, chance to stay, and factors of trend and volatility, each to its power."""
+    of_trend = F.when(trend > 0.05, 0.8).when(trend < -0.05, 0.3).otherwise(0.6)
+    of_vol = F.when(vol < 0.10, 0.9).when(vol > 0.50, 0.2).otherwise(0.6)
+    return F.pow(confidence, F.lit(0.3)) * F.pow(stay, F.lit(0.3)) * F.pow(of_trend, F.lit(0.2)) * F.pow(of_vol, F.lit(0.2))
 
 
 def detect(bars: DataFrame) -> DataFrame:
@@ -294,6 +296,7 @@ def sigmoid(x: Column, center: float, steep: float) -> Column:
     return 1 / (1 + F.exp(-steep * (x - center)))
 
 
+#: Factors of the probability of backtested returns (fixed values).
 METHOD_DOF = {"grid_search": 1.5, "random": 1.2, "bayesian": 1.0, "gradient": 0.8}
 MODEL_DOF = {"indicator": 1.0, "ml_linear": 1.2, "ml_tree": 1.5, "ensemble": 2.0}
 PREMIUM = {"bull": 1.0, "bear": 0.9, "low_volatility": 0.95, "high_volatility": 0.7, "crisis": 0.5}
@@ -321,7 +324,11 @@ def pbr(x: DataFrame, method: str = "grid_search", model: str = "indicator") ->
     return out.withColumn("reading", F.when(c("pbr") >= 0.80, "very_high").when(c("pbr") >= 0.65, "high").when(c("pbr") >= 0.50, "moderate").when(c("pbr") >= 0.35, "low").otherwise("very_low"))
 
 
-def forward_size(current: Column, predicted: Column, confidence: Column) -> Column:
-    """Size that leans to the predicted regime: 1 + 0.3 (quality there - quality here) confidence."""
-    q = F.create_map(*(F.lit(v) for kv in {"bull": 1.0, "low_volatility": 0.5, "high_volatility": -0.3, "bear": -0.7, "crisis": -1.0}.items() for v in kv))
-    return clip(1 + 0.3 * (q[predicted] - q[current]) * confidence, 0.1, 2.0)
+#: What a regime is worth to the forward size (fixed values).
+QUALITY = {"bull": 1.2, "low_volatility": 1.0, "high_volatility": 0.7, "bear": 0.5, "crisis": 0.2}
+
+
+def forward_size(size: Column, current: Column, predicted: Column, confidence: Column) -> Column:
+    """The regime's size, leaning to the predicted one: times 1 + 0.3 (quality there - quality here) confidence, 0.1 to 2."""
+    q = F.create_map(*(F.lit(v) for kv in QUALITY.items() for v in kv))
+    return clip(size * (1 + 0.3 * (q[predicted] - q[current]) * confidence), 0.1, 2.0)

@@ -54,7 +54,7 @@ CHILD = ORDERS + """, vol AS (SELECT event_type AS symbol, to_timestamp((epoch_u
 tw AS (SELECT *, greatest(span // 5, 1) AS n FROM o WHERE algo IN ('twap', 'smart')),
 tc AS (SELECT parent_id, symbol, side, algo, urgency, limit_price AS lp, CAST(k AS INT) AS slice, start_ts + INTERVAL 5 MINUTE * k AS ts, qty / n AS qty, CASE WHEN urgency < 0.7 THEN 'limit' ELSE 'market' END AS ot, CASE WHEN urgency < 0.7 THEN limit_price * CASE WHEN side = 'buy' THEN 1.0001 ELSE 0.9999 END END AS lim FROM tw, LATERAL (SELECT unnest(range(n)) AS k)),
 sw AS (SELECT parent_id, symbol, side, CAST(k AS INT) AS slice, start_ts + INTERVAL 1 MINUTE * (k * CASE WHEN algo = 'vwap' THEN 15 ELSE 5 END) AS ts, qty AS total, algo, urgency, limit_price FROM (SELECT *, CAST(greatest(ceil(span / CASE WHEN algo = 'vwap' THEN 15.0 ELSE 5.0 END), 1) AS BIGINT) AS n FROM o WHERE algo IN ('vwap', 'pov')), LATERAL (SELECT unnest(range(n)) AS k)),
-sv AS (SELECT sw.*, CASE WHEN algo = 'vwap' THEN total * CASE hour(sw.ts) WHEN 9 THEN 0.12 WHEN 10 THEN 0.10 WHEN 11 THEN 0.08 WHEN 12 THEN 0.07 WHEN 13 THEN 0.07 WHEN 14 THEN 0.09 WHEN 15 THEN 0.15 ELSE 0.08 END * 15 / 60 ELSE least(coalesce(v, 10000.0) * 0.1, coalesce(v, 10000.0) * 0.3) END AS want FROM sw LEFT JOIN vol ON sw.symbol = vol.symbol AND sw.ts = vol.ts),
+sv AS (SELECT sw.*, CASE WHEN algo = 'vwap' THEN total * CASE hour(sw.ts) WHEN 9 THEN 0.15 WHEN 10 THEN 0.12 WHEN 11 THEN 0.08 WHEN 12 THEN 0.06 WHEN 13 THEN 0.07 WHEN 14 THEN 0.09 WHEN 15 THEN 0.13 WHEN 16 THEN 0.30 ELSE 0.08 END * 15 / 60 ELSE least(coalesce(v, 10000.0) * 0.1, coalesce(v, 10000.0) * 0.3) END AS want FROM sw LEFT JOIN vol ON sw.symbol = vol.symbol AND sw.ts = vol.ts),
 sc AS (SELECT *, greatest(0, least(want, total - coalesce(sum(want) OVER (PARTITION BY parent_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS q FROM sv),
 ch AS (SELECT parent_id, symbol, side, 0 AS slice, start_ts AS ts, qty, 'market' AS order_type, NULL::DOUBLE AS limit_price FROM o WHERE algo = 'market'
   UNION ALL SELECT parent_id, symbol, side, slice, ts, qty, CASE WHEN algo = 'smart' AND urgency > 0.8 THEN 'market' WHEN algo = 'smart' AND urgency < 0.3 THEN 'limit' ELSE ot END, CASE WHEN algo = 'smart' AND urgency > 0.8 THEN NULL WHEN algo = 'smart' AND urgency < 0.3 THEN lp * CASE WHEN side = 'buy' THEN 0.999 ELSE 1.001 END ELSE lim END FROM tc
@@ -76,13 +76,13 @@ la AS (SELECT symbol, max(ts) AS mt FROM hb GROUP BY symbol), fi AS (SELECT symb
 ma AS (SELECT ch.*, coalesce((SELECT min(hb.ts) FROM hb WHERE hb.symbol = ch.symbol AND hb.ts >= ch.ts), mt) AS bt FROM ch JOIN la USING (symbol)),
 fl AS (SELECT ma.*, CASE WHEN order_type = 'market' THEN hb.close * CASE WHEN side = 'buy' THEN 1.00025 ELSE 0.99975 END WHEN side = 'buy' AND hb.low <= limit_price THEN least(limit_price, hb.open) WHEN side = 'sell' AND hb.high >= limit_price THEN greatest(limit_price, hb.open) END AS px FROM ma JOIN hb ON ma.symbol = hb.symbol AND bt = hb.ts),
 a AS (SELECT parent_id, symbol, side, sum(qty) FILTER (px IS NOT NULL) AS filled, sum(qty * px) AS v, sum(qty) AS q FROM fl GROUP BY ALL)
-SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 9) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
+SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 6) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
 def x12_x13_fills(spark, sf_dir):
     """First bar at or after each child order, fills (all touched limits fill), statistics by parent."""
     bars = B.intraday_bars(spark, sf_dir, "hourly")
     kids = X.route(parents(spark, sf_dir), volumes(spark, sf_dir))
     f = X.fill(X.next_bar(kids, bars), probability=1.0)
-    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4, avg_price=9)
+    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4)
 
 
 @query(ORDERS + " SELECT parent_id, CAST(k AS INT) AS slice, round(qty * (1 - k / 6.0), 6) AS remaining FROM o, range(7) AS r(k)")
@@ -118,15 +118,20 @@ def x07_capacity_curve(spark, sf_dir):
     return rounded(c.select("symbol", "aum", "annual_cost", "net_return", "cost_share"), 7)
 
 
-@query(ORDERS + """, ps AS (SELECT symbol, qty * 10 AS position FROM o WHERE parent_id % 100 = 1), pq AS (SELECT symbol, sum(position) AS position FROM ps GROUP BY symbol), ad AS (SELECT event_type AS symbol, count(*) / 3.0 AS adv, avg(value) AS price FROM events GROUP BY ALL),
-c AS (SELECT o.*, coalesce(position, 0) AS pos, adv, price FROM o LEFT JOIN pq USING (symbol) JOIN ad USING (symbol)), a AS (SELECT *, pos + CASE WHEN side = 'buy' THEN qty ELSE -qty END AS post FROM c)
-SELECT CASE WHEN qty > 3000 THEN 'order_size' WHEN abs(post) > 400000 THEN 'position_size' WHEN abs(post) * price / 1e8 > 0.5 THEN 'concentration' WHEN qty / adv > 2.5 THEN 'adv_share' END AS reason, side, count(*) AS n FROM a GROUP BY ALL""")
+@query(ORDERS + f""", ps AS (SELECT *, coalesce(sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) OVER (PARTITION BY symbol, parent_id // 64 ORDER BY parent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o),
+ad AS (SELECT event_type AS symbol, count(*) / 3.0 AS adv, avg(value) AS price FROM events GROUP BY ALL),
+a AS (SELECT ps.*, adv, price, pos + CASE WHEN side = 'buy' THEN qty ELSE -qty END AS post FROM ps JOIN ad USING (symbol))
+SELECT CASE WHEN qty > 3000 THEN 'order_size' WHEN abs(post) > 4000 THEN 'position_size' WHEN abs(post) * price / 1e7 > 0.10 THEN 'concentration' WHEN qty / adv > 0.25 THEN 'adv_share' END AS reason, side, count(*) AS n FROM a GROUP BY ALL""")
 def x14_pre_trade(spark, sf_dir):
-    o = parents(spark, sf_dir)
-    pos = o.filter("parent_id % 100 = 1").groupBy("symbol").agg(F.sum(F.col("qty") * 10).alias("position"))
+    """Every order against the position that all earlier orders of its desk (64 order numbers) have built in its symbol."""
+    from pyspark.sql import Window
+
+    signed = F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))
+    w = Window.partitionBy("symbol", "desk").orderBy("parent_id").rowsBetween(Window.unboundedPreceding, -1)
+    o = parents(spark, sf_dir).withColumn("desk", F.floor(F.col("parent_id") / 64)).withColumn("position", F.coalesce(F.sum(signed).over(w), F.lit(0.0)))
     adv = B.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg((F.count(F.lit(1)) / 3.0).alias("adv"), F.avg("value").alias("price"))
-    x = o.join(pos, "symbol", "left").join(adv, "symbol").withColumn("portfolio_value", F.lit(1e8))
-    return X.pre_trade(x, 3000, 400000, 0.5, 2.5).groupBy("reason", "side").agg(F.count(F.lit(1)).alias("n"))
+    x = o.join(adv, "symbol").withColumn("portfolio_value", F.lit(1e7))
+    return X.pre_trade(x, 3000, 4000).groupBy("reason", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 POS = """WITH pos AS (SELECT 'P' || (c_nationkey % 7) AS portfolio, 'Brand#' || (11 + c_custkey % 5) AS symbol, sum(round(c_acctbal / 100)) AS qty FROM customer GROUP BY ALL),

@@ -206,18 +206,19 @@ def f06_f20_more(spark, sf_dir):
     return rounded(x.withColumn("amihud_20", 1000000 * F.col("amihud_20")), true_range=9)
 
 
-@query(DAILY + """ SELECT symbol, round(least(greatest(avg(volume) * 50000 / 1e6 * 4, 0), 40) + least(greatest(40 - avg((high - low) / close) * 10 * 2, 0), 40) + least(greatest(sum(volume) * 100000 / 1e9 * 2, 0), 20), 6) AS score FROM bars GROUP BY symbol""")
+@query(DAILY + """ SELECT symbol, round(least(avg(volume) * 50000 / 1e6 * 4, 40) + greatest(40 - avg((high - low) / close) * 10 * 0.4, 0) + least(sum(volume) * 100000 / 1e9 * 2, 20), 6) AS score FROM bars GROUP BY symbol""")
 def f21_liquidity(spark, sf_dir):
     a = B.daily_bars(spark, sf_dir).groupBy("symbol").agg(F.avg("volume").alias("v"), F.avg((F.col("high") - F.col("low")) / F.col("close")).alias("s"), F.sum("volume").alias("m"))
     return rounded(a.select("symbol", features.liquidity_score(F.col("v") * 50000, F.col("s") * 10, F.col("m") * 100000).alias("score")))
 
 
-@query(DAILY + F_BASE + f""", g AS (SELECT *, ({roll('stddev_samp', 'ret', 20)}) * sqrt(252) AS vol, close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd,
+@query(DAILY + F_BASE + f""", g0 AS (SELECT *, ({roll('stddev_pop', 'ret', 20)}) * sqrt(252) AS vol, close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd, close / ({roll('max', 'close', 60)}) - 1 AS fall,
   list_reduce(list(up) OVER l, lambda a, v: a * (1.0 - {1 / 14!r}) + v * {1 / 14!r}) AS g, list_reduce(list(down) OVER l, lambda a, v: a * (1.0 - {1 / 14!r}) + v * {1 / 14!r}) AS l FROM f1
-  WINDOW l AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 405 PRECEDING AND CURRENT ROW))
-SELECT symbol, ts, round(100 * (close / lag(close, 20) {W} - 1), 6) AS pine_roc, round(dd, 6) AS pine_drawdown, round(vol, 6) AS pine_vol,
-  round(CASE WHEN lag(close, 20) {W} IS NOT NULL THEN least(greatest(pow(close / lag(close, 20) {W}, 12.6) - 1, -1), 10) END, 6) AS pine_ann_return, round({roll('min', 'dd', 60)}, 6) AS pine_max_drawdown,
-  round(vol / nullif(lag(vol, 20) {W}, 0) - 1, 6) AS pine_vol_trend, round(CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) ELSE 100 END, 6) AS pine_rsi FROM g""")
+  WINDOW l AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 405 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, lag(close, 20) {W} AS was, lag(vol, 20) {W} AS older FROM g0)
+SELECT symbol, ts, round(CASE WHEN was IS NULL THEN 0 ELSE least(greatest(close / was - 1, -1), 10) END, 6) AS pine_roc, round(dd, 6) AS pine_drawdown, round(vol, 6) AS pine_vol,
+  round(CASE WHEN was IS NULL THEN 0 ELSE least(greatest(pow(close / was, 12.6) - 1, -1), 10) END, 6) AS pine_ann_return, round({roll('min', 'fall', 60)}, 6) AS pine_max_drawdown,
+  round(CASE WHEN older > 0 THEN vol / older - 1 ELSE 0 END, 6) AS pine_vol_trend, round(CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) ELSE 100 END, 6) AS pine_rsi FROM g""")
 def f22_pine(spark, sf_dir):
     p = features.Pipeline("pine", [features.pine_set()])
     return rounded(p.compute(B.daily_bars(spark, sf_dir)).select("symbol", "ts", *p.names()))
@@ -307,17 +308,16 @@ def _cdf(z: str) -> str:
 
 M4 = RSI_RULE + f""", mo AS (SELECT symbol, count(ret)::DOUBLE AS n, avg(ret) AS m, stddev_samp(ret) AS sd, skewness(ret) AS sk, kurtosis(ret) AS ku FROM er GROUP BY symbol),
 tr AS (SELECT symbol, count(*) AS t FROM filled WHERE ends GROUP BY symbol),
-p0 AS (SELECT *, m / nullif(sd, 0) AS s, CASE WHEN t < n / 10 THEN greatest(t::DOUBLE, 10.0) ELSE n END AS eff FROM mo JOIN tr USING (symbol)),
-p1 AS (SELECT *, (1 - sk * s + (ku - 1) / 4 * s * s) / (eff - 1) AS v FROM p0),
-p2 AS (SELECT *, s * sqrt(252) / sqrt(CASE WHEN v > 0 THEN v ELSE (1 + 0.5 * s * s) / (eff - 1) END * 252) AS z0, CASE WHEN eff < 50 THEN 2.0 WHEN eff < 100 THEN 2.5 ELSE 3.0 END AS bd FROM p1),
-p3 AS (SELECT *, least(greatest(z0, -bd), bd) AS z FROM p2),
-p4 AS (SELECT *, CASE WHEN n < 30 OR sd IS NULL OR sd = 0 THEN 0.5 ELSE least(greatest({_cdf('z')}, 0.001), 0.999) END AS psr FROM p3),
+p0 AS (SELECT *, m / CASE WHEN sd >= 1e-12 THEN sd END AS s, least(greatest(sk, -10), 10) AS sk1, least(greatest(ku, -10), 50) AS ku1, CASE WHEN t < n / 10 THEN greatest(t::DOUBLE, 10.0) ELSE n END AS eff FROM mo JOIN tr USING (symbol)),
+p1 AS (SELECT *, least(greatest(s * sqrt(252), -10), 10) AS obs, (1 - sk1 * s + (ku1 - 1) / 4 * s * s) / greatest(eff - 1, 1) * 252 AS v, (1 + least(5, abs(sk1)) * 0.3) * (1 + least(10, abs(ku1)) * 0.15) * sqrt(252) / sqrt(greatest(eff - 1, 1)) AS fb FROM p0),
+p2 AS (SELECT *, CASE WHEN v > 0 THEN sqrt(v) ELSE fb END AS se, CASE WHEN eff < 30 THEN 2.0 WHEN eff < 100 THEN 2.5 ELSE 3.0 END AS bd FROM p1),
+p3 AS (SELECT *, least(greatest(obs / CASE WHEN se < 1e-10 THEN 0.2 ELSE se END, -bd), bd) AS z FROM p2),
+p4 AS (SELECT *, CASE WHEN n < 30 OR sd IS NULL THEN 0.5 WHEN sd < 1e-12 THEN CASE WHEN m > 0 THEN 0.95 ELSE 0.05 END ELSE least(greatest({_cdf('z')}, 0.001), 0.999) END AS psr FROM p3),
 hv AS (SELECT symbol, ret, row_number() {W} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM er WHERE ret IS NOT NULL),
-h2 AS (SELECT symbol, count(*) AS n, avg(ret) FILTER (i <= n // 2) / nullif(stddev_samp(ret) FILTER (i <= n // 2), 0) * sqrt(252) AS s1, avg(ret) FILTER (i > n // 2) / nullif(stddev_samp(ret) FILTER (i > n // 2), 0) * sqrt(252) AS s2 FROM hv GROUP BY symbol),
-pb AS (SELECT symbol, s1, s2, CASE WHEN n < 20 THEN 0.5 WHEN s1 IS NULL OR s2 IS NULL THEN 0.5 WHEN s1 > 0 AND s2 < 0 THEN 0.9 WHEN s1 > 0 AND s2 < 0.3 * s1 THEN 0.8 WHEN s1 > 0 AND s2 < 0.5 * s1 THEN 0.7
-  WHEN s1 > 0 AND s2 < 0.8 * s1 THEN 0.5 WHEN s1 > 0 AND s2 <= 1.2 * s1 THEN 0.2 WHEN s1 > 0 THEN 0.3 ELSE 0.4 END AS pbo FROM h2),
+h2 AS (SELECT symbol, count(*) AS n, avg(ret) FILTER (i <= n // 2) / (stddev_samp(ret) FILTER (i <= n // 2) + 1e-10) AS s1, avg(ret) FILTER (i > n // 2) / (stddev_samp(ret) FILTER (i > n // 2) + 1e-10) AS s2 FROM hv GROUP BY symbol),
+pb AS (SELECT symbol, s1, s2, CASE WHEN n < 20 THEN 0.5 WHEN s1 <= 0 AND s2 <= 0 THEN 0.9 WHEN s1 > 1 AND s2 < 0 THEN 0.8 WHEN s1 > 3 * s2 THEN 0.7 WHEN s1 > 1.5 * s2 THEN 0.5 WHEN s2 > s1 THEN 0.2 WHEN abs(s1 - s2) < 0.2 THEN 0.3 ELSE 0.4 END AS pbo FROM h2),
 dd AS (SELECT symbol, min(drawdown) AS dd FROM er GROUP BY symbol),
-sc AS (SELECT symbol, n, s * sqrt(252) AS sharpe, psr, pbo, t, dd, t * 2 * 252 / n AS turn, CASE WHEN t < 10 THEN 0.0 WHEN t >= 30 THEN 1.0 ELSE (t - 10) / 20.0 END AS mult FROM p4 JOIN pb USING (symbol) JOIN dd USING (symbol))"""
+sc AS (SELECT symbol, n, obs AS sharpe, psr, pbo, t, dd, t * 2 * 252 / n AS turn, CASE WHEN t < 10 THEN 0.0 WHEN t >= 30 THEN 1.0 ELSE (t - 10) / 20.0 END AS mult FROM p4 JOIN pb USING (symbol) JOIN dd USING (symbol))"""
 
 
 def scored(spark, sf_dir) -> DataFrame:
@@ -330,7 +330,7 @@ def scored(spark, sf_dir) -> DataFrame:
 
 
 @query(M4 + """ SELECT symbol, CAST(n AS BIGINT) AS n, t AS n_trades, round(sharpe, 5) AS sharpe, round(psr, 5) AS psr, round(psr * mult, 5) AS psr_weighted, pbo, round(turn, 5) AS turnover, round(dd, 5) AS max_drawdown,
-  round(0.70 * psr - 0.20 * pbo - 0.05 * least(turn / 200, 1) - 0.05 * least(abs(dd) / 0.5, 1) - 0.3 * CASE WHEN t < 20 THEN (20 - t) / 20.0 ELSE 0 END, 5) AS score FROM sc""")
+  round(least(greatest(0.70 * psr - 0.20 * pbo - 0.05 * CASE WHEN turn < 200 THEN 0 ELSE least((turn - 200) / 200, 1) END - 0.05 * least(abs(dd) / 0.5, 1) - 0.3 * CASE WHEN t < 20 THEN 1 - t / 20.0 ELSE 0 END, -1), 1), 5) AS score FROM sc""")
 def m04_m08_scores(spark, sf_dir):
     """M4-M8: probabilistic Sharpe, trade weight, overfit score, turnover, composite."""
     x = scored(spark, sf_dir)
@@ -353,7 +353,7 @@ def m10_deploy(spark, sf_dir):
 
 
 @query(DAILY + """, d AS (SELECT symbol, abs(close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1) AS d FROM bars)
-SELECT symbol, CASE WHEN d < 0.236 THEN 1 WHEN d < 0.382 THEN 2 WHEN d < 0.5 THEN 3 WHEN d < 0.618 THEN 4 ELSE 5 END AS zone, count(*) AS n FROM d GROUP BY ALL""")
+SELECT symbol, CASE WHEN d < 0.05 THEN 1 WHEN d < 0.15 THEN 2 WHEN d < 0.30 THEN 3 WHEN d < 0.50 THEN 4 ELSE 5 END AS zone, count(*) AS n FROM d GROUP BY ALL""")
 def m11_zones(spark, sf_dir):
     e = metrics.equity_returns(B.daily_bars(spark, sf_dir).select("symbol", "ts", F.col("close").alias("equity")), S)
     return e.groupBy("symbol", metrics.zone(F.col("drawdown")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))

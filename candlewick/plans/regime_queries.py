@@ -77,10 +77,10 @@ def r02_r11_history(spark, sf_dir):
     return rounded(R.detect(series(spark, sf_dir)).select("symbol", "ts", *P, "regime", "confidence", "duration", "next_regime", "stay", "size"))
 
 
-@query(REG + " SELECT symbol, ts, round(least(0.95, 0.5 + duration / 100.0), 6) AS pine_stay, round(least(greatest(0.4 * confidence + 0.4 * least(0.95, 0.5 + duration / 100.0) + 0.2 * (1 - least(realized_vol, 1.0)), 0), 1), 6) AS score FROM rg")
+@query(REG + " SELECT symbol, ts, round(least(0.95, 0.5 + duration / 100.0), 6) AS pine_stay, round(pow(confidence, 0.3) * pow(least(0.95, 0.5 + duration / 100.0), 0.3) * pow(CASE WHEN ma_trend > 0.05 THEN 0.8 WHEN ma_trend < -0.05 THEN 0.3 ELSE 0.6 END, 0.2) * pow(CASE WHEN realized_vol < 0.10 THEN 0.9 WHEN realized_vol > 0.50 THEN 0.2 ELSE 0.6 END, 0.2), 6) AS score FROM rg")
 def r07_r09_display(spark, sf_dir):
     x = R.detect(series(spark, sf_dir)).withColumn("pine_stay", R.stay_by_duration(F.col("duration")))
-    return rounded(x.select("symbol", "ts", "pine_stay", R.display_score(F.col("confidence"), F.col("pine_stay"), F.col("realized_vol")).alias("score")))
+    return rounded(x.select("symbol", "ts", "pine_stay", R.display_score(F.col("confidence"), F.col("pine_stay"), F.col("ma_trend"), F.col("realized_vol")).alias("score")))
 
 
 @query(REG + """, v AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS v FROM rg WHERE ret IS NOT NULL AND ret > -1),
@@ -123,11 +123,11 @@ def r16_accuracy(spark, sf_dir):
     return rounded(c.select("horizon", "label", "pred", "n", (F.col("n") / by("horizon", "label")).alias("recall_share"), (F.col("n") / by("horizon", "pred")).alias("precision_share"), (right / by("horizon")).alias("accuracy")))
 
 
-@query(REG + """, q AS (SELECT * FROM (VALUES ('bull', 1.0), ('low_volatility', 0.5), ('high_volatility', -0.3), ('bear', -0.7), ('crisis', -1.0)) AS q(r, q))
-SELECT symbol, ts, round(least(greatest(1 + 0.3 * (b.q - a.q) * confidence, 0.1), 2), 6) AS size FROM rg JOIN q a ON regime = a.r JOIN q b ON next_regime = b.r""")
+@query(REG + """, q AS (SELECT * FROM (VALUES ('bull', 1.2), ('low_volatility', 1.0), ('high_volatility', 0.7), ('bear', 0.5), ('crisis', 0.2)) AS q(r, q))
+SELECT symbol, ts, round(least(greatest(rg.size * (1 + 0.3 * (b.q - a.q) * confidence), 0.1), 2), 6) AS size FROM rg JOIN q a ON regime = a.r JOIN q b ON next_regime = b.r""")
 def r17_forward_size(spark, sf_dir):
     x = R.detect(series(spark, sf_dir))
-    return rounded(x.select("symbol", "ts", R.forward_size(F.col("regime"), F.col("next_regime"), F.col("confidence")).alias("size")))
+    return rounded(x.select("symbol", "ts", R.forward_size(F.col("size"), F.col("regime"), F.col("next_regime"), F.col("confidence")).alias("size")))
 
 
 def pred_rows(x):
@@ -273,7 +273,7 @@ def b33_pbr(spark, sf_dir):
     return rounded(R.pbr(p).select("symbol", "pbr", "reading"))
 
 
-@query(REG + f""", e AS (SELECT symbol, ts, i, regime, confidence, least(greatest(0.4 * confidence + 0.4 * least(0.95, 0.5 + duration / 100.0) + 0.2 * (1 - least(realized_vol, 1.0)), 0), 1) AS pbr, coalesce(regime <> lag(regime) {W}, false) AS ch FROM rg),
+@query(REG + f""", e AS (SELECT symbol, ts, i, regime, confidence, pow(confidence, 0.3) * pow(least(0.95, 0.5 + duration / 100.0), 0.3) * pow(CASE WHEN ma_trend > 0.05 THEN 0.8 WHEN ma_trend < -0.05 THEN 0.3 ELSE 0.6 END, 0.2) * pow(CASE WHEN realized_vol < 0.10 THEN 0.9 WHEN realized_vol > 0.50 THEN 0.2 ELSE 0.6 END, 0.2) AS pbr, coalesce(regime <> lag(regime) {W}, false) AS ch FROM rg),
 v AS (SELECT *, CASE WHEN regime = 'bull' AND confidence > 0.6 AND pbr > 0.5 THEN 1 WHEN regime IN ('bear', 'crisis') AND confidence > 0.6 AND pbr > 0.4 THEN -1 WHEN ch OR confidence < 0.4 THEN 0 END AS ev FROM e),
 p AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM v)
 SELECT symbol, ts, pos, coalesce(pos <> lag(pos) {W}, pos <> 0) AS changed FROM p""")
@@ -281,7 +281,7 @@ def s14_regime_strategy(spark, sf_dir):
     from ..operators import signals
 
     x = R.durations(R.labels(R.scores(R.features(series(spark, sf_dir)))))
-    x = x.withColumn("pbr", R.display_score(F.col("confidence"), R.stay_by_duration(F.col("duration")), F.col("realized_vol")))
+    x = x.withColumn("pbr", R.display_score(F.col("confidence"), R.stay_by_duration(F.col("duration")), F.col("ma_trend"), F.col("realized_vol")))
     return signals.regime_positions(x, ["symbol"]).select("symbol", "ts", "pos", "changed")
 
 
