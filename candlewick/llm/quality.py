@@ -1,16 +1,17 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Rules on a document count failures; failures are gathered by host (the document's ``source``); each host's failure
-rate is shrunk towards all hosts' with an empirical beta prior, and the host's verdict is joined back.
+rate is shrunk towards all hosts' with an empirical beta prior, and the host's verdict is joined back: what fails only a
+soft rule is forgiven on hosts that are credibly cleaner than all together, and rejected elsewhere; a host of which
+nearly all fails is rejected whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .beta import let, quantile, strength
 from .common import cut
 
 # Fixed values of the base rules.
@@ -19,15 +20,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: A host is rejected if its shrunk failure rate lies above this share: only where nearly all it has is junk.
+#: Soft rules: symbols, and words in repeated windows, by 100 words.
+SOFT_SYMBOLS, SOFT_REPEATS = 10, 30
+#: A host is trusted if this quantile of its failure rate lies below the rate of all hosts.
+TRUST_QUANTILE = 0.95
+#: A host is rejected whole if the opposite quantile lies above this share: only where nearly all it has is junk.
 HOST_REJECT_RATE = 0.9
-#: Hosts with fewer documents leave the verdict to the documents' own rules.
-HOST_MIN_DOCS = 20
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once a row and not once for each use."""
-    return F.transform(F.array(value), body)[0]
 
 
 def _count_char(text: Column, chars: str) -> Column:
@@ -97,37 +95,35 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> D
         repeats.alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    soft = (100 * F.col("n_symbols") > SOFT_SYMBOLS * F.col("n_words")) | (100 * F.col("n_repeat_words") > SOFT_REPEATS * F.col("n_words"))
+    return out.withColumns({"base_failed": failed, "soft_failed": soft})
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, n_failed, rate): failure rates shrunk by a beta prior fitted to all hosts by moments.
+    """(host, n_docs, n_failed, rate, low, high, all_rate): failure rates shrunk by a beta prior fitted to all hosts.
 
-    A null host is the host named by the empty string. With hosts that all agree the prior is as strong as the mean
-    host is large.
+    ``low`` and ``high`` are quantiles of the posterior, ``all_rate`` is the prior's mean. A null host is the host named
+    by the empty string. With hosts that all agree the prior is as strong as it may be.
     """
-    hosts = measured.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    raw = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(
-        F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.count(F.lit(1)).alias("h"),
-        (F.sum(F.col("n_docs") * raw * raw) / F.sum("n_docs")).alias("m2"),
-    ).select(
-        (F.col("f") / F.col("n")).alias("mean"), (F.col("m2") - (F.col("f") / F.col("n")) * (F.col("f") / F.col("n"))).alias("var"), (F.col("n") / F.col("h")).alias("mean_docs"),
-    )
-    strength = F.when(F.col("var") > 1e-9, F.greatest(F.lit(1.0), F.least(F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1, F.col("mean_docs")))).otherwise(F.col("mean_docs"))
-    shrunk = (F.col("n_failed") + F.col("strength") * F.col("mean")) / (F.col("n_docs") + F.col("strength"))
-    one_row = prior.select("mean", strength.alias("strength"))
-    return hosts.crossJoin(F.broadcast(one_row)).select("host", "n_docs", "n_failed", shrunk.alias("rate"))  # one row of totals
-
-
-def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), reject_rate: float = HOST_REJECT_RATE, min_docs: int = HOST_MIN_DOCS) -> DataFrame:
+    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
+    hosts = measured.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed).alias("n_failed"))
+    mean = hosts.agg(((F.sum("n_failed") + 0.5) / (F.sum("n_docs") + 1)).alias("all_rate"))
+    with_mean = hosts.crossJoin(F.broadcast(mean))  # one row of totals
+    prior = with_mean.agg(strength(F.col("n_docs"), F.col("n_failed"), F.col("all_rate")).alias("k"))
+    a = F.col("n_failed") + F.col("k") * F.col("all_rate")
+    b = F.col("n_docs") - F.col("n_failed") + F.col("k") * (1 - F.col("all_rate"))
+    shrunk = with_mean.crossJoin(F.broadcast(prior))  # one row
+    return shrunk.select("host", "n_docs", "n_failed", (a / (a + b)).alias("rate"), quantile(a, b, 1 - TRUST_QUANTILE).alias("low"), quantile(a, b, TRUST_QUANTILE).alias("high"), "all_rate")
+
+
+def judge(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), reject_rate: float = HOST_REJECT_RATE) -> DataFrame:
     """Base measures and verdicts, a row for each row of ``docs``.
 
-    ``kept`` is false if a base rule fails, or if the host's shrunk failure rate is above ``reject_rate`` (hosts of at
-    least ``min_docs`` documents). Null texts have no words, so they fail; repeated rows are each judged.
+    ``kept`` is false if a base rule fails, if a soft rule fails on a host that is not trusted, or if the host is
+    rejected. Null texts have no words, so they fail; repeated rows are each judged.
     """
     measured = cut(measures(docs, keep))
     # Cut, so that both sides of the join are shuffles of their own and a hot host's rows can be split.
-    hosts = cut(host_rates(measured)).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), ((F.col("rate") > reject_rate) & (F.col("n_docs") >= min_docs)).alias("_bad"))
+    hosts = cut(host_rates(measured)).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"), (F.col("high") < F.col("all_rate")).alias("host_trusted"), (F.col("low") > reject_rate).alias("_bad"))
     joined = measured.join(hosts, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host"), "left")
-    return joined.select(*measured.columns, "host_rate", (~F.col("base_failed") & ~F.coalesce("_bad", F.lit(False))).alias("kept"))
+    return joined.select(*measured.columns, "host_rate", "host_trusted", (~F.col("base_failed") & ~F.col("_bad") & (~F.col("soft_failed") | F.col("host_trusted"))).alias("kept"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
+from . import beta, bpe, chat, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
 from .common import documents
 
 
@@ -76,7 +76,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(upto) FILTER (role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-SQL["op7_quality"] = r"""
+SQL["op7_quality"] = rf"""
 WITH d AS (
   SELECT rowid_ AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -91,15 +91,18 @@ m AS (
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM d LEFT JOIN cov USING (r)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT host, count(*) AS n, sum(base_failed::INT) AS b FROM f GROUP BY host),
-p AS (SELECT sum(b) / sum(n) AS mean, sum(n * (b / n) * (b / n)) / sum(n) - (sum(b) / sum(n)) * (sum(b) / sum(n)) AS var, sum(n) / count(*) AS md FROM h),
-s AS (SELECT mean, CASE WHEN var > 1e-9 THEN greatest(1.0, least(mean * (1 - mean) / var - 1, md)) ELSE md END AS k FROM p),
-v AS (SELECT host, (b + k * mean) / (n + k) > 0.9 AND n >= 20 AS bad FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept
-FROM f JOIN v USING (host)"""
-
-SQL["op9_urls"] = r"""
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words OR 100 * n_repeat_words > 30 * n_words AS soft_failed FROM m),
+h AS (SELECT host, count(*) AS n, sum((base_failed OR soft_failed)::INT) AS b FROM f GROUP BY host),
+p AS (SELECT (sum(b) + 0.5) / (sum(n) + 1) AS mean FROM h),
+s AS (SELECT any_value(mean) AS mean, {beta.strength_sql('n', 'b', 'mean')} AS k FROM h, p),
+v AS (SELECT host, b + k * mean AS x, n - b + k * (1 - mean) AS y, mean FROM h, s),
+lo AS ({beta.quantile_sql('v', 'host', 'x', 'y', 0.05)}),
+hi AS ({beta.quantile_sql('v', 'host', 'x', 'y', 0.95)}),
+w AS (SELECT host, lo.q > 0.9 AS bad, hi.q < mean AS trusted FROM v JOIN lo USING (host) JOIN hi USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AND (NOT soft_failed OR trusted) AS kept
+FROM f JOIN w USING (host)"""
+
+SQL["op9_urls"] = rf"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS k FROM pages),
 p AS (
@@ -114,12 +117,17 @@ h AS (
   FROM p JOIN lab USING (page_id) WHERE host <> '' GROUP BY ALL),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(b) AS db FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM d GROUP BY ALL),
-a AS (SELECT (sum(sb) + 1.0) / (sum(sn) + 2.0) AS base FROM s),
-sp AS (SELECT suffix, (sb + 8.0 * base) / (sn + 8.0) AS sp FROM s, a),
-dp AS (SELECT domain, (db + 8.0 * sp) / (dn + 8.0) AS dp FROM d JOIN sp USING (suffix)),
-hp AS (SELECT host, b + 8.0 * dp AS x, n - b + 8.0 * (1 - dp) AS y FROM h JOIN dp USING (domain)),
-low AS (SELECT host, x / (x + y) - 1.64 * sqrt(x / (x + y) * (1 - x / (x + y)) / (x + y + 1)) AS low FROM hp)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(low, 0.0) > 0.6 THEN 'block' ELSE 'allow' END) AS verdict
+a AS (SELECT (sum(sb) + 0.5) / (sum(sn) + 1) AS base FROM s),
+sk AS (SELECT {beta.strength_sql('sn', 'sb', 'base')} AS k FROM s, a),
+sp AS (SELECT suffix, (sb + k * base) / (sn + k) AS sp FROM s, a, sk),
+dj AS (SELECT * FROM d JOIN sp USING (suffix)),
+dk AS (SELECT {beta.strength_sql('dn', 'db', 'sp')} AS k FROM dj),
+dp AS (SELECT domain, (db + k * sp) / (dn + k) AS dp FROM dj, dk),
+hj AS (SELECT * FROM h JOIN dp USING (domain)),
+hk AS (SELECT {beta.strength_sql('n', 'b', 'dp')} AS k FROM hj),
+hp AS (SELECT host, b + k * dp AS x, n - b + k * (1 - dp) AS y FROM hj, hk),
+low AS ({beta.quantile_sql('hp', 'host', 'x', 'y', 0.05)})
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN q > (SELECT base FROM a) THEN 'block' ELSE 'allow' END) AS verdict
 FROM one LEFT JOIN low USING (host)"""
 
 SQL["op1_minhash"] = r"""

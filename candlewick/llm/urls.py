@@ -1,8 +1,9 @@
 """URL filters: fixed rules, then host reputation by empirical Bayes; DataFrame functions only.
 
-Labelled outcomes of pages are counted for each host. A beta-binomial prior is fitted to suffixes, whose posterior is
-the prior of their registered domains, whose posterior is the prior of their hosts. A host is blocked where even a
-lower bound of its posterior rate of bad pages is high.
+Labelled outcomes of pages are counted for each host. A beta-binomial prior, its strength fitted at each level, leads
+from all pages to suffixes, whose posterior is the prior of their registered domains, whose posterior is the prior of
+their hosts. A host is blocked where even a lower quantile of its posterior rate of bad pages is above the rate of all
+pages: that is, where it is credibly worse than the whole.
 """
 
 from __future__ import annotations
@@ -10,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .beta import quantile, strength
+
 #: (verdict, host, path): fixed rules; a rule fits its host and all subdomains, for paths that start with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: A host is blocked if the lower bound (so many standard deviations below the mean) is over the rate.
-BAD_RATE = 0.6
-BOUND_SIGMAS = 1.64
-#: Pages that a parent's rate counts as in its children's prior.
-PRIOR_STRENGTH = 8.0
+#: The quantile of a host's posterior that is its bound.
+BOUND = 0.05
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,8 +49,14 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def reputations(outcomes: DataFrame, strength: float = PRIOR_STRENGTH) -> DataFrame:
-    """(host, n, bad, mean, low): posterior rate of bad pages of each host with a labelled page, and its lower bound.
+def _fitted(groups: DataFrame, n: str, bad: str, prior: str) -> DataFrame:
+    """Adds ``k``, the strength of the prior (means in ``prior``) fitted to all groups: one row, joined to each."""
+    return groups.crossJoin(F.broadcast(groups.agg(strength(F.col(n), F.col(bad), F.col(prior)).alias("k"))))
+
+
+def reputations(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad, mean, low, all_rate): posterior rate of bad pages of each host with a labelled page, its lower
+    bound, and the rate of all pages.
 
     ``outcomes``: (host string, bad int). Counts are aggregated before anything is joined, so the joins hold a row for
     each host, domain and suffix.
@@ -58,18 +64,21 @@ def reputations(outcomes: DataFrame, strength: float = PRIOR_STRENGTH) -> DataFr
     hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    all_ = suffixes.agg(F.sum("sn").alias("an"), F.sum("sb").alias("ab"))
-    base = (F.col("ab") + 1.0) / (F.col("an") + 2.0)
-    s = suffixes.crossJoin(F.broadcast(all_)).select("suffix", ((F.col("sb") + strength * base) / (F.col("sn") + strength)).alias("sp"))  # one row of totals
-    d = domains.join(s, "suffix").select("domain", ((F.col("db") + strength * F.col("sp")) / (F.col("dn") + strength)).alias("dp"))
-    a, b = F.col("b") + strength * F.col("dp"), F.col("n") - F.col("b") + strength * (1 - F.col("dp"))
-    mean = a / (a + b)
-    return hosts.join(d, "domain").select("host", "n", F.col("b").alias("bad"), mean.alias("mean"), (mean - BOUND_SIGMAS * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("low"))
+    all_ = suffixes.agg(((F.sum("sb") + 0.5) / (F.sum("sn") + 1)).alias("all_rate"))
+    s = _fitted(suffixes.crossJoin(F.broadcast(all_)), "sn", "sb", "all_rate")  # one row of totals
+    s = s.select("suffix", "all_rate", ((F.col("sb") + F.col("k") * F.col("all_rate")) / (F.col("sn") + F.col("k"))).alias("sp"))
+    d = _fitted(domains.join(s, "suffix"), "dn", "db", "sp")
+    d = d.select("domain", "all_rate", ((F.col("db") + F.col("k") * F.col("sp")) / (F.col("dn") + F.col("k"))).alias("dp"))
+    h = _fitted(hosts.join(d, "domain"), "n", "b", "dp")
+    a, b = F.col("b") + F.col("k") * F.col("dp"), F.col("n") - F.col("b") + F.col("k") * (1 - F.col("dp"))
+    return h.select("host", "n", F.col("b").alias("bad"), (a / (a + b)).alias("mean"), quantile(a, b, BOUND).alias("low"), "all_rate")
 
 
-def judge(pages: DataFrame, labels: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, bad_rate: float | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row of ``pages``.
 
+    A host is blocked if its bound is above ``bad_rate``; None takes the rate of all labelled pages.
+
     A page's outcome is the label of the same id: bad if toxic or of quality 0; labels with nulls, and pages without a
     host, count for nothing. No rule and no reputation: allow. A null url has an empty host and path.
     """
@@ -77,7 +86,8 @@ def judge(pages: DataFrame, labels: DataFrame, bad_rate: float = BAD_RATE) -> Da
     parsed = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     bad = labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("page_id")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
     outcomes = parsed.filter(F.col("host") != "").join(bad, "page_id").select("host", "bad")
-    low = reputations(outcomes).select(F.col("host").alias("_host"), F.col("low"))
+    limit = F.col("all_rate") if bad_rate is None else F.lit(bad_rate)
+    bad_hosts = reputations(outcomes).select(F.col("host").alias("_host"), (F.col("low") > limit).alias("_bad"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    by_host = F.when(F.coalesce(F.col("low"), F.lit(0.0)) > bad_rate, F.lit("block")).otherwise(F.lit("allow"))
-    return parsed.join(low, F.col("host") == F.col("_host"), "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))
+    by_host = F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow"))
+    return parsed.join(bad_hosts, F.col("host") == F.col("_host"), "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_host).alias("verdict"))

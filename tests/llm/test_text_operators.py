@@ -11,8 +11,9 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from candlewick.llm import blocks, bpe, chat, components, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
+from candlewick.llm import beta, blocks, bpe, chat, components, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -523,3 +524,65 @@ def test_anchors_align_a_passage_shared_by_long_texts(spark):
     inside = [p for p in own if 3000 <= p <= 3027]
     assert (r["shift"], r["n_anchors"], r["left_from"], r["left_to"]) == (2500, len(inside), min(inside), max(inside))
     assert marks.filter("doc_id = 3").count() == 0 and marks.filter("doc_id = 4").count() == 1
+
+
+def test_beta_quantiles(spark):
+    rng = np.random.default_rng(5)
+    shapes = [(2.0, 5.0), (0.7, 9.0), (400.0, 600.0), (31.0, 3.0), (1.0, 1.0)]
+    got = spark.createDataFrame(shapes, "a double, b double").select("a", "b", *(beta.quantile(F.col("a"), F.col("b"), q).alias(f"q{k}") for k, q in enumerate((0.05, 0.5, 0.95)))).collect()
+    for r in got:
+        draws = np.quantile(rng.beta(r["a"], r["b"], 400_000), (0.05, 0.5, 0.95))
+        assert np.abs(np.array([r["q0"], r["q1"], r["q2"]]) - draws).max() < 0.004, r
+
+
+def test_strength_finds_the_spread_of_hosts(spark):
+    rng = np.random.default_rng(7)
+    rates = rng.beta(3.0, 7.0, 4000)
+    rows = [(50, int(rng.binomial(50, p)), 0.3) for p in rates]
+    k = spark.createDataFrame(rows, "n long, b long, m double").agg(beta.strength(F.col("n"), F.col("b"), F.col("m"))).first()[0]
+    assert 9 < k < 11
+    alike = spark.createDataFrame([(50, 15, 0.3)] * 9, "n long, b long, m double").agg(beta.strength(F.col("n"), F.col("b"), F.col("m"))).first()[0]
+    assert alike == beta.MOST
+
+
+def quality_rows():
+    good = " ".join(f"word{i}" for i in range(60))
+    noisy = " ".join(f"word{i} ###" for i in range(60))
+    rows = []
+    for host, n, n_noisy in (("clean", 400, 1), ("plain", 400, 120), ("junk", 100, 0), (None, 40, 12)):
+        for i in range(n):
+            rows.append((len(rows), noisy if i < n_noisy else ("short" if host == "junk" and i else good + f" {host} {i}"), host))
+    return rows + [(0, None, "clean"), (0, "", "clean"), (None, good, "one"), (None, good, "one")]
+
+
+def test_hosts_decide_on_soft_failures_and_junk(spark):
+    rows = quality_rows()
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit(7))).collect()
+    assert len(got) == len(rows)
+    of = defaultdict(list)
+    for r in got:
+        of[r["source"], bool(r["base_failed"]), bool(r["soft_failed"])].append(r["kept"])
+    assert all(of["clean", False, True]) and all(of["clean", False, False])  # forgiven on a host that is cleaner than the rest
+    assert not any(of["plain", False, True]) and all(of["plain", False, False]) and not any(of[None, False, True]) and all(of[None, False, False])
+    assert len(of["junk", False, False]) == 1 and not any(of["junk", False, False])  # a good text on a host of junk
+    assert len(of["one", False, False]) == 2 and not any(of["clean", True, False])
+    assert quality.judge(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_hosts_that_are_credibly_worse_are_blocked(spark):
+    pages, labels = [], []
+    for host, n, bad in (("bad.example.org", 80, 70), ("ok.example.org", 80, 10), ("a.fine.com", 200, 20), ("b.fine.com", 60, 7), ("few.fine.com", 2, 2)):
+        for i in range(n):
+            pages.append((len(pages), f"http://{host}/p{i}"))
+            labels.append((len(labels), int(i >= bad), 0))
+    pages += [(900, None), (901, "no scheme"), (902, "http://bad.example.org/x"), (902, "http://bad.example.org/y"), (903, "x://BAD.example.org?q://z/"), (904, "http://bad.example.org/fr/")]
+    labels += [(0, None, 1), (1, 0, None), (150, 0, 0), (150, 1, 0)]  # nulls count for nothing; of two labels the worse
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    got = urls.judge(p, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["host"]].add((r["verdict"], r["rule"]))
+    assert len(got) == len(pages) and by["bad.example.org"] == {("block", None), ("allow", "org/fr/")}
+    assert all(by[h] == {("allow", None)} for h in ("ok.example.org", "a.fine.com", "b.fine.com", "few.fine.com", ""))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urls.judge(p, none).collect()} == {"allow"} and urls.judge(p.limit(0), none).count() == 0
