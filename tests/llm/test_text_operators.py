@@ -586,3 +586,59 @@ def test_hosts_that_are_credibly_worse_are_blocked(spark):
     assert all(by[h] == {("allow", None)} for h in ("ok.example.org", "a.fine.com", "b.fine.com", "few.fine.com", ""))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["verdict"] for r in urls.judge(p, none).collect()} == {"allow"} and urls.judge(p.limit(0), none).count() == 0
+
+
+def brute_anchors(h2, words):
+    """(k-mer, place) of the closed syncmers, with the inner hashes taken from Spark."""
+    n = len(words)
+    inner = [h2[words[i], words[i + 1]] for i in range(n - 1)]
+    out = [(tuple(words[i : i + 8]), i) for i in range(n - 7) if min(inner[i], inner[i + 6]) <= min(inner[i + 1 : i + 6])]
+    return out or ([(tuple(words), 0)] if words else [])
+
+
+def brute_likeness(a, b):
+    a, b = ({k: p for k, p in reversed(x)} for x in (a, b))
+    if not a and not b:
+        return 1.0
+    shifts = Counter(b[k] - a[k] for k in a if k in b)
+    few = min(len(a), len(b)) <= 1
+    return sum(c for c in shifts.values() if c > 1 or few) / len(a.keys() | b.keys())
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rows = corpus(60, seed=21) + [(900, "a b c d e f g h"), (901, "a b c d e f g h i j"), (None, "x y " * 30), (None, None), (900, "again a b c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.compare(table).collect()
+    assert len(got) == len(rows)
+    pairs = {tuple(p) for _, t in rows for w in [WORD.findall(t or "")] for p in zip(w, w[1:], strict=False)}
+    by_text = defaultdict(list)
+    for i, t in rows:
+        by_text[i].append(t or "")
+    edited = {}
+    order = sorted(((i, t or "") for i, t in rows if i not in (None, 900)), reverse=True)
+    for k, (i, t) in enumerate(order):
+        if 0 < i < 900 and k + 1 < len(order):
+            after = order[k + 1][1]
+            edited[i] = (t, t[: len(t) - len(t) // 3] + after[: len(t) // 3], after)
+            pairs |= {p for w in [WORD.findall(edited[i][1])] for p in zip(w, w[1:], strict=False)}
+    listed = [(a, b) for a, b in pairs]
+    hashed = spark.createDataFrame(listed, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()
+    h2 = {(r["a"], r["b"]): r["h"] for r in hashed}
+    seen = 0
+    for r in got:
+        if r["doc_id"] not in edited:
+            continue
+        mine, changed, after = (brute_anchors(h2, WORD.findall(t)) for t in edited[r["doc_id"]])
+        first = {k: p for k, p in reversed(mine)}
+        assert sorted(first.values()) == sorted(int(x.split(":")[1]) for x in r["fingerprint"].split(",") if x)
+        assert r["near_edited"] == pytest.approx(brute_likeness(mine, changed)) and r["near_next"] == pytest.approx(brute_likeness(mine, after))
+        seen += r["near_edited"] > 0.2
+    assert seen > 10
+    assert fingerprints.compare(table.limit(0)).count() == 0
+    many = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
+    linked = fingerprints.with_next(many, "doc_id", ["text"]).collect()
+    after = {r["text"]: r["next_text"] for r in linked}
+    at, steps = "t 0", 0
+    while steps == 0 or at != "t 0":
+        at, steps = after[at], steps + 1
+    assert steps == 3000  # one ring over all rows
