@@ -7,9 +7,12 @@ travels to the next:
 1. The initial buckets are the q-grams at the anchors. Buckets with one member are singletons and end there.
 2. An anchor stands for a run of windows. Its refined identifier is the pair of its bucket and of the identifier of all
    that the run covers, before and after it. Members that agree with another one are settled with all their windows.
-3. In buckets that fall apart, one member for each refined identifier stays open. Their windows are sorted on the pair
-   of the identifiers of their first 128 bytes and of their bytes from 72 on, which are pairs of identifiers of 64
-   bytes, which are pairs of those of 32 bytes at later offsets: each doubling reuses the last one's.
+3. In buckets that fall apart, one member for each refined identifier stays open. Its run is cut into cells of 16 windows
+   by their place around the anchor. A cell's bucket is what all of its windows have in common, its refined identifier
+   the pair of that and of all that they cover; so cells are dropped or settled as anchors were.
+4. Cells that fall apart sort their windows on the pair of the identifiers of their first 128 bytes and of their bytes
+   from 72 on, which are pairs of identifiers of 64 bytes, which are pairs of those of 32 bytes at later offsets: each
+   doubling reuses the last one's.
 
 Identifiers are hashes of 128 bits and not ranks, so a bucket's identifier is the same on each machine without a global
 order; with n identifiers a wrong match has a chance of about n^2 / 2^127.
@@ -27,6 +30,8 @@ from .common import slices
 from .hashing import BASE, BASE_2, BYTE_CODE, BYTE_CODE_2, Prefix, mix
 
 WINDOW, GRAM = 200, 32
+#: Windows in a cell.
+CELL = 16
 #: Bytes of text that are hashed at once: about ten arrays of eight times that size are held.
 SLICE = 512 << 10
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -106,29 +111,61 @@ class Suffixes:
         return out[0], out[1]
 
     def settle(self, said: np.ndarray) -> None:
-        """From the answers of the second round: anchors all of whose windows are repeated, and those that stay open."""
-        n = len(distinct(self.bucket[self.live])[0][0])
-        apart = said[:n][distinct(self.bucket[self.live])[2]] > 0
-        same = said[n:][distinct(*self.covers())[2]]
-        self.agreed, self.open = self.live[same != ALONE], self.live[apart & ((same == ALONE) | (same == FIRST))]
+        """From the answers of the second round: the runs of windows that are all repeated, and the cells that stay open."""
+        agreed, open_ = settled(said, self.bucket[self.live], *self.covers())
+        self.agreed = [(self.live[agreed], self.low[self.live[agreed]], self.high[self.live[agreed]])]
+        mine = self.live[open_]
+        nearest, farthest = (self.place[mine] - self.high[mine]) // CELL, (self.place[mine] - self.low[mine]) // CELL
+        size = farthest - nearest + 1
+        self.cell = spread(nearest, size)
+        self.at = np.repeat(self.place[mine], size)
+        self.first = np.maximum(np.repeat(self.low[mine], size), self.at - CELL * self.cell - (CELL - 1))
+        self.last = np.minimum(np.repeat(self.high[mine], size), self.at - CELL * self.cell)
+        self.owner = np.repeat(mine, size)
+
+    def cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each open cell the identifier of what its windows have in common, and of all they cover, in two halves."""
+        out = np.empty((3, len(self.cell)), np.uint64)
+        for (data, *_), a, b in self.parts():
+            i, j = np.searchsorted(self.owner, [a, b])
+            if i == j:
+                continue
+            at, first, last, cell = (x[i:j] for x in (self.at, self.first, self.last, self.cell.astype(np.uint64)))
+            shape = ((at - first) * 4096 + (at - last)).astype(np.uint64)
+            core = at - CELL * self.cell[i:j]
+            for k, (code, base) in enumerate(_FAMILIES):
+                hashes = Prefix(code[data], base)
+                out[1 + k, i:j] = mix(hashes.of(first, last + WINDOW) * _C + shape)
+                if not k:
+                    out[0, i:j] = mix(hashes.of(core, core + WINDOW - CELL + 1) * _C + cell)
+        return out[0], out[1], out[2]
+
+    def settle_cells(self, said: np.ndarray) -> None:
+        """From the answers of the third round: more runs of repeated windows, and the cells whose windows are open."""
+        agreed, open_ = settled(said, *self.cells())
+        self.agreed.append((self.owner[agreed], self.first[agreed], self.last[agreed]))
+        self.sent = np.flatnonzero(open_)
+
+    def open_windows(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the open windows of the anchors from a to b, and their distance to the anchor."""
+        mine = self.sent[slice(*np.searchsorted(self.owner[self.sent], [a, b]))]
+        size = self.last[mine] - self.first[mine] + 1
+        starts = spread(self.first[mine], size)
+        return starts, (np.repeat(self.at[mine], size) - starts).astype(np.uint64)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers, in two halves, of the windows of open anchors."""
+        """Identifiers, in two halves, of the open windows."""
         outs = []
         for (data, *_), a, b in self.parts():
-            mine = self.open[slice(*np.searchsorted(self.open, [a, b]))]
-            if not len(mine):
+            starts, around = self.open_windows(a, b)
+            if not len(starts):
                 continue
-            size = self.high[mine] - self.low[mine] + 1
-            starts = spread(self.low[mine], size)
-            around = (np.repeat(self.place[mine], size) - starts).astype(np.uint64)
             halves = []
             for code, base in _FAMILIES:
                 ids, width = Prefix(code[data], base).windows(GRAM), GRAM
                 while 4 * width <= WINDOW:  # all places of the longest doubled strings
                     ids, width = mix(ids[: len(ids) - width] * _C + ids[width:]), 2 * width
-                tail = WINDOW - 2 * width
-                both = pair(ids, starts, width) * _C + pair(ids, starts + tail, width)
+                both = pair(ids, starts, width) * _C + pair(ids, starts + WINDOW - 2 * width, width)
                 halves.append(mix(both * _C + around))
             outs.append(halves)
         return tuple(np.concatenate([x[k] for x in outs]) if outs else np.zeros(0, np.uint64) for k in (0, 1))
@@ -138,36 +175,61 @@ class Suffixes:
         twice = said[distinct(*self.windows())[2]] != ALONE
         out, at = [], 0
         for (data, offsets, docs, bases), a, b in self.parts():
-            mine = self.open[slice(*np.searchsorted(self.open, [a, b]))]
-            all_ = self.agreed[slice(*np.searchsorted(self.agreed, [a, b]))]
-            starts = spread(self.low[mine], self.high[mine] - self.low[mine] + 1)
-            starts = starts[twice[at : at + len(starts)]]
-            at += int((self.high[mine] - self.low[mine] + 1).sum())
+            starts, _ = self.open_windows(a, b)
+            mine = starts[twice[at : at + len(starts)]]
+            at += len(starts)
             step = np.zeros(len(data) + 1, np.int32)
-            np.add.at(step, starts, 1)
-            np.add.at(step, starts + WINDOW, -1)
-            np.add.at(step, self.low[all_], 1)
-            np.add.at(step, self.high[all_] + WINDOW, -1)
+            np.add.at(step, mine, 1)
+            np.add.at(step, mine + WINDOW, -1)
+            for owner, low, high in self.agreed:
+                i, j = np.searchsorted(owner, [a, b])
+                np.add.at(step, low[i:j], 1)
+                np.add.at(step, high[i:j] + WINDOW, -1)
             mask = np.cumsum(step[:-1]) > 0
             out += [(int(d), int(base), mask[x:y]) for d, base, x, y in zip(docs, bases, offsets[:-1], offsets[1:], strict=True)]
         return out
 
 
-def _buckets(rows: pa.RecordBatch) -> tuple[np.ndarray]:
-    return (Suffixes(rows.column("text")).bucket,)
+def questions(block: int, parts: int, bucket: np.ndarray, one: np.ndarray, two: np.ndarray):
+    """What a block asks of its runs: does their bucket fall apart, and is their refined identifier repeated?"""
+    (group,), _, back = distinct(bucket)
+    low, high = np.full(len(group), 2**64 - 1, np.uint64), np.zeros(len(group), np.uint64)
+    np.minimum.at(low, back, one)
+    np.maximum.at(high, back, one)
+    yield sent(block, parts, [group, low, high, np.zeros(len(group), np.uint8)])
+    (first, second), twice, _ = distinct(one, two)
+    yield sent(block, parts, [first, second, np.zeros(0, np.uint64), twice], question=1)
+
+
+def settled(said: np.ndarray, bucket: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the answers: which runs are repeated as a whole, and which stay open."""
+    groups = distinct(bucket)
+    apart = said[: len(groups[0][0])][groups[2]] > 0
+    same = said[len(groups[0][0]) :][distinct(one, two)[2]]
+    return same != ALONE, apart & ((same == ALONE) | (same == FIRST))
 
 
-def _windows(rows: pa.RecordBatch, buckets: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _settled(rows, buckets, same).windows()
+def _buckets(rows: pa.RecordBatch) -> tuple[np.ndarray]:
+    return (Suffixes(rows.column("text")).bucket,)
 
 
-def _settled(rows: pa.RecordBatch, buckets: np.ndarray, same: np.ndarray) -> Suffixes:
+def found(rows: pa.RecordBatch, *answers: np.ndarray) -> Suffixes:
+    """A block's suffixes after so many rounds."""
     of = Suffixes(rows.column("text"))
-    of.refine(buckets)
-    of.settle(same)
+    for step, said in zip((of.refine, of.settle, of.settle_cells), answers, strict=False):
+        step(said)
     return of
 
 
+def _windows(rows: pa.RecordBatch, *answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return found(rows, *answers).windows()
+
+
+def _runs(rows: pa.RecordBatch, *answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    of = found(rows, *answers)
+    return (of.bucket[of.live], *of.covers()) if len(answers) == 1 else of.cells()
+
+
 def _apart(blocks: np.ndarray, bucket: np.ndarray, low: np.ndarray, high: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """1 for each row of a bucket whose least and greatest identifiers differ."""
     order = np.argsort(bucket, kind="stable")
@@ -179,27 +241,16 @@ def _apart(blocks: np.ndarray, bucket: np.ndarray, low: np.ndarray, high: np.nda
     return out
 
 
-def _classes(blocks: DataFrame, parts: int) -> DataFrame:
-    """Adds the answers of the second round: does a bucket hold several identifiers, and which identifiers are repeated."""
+def _round(blocks: DataFrame, name: str, parts: int) -> DataFrame:
+    """Adds the answers of the second or third round."""
 
     def ask(batches):
         for batch in batches:
-            for block, rows, (buckets,) in opened(batch):
-                of = Suffixes(rows.column("text"))
-                of.refine(buckets)
-                one, two = of.covers()
-                (bucket,), _, back = distinct(of.bucket[of.live])
-                low, high = np.full(len(bucket), 2**64 - 1, np.uint64), np.zeros(len(bucket), np.uint64)
-                np.minimum.at(low, back, one)
-                np.maximum.at(high, back, one)
-                yield sent(block, parts, [bucket, low, high, np.zeros(len(bucket), np.uint8)])
-                (first, second), twice, _ = distinct(one, two)
-                yield sent(block, parts, [first, second, np.zeros(0, np.uint64), twice], question=1)
-
-    from .blocks import repeats
+            for block, rows, answers in opened(batch):
+                yield from questions(block, parts, *_runs(rows, *answers))
 
     asked = blocks.mapInArrow(ask, "part int, block long, c0 binary, c1 binary, c2 binary, c3 binary")
-    return blocks.join(answered(asked, "classes", parts, (_apart, repeats)), "block", "left")
+    return blocks.join(answered(asked, name, parts, (_apart, repeats)), "block", "left")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -215,13 +266,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     blocks = blocks_of(docs)
     parts = parts_for(blocks)
     blocks = repeated(blocks, _buckets, "buckets", parts)
-    blocks = repeated(_classes(blocks, parts), _windows, "windows", parts)
+    blocks = _round(_round(blocks, "runs", parts), "cells", parts)
+    blocks = repeated(blocks, _windows, "windows", parts)
 
     def run(batches):
         for batch in batches:
-            for _, rows, (buckets, same, windows) in opened(batch):
+            for _, rows, (*answers, windows) in opened(batch):
                 masks: dict[int, list[tuple[int, np.ndarray]]] = {}
-                for d, base, mask in _settled(rows, buckets, same).gone(windows):
+                for d, base, mask in found(rows, *answers).gone(windows):
                     masks.setdefault(d, []).append((base, mask))
                 size, removed, spans, kept = [], [], [], []
                 for d, value in enumerate(rows.column("text")):
