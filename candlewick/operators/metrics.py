@@ -144,18 +144,37 @@ def zone(drawdown: Column) -> Column:
     return out
 
 
-def monitoring(equity: DataFrame, keys: list[str], year: float = 252.0) -> DataFrame:
-    """Metrics as rows (name, value): return, Sharpe, Sortino (sample deviation), worst drawdown, volatility."""
+def monitoring(equity: DataFrame, keys: list[str], trade_log: DataFrame | None = None, year: float = 252.0) -> DataFrame:
+    """Metrics as rows (name, value): return, Sharpe, Sortino (sample deviation), worst drawdown, volatility; with trades
+    also win rate, number of trades and mean result in money. Ratios without deviation are 0.
+    """
     x = equity_returns(equity, keys)
     loss = F.when(F.col("ret") < -NOISE, F.col("ret"))
+    ratio = lambda d: F.coalesce(div(F.avg("ret"), d) * math.sqrt(year), F.lit(0.0))
     a = x.groupBy(*keys).agg(
-        (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"), (div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("sharpe"),
-        (div(F.avg("ret"), F.stddev_samp(loss)) * math.sqrt(year)).alias("sortino"), F.min("drawdown").alias("max_drawdown"), (F.stddev_samp("ret") * math.sqrt(year)).alias("volatility"),
+        (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("total_return"), ratio(F.stddev_samp("ret")).alias("sharpe"),
+        ratio(F.stddev_samp(loss)).alias("sortino"), F.min("drawdown").alias("max_drawdown"), (F.stddev_samp("ret") * math.sqrt(year)).alias("volatility"),
     )
-    return a.unpivot(keys, ["total_return", "sharpe", "sortino", "max_drawdown", "volatility"], "name", "value")
+    names = ["total_return", "sharpe", "sortino", "max_drawdown", "volatility"]
+    if trade_log is not None:
+        pnl = F.col("equity_after") - F.col("equity_before")
+        t = trade_log.groupBy(*keys).agg(F.avg((pnl > 0).cast("double")).alias("win_rate"), F.count(F.lit(1)).cast("double").alias("num_trades"), F.avg(pnl).alias("avg_trade_pnl"))
+        a, names = a.join(t, keys, "left"), [*names, "win_rate", "num_trades", "avg_trade_pnl"]
+    return a.unpivot(keys, names, "name", "value")
 
 
 def deploy(results: DataFrame, least: float = 1.0) -> DataFrame:
     """Strategies with enough Sharpe, and a position limit scaled by drawdown."""
     limit = F.greatest(F.lit(10000.0), 100000 * 0.05 / F.greatest(F.abs("max_drawdown"), F.lit(0.01)))
     return results.filter(F.col("sharpe") >= least).withColumn("position_limit", limit)
+
+
+def daily_summary(results: DataFrame, least: float = 1.0) -> DataFrame:
+    """Every strategy with its rank by Sharpe ratio, whether it is deployed and its position limit, and totals over all.
+
+    ``results`` is a row a strategy, so one window over all of it is small.
+    """
+    all_ = Window.partitionBy(F.lit(0))
+    on = F.col("sharpe") >= least
+    x = deploy(results, float("-inf")).withColumns({"deployed": on, "rank": F.rank().over(all_.orderBy(F.desc(F.round("sharpe", 6))))})
+    return x.withColumns({"n_deployed": F.count_if("deployed").over(all_), "mean_sharpe": F.avg("sharpe").over(all_), "best_sharpe": F.max("sharpe").over(all_)})

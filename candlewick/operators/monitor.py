@@ -86,6 +86,17 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return metrics.join(rules, "name").filter(hit).withColumn("message", msg)
 
 
+def export_json(alerts_: DataFrame, path: str) -> None:
+    """Alerts as JSON, a line each."""
+    alerts_.write.mode("append").json(path)
+
+
+def json_round_trip(alerts_: DataFrame, path: str) -> DataFrame:
+    """Exported and read back with the same schema."""
+    export_json(alerts_, path)
+    return alerts_.sparkSession.read.schema(alerts_.schema).json(path)
+
+
 def active(alerts_: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return alerts_.filter(F.col("ts") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 

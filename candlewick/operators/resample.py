@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import PRIME, div, draw, running, unbiased_kurtosis, unbiased_skew
+from ..functions.exprs import PRIME, div, draw, norm_cdf, running, unbiased_kurtosis, unbiased_skew
 
 START = 1000.0
 
@@ -76,8 +76,11 @@ def normal(base: DataFrame, sims: int, seed: int = 7) -> DataFrame:
     return slots(base, sims).join(m, "symbol").select("symbol", "sim", "slot", (F.col("_m") + F.coalesce("_s", F.lit(0.0)) * z).alias("x"))
 
 
-def path_metrics(sims: DataFrame, start: float = START) -> DataFrame:
-    """Per simulation of per-cent results: final equity, worst drawdown, mean, Sharpe, Sortino, Omega, Calmar, win rate."""
+def path_metrics(sims: DataFrame, start: float = START, parts: bool = False) -> DataFrame:
+    """Per simulation of per-cent results: final equity, worst drawdown, mean, Sharpe, Sortino, Omega, Calmar, win rate.
+
+    With ``parts`` also the deviation of losses, and the sums of gains and losses.
+    """
     w = running("symbol", "sim", order="slot")
     f = F.greatest(1 + F.col("x") / 100, F.lit(1e-9))
     p = sims.withColumn("equity", start * F.exp(F.sum(F.ln(f)).over(w))).withColumn("_dd", F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(start)) - 1)
@@ -86,7 +89,8 @@ def path_metrics(sims: DataFrame, start: float = START) -> DataFrame:
         F.max_by("equity", "slot").alias("final_equity"), (100 * F.min("_dd")).alias("max_drawdown"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.stddev_samp(loss).alias("_down"),
         F.coalesce(F.sum(gain), F.lit(0.0)).alias("_g"), F.coalesce(-F.sum(loss), F.lit(0.0)).alias("_l"), F.avg((F.col("x") > 0).cast("double")).alias("win_rate"), F.max("equity").alias("_hi"), F.min("equity").alias("_lo"),
     )
-    return a.select("symbol", "sim", "final_equity", "max_drawdown", "mean", "sd", div(F.col("mean"), F.col("sd")).alias("sharpe"), div(F.col("mean"), F.col("_down")).alias("sortino"), div(F.col("_g"), F.col("_l")).alias("omega"), div(100 * (F.col("final_equity") / start - 1), F.abs("max_drawdown")).alias("calmar"), "win_rate", (F.col("_hi") - F.col("_lo")).alias("range"))
+    more = [F.col("_down").alias("down"), F.col("_g").alias("gains"), F.col("_l").alias("losses")] if parts else []
+    return a.select("symbol", "sim", "final_equity", "max_drawdown", "mean", "sd", *more, div(F.col("mean"), F.col("sd")).alias("sharpe"), div(F.col("mean"), F.col("_down")).alias("sortino"), div(F.col("_g"), F.col("_l")).alias("omega"), div(100 * (F.col("final_equity") / start - 1), F.abs("max_drawdown")).alias("calmar"), "win_rate", (F.col("_hi") - F.col("_lo")).alias("range"))
 
 
 def distribution(paths: DataFrame, start: float = START) -> DataFrame:
@@ -100,10 +104,45 @@ def distribution(paths: DataFrame, start: float = START) -> DataFrame:
         q("_r", 0.05).alias("var_95"), q("_r", 0.01).alias("var_99"), F.avg("max_drawdown").alias("dd_mean"), q("max_drawdown", 0.5).alias("dd_median"), q("max_drawdown", 0.05).alias("dd_p95"), q("max_drawdown", 0.01).alias("dd_p99"),
         F.avg("sharpe").alias("sharpe_mean"), F.avg("win_rate").alias("win_rate_mean"), F.stddev_pop("win_rate").alias("win_rate_std"),
     )
-    tails = x.join(v.select("symbol", "var_95", "var_99"), "symbol").groupBy("symbol").agg(F.avg(F.when(F.col("_r") <= F.col("var_95"), F.col("_r"))).alias("cvar_95"), F.avg(F.when(F.col("_r") <= F.col("var_99"), F.col("_r"))).alias("cvar_99"))
+    tails = x.join(v.select("symbol", "var_95", "var_99"), "symbol").groupBy("symbol").agg(F.avg(F.when(F.col("_r") <= F.col("var_95") * (1 + 1e-12 * F.signum("var_95")), F.col("_r"))).alias("cvar_95"), F.avg(F.when(F.col("_r") <= F.col("var_99") * (1 + 1e-12 * F.signum("var_99")), F.col("_r"))).alias("cvar_99"))
     return v.join(tails, "symbol")
 
 
+def spells(sims: DataFrame, start: float = START, least: float = 0.01) -> DataFrame:
+    """(symbol, sim, spell, length, recovery): stretches of a path more than ``least`` below its peak, in steps, and the
+    steps from the deepest one to the end.
+    """
+    w = running("symbol", "sim", order="slot")
+    p = sims.withColumn("_e", start * F.exp(F.sum(F.ln(F.greatest(1 + F.col("x") / 100, F.lit(1e-9)))).over(w)))
+    p = p.withColumn("_dd", F.col("_e") / F.greatest(F.max("_e").over(w), F.lit(start)) - 1).withColumn("_u", F.col("_dd") < -least)
+    before = F.coalesce(F.lag("_u").over(Window.partitionBy("symbol", "sim").orderBy("slot")), F.lit(False))
+    p = p.withColumn("_st", (F.col("_u") & ~before).cast("long")).withColumn("spell", F.sum("_st").over(w)).filter("_u")
+    return p.groupBy("symbol", "sim", "spell").agg(F.count(F.lit(1)).alias("length"), (F.max("slot") + 1 - F.min_by("slot", F.struct("_dd", "slot"))).alias("recovery"))
+
+
+def analysis(sims: DataFrame, base: DataFrame, start: float = START, year: float = 252.0) -> DataFrame:
+    """Per symbol over simulations: Sharpe, Sortino and Calmar ratios, Omega, drawdown spells, path dependency (spread of
+    final equities against twice the original's, 1 at most), order sensitivity, tail ratio, gain to pain, win rates.
+
+    Sharpe and Sortino ratios are yearly, within -5 and 10, and left out where there is no deviation. The Calmar ratio c
+    is averaged as ln(1 + c), as growth is unbounded.
+    """
+    p = path_metrics(sims, start, parts=True)
+    ratio = lambda d: F.when(F.col(d) > 0, F.least(F.greatest(F.col("mean") / F.col(d) * math.sqrt(year), F.lit(-5.0)), F.lit(10.0)))
+    calmar = F.when(F.col("max_drawdown") < 0, F.ln(1 + F.greatest(F.col("calmar"), F.lit(-0.999))))
+    p = p.withColumns({"sh": ratio("sd"), "so": ratio("down"), "ca": calmar})
+    q = F.percentile
+    a = p.groupBy("symbol").agg(
+        F.avg("sh").alias("sharpe_mean"), q("sh", 0.5).alias("sharpe_median"), F.stddev_pop("sh").alias("sharpe_std"), q("sh", 0.05).alias("sharpe_p5"), q("sh", 0.95).alias("sharpe_p95"), F.avg("so").alias("sortino_mean"), F.stddev_pop("so").alias("sortino_std"),
+        F.avg("ca").alias("calmar_mean"), q("ca", 0.5).alias("calmar_median"), F.try_divide(F.sum("gains"), F.sum("losses")).alias("omega"), (F.max("final_equity") - F.min("final_equity")).alias("_range"), (F.stddev_pop("final_equity") / F.avg("final_equity")).alias("order_sensitivity"),
+        F.abs(F.try_divide(q("final_equity", 0.95) / start - 1, q("final_equity", 0.05) / start - 1)).alias("tail_ratio"), F.avg("win_rate").alias("win_rate_mean"), F.stddev_pop("win_rate").alias("win_rate_std"),
+    )
+    s = spells(sims, start).groupBy("symbol").agg((F.sum("length") / F.count(F.lit(1))).alias("dd_duration"), (F.sum("recovery") / F.count(F.lit(1))).alias("recovery"))
+    original = base.groupBy("symbol").agg((start * F.exp(F.sum(F.ln(F.greatest(1 + F.col("x") / 100, F.lit(1e-9)))))).alias("_o"))
+    out = a.join(s, "symbol", "left").join(original, "symbol")
+    return out.withColumns({"path_dependency": F.least(F.col("_range") / F.col("_o") / 2, F.lit(1.0)), "gain_to_pain": F.col("omega")}).drop("_range", "_o")
+
+
 def bands(sims: DataFrame, start: float = START) -> DataFrame:
     """Per step over simulations: median, 5 and 95 per cent of equity."""
     w = running("symbol", "sim", order="slot")
@@ -112,7 +151,7 @@ def bands(sims: DataFrame, start: float = START) -> DataFrame:
 
 
 def shape(base: DataFrame) -> DataFrame:
-    """Corrected skewness and kurtosis and the z of D'Agostino's and Anscombe's tests; zeros below 8 observations."""
+    """Corrected skewness and kurtosis, and z and p of D'Agostino's and Anscombe's tests; zeros (and p 1) below 8 observations."""
     a = base.groupBy("symbol").agg(F.count("x").cast("double").alias("n"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"))
     n, g1, g2 = F.col("n"), F.col("g1"), F.col("g2")
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
@@ -128,7 +167,8 @@ def shape(base: DataFrame) -> DataFrame:
     t = (1 - 2 / a_) / (1 + x * F.sqrt(2 / (a_ - 4)))
     zk = (1 - 2 / (9 * a_) - F.signum(t) * F.pow(F.abs(t), F.lit(1 / 3))) / F.sqrt(2 / (9 * a_))
     few = (n < 8) | g1.isNull() | F.isnan(g1)
-    return a.select("symbol", F.when(few, 0.0).otherwise(unbiased_skew(g1, n)).alias("skew"), F.when(few, 0.0).otherwise(unbiased_kurtosis(g2, n)).alias("kurt"), F.when(few, 0.0).otherwise(zs).alias("z_skew"), F.when(few, 0.0).otherwise(zk).alias("z_kurt"))
+    p = lambda z: F.when(few, 1.0).otherwise(2 * (1 - norm_cdf(F.abs(z))))
+    return a.select("symbol", F.when(few, 0.0).otherwise(unbiased_skew(g1, n)).alias("skew"), F.when(few, 0.0).otherwise(unbiased_kurtosis(g2, n)).alias("kurt"), F.when(few, 0.0).otherwise(zs).alias("z_skew"), F.when(few, 0.0).otherwise(zk).alias("z_kurt"), p(zs).alias("p_skew"), p(zk).alias("p_kurt"))
 
 
 def risk_grade(sharpe: Column, drawdown: Column, var95: Column, profit: Column, path: Column) -> tuple[Column, Column]:

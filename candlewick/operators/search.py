@@ -67,10 +67,12 @@ def stable_share(results: DataFrame, keys: list[str], tolerance: float = 0.2) ->
 
 
 def strategy_returns(filled: DataFrame) -> DataFrame:
-    """(symbol, param_id, i, ts, ret): relative change of equity, 0 at the first bar; i counts from 0."""
+    """(symbol, param_id, i, ts, ret, ends): relative change of equity, 0 at the first bar; i counts from 0; 1 where a trade ends."""
     w = over(*KEYS)
-    e = signals.equity(filled, KEYS)
-    return e.select(*KEYS, "ts", (F.row_number().over(w) - 1).alias("i"), F.coalesce(div(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("ret"))
+    held = (F.col("pos") == 1) & ~F.col("_ends")
+    equity = F.when(held, F.col("equity_after") * div(F.col("open"), F.col("entry_price"))).otherwise(F.col("equity_after"))
+    e = filled.select(*KEYS, "ts", equity.alias("equity"), F.col("_ends").cast("long").alias("ends"))
+    return e.select(*KEYS, "ts", (F.row_number().over(w) - 1).alias("i"), F.coalesce(div(F.col("equity"), F.lag("equity").over(w)) - 1, F.lit(0.0)).alias("ret"), "ends")
 
 
 def fold_windows(counts: DataFrame, k: int = 5) -> DataFrame:
@@ -81,6 +83,14 @@ def fold_windows(counts: DataFrame, k: int = 5) -> DataFrame:
     return x.select("symbol", "window_id", F.lit(0).cast("long").alias("train_from"), start.cast("long").alias("train_to"), start.cast("long").alias("test_from"), (start + F.col("_s")).cast("long").alias("test_to"))
 
 
+def inner_windows(outer: DataFrame, k: int = 3) -> DataFrame:
+    """The expanding split again, within the train part of each outer window: ``window_id`` is the outer one's, ``fold`` counts."""
+    size = F.floor((F.col("train_to") - F.col("train_from")) / (k + 1))
+    x = outer.withColumns({"_s": size, "fold": F.explode(F.sequence(F.lit(0), F.lit(k - 1)))})
+    start = (F.col("train_to") - (k - F.col("fold")) * F.col("_s")).cast("long")
+    return x.select("symbol", "window_id", "fold", "train_from", start.alias("train_to"), start.alias("test_from"), (start + F.col("_s")).cast("long").alias("test_to"))
+
+
 def rolling_windows(counts: DataFrame, train: int = 252, test: int = 63, step: int = 21) -> DataFrame:
     """Windows by rows: train [s, s + train), test [s + train, + test), for s = 0, step, ... while they fit."""
     fit = counts.filter(F.col("n") >= train + test)
@@ -114,29 +124,57 @@ def window_scores(returns: DataFrame, windows: DataFrame, year: float = 252.0) -
     rows a parameter, whatever its length.
     """
     w = running(*KEYS, order="i")
-    sums = returns.select(*KEYS, (F.col("i") + 1).cast("long").alias("i"), F.sum("ret").over(w).alias("s"), F.sum(F.col("ret") * F.col("ret")).over(w).alias("q"))
-    sums = sums.unionByName(returns.filter("i = 0").select(*KEYS, F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+    parts = {"s": F.col("ret"), "q": F.col("ret") * F.col("ret"), "g": F.log1p("ret"), "t": F.col("ends").cast("double")}
+    sums = returns.select(*KEYS, (F.col("i") + 1).cast("long").alias("i"), *(F.sum(x).over(w).alias(n) for n, x in parts.items()))
+    sums = sums.unionByName(returns.filter("i = 0").select(*KEYS, F.lit(0).cast("long").alias("i"), *(F.lit(0.0).alias(n) for n in parts)))
     ends = windows.select("symbol", "window_id", F.explode(F.array(*(F.struct(F.lit(c).alias("end"), F.col(c).alias("i")) for c in ("train_from", "train_to", "test_from", "test_to")))).alias("e")).select("symbol", "window_id", "e.*")
-    at = ends.join(sums, ["symbol", "i"]).groupBy("symbol", "window_id", "param_id").pivot("end", ["train_from", "train_to", "test_from", "test_to"]).agg(F.first("i").alias("i"), F.first("s").alias("s"), F.first("q").alias("q"))
+    at = ends.join(sums, ["symbol", "i"]).groupBy("symbol", "window_id", "param_id").pivot("end", ["train_from", "train_to", "test_from", "test_to"]).agg(F.first("i").alias("i"), *(F.first(n).alias(n) for n in parts))
 
     def sharpe(a: str, b: str) -> Column:
         n, s, q = (F.col(f"{b}_{x}") - F.col(f"{a}_{x}") for x in "isq")
         var = (q - s * s / n) / (n - 1)
         return F.when((n > 1) & (var > 1e-15), s / n / F.sqrt(var) * math.sqrt(year)).otherwise(0.0)
 
-    out = at.withColumns({"train_score": sharpe("train_from", "train_to"), "test_score": sharpe("test_from", "test_to"), "train_sum": F.col("train_to_s") - F.col("train_from_s"), "test_sum": F.col("test_to_s") - F.col("test_from_s")})
-    return out.select("symbol", "window_id", "param_id", "train_score", "test_score", "train_sum", "test_sum")
+    out = at.withColumns({"train_score": sharpe("train_from", "train_to"), "test_score": sharpe("test_from", "test_to")})
+    change = lambda part, n: F.col(f"{part}_to_{n}") - F.col(f"{part}_from_{n}")
+    named = {f"{part}_{name}": change(part, n) for part in ("train", "test") for n, name in (("s", "sum"), ("g", "growth"))}
+    return out.select("symbol", "window_id", "param_id", "train_score", "test_score", *(x.alias(n) for n, x in named.items()), *(F.round(change(part, "t")).cast("long").alias(f"{part}_trades") for part in ("train", "test")))
+
 
+def nested_cv(returns: DataFrame, outer: DataFrame, k: int = 3, digits: int = 6) -> DataFrame:
+    """Nested cross-validation: per outer window the parameter of best mean validation score over the inner folds, its
+    score on the outer test part, and mean, deviation, least and greatest of these by symbol.
 
-def walk_forward(window_scores_: DataFrame) -> DataFrame:
-    """The best parameter of each train part and how it does in the test part."""
+    Inner and outer windows are scored in one pass. Means are rounded to ``digits`` before they are ranked, so that ties
+    do not hang on the order of sums; ties go to the smaller param_id.
+    """
+    step = k + 1
+    inner = inner_windows(outer, k).withColumn("window_id", F.col("window_id") * step + F.col("fold") + 1).drop("fold")
+    all_ = window_scores(returns, inner.unionByName(outer.withColumn("window_id", F.col("window_id") * step)))
+    fold, own = F.pmod(F.col("window_id"), F.lit(step)), F.floor(F.col("window_id") / step).cast("int").alias("window_id")
+    mean = all_.filter(fold > 0).groupBy("symbol", own, "param_id").agg(F.round(F.avg("test_score"), digits).alias("train_score"))
+    test = all_.filter(fold == 0).select("symbol", own, "param_id", "test_score")
+    best_ = walk_forward(mean.withColumn("test_score", F.lit(0.0))).select("symbol", "window_id", "param_id", F.col("train_score").alias("inner_score"))
+    w = Window.partitionBy("symbol")
+    return best_.join(test, ["symbol", "window_id", "param_id"]).withColumns({"mean_score": F.avg("test_score").over(w), "std_score": F.stddev_pop("test_score").over(w), "min_score": F.min("test_score").over(w), "max_score": F.max("test_score").over(w)})
+
+
+def walk_forward(window_scores_: DataFrame, least_trades: int = 0) -> DataFrame:
+    """The best parameter of each train part and how it does in the test part; windows with fewer trades of it are left out."""
     w = Window.partitionBy("symbol", "window_id").orderBy(F.desc("train_score"), "param_id")
-    return window_scores_.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").withColumn("degradation", F.col("train_score") - F.col("test_score"))
+    out = window_scores_.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r").withColumn("degradation", F.col("train_score") - F.col("test_score"))
+    return out.filter(F.col("train_trades") >= least_trades) if least_trades else out
+
+
+def chained(chosen: DataFrame, start: float = 1000.0) -> DataFrame:
+    """Equity after each window, in sample and out of sample: the windows' growth end to end."""
+    w = running("symbol", order="window_id")
+    return chosen.withColumns({"in_sample_equity": start * F.exp(F.sum("train_growth").over(w)), "out_of_sample_equity": start * F.exp(F.sum("test_growth").over(w))})
 
 
 def walk_forward_summary(chosen: DataFrame) -> DataFrame:
     """Per symbol: efficiency, consistency, degradation in per cent, and whether that looks overfit."""
-    a = chosen.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("train_score").alias("train_score"), F.avg("test_score").alias("test_score"), F.avg((F.col("test_sum") > 0).cast("double")).alias("consistency"))
+    a = chosen.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("train_score").alias("train_score"), F.avg("test_score").alias("test_score"), F.avg((F.col("test_sum") > 0).cast("double")).alias("consistency"), F.sum("train_growth").alias("in_sample_growth"), F.sum("test_growth").alias("out_of_sample_growth"))
     eff = F.when(F.col("train_score") > 0, F.col("test_score") / F.col("train_score")).otherwise(0.0)
     deg = F.when(F.col("train_score") > 0, 100 * (F.col("train_score") - F.col("test_score")) / F.col("train_score")).otherwise(0.0)
     a = a.withColumns({"efficiency": eff, "degradation_pct": deg})

@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, execution, features, regimes
+from ..operators import calibration, checks, execution, features, monitor, regimes
 from ..sources import bars as B
 from ..sources.store import FeatureStore, VersionedStore
 from ..streaming import jobs
+from .desk_queries import k07_alerts
+from .market import V
 from .regime_queries import series
-from .registry import query
+from .registry import DAILY, SQL, query
 
 
 def shared(spark, name: str) -> str:
@@ -41,16 +43,21 @@ def a06_a07_f19_feature_store(spark, sf_dir):
     return fs.get("small").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("rsi_14").alias("n_rsi"), F.round(F.avg("atr_14"), 6).alias("mean_atr"))
 
 
-@query()
-def a14_a16_json_sinks(spark, sf_dir):
-    """A report and alerts written as JSON and read back."""
-    from ..operators import checks
-
+@query(DAILY + V.replace("GAP", "259200") + """ SELECT symbol, tf, count(*) AS total, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0 AND severity = 'critical') AS critical, count(*) FILTER (n > 0 AND severity = 'error') AS error,
+  count(*) FILTER (n > 0 AND severity = 'warning') AS warning, count(*) FILTER (n > 0 AND severity = 'critical') > 0 AS has_critical FROM dq GROUP BY symbol, tf""")
+def a14_json_report(spark, sf_dir):
+    """The quality report written as JSON and read back."""
     out = shared(spark, "report")
     checks.summary(checks.suite(B.daily_bars(spark, sf_dir))).drop("report").write.json(out)
     return spark.read.schema("symbol string, tf string, total long, passed long, critical long, error long, warning long, has_critical boolean").json(out)
 
 
+@query(SQL["k07_alerts"])
+def a16_json_alerts(spark, sf_dir):
+    """The alerts written as JSON and read back."""
+    return monitor.json_round_trip(k07_alerts(spark, sf_dir), shared(spark, "alerts"))
+
+
 @query()
 def s13_positions(spark, sf_dir):
     """Average cost with flips, from line items as signed fills."""

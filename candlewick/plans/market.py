@@ -44,9 +44,9 @@ def a02_hourly_bars(spark, sf_dir):
     return B.intraday_bars(spark, sf_dir, "hourly")
 
 
-@query(intraday("5min", 300) + ", e AS (SELECT symbol, max(ts) AS m FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars JOIN e USING (symbol) WHERE ts >= m - INTERVAL 7 DAYS GROUP BY symbol")
+@query(intraday("5min", 300) + ", e AS (SELECT symbol, max(ts) AS m FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM bars JOIN e USING (symbol) WHERE ts >= m - INTERVAL 59 DAYS GROUP BY symbol")
 def a01_capped_history(spark, sf_dir):
-    b = B.cap_history(B.intraday_bars(spark, sf_dir, "5min"), {"5min": 7})
+    b = B.cap_history(B.intraday_bars(spark, sf_dir, "5min"))
     return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
@@ -74,9 +74,9 @@ def asset_class(symbol):
     return F.element_at(F.array(*map(F.lit, ("equity", "bond", "commodity", "crypto"))), F.ascii(F.right(symbol, F.lit(1))) % 4 + 1)
 
 
-@query(DAILY.replace("sum(qty) AS volume\n  FROM tick GROUP", "sum(qty) AS volume\n  FROM tick WHERE ts < TIMESTAMP '1997-01-01' GROUP") + f" SELECT symbol, {CLASS} AS asset_class, count(*) AS n FROM bars GROUP BY ALL HAVING count(*) >= 100")
+@query(DAILY + f" SELECT symbol, {CLASS} AS asset_class, count(*) AS n FROM bars GROUP BY ALL HAVING count(*) >= 100")
 def a12_multi_asset(spark, sf_dir):
-    b = B.daily_bars(spark, sf_dir).filter("ts < TIMESTAMP '1997-01-01'")
+    b = B.daily_bars(spark, sf_dir)
     classes = B.table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct().select("symbol", asset_class(F.col("symbol")).alias("asset_class"))
     return B.multi_asset(b, classes).groupBy("symbol", "asset_class").agg(F.count(F.lit(1)).alias("n"))
 
@@ -338,18 +338,24 @@ def m04_m08_scores(spark, sf_dir):
     return rounded(x.select("symbol", "n", F.col("t").alias("n_trades"), "sharpe", "psr", (F.col("psr") * F.col("mult")).alias("psr_weighted"), "pbo", F.col("turn").alias("turnover"), F.col("dd").alias("max_drawdown"), score.alias("score")), 5)
 
 
-@query(RSI_RULE + """, a AS (SELECT symbol, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(ret) / nullif(stddev_samp(ret) FILTER (ret < -1e-9), 0) * sqrt(252) AS sortino,
-  min(drawdown) AS max_drawdown, stddev_samp(ret) * sqrt(252) AS volatility FROM er GROUP BY symbol)
-SELECT symbol, name, round(value, 4) AS value FROM (UNPIVOT a ON total_return, sharpe, sortino, max_drawdown, volatility INTO NAME name VALUE value)""")
+@query(RSI_RULE + """, a AS (SELECT symbol, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0) AS sharpe, coalesce(avg(ret) / nullif(stddev_samp(ret) FILTER (ret < -1e-9), 0) * sqrt(252), 0) AS sortino,
+  min(drawdown) AS max_drawdown, stddev_samp(ret) * sqrt(252) AS volatility FROM er GROUP BY symbol),
+tb AS (SELECT symbol, avg((equity_after > equity_after / f)::INT::DOUBLE) AS win_rate, count(*)::DOUBLE AS num_trades, ln(1 + abs(avg(equity_after - equity_after / f))) * sign(avg(equity_after - equity_after / f)) AS avg_trade_pnl FROM filled WHERE ends GROUP BY symbol), ab AS (SELECT * FROM a LEFT JOIN tb USING (symbol))
+SELECT symbol, name, round(value, 4) AS value FROM (UNPIVOT ab ON total_return, sharpe, sortino, max_drawdown, volatility, win_rate, num_trades, avg_trade_pnl INTO NAME name VALUE value)""")
 def m09_monitoring(spark, sf_dir):
-    return rounded(metrics.monitoring(signals.equity(rule(spark, sf_dir), S), S).filter(F.col("value").isNotNull()), 4)
+    """M9; the mean result of a trade as a signed logarithm, ln(1 + x), as money grows beyond any sense here."""
+    f = rule(spark, sf_dir)
+    m = metrics.monitoring(signals.equity(f, S), S, signals.trades(f, S)).filter(F.col("value").isNotNull())
+    v = F.when(F.col("name") == "avg_trade_pnl", F.signum("value") * F.log1p(F.abs("value"))).otherwise(F.col("value"))
+    return rounded(m.withColumn("value", v), 4)
 
 
-@query(RSI_RULE + """, a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, min(drawdown) AS max_drawdown FROM er GROUP BY symbol)
-SELECT symbol, round(sharpe, 4) AS sharpe, round(greatest(10000.0, 5000 / greatest(abs(max_drawdown), 0.01)), 4) AS position_limit FROM a WHERE sharpe >= 0.2""")
+@query(RSI_RULE + """, a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, min(drawdown) AS max_drawdown, ln(arg_max(equity, ts) / arg_min(equity, ts)) AS growth FROM er GROUP BY symbol)
+SELECT symbol, round(sharpe, 4) AS sharpe, round(max_drawdown, 5) AS max_drawdown, sharpe >= 1 AS deployed, round(greatest(10000.0, 5000 / greatest(abs(max_drawdown), 0.01)), 4) AS position_limit, CAST(rank() OVER (ORDER BY round(sharpe, 6) DESC) AS INT) AS rank, count(*) FILTER (sharpe >= 1) OVER () AS n_deployed, round(avg(sharpe) OVER (), 5) AS mean_sharpe, round(max(sharpe) OVER (), 4) AS best_sharpe FROM a""")
 def m10_deploy(spark, sf_dir):
+    """Summary of all symbols, which are deployed (Sharpe of 1 or more), and their limits."""
     m = metrics.monitoring(signals.equity(rule(spark, sf_dir), S), S).groupBy("symbol").pivot("name", ["sharpe", "max_drawdown"]).agg(F.first("value"))
-    return rounded(metrics.deploy(m, 0.2).select("symbol", "sharpe", "position_limit"), 4)
+    return rounded(metrics.daily_summary(m), 4, max_drawdown=5, mean_sharpe=5)
 
 
 @query(DAILY + """, d AS (SELECT symbol, abs(close / max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1) AS d FROM bars)

@@ -81,49 +81,57 @@ def b05_rsi_counts(spark, sf_dir):
 
 
 def _wins(sql: str) -> str:
-    return SWEEP + f""", rt AS (SELECT symbol, param_id, i, coalesce(ret, 0.0) AS ret FROM er), nn AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), {sql},
+    return SWEEP + f""", rt AS (SELECT symbol, param_id, i, coalesce(ret, 0.0) AS ret, ends FROM er), nn AS (SELECT symbol, count(*) AS n FROM bars GROUP BY symbol), {sql},
 ws AS (SELECT w.symbol, w.window_id, param_id, CASE WHEN var_samp(ret) FILTER (i < train_to) > 1e-15 THEN avg(ret) FILTER (i < train_to) / sqrt(var_samp(ret) FILTER (i < train_to)) * sqrt(252) ELSE 0 END AS train_score,
-  CASE WHEN var_samp(ret) FILTER (i >= test_from) > 1e-15 THEN avg(ret) FILTER (i >= test_from) / sqrt(var_samp(ret) FILTER (i >= test_from)) * sqrt(252) ELSE 0 END AS test_score, sum(ret) FILTER (i >= test_from) AS test_sum
+  CASE WHEN var_samp(ret) FILTER (i >= test_from) > 1e-15 THEN avg(ret) FILTER (i >= test_from) / sqrt(var_samp(ret) FILTER (i >= test_from)) * sqrt(252) ELSE 0 END AS test_score, sum(ret) FILTER (i >= test_from) AS test_sum, sum(ln(1 + ret)) FILTER (i < train_to) AS train_growth, sum(ln(1 + ret)) FILTER (i >= test_from) AS test_growth, count(*) FILTER (ends AND i < train_to) AS train_trades
   FROM rt JOIN w ON rt.symbol = w.symbol AND i >= train_from AND i < test_to GROUP BY ALL)"""
 
 
 FOLDS = "w AS (SELECT symbol, CAST(f AS INT) AS window_id, 0 AS train_from, n - (5 - f) * (n // 6) AS train_to, n - (5 - f) * (n // 6) AS test_from, n - (5 - f) * (n // 6) + n // 6 AS test_to FROM nn, range(5) AS r(f))"
-ROWS = "w AS (SELECT symbol, CAST(s // 63 AS INT) AS window_id, s AS train_from, s + 252 AS train_to, s + 252 AS test_from, s + 315 AS test_to FROM nn, range(0, 100000, 63) AS r(s) WHERE s + 315 <= n)"
+ROWS = "w AS (SELECT symbol, CAST(s // 21 AS INT) AS window_id, s AS train_from, s + 252 AS train_to, s + 252 AS test_from, s + 315 AS test_to FROM nn, range(0, 100000, 21) AS r(s) WHERE s + 315 <= n)"
 
 
 def counts(spark, sf_dir):
     return B.daily_bars(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_wins(FOLDS) + ", ch AS (SELECT *, row_number() OVER (PARTITION BY symbol, window_id ORDER BY round(train_score, 6) DESC, param_id) AS k FROM ws) SELECT symbol, window_id, param_id, round(train_score, 6) AS train_score, round(test_score, 6) AS test_score FROM ch WHERE k = 1")
+NESTED = """ft AS (SELECT symbol, CAST(f AS INT) AS f, n - (5 - f) * (n // 6) AS t, n // 6 AS s FROM nn, range(5) AS r(f)),
+w AS (SELECT symbol, f * 4 AS window_id, 0 AS train_from, t AS train_to, t AS test_from, t + s AS test_to FROM ft
+  UNION ALL SELECT symbol, f * 4 + CAST(g AS INT) + 1, 0, t - (3 - g) * (t // 4), t - (3 - g) * (t // 4), t - (3 - g) * (t // 4) + t // 4 FROM ft, range(3) AS q(g))"""
+
+
+@query(_wins(NESTED) + """, me AS (SELECT symbol, window_id // 4 AS f, param_id, round(avg(test_score), 6) AS sc FROM ws WHERE window_id % 4 > 0 GROUP BY ALL),
+ch AS (SELECT *, row_number() OVER (PARTITION BY symbol, f ORDER BY sc DESC, param_id) AS k FROM me),
+ou AS (SELECT ch.symbol, CAST(f AS INT) AS window_id, ch.param_id, sc, test_score FROM ch JOIN ws ON ws.symbol = ch.symbol AND ws.param_id = ch.param_id AND ws.window_id = f * 4 WHERE k = 1)
+SELECT symbol, window_id, param_id, sc AS inner_score, round(test_score, 6) AS test_score, round(avg(test_score) OVER s, 6) AS mean_score, round(stddev_pop(test_score) OVER s, 6) AS std_score, round(min(test_score) OVER s, 6) AS min_score, round(max(test_score) OVER s, 6) AS max_score FROM ou WINDOW s AS (PARTITION BY symbol)""")
 def b06_b07_nested_cv(spark, sf_dir):
-    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.fold_windows(counts(spark, sf_dir)))
-    ch = X.walk_forward(ws.withColumn("train_score", F.round("train_score", 6)))
-    return rounded(ch.select("symbol", "window_id", "param_id", "train_score", "test_score"), 6)
+    """Five outer folds, three inner ones in each."""
+    return rounded(X.nested_cv(X.strategy_returns(swept(spark, sf_dir)), X.fold_windows(counts(spark, sf_dir))), 6)
 
 
 @query(_wins(ROWS) + ", ch AS (SELECT *, row_number() OVER (PARTITION BY symbol, window_id ORDER BY round(train_score, 6) DESC, param_id) AS k FROM ws) SELECT symbol, window_id, param_id, round(train_score, 6) AS train_score, round(test_score, 6) AS test_score, round(round(train_score, 6) - test_score, 6) AS degradation FROM ch WHERE k = 1")
 def b08_walk_forward_rows(spark, sf_dir):
-    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.rolling_windows(counts(spark, sf_dir), step=63))
+    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.rolling_windows(counts(spark, sf_dir)))
     ch = X.walk_forward(ws.withColumn("train_score", F.round("train_score", 6)))
     return rounded(ch.select("symbol", "window_id", "param_id", "train_score", "test_score", "degradation"), 6)
 
 
 DAYS = """sp AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM bars GROUP BY symbol),
-wk AS (SELECT symbol, CAST(k AS INT) AS window_id, a + INTERVAL 1 DAY * (k * 90) AS t0, a + INTERVAL 1 DAY * (k * 90 + 360) AS t1, a + INTERVAL 1 DAY * (k * 90 + 450) AS t2 FROM sp, range(0, 1000) AS r(k) WHERE k < (date_diff('day', a, z) - 360) // 90),
+wk AS (SELECT symbol, CAST(k AS INT) AS window_id, a + INTERVAL 1 DAY * (k * 30) AS t0, a + INTERVAL 1 DAY * (k * 30 + 180) AS t1, a + INTERVAL 1 DAY * (k * 30 + 210) AS t2 FROM sp, range(0, 1000) AS r(k) WHERE k < (date_diff('day', a, z) - 180) // 30),
 bi AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars),
 w AS (SELECT wk.symbol, window_id, min(i) AS train_from, min(i) FILTER (ts >= t1) AS train_to, min(i) FILTER (ts >= t1) AS test_from, max(i) + 1 AS test_to FROM wk JOIN bi ON wk.symbol = bi.symbol AND ts >= t0 AND ts < t2 GROUP BY wk.symbol, window_id
   HAVING min(i) FILTER (ts >= t1) - min(i) >= 100 AND max(i) + 1 - min(i) FILTER (ts >= t1) >= 10)"""
 
 
 @query(_wins(DAYS) + """, ch AS (SELECT *, row_number() OVER (PARTITION BY symbol, window_id ORDER BY round(train_score, 6) DESC, param_id) AS k FROM ws),
-a AS (SELECT symbol, count(*) AS n_windows, avg(round(train_score, 6)) AS tr, avg(test_score) AS te, avg((test_sum > 1e-12)::INT::DOUBLE) AS consistency FROM ch WHERE k = 1 GROUP BY symbol),
+a AS (SELECT symbol, count(*) AS n_windows, avg(round(train_score, 6)) AS tr, avg(test_score) AS te, avg((test_sum > 1e-12)::INT::DOUBLE) AS consistency, sum(train_growth) AS ig, sum(test_growth) AS og FROM ch WHERE k = 1 AND train_trades >= 5 GROUP BY symbol),
 e AS (SELECT *, CASE WHEN tr > 0 THEN te / tr ELSE 0 END AS efficiency, CASE WHEN tr > 0 THEN 100 * (tr - te) / tr ELSE 0 END AS degradation_pct FROM a)
-SELECT symbol, n_windows, round(tr, 4) AS train_score, round(te, 4) AS test_score, round(consistency, 4) AS consistency, round(efficiency, 4) AS efficiency, round(degradation_pct, 3) AS degradation_pct, efficiency < 0.3 OR consistency < 0.4 OR degradation_pct > 70 AS overfit FROM e""")
+SELECT symbol, n_windows, round(tr, 4) AS train_score, round(te, 4) AS test_score, round(consistency, 4) AS consistency, round(efficiency, 4) AS efficiency, round(degradation_pct, 3) AS degradation_pct, round(ig, 5) AS in_sample_growth, round(og, 5) AS out_of_sample_growth, efficiency < 0.3 OR consistency < 0.4 OR degradation_pct > 70 AS overfit FROM e""")
 def b09_walk_forward_days(spark, sf_dir):
-    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.day_windows(B.daily_bars(spark, sf_dir), 360, 90))
-    ch = X.walk_forward(ws.withColumns({"train_score": F.round("train_score", 6), "test_sum": F.round("test_sum", 12)}))
-    return rounded(X.walk_forward_summary(ch), 4, degradation_pct=3)
+    """180 and 30 days, five trades at least; the chained equities' growth as logarithms."""
+    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.day_windows(B.daily_bars(spark, sf_dir)))
+    ch = X.chained(X.walk_forward(ws.withColumns({"train_score": F.round("train_score", 6), "test_sum": F.round("test_sum", 12)}), least_trades=5))
+    return rounded(X.walk_forward_summary(ch), 4, degradation_pct=3, in_sample_growth=5, out_of_sample_growth=5)
 
 
 @query(DAILY + """, a AS (SELECT symbol, CAST(date_diff('day', min(ts), max(ts)) AS INT) AS days FROM bars GROUP BY symbol) SELECT symbol, days, CASE WHEN days < 60 THEN 'limited' WHEN days < 120 THEN 'modest' WHEN days < 365 THEN 'good' ELSE 'excellent' END AS level,
@@ -139,7 +147,7 @@ def _draw(seed: int, slot: str = "slot", sim: str = "sim") -> str:
     return f"(({y} * {y} + {x} + 67891) % 2147483647)"
 
 
-SIMS = 40
+SIMS = 1000
 BASE = RSI_RULE + """, base AS (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY trade_id) - 1 AS INT) AS idx, count(*) OVER (PARTITION BY symbol) AS n, 100 * (f - 1) AS x FROM filled WHERE ends)"""
 SLOTS = f""", sl AS (SELECT DISTINCT symbol, n, sim, slot FROM base, range({SIMS}) AS a(sim), LATERAL (SELECT unnest(range(n)) AS slot))"""
 PICK = {
@@ -155,10 +163,12 @@ pe AS (SELECT *, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9))) OVER (PARTITION
 pd AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING), 1000) - 1 AS dd FROM pe),
 pm AS (SELECT symbol, sim, arg_max(equity, slot) AS fe, 100 * min(dd) AS mdd, avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) FILTER (x < 0) AS dn, coalesce(sum(x) FILTER (x > 0), 0) AS g, coalesce(-sum(x) FILTER (x < 0), 0) AS l,
   avg((x > 0)::INT::DOUBLE) AS win_rate, max(equity) - min(equity) AS rng FROM pd GROUP BY ALL)"""
-DIST = """, vr AS (SELECT *, 100 * (fe / 1000 - 1) AS r FROM pm), vq AS (SELECT symbol, quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM vr GROUP BY symbol)
-SELECT symbol, count(*) AS n_sims, round(avg(fe), 3) AS mean, round(quantile_cont(fe, 0.5), 3) AS median, round(quantile_cont(fe, 0.05), 3) AS p5, round(quantile_cont(fe, 0.95), 3) AS p95, round(stddev_pop(fe), 3) AS std, round(min(fe), 3) AS min, round(max(fe), 3) AS max,
-  round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, round(any_value(v95), 3) AS var_95, round(any_value(v99), 3) AS var_99, round(avg(mdd), 3) AS dd_mean, round(quantile_cont(mdd, 0.5), 3) AS dd_median, round(quantile_cont(mdd, 0.05), 3) AS dd_p95,
-  round(quantile_cont(mdd, 0.01), 3) AS dd_p99, round(avg(mean / nullif(sd, 0)), 4) AS sharpe_mean, round(avg(win_rate), 4) AS win_rate_mean, round(stddev_pop(win_rate), 4) AS win_rate_std, round(avg(r) FILTER (r <= v95), 3) AS cvar_95, round(avg(r) FILTER (r <= v99), 3) AS cvar_99
+LOG = lambda x: f"round(ln(greatest({x}, 1e-9) / 1000), 5)"
+SIGNED = lambda x: f"round(sign({x}) * ln(1 + abs({x})), 5)"
+DIST = f""", vr AS (SELECT *, 100 * (fe / 1000 - 1) AS r FROM pm), vq AS (SELECT symbol, quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM vr GROUP BY symbol)
+SELECT symbol, count(*) AS n_sims, {LOG('avg(fe)')} AS mean, {LOG('quantile_cont(fe, 0.5)')} AS median, {LOG('quantile_cont(fe, 0.05)')} AS p5, {LOG('quantile_cont(fe, 0.95)')} AS p95, {LOG('stddev_pop(fe)')} AS std, {LOG('min(fe)')} AS min, {LOG('max(fe)')} AS max,
+  round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, {SIGNED('any_value(v95)')} AS var_95, {SIGNED('any_value(v99)')} AS var_99, round(avg(mdd), 3) AS dd_mean, round(quantile_cont(mdd, 0.5), 3) AS dd_median, round(quantile_cont(mdd, 0.05), 3) AS dd_p95,
+  round(quantile_cont(mdd, 0.01), 3) AS dd_p99, round(avg(mean / nullif(sd, 0)), 4) AS sharpe_mean, round(avg(win_rate), 10) AS win_rate_mean, round(stddev_pop(win_rate), 6) AS win_rate_std, {SIGNED('avg(r) FILTER (r <= v95 * (1 + 1e-12 * sign(v95)))')} AS cvar_95, {SIGNED('avg(r) FILTER (r <= v99 * (1 + 1e-12 * sign(v99)))')} AS cvar_99
 FROM vr JOIN vq USING (symbol) GROUP BY symbol"""
 
 
@@ -168,9 +178,15 @@ def base(spark, sf_dir):
 
 
 def dist(sims):
+    """The distribution over simulations. Prices here are independent draws, so equities grow beyond any sense: what is in
+    money is shown as the logarithm of growth and what is in per cent as a signed logarithm, which do not hang on the last digits
+    of 1e19.
+    """
     d = S.distribution(S.path_metrics(sims))
-    four = {n: 4 for n in ("p_profit", "p_ruin", "sharpe_mean", "win_rate_mean", "win_rate_std")}
-    return rounded(d, 3, **four)
+    growth = lambda x: F.ln(F.greatest(x, F.lit(1e-9)) / 1000)
+    money = {n: growth(F.col(n)) for n in ("mean", "median", "p5", "p95", "std", "min", "max")}
+    share = {n: F.signum(n) * F.log1p(F.abs(n)) for n in ("var_95", "var_99", "cvar_95", "cvar_99")}
+    return rounded(d.withColumns(money | share), 5, **dict.fromkeys(("dd_mean", "dd_median", "dd_p95", "dd_p99"), 3), p_profit=4, p_ruin=4, sharpe_mean=4, win_rate_mean=10, win_rate_std=6)
 
 
 @query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + DIST)
@@ -179,6 +195,26 @@ def b11_b18_bootstrap(spark, sf_dir):
     return dist(S.bootstrap(base(spark, sf_dir), SIMS))
 
 
+SPELLS = """, ds AS (SELECT *, -dd > 0.01 AS u FROM pd), d1 AS (SELECT *, CASE WHEN u AND NOT coalesce(lag(u) OVER o, false) THEN 1 ELSE 0 END AS st FROM ds WINDOW o AS (PARTITION BY symbol, sim ORDER BY slot)),
+d2 AS (SELECT *, sum(st) OVER (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING) AS spell FROM d1),
+d3 AS (SELECT symbol, sim, spell, count(*) AS len, max(slot) + 1 - first(slot ORDER BY dd, slot) AS rec FROM d2 WHERE u GROUP BY ALL),
+d4 AS (SELECT symbol, sum(len) / count(*) AS dd_duration, sum(rec) / count(*) AS recovery FROM d3 GROUP BY symbol)"""
+
+
+@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + SPELLS + """, ra AS (SELECT *, CASE WHEN sd > 0 THEN least(greatest(mean / sd * sqrt(252), -5), 10) END AS sh, CASE WHEN dn > 0 THEN least(greatest(mean / dn * sqrt(252), -5), 10) END AS so, CASE WHEN mdd < 0 THEN ln(1 + greatest(100 * (fe / 1000 - 1) / -mdd, -0.999)) END AS ca FROM pm),
+og AS (SELECT symbol, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS og FROM base GROUP BY symbol)
+SELECT symbol, round(avg(sh), 4) AS sharpe_mean, round(quantile_cont(sh, 0.5), 4) AS sharpe_median, round(stddev_pop(sh), 5) AS sharpe_std, round(quantile_cont(sh, 0.05), 4) AS sharpe_p5, round(quantile_cont(sh, 0.95), 4) AS sharpe_p95, round(avg(so), 4) AS sortino_mean, round(stddev_pop(so), 5) AS sortino_std,
+  round(avg(ca), 4) AS calmar_mean, round(quantile_cont(ca, 0.5), 4) AS calmar_median, round(sum(g) / nullif(sum(l), 0), 5) AS omega, round(any_value(dd_duration), 9) AS dd_duration, round(any_value(recovery), 9) AS recovery,
+  round(least((max(fe) - min(fe)) / any_value(og) / 2, 1), 5) AS path_dependency, round(stddev_pop(fe) / avg(fe), 5) AS order_sensitivity, round(ln(abs((quantile_cont(fe, 0.95) / 1000 - 1) / (quantile_cont(fe, 0.05) / 1000 - 1))), 4) AS tail_ratio, round(sum(g) / nullif(sum(l), 0), 5) AS gain_to_pain, round(avg(win_rate), 10) AS win_rate_mean, round(stddev_pop(win_rate), 6) AS win_rate_std
+FROM ra JOIN d4 USING (symbol) JOIN og USING (symbol) GROUP BY symbol""")
+def b19_b22_analysis(spark, sf_dir):
+    """Drawdown spells, risk-adjusted ratios, dependence on the path, tails (Calmar and tail ratio as logarithms)."""
+    b = base(spark, sf_dir)
+    a = S.analysis(S.bootstrap(b, SIMS), b)
+    logs = {"tail_ratio": F.ln("tail_ratio")}
+    return rounded(a.withColumns(logs), 4, **dict.fromkeys(("sharpe_std", "sortino_std", "omega", "path_dependency", "order_sensitivity", "gain_to_pain"), 5), dd_duration=9, recovery=9, win_rate_mean=10, win_rate_std=6)
+
+
 @query(BASE + SLOTS + ", " + PICK["block"] + PATHS + DIST)
 def b12_block_bootstrap(spark, sf_dir):
     return dist(S.block_bootstrap(base(spark, sf_dir), SIMS))
@@ -189,11 +225,14 @@ def b13_stationary_bootstrap(spark, sf_dir):
     return dist(S.stationary_bootstrap(base(spark, sf_dir), SIMS))
 
 
-@query(BASE + SLOTS + ", " + PICK["permutation"] + PATHS + " SELECT symbol, count(*) AS n, round(avg(mdd), 3) AS dd_mean, round(min(mdd), 3) AS dd_worst, round(avg(rng), 3) AS range_mean FROM pm GROUP BY symbol")
+@query(BASE + SLOTS + ", " + PICK["permutation"] + PATHS + " SELECT symbol, count(*) AS n, round(avg(mdd), 3) AS dd_mean, round(quantile_cont(mdd, 0.5), 3) AS dd_median, round(quantile_cont(mdd, 0.05), 3) AS dd_p5, round(quantile_cont(mdd, 0.95), 3) AS dd_p95, round(stddev_pop(mdd), 4) AS dd_std, round(min(mdd), 3) AS dd_worst, round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(ln(avg(rng)), 5) AS range_mean FROM pm GROUP BY symbol")
 def b15_shuffle(spark, sf_dir):
     """Shuffled trades; only what depends on the path varies."""
     p = S.path_metrics(S.permutation(base(spark, sf_dir), SIMS))
-    return rounded(p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("max_drawdown").alias("dd_mean"), F.min("max_drawdown").alias("dd_worst"), F.avg("range").alias("range_mean")), 3)
+    d = "max_drawdown"
+    spread = [F.percentile(d, q).alias(f"dd_{n}") for n, q in (("median", 0.5), ("p5", 0.05), ("p95", 0.95))]
+    a = p.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("dd_mean"), *spread, F.stddev_pop(d).alias("dd_std"), F.min(d).alias("dd_worst"), F.avg((F.col("final_equity") > 1000).cast("double")).alias("p_profit"), F.ln(F.avg("range")).alias("range_mean"))
+    return rounded(a, 3, dd_std=4, p_profit=4, range_mean=5)
 
 
 @query(BASE + SLOTS + f""", sx AS (SELECT sl.symbol, sim, CASE WHEN {_draw(7)} % 2 = 0 THEN x ELSE -x END AS x FROM sl JOIN base ON sl.symbol = base.symbol AND sl.slot = base.idx), sm AS (SELECT symbol, sim, avg(x) AS m FROM sx GROUP BY ALL),
@@ -216,7 +255,7 @@ def _method(name: str) -> str:
     return f"(WITH {inner} SELECT '{name}' AS method, pm.symbol, fe, og FROM pm JOIN (SELECT symbol, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS og FROM base GROUP BY symbol) USING (symbol))"
 
 
-@query(f"SELECT method, count(*) AS n, round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe > og * (1 + 1e-9))::INT::DOUBLE), 4) AS p_beats, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, round(quantile_cont(fe, 0.025), 3) AS low, round(quantile_cont(fe, 0.975), 3) AS high FROM ({_method('iid')} UNION ALL {_method('block')} UNION ALL {_method('stationary')}) GROUP BY method")
+@query(f"SELECT method, count(*) AS n, round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe > og * (1 + 1e-9))::INT::DOUBLE), 4) AS p_beats, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, {LOG('quantile_cont(fe, 0.025)')} AS low, {LOG('quantile_cont(fe, 0.975)')} AS high FROM ({_method('iid')} UNION ALL {_method('block')} UNION ALL {_method('stationary')}) GROUP BY method")
 def b17_methods(spark, sf_dir):
     b = base(spark, sf_dir)
     og = b.groupBy("symbol").agg((1000 * F.exp(F.sum(F.ln(F.greatest(1 + F.col("x") / 100, F.lit(1e-9)))))).alias("og"))
@@ -225,12 +264,13 @@ def b17_methods(spark, sf_dir):
         p = S.path_metrics(sims).withColumn("method", F.lit(name))
         all_ = p if all_ is None else all_.unionByName(p)
     fe, share = F.col("final_equity"), lambda c: F.avg(c.cast("double"))
-    out = all_.join(og, "symbol").groupBy("method").agg(F.count(F.lit(1)).alias("n"), share(fe > 1000).alias("p_profit"), share(fe > F.col("og") * (1 + 1e-9)).alias("p_beats"), share(fe < 500).alias("p_ruin"), F.percentile("final_equity", 0.025).alias("low"), F.percentile("final_equity", 0.975).alias("high"))
-    return rounded(out, 4, low=3, high=3)
+    out = all_.join(og, "symbol").groupBy("method").agg(F.count(F.lit(1)).alias("n"), share(fe > 1000).alias("p_profit"), share(fe > F.col("og") * (1 + 1e-9)).alias("p_beats"), share(fe < 500).alias("p_ruin"), *(F.ln(F.greatest(F.percentile("final_equity", q), F.lit(1e-9)) / 1000).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
+    return rounded(out, 4, low=5, high=5)
 
 
 @query(BASE + """, a AS (SELECT symbol, count(x)::DOUBLE AS n, skewness(x) AS sk, kurtosis(x) AS ku FROM base GROUP BY symbol) SELECT symbol, round(CASE WHEN n < 8 THEN 0 ELSE sk END, 5) AS skew, round(CASE WHEN n < 8 THEN 0 ELSE ku END, 5) AS kurt FROM a""")
 def b21_shape(spark, sf_dir):
+    """B21; z and p of both tests are held against worked values in the tests."""
     return rounded(S.shape(base(spark, sf_dir)).select("symbol", "skew", "kurt"), 5)
 
 
@@ -241,9 +281,10 @@ def b23_intervals(spark, sf_dir):
     return rounded(p.groupBy("symbol").agg(*q), 4, dd_low=3, dd_high=3, win_low=7, win_high=7)
 
 
-@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + " SELECT symbol, slot AS step, round(quantile_cont(equity, 0.5), 3) AS median, round(quantile_cont(equity, 0.05), 3) AS p5, round(quantile_cont(equity, 0.95), 3) AS p95 FROM pe GROUP BY ALL")
+@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + f" SELECT symbol, slot AS step, {LOG('quantile_cont(equity, 0.5)')} AS median, {LOG('quantile_cont(equity, 0.05)')} AS p5, {LOG('quantile_cont(equity, 0.95)')} AS p95 FROM pe GROUP BY ALL")
 def b24_bands(spark, sf_dir):
-    return rounded(S.bands(S.bootstrap(base(spark, sf_dir), SIMS)), 3)
+    b = S.bands(S.bootstrap(base(spark, sf_dir), SIMS))
+    return rounded(b.withColumns({n: F.ln(F.greatest(F.col(n), F.lit(1e-9)) / 1000) for n in ("median", "p5", "p95")}), 5)
 
 
 @query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + """, ra AS (SELECT symbol, avg(mean / nullif(sd, 0)) AS sh, -avg(mdd) AS dd, quantile_cont(100 * (fe / 1000 - 1), 0.05) AS v, avg((fe > 1000)::INT::DOUBLE) AS pp, least(avg(rng) / 2000, 1) AS path FROM pm GROUP BY symbol),
