@@ -77,12 +77,27 @@ def draw(seed: int, sim: Column, slot: Column) -> Column:
     return F.pmod(y * y + x + 67891, F.lit(PRIME).cast("long"))
 
 
-def ema(x: Column, span: float | None, *keys: str, alpha: float | None = None, depth: int = 15) -> Column:
-    """Exponential mean seeded with the frame's first value; the frame is ``depth`` spans, so what it leaves out is below 1e-12."""
-    a = 2.0 / (span + 1.0) if alpha is None else alpha
-    n = int(depth * (span if span is not None else 2.0 / a - 1.0))
-    past = F.collect_list(x).over(over(*keys).rowsBetween(-n, 0))
-    return F.aggregate(F.slice(past, 2, n + 1), F.try_element_at(past, F.lit(1)), lambda acc, v: acc * (1.0 - a) + v * a)
+def ema_stages(name: str, x: str, keys: tuple[str, ...], alpha: float) -> tuple[dict[str, Callable[[], Column]], ...]:
+    """Stages of columns that end with ``name``: the exponential mean of column ``x``, seeded with its first value.
+
+    Rows are cut into blocks over which (1 - alpha) falls by e^18. Within a block the mean is a running sum of values that
+    are weighted from the block's start; before it, what the two last blocks end with (the error is below 1e-15).
+    """
+    decay, c = 1.0 - alpha, F.col
+    rows = max(1, int(18 / -math.log(decay)))
+    block, at, own, last, carry = (f"_{name}_{k}" for k in ("block", "at", "own", "last", "carry"))
+    before = over(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ends = lambda v: F.last(F.when(c(at) == rows - 1, v), ignorenulls=True).over(before)
+    power = lambda n: F.pow(F.lit(decay), n)
+    weighted = lambda: F.when(c("_row") == 0, c(x) / alpha).otherwise(c(x)) * power(-c(at))
+    return (
+        {"_row": lambda: F.row_number().over(over(*keys)) - 1},
+        {block: lambda: F.floor(c("_row") / rows), at: lambda: F.pmod(c("_row"), F.lit(rows))},
+        {own: lambda: alpha * power(c(at)) * F.sum(weighted()).over(running(*keys, block))},
+        {last: lambda: ends(c(own))},
+        {carry: lambda: ends(c(own) + power(F.lit(rows)) * F.coalesce(c(last), F.lit(0.0)))},
+        {name: lambda: c(own) + power(c(at) + 1) * F.coalesce(c(carry), F.lit(0.0))},
+    )
 
 
 def r6(x: Column, digits: int = 6) -> Column:

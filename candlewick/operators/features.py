@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, div, ema, frame, over, roll, running, safe_ln
+from ..functions.exprs import clip, div, ema_stages, frame, over, roll, running, safe_ln
 
 KEYS = ("symbol", "tf")
 YEAR = 252
@@ -33,6 +33,11 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
+def together(*chains: tuple) -> tuple:
+    """Stages of several chains side by side."""
+    return tuple({k: v for chain in chains if i < len(chain) for k, v in chain[i].items()} for i in range(max(map(len, chains))))
+
+
 def lag(x: str | Column, n: int = 1) -> Column:
     return F.lag(x, n).over(over(*KEYS))
 
@@ -102,8 +107,9 @@ def roll_spread(n: int = 20) -> Feature:
 
 
 def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Feature:
-    line = {"_fast": lambda: ema(c("close"), fast, *KEYS), "_slow": lambda: ema(c("close"), slow, *KEYS)}
-    return Feature("macd", (line, {"macd": lambda: c("_fast") - c("_slow")}, {"macd_signal": lambda: ema(c("macd"), signal, *KEYS)}, {"macd_histogram": lambda: c("macd") - c("macd_signal")}), "difference of exponential means", parameters={"fast": fast, "slow": slow, "signal": signal})
+    means = together(ema_stages("_fast", "close", KEYS, 2 / (fast + 1)), ema_stages("_slow", "close", KEYS, 2 / (slow + 1)))
+    line = ema_stages("macd_signal", "macd", KEYS, 2 / (signal + 1))
+    return Feature("macd", (*means, {"macd": lambda: c("_fast") - c("_slow")}, *line[1:], {"macd_histogram": lambda: c("macd") - c("macd_signal")}), "difference of exponential means", parameters={"fast": fast, "slow": slow, "signal": signal})
 
 
 def adx(n: int = 14) -> Feature:
@@ -144,8 +150,9 @@ def pine_set(n: int = 20) -> Feature:
         "pine_ann_return": lambda: F.when(early, 0.0).otherwise(clip(F.pow(div(c("close"), lag("close", n)), F.lit(YEAR / n)) - 1, -1.0, 10.0)),
         "pine_max_drawdown": lambda: roll(F.min, c("_fall"), 60, *KEYS),
     }
-    third = {"pine_vol_trend": lambda: F.when(lag("pine_vol", n) > 0, c("pine_vol") / lag("pine_vol", n) - 1).otherwise(0.0), "_g": lambda: ema(c("_up"), None, *KEYS, alpha=1 / 14, depth=15), "_l": lambda: ema(c("_down"), None, *KEYS, alpha=1 / 14, depth=15)}
-    return Feature("pine", (first, second, third, {"pine_rsi": lambda: F.when(c("_l") > 0, 100 - 100 / (1 + div(c("_g"), c("_l")))).otherwise(100.0)}), "charting script", needs=("close",), parameters={"lookback": n})
+    third = {"pine_vol_trend": lambda: F.when(lag("pine_vol", n) > 0, c("pine_vol") / lag("pine_vol", n) - 1).otherwise(0.0)}
+    means = together(ema_stages("_g", "_up", KEYS, 1 / 14), ema_stages("_l", "_down", KEYS, 1 / 14))
+    return Feature("pine", (first, second, third, *means, {"pine_rsi": lambda: F.when(c("_l") > 0, 100 - 100 / (1 + div(c("_g"), c("_l")))).otherwise(100.0)}), "charting script", needs=("close",), parameters={"lookback": n})
 
 
 def standard() -> list[Feature]:

@@ -94,10 +94,11 @@ def durations(x: DataFrame, memory: int = 252) -> DataFrame:
 def next_regime(x: DataFrame, memory: int = 252) -> DataFrame:
     """Predicted next label and chance to stay, from the moves within the last ``memory`` labels; below 50: the same, 0.7."""
     w = over(*KEYS)
-    back = over(*KEYS).rowsBetween(-(memory - 2), 0)
     x = x.withColumns({"_from": F.lag("regime").over(w), "_i": F.row_number().over(w)})
-    moves = {f"_{a}_{b}": F.sum(((c("_from") == a) & (c("regime") == b)).cast("long")).over(back) for a in REGIMES for b in REGIMES}
-    x = x.withColumns({k: F.coalesce(v, F.lit(0)) for k, v in moves.items()})
+    # Counts within the memory are running counts less those of memory - 1 rows before.
+    moves = {f"_{a}_{b}": F.sum(F.when((c("_from") == a) & (c("regime") == b), 1).otherwise(0)).over(running(*KEYS)) for a in REGIMES for b in REGIMES}
+    x = x.withColumns(moves)
+    x = x.withColumns({k: c(k) - F.coalesce(F.lag(k, memory - 1).over(w), F.lit(0)) for k in moves})
     best, stay = F.lit(None).cast("string"), F.lit(None).cast("double")
     for a in REGIMES:
         row = [c(f"_{a}_{b}") for b in REGIMES]
@@ -172,9 +173,12 @@ def changes(x: DataFrame, label: str) -> DataFrame:
 
 def latency(x: DataFrame, true: str, detected: str, horizon: int = 10) -> DataFrame:
     """Mean bars from a true change to the first detected one, ``horizon`` where none comes within it."""
-    t, d = changes(x, true), changes(x, detected)
-    near = t.join(d.withColumnRenamed("i", "j"), "symbol").filter(c("j").between(c("i"), c("i") + horizon - 1)).groupBy("symbol", "i").agg(F.min(c("j") - c("i")).alias("lag"))
-    return t.join(near, ["symbol", "i"], "left").groupBy("symbol").agg(F.avg(F.coalesce("lag", F.lit(horizon))).alias("latency"))
+    both = changes(x, true).withColumn("found", F.lit(False)).unionByName(changes(x, detected).withColumn("found", F.lit(True)))
+    # From the end of the series on: the last detected change seen is the next one after a row.
+    back = Window.partitionBy("symbol").orderBy(F.desc("i"), F.desc("found")).rowsBetween(Window.unboundedPreceding, 0)
+    lag = F.last(F.when(c("found"), c("i")), ignorenulls=True).over(back) - c("i")
+    t = both.withColumn("lag", lag).filter(~c("found"))
+    return t.groupBy("symbol").agg(F.avg(F.least(F.coalesce("lag", F.lit(horizon)), F.lit(horizon))).alias("latency"))
 
 
 def transition_rates(x: DataFrame, true: str, detected: str, tolerance: int = 3) -> DataFrame:

@@ -187,7 +187,7 @@ def f01_f17_standard(spark, sf_dir):
     return rounded(p.compute(B.daily_bars(spark, sf_dir)).select("symbol", "ts", *p.names()))
 
 
-@query(DAILY + f""", m AS (SELECT symbol, ts, {_ema(12, 180)} - {_ema(26, 390)} AS macd FROM bars), s AS (SELECT *, {_ema(9, 135, 'macd')} AS sig FROM m)
+@query(DAILY + f""", m AS (SELECT symbol, ts, {_ema(12, 300)} - {_ema(26, 650)} AS macd FROM bars), s AS (SELECT *, {_ema(9, 225, 'macd')} AS sig FROM m)
 SELECT symbol, ts, round(macd, 6) AS macd, round(sig, 6) AS macd_signal, round(macd - sig, 6) AS macd_histogram FROM s""")
 def f14_macd(spark, sf_dir):
     p = features.Pipeline("macd", [features.macd()])
