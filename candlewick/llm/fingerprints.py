@@ -125,9 +125,12 @@ def _below(ids: DataFrame, bits: int) -> DataFrame:
     return inner.join(far, "g", "left").select("k", F.coalesce("near", "top").alias("down"))
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str], bits: int = 8) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: list[str], bits: int = 8, derived: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with ``next_<c>`` of each carried column: that of the next row by falling ``order``; after the last, the first.
 
+    ``derived`` columns are made of carried ones, added, and carried too; they are computed once a row, after the rows have
+    moved, so they do not move themselves.
+
     Rows are ordered within ranges of 2**bits numbers; only the first row of each range is joined to the end of the
     range before it. Ties stand by a hash of the carried columns, then by these. Null numbers come last, in as many
     ranges of that hash as there would be for 2**16 rows, so many of them do not meet in one task.
@@ -144,9 +147,14 @@ def with_next(docs: DataFrame, order: str, carried: list[str], bits: int = 8) ->
     ranges = heads.select(F.col("_r").alias("k"))
     around = _below(ranges, 64).crossJoin(F.broadcast(ranges.agg(F.max("k").alias("_first"))))  # one row
     ends = around.select(F.col("k").alias("_r"), F.coalesce("down", "_first").alias("_to")).join(heads.withColumnRenamed("_r", "_to"), "_to").select("_r", "_head")
+    new = list(derived or {})
+    if derived:  # the same order again, so nothing moves
+        inner = inner.withColumns(derived).withColumn("_made", F.lead(F.struct(*new)).over(w))
+        ends = ends.select("_r", "_head", "_head.*").withColumns(derived).select("_r", "_head", F.struct(*new).alias("_head_made"))
     # The rows are by range already, so they do not move again.
     joined = inner.join(ends, "_r", "left")
-    return joined.select(*docs.columns, *(F.coalesce(F.col("_near"), F.col("_head"))[c].alias(f"next_{c}") for c in carried))
+    following = [F.coalesce(F.col("_near"), F.col("_head"))[c].alias(f"next_{c}") for c in carried]
+    return joined.select(*docs.columns, *new, *following, *(F.coalesce(F.col("_made"), F.col("_head_made"))[c].alias(f"next_{c}") for c in new))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -157,11 +165,11 @@ def compare(docs: DataFrame) -> DataFrame:
     an empty text. Rows that repeat a doc_id stand by a hash of the text; null doc_ids come last.
     """
     marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    paired = with_next(marked, "doc_id", ["text"])
+    paired = with_next(marked, "doc_id", ["text"], derived={"marks": anchors(F.col("text"))})
     n = F.char_length("text")
     cut_at = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut_at), F.substr("next_text", F.lit(1), cut_at))
-    full = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), anchors(F.col("text")).alias("marks"), anchors(F.col("next_text")).alias("next_marks"))
+    full = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "marks", "next_marks")
     full = full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "marks", "next_marks", anchors(F.col("edited")).alias("edited_marks"))
     return full.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("marks")).alias("fingerprint"), shown(F.col("edited_marks")).alias("edited_fingerprint"),
