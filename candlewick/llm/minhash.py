@@ -31,8 +31,9 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
 HASHES, CHUNKS = 64, 16
 ROWS = HASHES // CHUNKS
-#: Distance up to which the join is whole by construction, and from which a candidate is not worth an exact check:
-#: at similarity 0.75 a distance over 40 has a chance below 1e-10.
+#: Distance up to which the join is whole by construction, and from which a candidate is not checked exactly at once: at
+#: similarity 0.75 a distance over 40 has a chance below 1e-10. Such a candidate is not dropped: it stays apart in its
+#: bucket, whose members are then compared on their full sets.
 SURE, HOPELESS = 2 * CHUNKS - 1, 40
 #: Documents that a task compares with each other at once.
 BLOCK = 512
@@ -258,7 +259,7 @@ def link(docs: DataFrame) -> DataFrame:
     named = rows.filter(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
     classes = compact(named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), 10_000)
     # One shuffle for both the pivots and the join: no key holds more than one entry of each class, 1 in 64 of its own.
-    found = entries(classes).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    found = entries(classes).repartition("key")
     shared = found.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter(F.col("pivot") < F.col("top")).select("key", "pivot")
     members = compact(found.join(shared, "key").select("key", "node", "pivot"))
     # Repeated doc_ids tie their sets together.
@@ -270,13 +271,15 @@ def link(docs: DataFrame) -> DataFrame:
     texts = compact(docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(nodes, "node").dropDuplicates(["node", "text"]), 10_000)
     asked = compact(near(members.filter("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), classes))
     links = compact(confirmed(asked, texts).unionByName(tied).unionByName(selves))
-    groups = compact(components(links))
+    groups = components(links)
     # Buckets whose members are not yet all together meet in blocks.
     at = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     apart = at.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter(F.col("a") < F.col("b")).select("key")
     open_ = compact(at.join(apart, "key"))
     if not open_.isEmpty():
-        groups = components(compact(links.unionByName(block_links(open_, texts))))
+        # What is known is a star forest already; only the new links are to be merged into it.
+        known = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        groups = components(known.unionByName(block_links(open_, texts)))
     of_set = classes.select("set_id", "node").join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -182,11 +182,11 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of each text masked; null texts stay null, all other columns as they are."""
-    spans = extract(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("spans").alias("_s")).dropDuplicates(["_i", "_h"])
+    """``docs`` with the spans of each text masked; null texts stay null, all other columns (none may begin with ``_pii_``) as they are."""
+    spans = extract(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("spans").alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_hash"])
     text = F.col("text").cast("string")
-    joined = docs.join(spans, (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left")
-    return joined.select(*(masked(text, F.coalesce("_s", F.array().cast(SPAN))).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    joined = docs.join(spans, (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_pii_hash")) & F.col("doc_id").eqNullSafe(F.col("_pii_id")), "left")
+    return joined.select(*(masked(text, F.coalesce("_pii_spans", F.array().cast(SPAN))).alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -34,45 +34,51 @@ def _count_char(text: Column, chars: str) -> Column:
     return sum((total - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars[1:]), total - F.octet_length(F.replace(text, F.lit(chars[0]), F.lit(""))))
 
 
+def _covered(starts: Column) -> Column:
+    """How many places the three-word windows at these sorted starts cover."""
+    zero = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(starts, zero, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"])
+
+
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window found at least twice, each once.
 
-    Windows are sorted by 43 bits of hash with their place in the low bits, so equal windows are neighbours; neighbours
-    with equal bits are then compared word by word.
+    Windows are sorted by 43 bits of hash with their place in the low bits, so equal windows are neighbours; those that
+    share their bits with a neighbour are compared word by word. Null where different windows share their bits: then
+    equal ones need not be neighbours, and the caller sorts the windows themselves.
     """
-    n = F.size(words)
     place = F.lit((1 << 20) - 1)
-    tagged = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.xxhash64(words[i], words[i + 1], words[i + 2]), 20).bitwiseOR(i.cast("long")))
+
+    def tagged(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.shiftleft(F.xxhash64(h[i], h[i + 1], h[i + 2]), 20).bitwiseOR(i.cast("long")))
+
+    def bits(x: Column) -> Column:
+        return F.shiftright(x, 20)
+
+    def near(s: Column) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(bits(x) == bits(F.get(s, i - 1)), F.lit(False)) | F.coalesce(bits(x) == bits(F.get(s, i + 1)), F.lit(False)))
 
     def same(a: Column, b: Column) -> Column:
         i, j = a.bitwiseAND(place).cast("int"), b.bitwiseAND(place).cast("int")
-        return (F.shiftright(a, 20) == F.shiftright(b, 20)) & (words[i] == words[j]) & (words[i + 1] == words[j + 1]) & (words[i + 2] == words[j + 2])
+        return (words[i] == words[j]) & (words[i + 1] == words[j + 1]) & (words[i + 2] == words[j + 2])
 
-    def covered(s: Column) -> Column:
-        size = F.size(s)
-        twice = F.filter(s, lambda x, i: ((i > 0) & same(x, F.try_element_at(s, i))) | ((i < size - 1) & same(x, F.try_element_at(s, i + 2))))
-        return let(
-            F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(place))),
-            lambda p: F.aggregate(p, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"]),
-        )
+    def counted(s: Column) -> Column:
+        apart = F.exists(F.transform(s, lambda x, i: (i > 0) & (bits(x) == bits(F.get(s, i - 1))) & ~same(x, F.get(s, i - 1))), lambda x: F.coalesce(x, F.lit(False)))
+        return F.when(~apart, _covered(F.sort_array(F.transform(s, lambda x: x.bitwiseAND(place)))))
 
-    return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(tagged), covered))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(let(let(let(hashes, lambda h: F.sort_array(tagged(h))), near), counted))
 
 
 def _repeat_words_long(words: Column) -> Column:
-    """The same for texts of 2**20 words and more: (window, place) structs instead of packed bits."""
-    n = F.size(words)
-    tagged = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.cast("long").alias("i")))
+    """The same count from the windows themselves, for texts whose places need more bits or whose hashes clash."""
+    tagged = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.concat_ws(" ", words[i], words[i + 1], words[i + 2]).alias("w"), i.cast("long").alias("i")))
 
-    def covered(s: Column) -> Column:
-        size = F.size(s)
-        twice = F.filter(s, lambda x, i: ((i > 0) & (x["w"] == F.try_element_at(s, i)["w"])) | ((i < size - 1) & (x["w"] == F.try_element_at(s, i + 2)["w"])))
-        return let(
-            F.sort_array(F.transform(twice, lambda x: x["i"])),
-            lambda p: F.aggregate(p, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")), lambda a: a["n"]),
-        )
+    def counted(s: Column) -> Column:
+        twice = F.filter(s, lambda x, i: F.coalesce(x["w"] == F.get(s, i - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(s, i + 1)["w"], F.lit(False)))
+        return _covered(F.sort_array(F.transform(twice, lambda x: x["i"])))
 
-    return let(F.sort_array(tagged), covered)
+    return let(F.sort_array(tagged), counted)
 
 
 def word_array(text: Column) -> Column:
@@ -85,7 +91,7 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source")) -> D
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(*keep, text.alias("_t")).select(*keep, "_t", word_array(F.col("_t")).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0)
-    repeats = F.when(F.size("_w") < (1 << 20), _repeat_words(F.col("_w"))).otherwise(_repeat_words_long(F.col("_w")))
+    repeats = F.coalesce(F.when(F.size("_w") < (1 << 20), _repeat_words(F.col("_w"))), _repeat_words_long(F.col("_w")))
     out = base.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),

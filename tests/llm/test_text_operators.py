@@ -642,3 +642,47 @@ def test_fingerprints_equal_brute_force(spark):
     while steps == 0 or at != "t 0":
         at, steps = after[at], steps + 1
     assert steps == 3000  # one ring over all rows
+
+
+def test_repeated_words_of_clashing_and_long_texts(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (2, 3, 40, 200)] + [" ".join(f"w{rng.randrange(300)}" for _ in range(3000)), "a b c " * 9, "x"]
+    table = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    words = quality.word_array(F.col("text"))
+
+    def brute(t):
+        w = t.split()
+        tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        return len({k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)})
+
+    got = {r["doc_id"]: r for r in table.select("doc_id", quality._repeat_words(words).alias("packed"), F.when(F.size(words) > 2, quality._repeat_words_long(words)).alias("long")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["packed"] == brute(t) and got[i]["long"] in (brute(t), None)
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # every window shares its bits
+    clash = {r["doc_id"]: r["packed"] for r in table.select("doc_id", quality._repeat_words(words).alias("packed")).collect()}
+    assert clash[3] is None and clash[6] == 0
+
+
+def test_pipeline_stages_take_any_rows(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"token{i}" for i in range(80))
+    rows = [(1, long, "en", "a", 3), (1, long, "en", "a", 3), (1, long + " more of it", "en", None, 3), (None, long, None, "a", None), (None, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n ", "en", "", 2), (4, "write me@mail.example.com " + " ".join(f"other{i}" for i in range(60)), "de", "b", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame(rows, schema)
+    # Columns of names that the operators use themselves.
+    clash = table.withColumns({n: F.lit("mine") for n in ("kept", "n_words", "n_removed", "kept_text", "spans", "base", "component_id", "text_hash", "host_rate", "_h", "_k", "_i")})
+    sizes = {"quality": 5, "near_dedup": 5, "substring_dedup": 8, "pii": 8}
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (table, clash):
+            out = stage(spark, docs, "")
+            if name == "packing":
+                assert out.groupBy("doc_id").count().count() == 5 and out.agg(F.sum("length")).first()[0] > 300
+                continue
+            assert out.columns == corpus_pipeline.COLUMNS and out.count() == sizes[name], name
+        empty = stage(spark, table.limit(0), "")
+        assert empty.count() == 0 and (name == "packing" or empty.columns == corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.near_dedup(spark, table, "").filter("text LIKE 'token0%'").collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 1
+    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, table, "").collect()}
+    assert masked[4].startswith("write [EMAIL] other0") and masked[2] == ""
