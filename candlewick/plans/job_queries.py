@@ -18,7 +18,10 @@ from .registry import DAILY, SQL, query
 
 
 def shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candlewick-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="candlewick-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -6,11 +6,11 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from candlewick.llm import minhash, packing, pii, quality, substrings
+from candlewick.llm.common import shared_folder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +24,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go; all others stay as they are."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    judged = quality.judge(docs.select("doc_id", "source", "text", F.xxhash64(text).alias("_h")), keep=("doc_id", "source", "_h"))
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), "_h").distinct()
-    same = (F.xxhash64(text) == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))
+    docs, text = docs.select(*COLUMNS), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one, two = F.xxhash64(text), F.xxhash64(F.lit(1), text)  # 128 bits between them
+    judged = quality.judge(docs.select("doc_id", "source", "text", one.alias("_h"), two.alias("_g")), keep=("doc_id", "source", "_h", "_g"))
+    kept = judged.filter("kept").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_h").alias("_a"), F.col("_g").alias("_b")).distinct()
+    same = (one == F.col("_a")) & (two == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s"))
     return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
@@ -85,8 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared checkpoint folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="candlewick-pipeline-")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
