@@ -17,8 +17,8 @@ def reliability(x: DataFrame, bins: int = 10) -> DataFrame:
     return b.drop("_se").crossJoin(F.broadcast(all_)).withColumn("calibrated", (F.col("ece") < 0.1) & (F.col("brier") < 0.25))  # one row of totals
 
 
-def isotonic(x: DataFrame, classes: list[str]) -> DataFrame:
-    """One-vs-rest isotonic calibration of p_<class> against ``label``, renormalised."""
+def isotonic(x: DataFrame, classes: list[str], fit_on: str = "true") -> DataFrame:
+    """One-vs-rest isotonic calibration of p_<class> against ``label``, renormalised; fitted on the rows where ``fit_on`` holds."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
@@ -26,21 +26,21 @@ def isotonic(x: DataFrame, classes: list[str]) -> DataFrame:
     for k in classes:
         y = out.withColumn("_y", (F.col("label") == k).cast("double"))
         y = VectorAssembler(inputCols=[f"p_{k}"], outputCol="_f").transform(y)
-        model = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol=f"c_{k}").fit(y)
+        model = IsotonicRegression(featuresCol="_f", labelCol="_y", predictionCol=f"c_{k}").fit(y.filter(fit_on))
         out = model.transform(y).drop("_y", "_f")
     total = sum((F.col(f"c_{k}") for k in classes[1:]), F.col(f"c_{classes[0]}"))
     return out.withColumn("_t", total).withColumns({f"c_{k}": F.when(F.col("_t") > 0, F.col(f"c_{k}") / F.col("_t")).otherwise(1.0 / len(classes)) for k in classes}).drop("_t")
 
 
-def platt(x: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """Adds ``calibrated``: a logistic fit of y on the logit of p."""
+def platt(x: DataFrame, p: str = "p", y: str = "y", fit_on: str = "true") -> DataFrame:
+    """Adds ``calibrated``: a logistic fit of y on the logit of p, fitted on the rows where ``fit_on`` holds."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     z = VectorAssembler(inputCols=["_z"], outputCol="_f").transform(x.withColumn("_z", F.ln(q / (1 - q))).withColumn("_y", F.col(y).cast("double")))
-    model = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, maxIter=50, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hat").fit(z)
+    model = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, maxIter=50, probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_hat").fit(z.filter(fit_on))
     return model.transform(z).withColumn("calibrated", vector_to_array("_p")[1]).drop("_z", "_y", "_f", "_p", "_raw", "_hat")
 
 
@@ -69,3 +69,33 @@ def fit_regime_model(frame: DataFrame, kind: str = "forest", trees: int = 100, d
     model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed) if kind == "forest" else OneVsRest(classifier=GBTClassifier(maxIter=max(2, trees // 10), maxDepth=min(depth, 5), seed=seed), labelCol="y", featuresCol="x")
     stages = [StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]
     return Pipeline(stages=stages).fit(frame.filter("train"))
+
+
+def forecast(model, rows: DataFrame) -> DataFrame:
+    """symbol, ts, label, predicted, confidence (the highest probability), and the probability of each label by name."""
+    from pyspark.ml.functions import vector_to_array
+
+    labels = model.stages[0].labels
+    out = model.transform(rows)
+    name = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
+    if "probability" not in out.columns:  # one against the rest has no probabilities of its own
+        return out.select("symbol", "ts", "label", name.alias("predicted"), F.lit(None).cast("double").alias("confidence"))
+    p = vector_to_array("probability")
+    return out.select("symbol", "ts", "label", name.alias("predicted"), F.array_max(p).alias("confidence"), *(p[k].alias(f"p_{x}") for k, x in enumerate(labels)))
+
+
+def importances(model, spark, top: int = 10) -> DataFrame:
+    """(rank, feature, importance): the features that a fitted forest leans on most."""
+    names = model.stages[1].getInputCols()
+    rows = sorted(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=True), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(k + 1, n, v) for k, (n, v) in enumerate(rows[:top])], "rank int, feature string, importance double")
+
+
+def confusion(predicted: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, label, predicted, n, recall, precision, accuracy): recall and precision are of the label and the prediction."""
+    from pyspark.sql import Window
+
+    c = predicted.groupBy(*keys, "label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda *k: F.sum("n").over(Window.partitionBy(*keys, *k) if keys or k else Window.partitionBy(F.lit(0)))  # noqa: E731  a row for each pair of labels
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
+    return c.withColumns({"recall": F.col("n") / of("label"), "precision": F.col("n") / of("predicted"), "accuracy": right / of()})

@@ -11,6 +11,8 @@ from ..functions.exprs import div, over, running
 from . import metrics, signals
 
 KEYS = ["symbol", "param_id"]
+#: Parameter rows that are sent to all tasks at once.
+MOST_BROADCAST = 10_000
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -30,8 +32,9 @@ def sensitivity(params: DataFrame, name: str, values: list) -> DataFrame:
 def sweep(bars: DataFrame, params: DataFrame, lengths: list[int], costs: signals.Costs = signals.STOCKS) -> DataFrame:
     """The RSI and cycle strategy of every parameter row on every symbol, as filled positions.
 
-    ``params``: param_id, mn1 (one of ``lengths``), entry, exit, on, off, start; it is sent to all tasks, so it is meant
-    to be a grid of at most some thousand rows. The RSI of each length is computed once, not once for each row.
+    ``params``: param_id, mn1 (one of ``lengths``), entry, exit, on, off, start. With a column symbol each symbol has
+    rows of its own and they are joined by it; else all rows meet all bars, and a grid of more than MOST_BROADCAST rows
+    is joined in as many parts as it needs. The RSI of each length is computed once, not once for each row.
     """
     x = bars.select("symbol", "ts", "open", "close")
     for n in lengths:
@@ -40,7 +43,15 @@ def sweep(bars: DataFrame, params: DataFrame, lengths: list[int], costs: signals
     rsi = F.lit(None).cast("double")
     for n in lengths:
         rsi = F.when(F.col("mn1") == n, F.col(f"rsi_{n}")).otherwise(rsi)
-    y = x.crossJoin(F.broadcast(params)).withColumn("rsi", rsi)  # bars times parameters is the sweep's size
+    if "symbol" in params.columns:
+        y = x.join(params, "symbol").withColumn("rsi", rsi)
+    else:  # bars times parameters is the sweep's size
+        parts = -(-params.count() // MOST_BROADCAST)
+        grids = [params] if parts <= 1 else [params.filter(F.pmod("param_id", F.lit(parts)) == k) for k in range(parts)]
+        y = None
+        for g in grids:
+            z = x.crossJoin(F.broadcast(g)).withColumn("rsi", rsi)
+            y = z if y is None else y.unionByName(z)
     on = signals.cycle(F.col("_i"), F.col("on"), F.col("off"), F.col("start"))
     y = y.select(*KEYS, "ts", "open", ((F.col("rsi") < F.col("entry")) & on).alias("entry"), ((F.col("rsi") > F.col("exit")) | ~on).alias("exit"))
     return signals.fills(signals.positions(y, KEYS), KEYS, costs)
@@ -53,6 +64,42 @@ def scores(filled: DataFrame, phase: str) -> DataFrame:
     return e.join(t, KEYS).withColumn("score", F.col("sharpe") * metrics.trade_multiplier(F.col("trades"), phase))
 
 
+def psr_scores(filled: DataFrame) -> DataFrame:
+    """Trades, Sharpe, and the probabilistic Sharpe ratio weighted by trades as the score, of each (symbol, param_id)."""
+    t = filled.groupBy(*KEYS).agg(F.count_if("_ends").alias("trades"))
+    m = metrics.moments(metrics.equity_returns(signals.equity(filled, KEYS), KEYS), KEYS).join(t, KEYS)
+    p = metrics.probabilistic_sharpe(m, KEYS, trades="trades")
+    weight = metrics.trade_multiplier(F.col("trades"), "rsi")
+    return p.select(*KEYS, "trades", (F.col("sharpe") * weight).alias("sharpe"), (F.col("psr") * weight).alias("score"))
+
+
+def two_phases(bars: DataFrame, cycles: DataFrame, rsis: DataFrame, base: dict[str, float], lengths: list[int], digits: int = 6) -> DataFrame:
+    """Coordinate-wise search: first the cycle of each symbol at base RSI values, then the RSI values at its best cycle.
+
+    ``cycles``: param_id, on, off, start; ``rsis``: param_id, mn1, entry, exit; ``base``: mn1, entry, exit. Both phases are
+    one job over all symbols and rows. Returns (symbol, param_id, on, off, start, mn1, entry, exit, cycle_score, trades,
+    sharpe, score). Scores are rounded to ``digits`` before they are ranked; ties go to the smaller param_id.
+    """
+    first = cycles.withColumns({k: F.lit(v) for k, v in base.items()})
+    won = best(scores(sweep(bars, first, [int(base["mn1"])]), "cycle").withColumn("score", F.round("score", digits)), ["symbol"])
+    cycle = won.join(cycles, "param_id").select("symbol", "on", "off", "start", F.col("score").alias("cycle_score"))
+    second = cycle.crossJoin(F.broadcast(rsis))  # symbols times rows of the grid
+    found = psr_scores(sweep(bars, second.drop("cycle_score"), lengths))
+    return found.withColumn("score", F.round("score", digits)).join(second, KEYS)
+
+
+def top_of_batches(results: DataFrame, batch: int = 500, n: int = 5) -> DataFrame:
+    """The n best rows of each symbol's batches of parameter rows, and the best of all as the row ``FINAL``."""
+    rows = results.withColumn("batch", F.floor(F.col("param_id") / batch).cast("string"))
+    final = best(results, ["symbol"]).withColumn("batch", F.lit("FINAL"))
+    return best(rows, ["symbol", "batch"], n).unionByName(final)
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Adds result rows to a Parquet table."""
+    rows.write.mode("append").parquet(path)
+
+
 def best(results: DataFrame, keys: list[str], n: int = 1) -> DataFrame:
     """The n best rows of each key by score, ties by param_id, with their rank."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "param_id")

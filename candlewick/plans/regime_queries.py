@@ -93,6 +93,19 @@ def r10_statistics(spark, sf_dir):
     return rounded(R.statistics(R.durations(R.labels(R.scores(R.features(series(spark, sf_dir)))))), 5)
 
 
+FRAME = [*P, "confidence", "duration_scaled", "stay", "realized_vol", "ret_20", "skew", "vs_fast", "vs_slow", "rsi", "drawdown"]
+
+
+@query(REG + f""", f AS (SELECT *, lead(regime, 5) {W} AS label, duration / 100.0 AS duration_scaled, count(*) OVER (PARTITION BY symbol) AS nn FROM rg)
+SELECT symbol, ts, label, i <= 0.8 * nn AS train, regime = 'bull' AS is_bull, regime = 'crisis' AS is_crisis, {', '.join(f"round(coalesce({c}, 0), {3 if c in ('skew', 'kurt', 'rsi', 'ret_20') else 5}) + 0 AS {c}" for c in FRAME)} FROM f WHERE label IS NOT NULL AND nn >= 100""")
+def r12_features(spark, sf_dir):
+    """The predictor's features, label and split, row by row."""
+    from ..operators import calibration
+
+    x = calibration.training_frame(R.detect(series(spark, sf_dir)))
+    return rounded(x.select("symbol", "ts", "label", "train", (F.col("is_bull") > 0).alias("is_bull"), (F.col("is_crisis") > 0).alias("is_crisis"), *FRAME), 5, skew=3, rsi=3, ret_20=3)
+
+
 @query(REG + f""", f AS (SELECT symbol, regime, lead(regime, 5) {W} AS label, (i - 1) / (count(*) OVER (PARTITION BY symbol) - 1) <= 0.8 AS train FROM rg)
 SELECT symbol, train, regime, label, count(*) AS n FROM f WHERE label IS NOT NULL GROUP BY ALL""")
 def r12_r13_training_set(spark, sf_dir):

@@ -9,7 +9,7 @@ from ..operators import resample as S
 from ..operators import search as X
 from ..operators import signals
 from ..sources import bars as B
-from .market import rounded, rule
+from .market import _cdf, rounded, rule
 from .registry import DAILY, RSI_RULE, W, intraday, query, roll
 
 LENGTHS = [7, 14]
@@ -57,6 +57,61 @@ def b01_b02_sweep(spark, sf_dir):
     return rounded(X.scores(swept(spark, sf_dir), "rsi"), 5)
 
 
+def _phase(k: int, y: str) -> str:
+    """SQL of a sweep's positions, fills, equity and returns: tables y<k> to er<k>, from a table of (symbol, param_id, ts, open, rsi, entry, exit, cy)."""
+    return f"""y{k} AS ({y}),
+s{k} AS (SELECT symbol, param_id, ts, open, rsi < entry AND cy AND lead(1) {K} IS NOT NULL AS e, rsi > exit OR NOT cy AS x, lead(1) {K} IS NULL AS is_last FROM y{k}),
+b{k} AS (SELECT *, CASE WHEN e AND NOT x THEN 1 WHEN x AND NOT e THEN 0 END AS base FROM s{k}),
+p{k} AS (SELECT *, coalesce(last_value(base IGNORE NULLS) {R}, 0) AS pos FROM b{k}),
+q{k} AS (SELECT *, coalesce(lag(pos) {K}, 0) AS prev, coalesce(lead(open) {K}, open) AS nxt FROM p{k}),
+o{k} AS (SELECT *, prev = 0 AND pos = 1 AS opened, prev = 1 AND pos = 0 AS closed FROM q{k}),
+t{k} AS (SELECT *, last_value(CASE WHEN opened THEN nxt * 1.0006 END IGNORE NULLS) {R} AS ep, closed OR (is_last AND pos = 1) AS ends FROM o{k}),
+z{k} AS (SELECT *, CASE WHEN ends THEN CASE WHEN closed THEN nxt ELSE open END * 0.9994 / ep END AS f FROM t{k}),
+fl{k} AS (SELECT *, 1000 * exp(coalesce(sum(ln(f)) {R}, 0)) AS ea FROM z{k}),
+er{k} AS (SELECT *, equity / lag(equity) {K} - 1 AS ret FROM (SELECT symbol, param_id, ts, ends, CASE WHEN pos = 1 AND NOT ends THEN ea * open / ep ELSE ea END AS equity FROM fl{k}))"""
+
+
+def _psr(n: str, m: str, sd: str, sk: str, ku: str, t: str) -> str:
+    """SQL of the probabilistic Sharpe ratio from moments."""
+    s, eff = f"({m} / CASE WHEN {sd} >= 1e-12 THEN {sd} END)", f"(CASE WHEN {t} < {n} / 10 THEN greatest({t}::DOUBLE, 10.0) ELSE {n} END)"
+    sk, ku = f"least(greatest({sk}, -10), 10)", f"least(greatest({ku}, -10), 50)"
+    v = f"((1 - {sk} * {s} + ({ku} - 1) / 4 * {s} * {s}) / greatest({eff} - 1, 1) * 252)"
+    se = f"(CASE WHEN {v} > 0 THEN sqrt({v}) ELSE (1 + least(5, abs({sk})) * 0.3) * (1 + least(10, abs({ku})) * 0.15) * sqrt(252) / sqrt(greatest({eff} - 1, 1)) END)"
+    bound = f"(CASE WHEN {eff} < 30 THEN 2.0 WHEN {eff} < 100 THEN 2.5 ELSE 3.0 END)"
+    z = f"least(greatest(least(greatest({s} * sqrt(252), -10), 10) / CASE WHEN {se} < 1e-10 THEN 0.2 ELSE {se} END, -{bound}), {bound})"
+    return f"CASE WHEN {n} < 30 OR {sd} IS NULL THEN 0.5 WHEN {sd} < 1e-12 THEN CASE WHEN {m} > 0 THEN 0.95 ELSE 0.05 END ELSE least(greatest({_cdf(z)}, 0.001), 0.999) END"
+
+
+PHASES = (
+    SWEEP.split(",\ny AS", 1)[0]
+    + """,
+cg AS (SELECT row_number() OVER (ORDER BY "on", off, start) - 1 AS param_id, * FROM (VALUES (10), (20)) AS a("on"), (VALUES (5), (10)) AS b(off), (VALUES (0), (3)) AS c(start)), """
+    + _phase(1, """SELECT symbol, param_id, ts, open, rsi_14 AS rsi, 30.0 AS entry, 70.0 AS exit, ((i - start) % ("on" + off) + ("on" + off)) % ("on" + off) < "on" AS cy FROM rs, cg""")
+    + """,
+sc1 AS (SELECT symbol, param_id, count(*) FILTER (ends) AS trades, CASE WHEN stddev_samp(ret) > 0 THEN least(greatest(avg(ret) / stddev_samp(ret) * sqrt(252), -5), 10) ELSE 0 END AS sharpe FROM er1 GROUP BY ALL),
+re1 AS (SELECT *, round(sharpe * CASE WHEN trades < 10 THEN 0.0 WHEN trades >= 30 THEN 1.0 ELSE trades / 30.0 END, 6) AS score FROM sc1),
+cy AS (SELECT re1.symbol, "on", off, start, score AS cycle_score, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, param_id) AS k FROM re1 JOIN cg USING (param_id)), """
+    + _phase(2, """SELECT symbol, param_id, ts, open, CASE mn1 WHEN 7 THEN rsi_7 ELSE rsi_14 END AS rsi, entry, exit, ((i - start) % ("on" + off) + ("on" + off)) % ("on" + off) < "on" AS cy FROM rs JOIN (SELECT * FROM cy WHERE k = 1) USING (symbol), pa""")
+    + f""",
+mo2 AS (SELECT symbol, param_id, count(ret)::DOUBLE AS n, avg(ret) AS m, stddev_samp(ret) AS sd, skewness(ret) AS sk, kurtosis(ret) AS ku, count(*) FILTER (ends) AS trades FROM er2 GROUP BY ALL),
+re2 AS (SELECT symbol, param_id, trades, round(({_psr('n', 'm', 'sd', 'sk', 'ku', 'trades')}) * CASE WHEN trades < 10 THEN 0.0 WHEN trades >= 30 THEN 1.0 ELSE (trades - 10) / 20.0 END, 6) AS score FROM mo2),
+al AS (SELECT re2.*, "on", off, start, cycle_score, mn1, entry, exit, row_number() OVER (PARTITION BY re2.symbol ORDER BY score DESC, re2.param_id) AS k_all, row_number() OVER (PARTITION BY re2.symbol, re2.param_id // 4 ORDER BY score DESC, re2.param_id) AS k_batch
+  FROM re2 JOIN cy ON re2.symbol = cy.symbol AND cy.k = 1 JOIN pa ON re2.param_id = pa.param_id)
+SELECT symbol, CAST(param_id // 4 AS VARCHAR) AS batch, CAST(k_batch AS INT) AS rank, param_id, "on", off, start, mn1, entry, exit, cycle_score, trades, score FROM al WHERE k_batch <= 3
+UNION ALL SELECT symbol, 'FINAL', 1, param_id, "on", off, start, mn1, entry, exit, cycle_score, trades, score FROM al WHERE k_all = 1"""
+)
+
+
+@query(PHASES)
+def b01_a13_phases(spark, sf_dir):
+    """The cycle phase, then the RSI phase at each symbol's best cycle; the best of each batch and the final row."""
+    cycles = X.grid(spark, on=[10, 20], off=[5, 10], start=[0, 3])
+    rsis = X.grid(spark, mn1=LENGTHS, entry=[25.0, 35.0], exit=[65.0, 75.0])
+    found = X.two_phases(B.daily_bars(spark, sf_dir), cycles, rsis, {"mn1": 14, "entry": 30.0, "exit": 70.0}, LENGTHS)
+    t = X.top_of_batches(found, batch=4, n=3)
+    return t.select("symbol", "batch", "rank", "param_id", "on", "off", "start", "mn1", "entry", "exit", "cycle_score", "trades", "score")
+
+
 @query(SWEEP + ", r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 7) DESC, param_id) AS rank FROM re) SELECT symbol, param_id, trades, round(score, 5) AS score, rank FROM r WHERE rank <= 5")
 def a13_top_trials(spark, sf_dir):
     r = X.scores(swept(spark, sf_dir), "rsi").withColumn("score", F.round("score", 7))
