@@ -224,22 +224,22 @@ def order_size(cash: Column, share: Column, price: Column, crypto: Column) -> Co
 def average_cost(fills: DataFrame) -> DataFrame:
     """Position accounting of signed fills by (portfolio, symbol): quantity, average price, realised result.
 
-    Average cost with flips is a fold over fills in order, so it runs in pandas on each group of fills; fills are few
-    beside bars. ``fills``: portfolio, symbol, ts, qty (signed), price.
+    The quantity is a running sum. A position begins where there was none or where a fill turns it over; there the
+    average price is the fill's. Until the next beginning a fill that adds maps the average to a * average + b with
+    a = quantity before / after, so the average is the running product of the a times a running sum of b by that product.
+    Fills stand by ts, quantity and price. ``fills``: portfolio, symbol, ts, qty (signed), price.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = avg = real = 0.0
-        for f, px in pdf.sort_values(["ts", "qty", "price"])[["qty", "price"]].itertuples(index=False):
-            if q * f >= 0:
-                avg = (avg * q + px * f) / (q + f) if q + f else 0.0
-            else:
-                real += min(abs(f), abs(q)) * (px - avg) * (1 if q > 0 else -1)
-                avg = px if abs(f) > abs(q) else avg
-            q += f
-        return pd.DataFrame([[pdf.portfolio.iloc[0], pdf.symbol.iloc[0], q, avg if q else 0.0, real]], columns=["portfolio", "symbol", "qty", "avg_price", "realized"])
-
-    return fills.groupBy("portfolio", "symbol").applyInPandas(fold, "portfolio string, symbol string, qty double, avg_price double, realized double")
-
-
+    keys = ["portfolio", "symbol"]
+    w = Window.partitionBy(*keys).orderBy("ts", "qty", "price")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    x = fills.withColumn("_n", F.row_number().over(w)).withColumn("_q", F.sum("qty").over(run)).withColumn("_p", F.coalesce(F.lag("_q").over(w), F.lit(0.0)))
+    begins = (c("_p") == 0) | ((c("_p") * c("qty") < 0) & (F.abs("qty") > F.abs("_p")))
+    x = x.withColumns({"_b": begins.cast("long"), "_adds": (c("_p") * c("qty") > 0)}).withColumn("_run", F.sum("_b").over(run))
+    inner = Window.partitionBy(*keys, "_run").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_prod", F.exp(F.sum(F.when(c("_adds"), F.ln(c("_p") / c("_q"))).otherwise(0.0)).over(inner)))
+    share = F.when(c("_b") == 1, c("price")).when(c("_adds"), c("price") * c("qty") / c("_q") / c("_prod")).otherwise(0.0)
+    x = x.withColumn("_avg", c("_prod") * F.sum(share).over(inner))
+    closed = F.when(c("_p") * c("qty") < 0, F.least(F.abs("qty"), F.abs("_p")) * (c("price") - F.lag("_avg").over(w)) * F.signum("_p")).otherwise(0.0)
+    a = x.withColumn("_real", closed).groupBy(*keys).agg(F.max_by("_q", "_n").alias("qty"), F.max_by("_avg", "_n").alias("_a"), F.sum("_real").alias("realized"))
+    return a.select(*keys, "qty", F.when(c("qty") != 0, c("_a")).otherwise(0.0).alias("avg_price"), "realized")

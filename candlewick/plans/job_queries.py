@@ -12,9 +12,9 @@ from ..sources import bars as B
 from ..sources.store import FeatureStore, VersionedStore
 from ..streaming import jobs
 from .desk_queries import k07_alerts
-from .market import V
+from .market import F_BASE, V, rounded
 from .regime_queries import series
-from .registry import DAILY, SQL, query
+from .registry import DAILY, SQL, query, roll
 
 
 def shared(spark, name: str) -> str:
@@ -25,7 +25,7 @@ def shared(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query()
+@query(DAILY + " SELECT symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, CAST(2 AS BIGINT) AS versions, true AS intact FROM bars WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1999-12-31' GROUP BY symbol")
 def a04_a10_store(spark, sf_dir):
     """Write twice, list, read the latest within a range, check integrity."""
     store = VersionedStore(spark, shared(spark, "store"))
@@ -37,7 +37,8 @@ def a04_a10_store(spark, sf_dir):
     return read.join(intact, "symbol")
 
 
-@query()
+@query(DAILY + F_BASE + f""", f2 AS (SELECT *, {roll('avg', 'up', 14)} AS ag, {roll('avg', 'down', 14)} AS al, {roll('avg', 'tr', 14)} AS atr FROM f1), f3 AS (SELECT *, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100.0 END AS rsi FROM f2)
+SELECT symbol, count(*) AS n, count(rsi) AS n_rsi, round(avg(atr), 6) AS mean_atr FROM f3 GROUP BY symbol""")
 def a06_a07_f19_feature_store(spark, sf_dir):
     """Register, compute, store and get features with lineage."""
     fs = FeatureStore(VersionedStore(spark, shared(spark, "features")))
@@ -61,12 +62,20 @@ def a16_json_alerts(spark, sf_dir):
     return monitor.json_round_trip(k07_alerts(spark, sf_dir), shared(spark, "alerts"))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT 'P' || (l_suppkey % 5) AS portfolio, p_brand AS symbol, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END::DOUBLE AS qty, l_extendedprice / l_quantity AS price, l_shipdate AS ts FROM lineitem JOIN part ON l_partkey = p_partkey),
+n AS (SELECT *, row_number() OVER (PARTITION BY portfolio, symbol ORDER BY ts, qty, price) AS k FROM f),
+r(portfolio, symbol, k, q, av, re) AS (
+  SELECT portfolio, symbol, k, qty, price::DOUBLE, 0.0::DOUBLE FROM n WHERE k = 1
+  UNION ALL SELECT n.portfolio, n.symbol, n.k, q + qty,
+    CASE WHEN q * qty >= 0 THEN CASE WHEN q + qty <> 0 THEN (av * q + price * qty) / (q + qty) ELSE 0 END WHEN abs(qty) > abs(q) THEN price ELSE av END,
+    CASE WHEN q * qty < 0 THEN re + least(abs(qty), abs(q)) * (price - av) * sign(q) ELSE re END
+  FROM r JOIN n ON n.portfolio = r.portfolio AND n.symbol = r.symbol AND n.k = r.k + 1)
+SELECT portfolio, symbol, q AS qty, round(CASE WHEN q <> 0 THEN av ELSE 0 END, 4) AS avg_price, round(re, 2) AS realized FROM r QUALIFY row_number() OVER (PARTITION BY portfolio, symbol ORDER BY k DESC) = 1""")
 def s13_positions(spark, sf_dir):
     """Average cost with flips, from line items as signed fills."""
     t = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
-    return execution.average_cost(t.select(F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("portfolio"), F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), (sign * F.col("l_quantity")).cast("double").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))
+    return rounded(execution.average_cost(t.select(F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("portfolio"), F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), (sign * F.col("l_quantity")).cast("double").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))), 4, realized=2)
 
 
 def _forest(spark, sf_dir):
@@ -122,14 +131,20 @@ def _run(spark, stream, name):
     return jobs.run_once(stream, shared(spark, name), shared(spark, f"{name}-state"))
 
 
-@query()
+#: Ticks, and the latest time, which the watermark is behind.
+TICKS = "WITH e AS (SELECT event_id, ts, event_type AS symbol, value AS price, max(date_trunc('millisecond', ts)) OVER () AS top FROM events)"
+
+
+@query(TICKS + " SELECT symbol, date_trunc('hour', ts) AS ts, first(price ORDER BY e.ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY e.ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM e GROUP BY 1, 2 HAVING date_trunc('hour', e.ts) + INTERVAL 1 HOUR <= any_value(top) - INTERVAL 10 MINUTES")
 def t1_stream_bars(spark, sf_dir):
     return _run(spark, jobs.stream_bars(_ticks(spark, sf_dir)), "bars")
 
 
-@query()
+@query(TICKS + """, w AS (SELECT symbol, price, top, date_trunc('day', ts) + INTERVAL 1 DAY * k AS z FROM e, (VALUES (1), (2)) AS v(k)),
+g AS (SELECT symbol, z AS ts, avg(price) AS mean, stddev_samp(price) AS deviation, count(*)::DOUBLE AS count FROM w GROUP BY 1, 2 HAVING z <= any_value(top) - INTERVAL 1 HOUR)
+SELECT ts, symbol, unnest(['mean', 'deviation', 'count']) AS name, round(unnest([mean, deviation, count]), 6) AS value FROM g""")
 def t2_stream_metrics(spark, sf_dir):
-    return _run(spark, jobs.stream_metrics(_ticks(spark, sf_dir)), "metrics")
+    return rounded(_run(spark, jobs.stream_metrics(_ticks(spark, sf_dir)), "metrics"), 6)
 
 
 @query()
@@ -141,7 +156,7 @@ def t3_s15_stream_signals(spark, sf_dir):
     return _run(spark, jobs.stream_signals(bars), "signals")
 
 
-@query()
+@query("SELECT ts, event_type AS symbol, 'price' AS name, value, 480.0::DOUBLE AS threshold, '>' AS comparison, 'critical' AS severity, 'price > 480.0' AS message FROM events WHERE value > 480")
 def t4_stream_alerts(spark, sf_dir):
     rules = spark.createDataFrame([("price", 480.0, ">", "critical")], "name string, threshold double, comparison string, severity string")
     m = _ticks(spark, sf_dir).select("ts", "symbol", F.lit("price").alias("name"), F.col("price").alias("value"))
@@ -154,7 +169,8 @@ def t5_stream_risk(spark, sf_dir):
     return _run(spark, jobs.stream_risk(e), "risk")
 
 
-@query()
+@query(TICKS + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS st FROM e), s AS (SELECT *, sum(st) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT symbol, min(ts) AS start_ts, max(ts) + INTERVAL 30 MINUTES AS end_ts, count(*) AS n FROM s GROUP BY symbol, k HAVING max(ts) + INTERVAL 30 MINUTES <= any_value(top) - INTERVAL 1 HOUR""")
 def t6_stream_sessions(spark, sf_dir):
     return _run(spark, jobs.stream_sessions(_ticks(spark, sf_dir)), "sessions")
 
