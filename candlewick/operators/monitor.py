@@ -97,6 +97,25 @@ def json_round_trip(alerts_: DataFrame, path: str) -> DataFrame:
     return alerts_.sparkSession.read.schema(alerts_.schema).json(path)
 
 
+LOG_SCHEMA = "timestamp timestamp, level string, event string, correlation_id long, details struct<order_id: long, amount: double>"
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """A structured log: JSON, a record a line, by a fixed schema."""
+    return spark.read.schema(LOG_SCHEMA).json(path)
+
+
+def search_log(log: DataFrame, correlation_id: Column | int, event: str | None = None) -> DataFrame:
+    """The records of one correlation id, in order of time."""
+    found = log.filter(F.col("correlation_id") == correlation_id)
+    return (found.filter(F.col("event") == event) if event else found).orderBy("timestamp")
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """Records of each correlation id and event: count, first and last time, total amount."""
+    return log.groupBy("correlation_id", "event").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.sum("details.amount").alias("amount"))
+
+
 def active(alerts_: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return alerts_.filter(F.col("ts") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
@@ -114,9 +133,60 @@ def latest_state(events: DataFrame, keys: list[str], order: str = "ts") -> DataF
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_s")).select(*keys, "_s.*")
 
 
-def compare_runs(rows: DataFrame, names: list[str], prefix: str) -> DataFrame:
+def run_params(events: DataFrame) -> DataFrame:
+    """(run_id, name, text): the latest text of each parameter. ``events``: run_id, ts, kind, name, step, value, text.
+
+    Events are only ever appended; ``kind`` is param, metric, artifact or status.
+    """
+    return events.filter("kind = 'param'").groupBy("run_id", "name").agg(F.max_by("text", "ts").alias("text"))
+
+
+def run_metrics(events: DataFrame) -> DataFrame:
+    """(run_id, name, step, value): each metric at each step, the latest where a step was logged again."""
+    return events.filter("kind = 'metric'").groupBy("run_id", "name", "step").agg(F.max_by("value", "ts").alias("value"))
+
+
+def last_metrics(metrics: DataFrame) -> DataFrame:
+    """(run_id, name, steps, value, best): the number of steps, the last one's value and the highest."""
+    return metrics.groupBy("run_id", "name").agg(F.count(F.lit(1)).alias("steps"), F.max_by("value", "step").alias("value"), F.max("value").alias("best"))
+
+
+def run_artifacts(events: DataFrame) -> DataFrame:
+    """(run_id, name, text): the latest path of each artifact."""
+    return events.filter("kind = 'artifact'").groupBy("run_id", "name").agg(F.max_by("text", "ts").alias("text"))
+
+
+def compare_runs(rows: DataFrame, names: list[str], prefix: str, value: str = "value") -> DataFrame:
     """A row a run, a column for each name: ``rows`` is (run_id, name, value)."""
-    return rows.groupBy("run_id").pivot("name", names).agg(F.first("value")).select("run_id", *(F.col(n).alias(f"{prefix}_{n}") for n in names))
+    return rows.groupBy("run_id").pivot("name", names).agg(F.first(value)).select("run_id", *(F.col(n).alias(f"{prefix}_{n}") for n in names))
+
+
+def comparison(events: DataFrame, params: list[str], metrics: list[str]) -> DataFrame:
+    """The runs side by side: param_<name> and the last metric_<name>."""
+    p = compare_runs(run_params(events), params, "param", "text")
+    return p.join(compare_runs(last_metrics(run_metrics(events)), metrics, "metric"), "run_id", "full")
+
+
+def latest_in_stage(versions: DataFrame) -> DataFrame:
+    """The highest version of each model in each stage."""
+    return versions.groupBy("model", "stage").agg(F.max("version").alias("version"), F.max_by("created", "version").alias("created"))
+
+
+def save_model(model, root: str, name: str, version: int) -> str:
+    """Writes a fitted MLlib model to the shared folder; the path."""
+    path = f"{root.rstrip('/')}/{name}/v{version}"
+    model.write().save(path)
+    return path
+
+
+def load_model(versions: DataFrame, root: str, name: str, stage: str):
+    """The fitted MLlib pipeline that is the model's latest version in a stage."""
+    from pyspark.ml import PipelineModel
+
+    row = latest_in_stage(versions).filter((F.col("model") == name) & (F.col("stage") == stage)).first()
+    if row is None:
+        raise LookupError(f"{name} has no version in {stage}")
+    return PipelineModel.load(f"{root.rstrip('/')}/{name}/v{row['version']}")
 
 
 def model_versions(events: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, frame, over, running
+from ..sources.bars import TF_SECONDS, bucket_of
 
 START = 1000.0
 
@@ -49,8 +50,11 @@ def cycle(index: Column, on: Column, off: Column, start: Column) -> Column:
 
 
 def align(fine: DataFrame, coarse: DataFrame, unit: str, value: str, out: str, default: float | bool = 0.0) -> DataFrame:
-    """A coarse series' value on each fine bar of the same day, hour or bucket; the last one where several match."""
-    key = F.date_trunc(unit, F.col("ts"))
+    """A coarse series' value on each fine bar of the same day, hour or bucket; the last one where several match.
+
+    ``unit`` is one of date_trunc, or a timeframe such as 5min.
+    """
+    key = bucket_of(F.col("ts"), unit) if unit in TF_SECONDS else F.date_trunc(unit, F.col("ts"))
     one = coarse.groupBy("symbol", key.alias("_k")).agg(F.max_by(value, "ts").alias(out))
     return fine.withColumn("_k", key).join(one, ["symbol", "_k"], "left").drop("_k").withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 

@@ -225,11 +225,11 @@ def a15_prometheus(spark, sf_dir):
     return M.prometheus(M.latest(m, ["name", "grp"]).withColumn("tags", F.create_map(F.lit("grp"), F.col("grp"))))
 
 
-@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 50 GROUP BY ALL")
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n FROM events GROUP BY ALL")
 def a17_log_search(spark, sf_dir):
     """JSON records parsed with a schema, filtered and counted."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return B.table(spark, sf_dir, "events").withColumn("k", k).filter("k < 50").groupBy("event_type", (F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return B.table(spark, sf_dir, "events").withColumn("k", k).groupBy("event_type", (F.col("k") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 SAMPLES = "WITH x AS (SELECT label AS key, vec_id % 2 AS sample, round(embedding[1]::DOUBLE, 4) AS value FROM embeddings)"
@@ -301,17 +301,53 @@ def e01_latest_runs(spark, sf_dir):
     return M.latest_state(o.withColumn("ord", F.struct("ts", "o_orderkey")), ["run_id"], "ord").select("run_id", "status", "ts")
 
 
-@query("SELECT o_custkey AS run_id, sum(o_totalprice) FILTER (o_orderstatus = 'F') AS metric_F, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS metric_O, sum(o_totalprice) FILTER (o_orderstatus = 'P') AS metric_P FROM orders GROUP BY o_custkey".replace("sum(o_totalprice)", "round(max(o_totalprice)").replace("')", "'), 2)"))
+RUNS = "WITH r AS (SELECT o_custkey AS run_id, o_orderkey AS k, o_orderdate AS ts, o_totalprice AS v, o_orderpriority AS p, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step FROM orders)"
+
+
+def run_events(spark, sf_dir):
+    """Orders as the event log of runs: a step's metrics price and scaled, a parameter priority, an artifact by status."""
+    from pyspark.sql import Window
+
+    o = B.table(spark, sf_dir, "orders")
+    o = o.withColumn("step", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    event = lambda kind, name, value, said: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), said.alias("text"))
+    price = F.col("o_totalprice").cast("double")
+    e = F.array(
+        event("metric", F.lit("price"), price, text), event("metric", F.lit("scaled"), price / F.col("step"), text),
+        event("param", F.lit("priority"), none, F.col("o_orderpriority")), event("artifact", F.col("o_orderstatus"), none, F.concat(F.lit("runs/"), F.col("o_orderkey").cast("string"))),
+    )
+    return o.select(F.col("o_custkey").alias("run_id"), F.struct("o_orderdate", "o_orderkey").alias("ts"), "step", F.explode(e).alias("e")).select("run_id", "ts", "step", "e.*")
+
+
+@query(RUNS + " SELECT run_id, name, CAST(count(*) AS BIGINT) AS steps, round(last(value ORDER BY step), 3) AS value, round(max(value), 3) AS best FROM (SELECT run_id, step, unnest(['price', 'scaled']) AS name, unnest([v, v / step]) AS value FROM r) GROUP BY ALL")
+def e01_step_metrics(spark, sf_dir):
+    return rounded(M.last_metrics(M.run_metrics(run_events(spark, sf_dir))), 3)
+
+
+@query(RUNS + " SELECT run_id, s AS name, 'runs/' || last(k ORDER BY step) AS text FROM r GROUP BY ALL")
+def e01_artifacts(spark, sf_dir):
+    return M.run_artifacts(run_events(spark, sf_dir))
+
+
+@query(RUNS + " SELECT run_id, last(p ORDER BY step) AS param_priority, round(last(v ORDER BY step), 3) AS metric_price, round(last(v / step ORDER BY step), 3) AS metric_scaled FROM r GROUP BY run_id")
 def e02_compare_runs(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id"), F.col("o_orderstatus").alias("name")).agg(F.max("o_totalprice").alias("value"))
-    return rounded(M.compare_runs(o, ["F", "O", "P"], "metric"), 2)
+    return rounded(M.comparison(run_events(spark, sf_dir), ["priority"], ["price", "scaled"]), 3)
 
 
-@query("""WITH e AS (SELECT 'm' || (o_custkey % 20) AS model, o_orderdate AS ts, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'promote' ELSE 'register' END AS action, CASE WHEN o_orderstatus = 'P' THEN 'production' ELSE 'staging' END AS stage FROM orders),
+VERSIONS = """WITH e AS (SELECT 'm' || (o_custkey % 20) AS model, o_orderdate AS ts, o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN 'promote' ELSE 'register' END AS action, CASE WHEN o_orderstatus = 'P' THEN 'production' ELSE 'staging' END AS stage FROM orders),
 d AS (SELECT model, ts, action, min(stage) AS stage FROM e GROUP BY ALL), v AS (SELECT *, CAST(sum((action = 'register')::INT) OVER (PARTITION BY model ORDER BY ts, action ROWS UNBOUNDED PRECEDING) AS BIGINT) AS version FROM d)
-SELECT model, version, last(stage ORDER BY ts, action = 'promote') AS stage, min(ts) AS created FROM v WHERE version > 0 GROUP BY model, version""")
+SELECT model, version, last(stage ORDER BY ts, action = 'promote') AS stage, min(ts) AS created FROM v WHERE version > 0 GROUP BY model, version"""
+
+
+@query(VERSIONS)
 def e03_model_versions(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders")
     p = F.col("o_orderstatus") == "P"
     ev = o.select(F.concat(F.lit("m"), F.col("o_custkey") % 20).alias("model"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.when(p, "promote").otherwise("register").alias("action"), F.when(p, "production").otherwise("staging").alias("stage"))
     return M.model_versions(ev.groupBy("model", "ts", "action").agg(F.min("stage").alias("stage")))
+
+
+@query(f"SELECT model, stage, max(version) AS version, arg_max(created, version) AS created FROM ({VERSIONS}) GROUP BY ALL")
+def e03_latest_in_stage(spark, sf_dir):
+    return M.latest_in_stage(e03_model_versions(spark, sf_dir))

@@ -14,7 +14,7 @@ from ..streaming import jobs
 from .desk_queries import k07_alerts
 from .market import F_BASE, V, rounded
 from .regime_queries import series
-from .registry import DAILY, SQL, query, roll
+from .registry import DAILY, SQL, W, intraday, query, roll
 
 
 def shared(spark, name: str) -> str:
@@ -56,6 +56,24 @@ def a14_json_report(spark, sf_dir):
     return spark.read.schema("symbol string, tf string, total long, passed long, critical long, error long, warning long, has_critical boolean").json(out)
 
 
+@query(DAILY + ", e AS (SELECT symbol, max(ts) AS m FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n, round(sum(volume), 3) AS volume, round(avg(close), 6) AS mean_close, min(ts) AS first_ts FROM bars JOIN e USING (symbol) WHERE ts >= m - INTERVAL 3650 DAYS GROUP BY symbol")
+def a01_a02_landed(spark, sf_dir):
+    """A1 A2: bars put down as CSV under foreign names, read by schema, standardised, within ten years."""
+    root = shared(spark, "landed")
+    b = B.daily_bars(spark, sf_dir)
+    b.select(*(F.col(ours).alias(theirs) for theirs, ours in B.LANDED.items())).write.option("header", True).csv(root)
+    return rounded(B.landed(spark, root, "daily").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.avg("close").alias("mean_close"), F.min("ts").alias("first_ts")), 6, volume=3)
+
+
+@query("SELECT user_id AS correlation_id, event_type AS event, count(*) AS n, min(date_trunc('millisecond', ts)) AS first_ts, max(date_trunc('millisecond', ts)) AS last_ts, round(sum(value), 4) AS amount FROM events GROUP BY ALL")
+def a17_json_log(spark, sf_dir):
+    """Events as JSON log lines, read by schema and gathered by correlation id."""
+    root = shared(spark, "log")
+    e = B.table(spark, sf_dir, "events")
+    e.select(F.col("ts").cast("timestamp").alias("timestamp"), F.lit("INFO").alias("level"), F.col("event_type").alias("event"), F.col("user_id").alias("correlation_id"), F.struct(F.col("event_id").alias("order_id"), F.col("value").alias("amount")).alias("details")).write.json(root)
+    return rounded(monitor.log_summary(monitor.read_log(spark, root)), 4)
+
+
 @query(SQL["k07_alerts"])
 def a16_json_alerts(spark, sf_dir):
     """The alerts written as JSON and read back."""
@@ -147,13 +165,16 @@ def t2_stream_metrics(spark, sf_dir):
     return rounded(_run(spark, jobs.stream_metrics(_ticks(spark, sf_dir)), "metrics"), 6)
 
 
-@query()
+@query(intraday("hourly", 3600) + f""", m AS (SELECT *, coalesce(close - lag(close) {W}, 0) AS d FROM bars),
+g AS (SELECT *, sum(greatest(d, 0)) OVER w AS g, -sum(least(d, 0)) OVER w AS l FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, CASE WHEN l > 1e-12 THEN 100 - 100 / (1 + g / l) ELSE 0 END AS rsi FROM g), e AS (SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN 0 END AS ev FROM r)
+SELECT symbol, ts, round(rsi, 5) AS rsi, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM e""")
 def t3_s15_stream_signals(spark, sf_dir):
     """Signals on closed bars only."""
     root = shared(spark, "signals")
     B.intraday_bars(spark, sf_dir, "hourly").select("symbol", "ts", "close").write.parquet(f"{root}/bars")
     bars = spark.readStream.schema("symbol string, ts timestamp, close double").parquet(f"{root}/bars")
-    return _run(spark, jobs.stream_signals(bars), "signals")
+    return rounded(_run(spark, jobs.stream_signals(bars), "signals"), 5)
 
 
 @query("SELECT ts, event_type AS symbol, 'price' AS name, value, 480.0::DOUBLE AS threshold, '>' AS comparison, 'critical' AS severity, 'price > 480.0' AS message FROM events WHERE value > 480")
@@ -163,10 +184,12 @@ def t4_stream_alerts(spark, sf_dir):
     return _run(spark, jobs.stream_alerts(m, rules), "alerts")
 
 
-@query()
+@query("""WITH e AS (SELECT 'P' || (user_id % 5) AS portfolio, event_id, ts, 100000 + sum(value - 250) OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS equity FROM events),
+p AS (SELECT *, greatest(100000, max(equity) OVER (PARTITION BY portfolio ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM e), d AS (SELECT *, equity / peak - 1 AS drawdown FROM p)
+SELECT portfolio, event_id, ts, round(equity, 4) AS equity, round(peak, 4) AS peak, round(drawdown, 7) AS drawdown, max((drawdown < -0.1)::INT) OVER (PARTITION BY portfolio ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AS killed FROM d""")
 def t5_stream_risk(spark, sf_dir):
     e = _ticks(spark, sf_dir).select("event_id", F.concat(F.lit("P"), F.col("user_id") % 5).alias("portfolio"), "ts", (F.col("price") - 250).alias("change"))
-    return _run(spark, jobs.stream_risk(e), "risk")
+    return rounded(_run(spark, jobs.stream_risk(e), "risk"), 4, drawdown=7)
 
 
 @query(TICKS + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS st FROM e), s AS (SELECT *, sum(st) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -93,15 +93,13 @@ def c01_c04_clean(spark, sf_dir):
     return rounded(x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("extreme").cast("long")).alias("n_extreme"), F.min("close").alias("low_close")))
 
 
-@query("""SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, last(value ORDER BY event_id) AS price, count(*) AS n FROM events GROUP BY ALL""")
+@query(f"""WITH h AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, last(value ORDER BY event_id) AS price FROM events WHERE value > 0 GROUP BY ALL)
+SELECT symbol, ts, price, coalesce(abs(price / lag(price) {W} - 1) > 0.5, false) AS extreme FROM h""")
 def c03_keep_last(spark, sf_dir):
     """The last row of each timestamp by arrival."""
-    from pyspark.sql import Window
-
-    t = B.ticks_of(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "ts"))
-    w = Window.partitionBy("symbol", "ts")
-    x = t.withColumns({"_n": F.row_number().over(w.orderBy(F.desc("event_id"))), "n": F.count(F.lit(1)).over(w)})
-    return x.filter("_n = 1").select("symbol", "ts", "price", "n")
+    p = F.col("price")
+    t = B.ticks_of(spark, sf_dir).select("symbol", F.lit("hourly").alias("tf"), F.date_trunc("hour", "ts").alias("ts"), *(p.alias(c) for c in ("open", "high", "low", "close")), F.col("qty").alias("volume"), "event_id")
+    return B.clean(t, seq="event_id").select("symbol", "ts", F.col("close").alias("price"), "extreme")
 
 
 @query(DAILY + ", e AS (SELECT symbol, max(ts) AS m FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n, round(avg(close), 6) AS mean_close FROM bars JOIN e USING (symbol) WHERE ts >= m - INTERVAL 365 DAYS GROUP BY symbol")
@@ -241,6 +239,16 @@ def s10_fixed_commission(spark, sf_dir):
     return rounded(signals.fixed_commission(signals.trades(rule(spark, sf_dir), S), S, 1.0), 4)
 
 
+@query("""WITH e AS (SELECT event_type AS symbol, ts AS tts, event_id, value AS price FROM events),
+f AS (SELECT symbol, to_timestamp((epoch_us(tts) // 60000000) * 60)::TIMESTAMP AS ts, last(price ORDER BY tts, event_id) AS close FROM e GROUP BY ALL),
+k AS (SELECT symbol, to_timestamp((epoch_us(tts) // 300000000) * 300)::TIMESTAMP AS ts, last(price ORDER BY tts, event_id) AS slow FROM e GROUP BY ALL)
+SELECT f.symbol, f.ts, f.close, coalesce(slow, 0) AS slow FROM f LEFT JOIN k ON f.symbol = k.symbol AND k.ts = to_timestamp((epoch_us(f.ts) // 300000000) * 300)::TIMESTAMP""")
+def s04_five_minutes(spark, sf_dir):
+    """The close of the five-minute bar on each minute in it."""
+    fine, coarse = (B.intraday_bars(spark, sf_dir, tf) for tf in ("1min", "5min"))
+    return signals.align(fine.select("symbol", "ts", "close"), coarse, "5min", "close", "slow")
+
+
 S4 = f"""WITH t AS (SELECT event_type AS symbol, ts AS tts, event_id, value AS price FROM events),
 h AS (SELECT symbol, date_trunc('hour', tts) AS ts, last(price ORDER BY tts, event_id) AS close FROM t GROUP BY ALL),
 d AS (SELECT symbol, date_trunc('day', tts) AS ts, last(price ORDER BY tts, event_id) AS close FROM t GROUP BY ALL),

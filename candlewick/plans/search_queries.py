@@ -329,10 +329,10 @@ def b21_shape(spark, sf_dir):
     return rounded(S.shape(base(spark, sf_dir)).select("symbol", "skew", "kurt"), 5)
 
 
-@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + " SELECT symbol, round(quantile_cont(mean, 0.025), 4) AS mean_low, round(quantile_cont(mean, 0.975), 4) AS mean_high, round(quantile_cont(mdd, 0.025), 3) AS dd_low, round(quantile_cont(mdd, 0.975), 3) AS dd_high, round(quantile_cont(win_rate, 0.025), 7) AS win_low, round(quantile_cont(win_rate, 0.975), 7) AS win_high FROM pm GROUP BY symbol")
+@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + " SELECT symbol, round(quantile_cont(mean, 0.025), 4) AS mean_low, round(quantile_cont(mean, 0.975), 4) AS mean_high, round(quantile_cont(mdd, 0.025), 3) AS dd_low, round(quantile_cont(mdd, 0.975), 3) AS dd_high, round(quantile_cont(win_rate, 0.025), 7) AS win_low, round(quantile_cont(win_rate, 0.975), 7) AS win_high, round(quantile_cont(mean / nullif(sd, 0), 0.025), 4) AS sharpe_low, round(quantile_cont(mean / nullif(sd, 0), 0.975), 4) AS sharpe_high FROM pm GROUP BY symbol")
 def b23_intervals(spark, sf_dir):
     p = S.path_metrics(S.bootstrap(base(spark, sf_dir), SIMS))
-    q = [F.percentile(c, k).alias(f"{n}_{e}") for n, c in (("mean", "mean"), ("dd", "max_drawdown"), ("win", "win_rate")) for e, k in (("low", 0.025), ("high", 0.975))]
+    q = [F.percentile(c, k).alias(f"{n}_{e}") for n, c in (("mean", "mean"), ("dd", "max_drawdown"), ("win", "win_rate"), ("sharpe", "sharpe")) for e, k in (("low", 0.025), ("high", 0.975))]
     return rounded(p.groupBy("symbol").agg(*q), 4, dd_low=3, dd_high=3, win_low=7, win_high=7)
 
 

@@ -35,6 +35,21 @@ def standardise(df: DataFrame, names: dict[str, str], zone: str | None = None) -
     return out.withColumn("ts", F.to_utc_timestamp(ts, zone) if zone else ts)
 
 
+#: Columns of a landed file, in its order, and our names for them.
+LANDED = {"Symbol": "symbol", "Date": "ts", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}
+
+
+def landed(spark: SparkSession, path: str, tf: str, names: dict[str, str] = LANDED, form: str = "csv", zone: str | None = None) -> DataFrame:
+    """Bars of one timeframe from files that were put into a folder: read by a fixed schema, standardised, within the cap.
+
+    Rows that do not fit the schema have nulls; ``clean`` drops them.
+    """
+    text = ("symbol", "ts")
+    schema = ", ".join(f"`{a}` {'string' if b in text else 'double'}" for a, b in names.items())
+    rows = spark.read.schema(schema).options(**({"header": True} if form == "csv" else {})).format(form).load(path)
+    return cap_history(standardise(rows, names, zone).withColumn("tf", F.lit(tf)).select(*BAR_COLUMNS))
+
+
 def build_bars(ticks: DataFrame, bucket: Column, order: list[str], tf: str) -> DataFrame:
     """OHLCV bars from (symbol, price, qty) rows: first and last price by a total order within symbol and bucket.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,20 +36,23 @@ def stream_metrics(ticks: DataFrame, width: str = "2 days", slide: str = "1 day"
 
 
 def stream_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0) -> DataFrame:
-    """RSI of the last closes of each symbol and a long or flat flag, kept as state."""
+    """RSI of the last n moves of each symbol and a long or flat flag; the state is n + 1 closes and the flag.
+
+    A symbol's rows of one trigger are sorted together; ``maxFilesPerTrigger`` bounds them.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closes, pos = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("ts").itertuples():
-            closes = [*closes, float(r.close)][-(n + 1) :]
-            moves = [b - a for a, b in zip(closes, closes[1:], strict=False)]
-            gain, loss = sum(m for m in moves if m > 0), -sum(m for m in moves if m < 0)
-            rsi = 100 - 100 / (1 + gain / loss) if loss else 0.0
-            pos = 1 if not pos and rsi < low else 0 if pos and rsi > high else pos
-            out.append((key[0], r.ts, rsi, pos))
-        state.update((closes, pos))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "rsi", "pos"])
+        past, pos = (np.array(state.get[0], float), int(state.get[1])) if state.exists else (np.zeros(0), 0)
+        rows = pd.concat(list(batches)).sort_values("ts")
+        closes = np.concatenate([past, rows["close"].to_numpy(float)])
+        moves = np.diff(closes, prepend=closes[:1])
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1), moves]), n)[len(past) :]
+        gain, loss = np.where(windows > 0, windows, 0.0).sum(axis=1), -np.where(windows < 0, windows, 0.0).sum(axis=1)
+        rsi = np.where(loss > 0, 100 - 100 / (1 + gain / np.where(loss > 0, loss, 1.0)), 0.0)
+        event = pd.Series(np.where(rsi < low, 1.0, np.where(rsi > high, 0.0, np.nan)))
+        flag = event.ffill().fillna(pos).astype(int).to_numpy()
+        state.update((closes[-(n + 1) :].tolist(), int(flag[-1])))
+        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "rsi": rsi, "pos": flag})
 
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, rsi double, pos int", "closes array<double>, pos int", "append", GroupStateTimeout.NoTimeout)
 
@@ -58,22 +62,21 @@ def stream_alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return monitor.alerts(metrics, rules)
 
 
-def stream_risk(equity: DataFrame, drawdown: float = -0.10) -> DataFrame:
-    """T5: peak, drawdown and a latched kill switch of each portfolio; ``equity``: (event_id, portfolio, ts, change)."""
+def stream_risk(equity: DataFrame, drawdown: float = -0.10, start: float = 100000.0) -> DataFrame:
+    """T5: equity, peak, drawdown and a latched kill switch of each portfolio; ``equity``: (event_id, portfolio, ts, change)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, peak, killed = state.get if state.exists else (100000.0, 100000.0, False)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            now += float(r.change)
-            peak = max(peak, now)
-            killed = bool(killed or now / peak - 1 < drawdown)
-            out.append((key[0], r.ts, now, peak, now / peak - 1, killed))
-        state.update((now, peak, killed))
-        yield pd.DataFrame(out, columns=["portfolio", "ts", "equity", "peak", "drawdown", "killed"])
+        now, peak, killed = state.get if state.exists else (start, start, False)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        path = np.cumsum(np.concatenate([[now], rows["change"].to_numpy(float)]))[1:]
+        peaks = np.maximum.accumulate(np.concatenate([[peak], path]))[1:]
+        fall = path / peaks - 1
+        dead = np.logical_or.accumulate(np.concatenate([[killed], fall < drawdown]))[1:]
+        state.update((float(path[-1]), float(peaks[-1]), bool(dead[-1])))
+        yield pd.DataFrame({"portfolio": key[0], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "equity": path, "peak": peaks, "drawdown": fall, "killed": dead})
 
     once = equity.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
-    return once.groupBy("portfolio").applyInPandasWithState(step, "portfolio string, ts timestamp, equity double, peak double, drawdown double, killed boolean", "now double, peak double, killed boolean", "append", GroupStateTimeout.NoTimeout)
+    return once.groupBy("portfolio").applyInPandasWithState(step, "portfolio string, event_id long, ts timestamp, equity double, peak double, drawdown double, killed boolean", "now double, peak double, killed boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
