@@ -165,13 +165,14 @@ def day_windows(bars: DataFrame, train: int = 180, test: int = 30, least_train:
 
 
 def window_scores(returns: DataFrame, windows: DataFrame, year: float = 252.0) -> DataFrame:
-    """Sharpe of each parameter in the train and test part of each window.
+    """Sharpe, sum, logarithm of growth and ended trades (0 without a column ``ends``) of each parameter in the train and
+    test part of each window.
 
     Parts are differences of running sums, which equi joins on the row numbers of their ends find: a window costs four
     rows a parameter, whatever its length.
     """
     w = running(*KEYS, order="i")
-    parts = {"s": F.col("ret"), "q": F.col("ret") * F.col("ret"), "g": F.log1p("ret"), "t": F.col("ends").cast("double")}
+    parts = {"s": F.col("ret"), "q": F.col("ret") * F.col("ret"), "g": F.log1p("ret"), "t": F.col("ends").cast("double") if "ends" in returns.columns else F.lit(0.0)}
     sums = returns.select(*KEYS, (F.col("i") + 1).cast("long").alias("i"), *(F.sum(x).over(w).alias(n) for n, x in parts.items()))
     sums = sums.unionByName(returns.filter("i = 0").select(*KEYS, F.lit(0).cast("long").alias("i"), *(F.lit(0.0).alias(n) for n in parts)))
     ends = windows.select("symbol", "window_id", F.explode(F.array(*(F.struct(F.lit(c).alias("end"), F.col(c).alias("i")) for c in ("train_from", "train_to", "test_from", "test_to")))).alias("e")).select("symbol", "window_id", "e.*")
