@@ -686,3 +686,37 @@ def test_pipeline_stages_take_any_rows(spark):
     assert len(kept) == 1 and kept[0]["doc_id"] == 1
     masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, table, "").collect()}
     assert masked[4].startswith("write [EMAIL] other0") and masked[2] == ""
+
+
+def test_contexts_find_what_no_expression_knows(spark):
+    rng = random.Random(31)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    rows = [(i, f'some {rng.choice("abc")} prose with token = "{hexa(40)}" and more') for i in range(12)]
+    rows += [(20, 'here the token = "odd-shape_77X" is found'), (21, f"a bare {hexa(40)} marks nothing"), (22, "the version = v2024beta stays")]
+    rows += [(i, f"write to mail of user{i}@mail.example.com; case number QX-{i}77 open") for i in range(30, 40)]
+    rows += [(50, None), (51, ""), (52, 'token = "' + "z9" * 400 + '" ends'), (53, " ".join(f"1.2.3.{i % 250}" for i in range(3000)))]
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["spans"].startswith("id:") and got[i]["n_spans"] == 1 for i in range(12))
+    assert got[20]["spans"] == "id:18:31" and got[21]["spans"] == "" and got[22]["spans"] == ""
+    assert got[52]["n_spans"] == 1 and got[53]["n_ip"] == 3000 and got[53]["n_spans"] == 3000 and got[50]["n_spans"] == 0
+    text = " ".join(f"1.2.3.{i % 250}" for i in range(3000))
+    assert got[53]["base_sha256"] == hashlib.sha256(",".join(f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9.]+", text)).encode()).hexdigest()
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert masked[53] == " ".join(["[IP]"] * 3000) and masked[20] == 'here the token = "[ID]" is found' and masked[50] is None
+
+
+def test_minhash_of_a_large_group_and_a_very_long_text(spark):
+    rng = random.Random(41)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(3000):
+        words = list(base)
+        words[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    long = " ".join(f"v{k}" for k in range(200_000))
+    rows += [(5000, long), (5001, long + " and one more"), (5002, " ".join(f"u{k}" for k in range(1000)))]
+    got = {r["doc_id"]: r for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    sets = [shingles(t) for _, t in rows[:40]]
+    assert all(100 * len(a & b) >= 75 * len(a | b) for a in sets for b in sets)
+    assert {got[i]["component_id"] for i in range(3000)} == {0} and sum(r["kept"] for r in got.values()) == 3
+    assert got[5001]["component_id"] == 5000 and got[5000]["n_shingles"] == 199_996
