@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .beta import quantile, strength
+from .common import cut
 
 #: (verdict, host, path): fixed rules; a rule fits its host and all subdomains, for paths that start with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -61,7 +62,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     ``outcomes``: (host string, bad int). Counts are aggregated before anything is joined, so the joins hold a row for
     each host, domain and suffix.
     """
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    counted = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("b"))
+    hosts = cut(counted.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))  # read at each level
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     all_ = suffixes.agg(((F.sum("sb") + 0.5) / (F.sum("sn") + 1)).alias("all_rate"))

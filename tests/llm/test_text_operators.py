@@ -283,7 +283,7 @@ def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
     same = noise(900)
     limit = suffixes.SLICE
     long = noise(limit - 400) + same + noise(limit - 800) + same[:450] + noise(3000) + "z" * 1500
-    rows = [(1, long), (2, noise(50) + same + noise(70)), (3, "w" * (3 << 20)), (4, same)]
+    rows = [(1, long), (2, noise(50) + same + noise(70)), (3, "w" * 700_000), (4, same)]
     got = by_id(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
     seen, gone = {}, {i: np.zeros(len(t), bool) for i, t in rows}
     for i, t in rows:
