@@ -248,6 +248,15 @@ def block_links(open_: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.groupBy("g", "lone", "a", "b").applyInArrow(run, "u long, v long")
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after more links (u, v): only the components that these touch are merged anew."""
+    root = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    edges = links.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    new = components(edges)
+    known = groups.join(new.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return known.unionByName(new.join(groups.select("node"), "node", "left_anti").select("node", "component"))
+
+
 def link(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; kept = it names its component.
 
@@ -277,9 +286,7 @@ def link(docs: DataFrame) -> DataFrame:
     apart = at.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter(F.col("a") < F.col("b")).select("key")
     open_ = compact(at.join(apart, "key"))
     if not open_.isEmpty():
-        # What is known is a star forest already; only the new links are to be merged into it.
-        known = groups.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        groups = components(known.unionByName(block_links(open_, texts)))
+        groups = merged(groups, block_links(open_, texts))
     of_set = classes.select("set_id", "node").join(groups, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
