@@ -1,4 +1,9 @@
-"""Vectorised content hashes of bytes and words, in numpy, all modulo 2**64."""
+"""Vectorised content hashes of bytes and words, in numpy.
+
+``Field`` is what decides equality: a polynomial over the prime field of 2**61 - 1, so that two different strings of n
+characters agree at a random base with a chance of n / 2**61 at most, whatever their structure. ``Prefix`` works modulo
+2**64, where strings exist that agree at every base (Thue-Morse words and their mirrors); it only orders and buckets.
+"""
 
 from __future__ import annotations
 
@@ -58,6 +63,78 @@ class Prefix:
         return mix((self.sums[width:] - self.sums[:n]) * self.back[:n])
 
 
+#: The prime of the field, and a base of it for each of two independent hashes.
+P61 = np.uint64(2**61 - 1)
+FIELD_BASE, FIELD_BASE_2 = 0x1B0A7D5C3E91F24D % (2**61 - 1), 0x0E9C51F7A83D6B25 % (2**61 - 1)
+_31, _30, _61, _32, _29 = (np.uint64(k) for k in (31, 30, 61, 32, 29))
+_L31, _L30, _L32, _L29 = (np.uint64(2**k - 1) for k in (31, 30, 32, 29))
+#: Characters whose products are summed without overflow.
+FIELD_RUN = 1 << 21
+
+_field_powers: dict[int, np.ndarray] = {}
+
+
+def fold(x: np.ndarray) -> np.ndarray:
+    """Modulo 2**61 - 1, of any 64-bit values."""
+    x = (x & P61) + (x >> _61)
+    return np.where(x >= P61, x - P61, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of values below it, by halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _L31, b >> _31, b & _L31
+    middle = a1 * b0 + a0 * b1
+    return fold(((a1 * b1) << np.uint64(1)) + (middle >> _30) + ((middle & _L30) << _31) + a0 * b0)
+
+
+def field_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**61 - 1; kept, and grown by doubling."""
+    have = _field_powers.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64) if have is None else have
+        while len(have) < n:
+            have = np.concatenate([have, times(have, np.uint64(pow(base, len(have), int(P61))))])
+        _field_powers[base] = have
+    return have[:n]
+
+
+class Field:
+    """Hashes of any run of a sequence, over the prime field: sums of low and high halves, reduced when a run is asked for.
+
+    ``codes`` are bytes (uint8, FIELD_RUN of them at most) or 64-bit codes.
+    """
+
+    def __init__(self, codes: np.ndarray, base: int = FIELD_BASE):
+        n = len(codes)
+        power = field_powers(base, n)
+        if codes.dtype == np.uint8:
+            if n > FIELD_RUN:
+                raise ValueError("hash long texts in pieces")
+            code = codes.astype(np.uint64) + np.uint64(1)
+            low, high = code * (power & _L32), code * (power >> _32)
+        else:
+            term = times(fold(codes), power)
+            low, high = term & _L32, term >> _32
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+        self.back = field_powers(pow(base, -1, int(P61)), n + 1)
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The polynomial of each run, from the power of its start on."""
+        high = fold(self.high[end] - self.high[start])
+        return fold(fold(self.low[end] - self.low[start]) + (high >> _29) + ((high & _L29) << _32))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(times(self.raw(start, end), self.back[start]))
+
+    def windows(self, width: int) -> np.ndarray:
+        """Hash of the run of ``width`` codes at each place that has room for it."""
+        n = len(self.low) - width
+        at = np.arange(max(n, 0))
+        return self.of(at, at + width)
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word (a run of bytes other than ASCII white space), and the words before each document."""
     word = ~IS_SPACE[data]
@@ -73,5 +150,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    return Prefix(BYTE_CODE[LOWER[data] if lower else data]).of(starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, base: int = FIELD_BASE) -> np.ndarray:
+    """A hash of each word, about half of FIELD_RUN bytes at once; words that are longer by themselves go piece by piece."""
+    size, out, first = FIELD_RUN >> 1, np.empty(len(starts), np.uint64), 0
+    piece = (lambda a, b: LOWER[data[a:b]]) if lower else (lambda a, b: data[a:b])
+    while first < len(starts):
+        begin, last = int(starts[first]), int(np.searchsorted(ends, int(starts[first]) + size, side="right"))
+        if last > first:
+            out[first:last] = Field(piece(begin, int(ends[last - 1])), base).of(starts[first:last] - begin, ends[first:last] - begin)
+            first = last
+            continue
+        end, total = int(ends[first]), 0
+        for at in range(begin, end, size):
+            run = piece(at, min(at + size, end))
+            total += int(Field(run, base).raw(np.array([0]), np.array([len(run)]))[0]) * pow(base, at - begin, int(P61))
+        out[first] = mix(np.array([total % int(P61)], np.uint64))[0]
+        first += 1
+    return out

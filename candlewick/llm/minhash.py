@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import buffer_of, compact, pieces
 from .components import components
-from .hashing import Prefix, mix, word_bounds, word_hashes
+from .hashing import Field, mix, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Similarity from which documents are linked, as a ratio.
@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: of k words, or of all words if there are fewer."""
     data, offsets = buffer_of(texts)
     starts, ends, first = word_bounds(data, offsets)
-    run = Prefix(word_hashes(data, starts, ends, lower=True))
+    run = Field(word_hashes(data, starts, ends, lower=True))
     whole = run.windows(k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

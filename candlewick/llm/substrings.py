@@ -3,7 +3,7 @@
 Word places that lie in a difference cover modulo a period are anchors. For any two places there is one shift below the
 period that brings both onto the cover, so two equal windows of WINDOW words share an anchor of
 WINDOW - PERIOD + 1 words at the same place within them. Anchors that occur twice mark the windows around them, and
-those windows are then compared at full length, by 128 bits.
+those windows are then compared at full length, by two hashes of 61 bits over a prime field.
 """
 
 from __future__ import annotations
@@ -17,37 +17,17 @@ from pyspark.sql import functions as F
 
 from .blocks import ALONE, blocks_of, distinct, opened, parts_for, repeated
 from .common import buffer_of
-from .hashing import BASE, BASE_2, BYTE_CODE, BYTE_CODE_2, Prefix, mix, word_bounds
+from .hashing import FIELD_BASE, FIELD_BASE_2, Field, word_bounds, word_hashes
 
 WINDOW, PERIOD = 35, 21
 #: Every residue modulo 21 is a difference of two of these (a perfect difference set).
 COVER = np.array([0, 1, 4, 14, 16])
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes, and words, that are hashed at once.
-SLICE, RUN = 1 << 20, 1 << 18
+#: Words that are hashed at once.
+RUN = 1 << 18
 
 _covered = np.isin(np.arange(PERIOD), COVER)
-_FAMILIES = ((BYTE_CODE, BASE), (BYTE_CODE_2, BASE_2))
-
-
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int) -> np.ndarray:
-    """A hash of each word, about SLICE bytes at once; words that are longer by themselves are hashed piece by piece."""
-    code, base = _FAMILIES[family]
-    out, first = np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        begin = int(starts[first])
-        last = int(np.searchsorted(ends, begin + SLICE, side="right"))
-        if last > first:
-            out[first:last] = Prefix(code[data[begin : ends[last - 1]]], base).of(starts[first:last] - begin, ends[first:last] - begin)
-            first = last
-            continue
-        total = np.uint64(0)
-        for at in range(begin, int(ends[first]), SLICE):
-            piece = data[at : min(at + SLICE, int(ends[first]))]
-            total = total + Prefix(code[piece], base).sums[-1:] * np.uint64(pow(base, at - begin, 2**64))
-        out[first] = mix(total)[0]
-        first += 1
-    return out
+_BASES = (FIELD_BASE, FIELD_BASE_2)
 
 
 class Words:
@@ -70,12 +50,12 @@ class Words:
     def hashes(self, places: np.ndarray, width: int, family: int = 0) -> np.ndarray:
         """Identifiers of runs of ``width`` words at these (rising) places."""
         if family not in self.codes:
-            self.codes[family] = word_codes(self.data, self.starts, self.ends, family)
+            self.codes[family] = word_hashes(self.data, self.starts, self.ends, base=_BASES[family])
         out = np.empty(len(places), np.uint64)
         for begin in range(0, len(self.starts), RUN):
             i, j = np.searchsorted(places, [begin, begin + RUN])
             if i < j:
-                out[i:j] = Prefix(self.codes[family][begin : begin + RUN + width], _FAMILIES[family][1]).of(places[i:j] - begin, places[i:j] - begin + width)
+                out[i:j] = Field(self.codes[family][begin : begin + RUN + width], _BASES[family]).of(places[i:j] - begin, places[i:j] - begin + width)
         return out
 
     def anchors(self) -> np.ndarray:

@@ -14,8 +14,9 @@ travels to the next:
    from 72 on, which are pairs of identifiers of 64 bytes, which are pairs of those of 32 bytes at later offsets: each
    doubling reuses the last one's.
 
-Identifiers are hashes of 128 bits and not ranks, so a bucket's identifier is the same on each machine without a global
-order; with n identifiers a wrong match has a chance of about n^2 / 2^127.
+Identifiers are hashes and not ranks, so a bucket's identifier is the same on each machine without a global order. Those
+of runs are two polynomials over the prime field of 2^61 - 1; those of single windows are pairs of mixed hashes of 32
+bytes, too short for strings that agree modulo 2^64 at every base.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .blocks import ALONE, FIRST, answered, blocks_of, distinct, opened, parts_for, repeated, repeats, sent
 from .common import slices
-from .hashing import BASE, BASE_2, BYTE_CODE, BYTE_CODE_2, Prefix, mix
+from .hashing import BASE, BASE_2, BYTE_CODE, BYTE_CODE_2, FIELD_BASE, FIELD_BASE_2, Field, Prefix, mix
 
 WINDOW, GRAM = 200, 32
 #: Windows in a cell.
@@ -36,6 +37,9 @@ CELL = 16
 SLICE = 512 << 10
 _C = np.uint64(0xD6E8FEB86659FD93)
 _FAMILIES = ((BYTE_CODE, BASE), (BYTE_CODE_2, BASE_2))
+_BASES = (FIELD_BASE, FIELD_BASE_2)
+#: Bits that hold a place in a slice; the same for all slices, so that equal windows choose equal anchors.
+BITS = (SLICE + WINDOW).bit_length()
 
 
 def pair(ids: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
@@ -48,14 +52,13 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     grams, n = Prefix(BYTE_CODE[data]).windows(GRAM), len(data) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    bits = max(1, int(len(data)).bit_length())
-    tagged = (grams >> np.uint64(bits)) << np.uint64(bits) | np.arange(len(grams), dtype=np.uint64)
+    tagged = (grams >> np.uint64(BITS)) << np.uint64(BITS) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, WINDOW - GRAM + 1
     while 2 * width <= span:
         tagged, width = np.minimum(tagged[: len(tagged) - width], tagged[width:]), 2 * width
     if width < span:
         tagged = np.minimum(tagged[: len(tagged) - (span - width)], tagged[span - width :])
-    least = (tagged & np.uint64((1 << bits) - 1)).astype(np.int64)[:n]
+    least = (tagged & np.uint64((1 << BITS) - 1)).astype(np.int64)[:n]
     ends = np.repeat(offsets[1:], np.diff(offsets))[:n]
     inside = np.flatnonzero(np.arange(n) + WINDOW <= ends)
     of = least[inside]
@@ -106,8 +109,8 @@ class Suffixes:
             if len(mine):
                 low, high = self.low[mine], self.high[mine]
                 shape = ((high - low) * 4096 + (self.place[mine] - low)).astype(np.uint64)
-                for k, (code, base) in enumerate(_FAMILIES):
-                    out[k, i:j] = mix(Prefix(code[data], base).of(low, high + WINDOW) * _C + shape)
+                for k, base in enumerate(_BASES):
+                    out[k, i:j] = mix(Field(data, base).of(low, high + WINDOW) * _C + shape)
         return out[0], out[1]
 
     def settle(self, said: np.ndarray) -> None:
@@ -133,8 +136,8 @@ class Suffixes:
             at, first, last, cell = (x[i:j] for x in (self.at, self.first, self.last, self.cell.astype(np.uint64)))
             shape = ((at - first) * 4096 + (at - last)).astype(np.uint64)
             core = at - CELL * self.cell[i:j]
-            for k, (code, base) in enumerate(_FAMILIES):
-                hashes = Prefix(code[data], base)
+            for k, base in enumerate(_BASES):
+                hashes = Field(data, base)
                 out[1 + k, i:j] = mix(hashes.of(first, last + WINDOW) * _C + shape)
                 if not k:
                     out[0, i:j] = mix(hashes.of(core, core + WINDOW - CELL + 1) * _C + cell)
