@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import beta, bpe, chat, fingerprints, minhash, packing, pii, quality, substrings, suffixes, urls
+from . import beta, bpe, chat, fingerprints, manifest, minhash, nearest, packing, pii, quality, ranking, substrings, suffixes, urls
 from .common import documents
 
 
@@ -53,8 +53,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf_dir))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    named = (op1_minhash, op2_byte_bpe, op3_pii, op4_suffixes, op5_chat, op6_substrings, op7_quality, op8_packing, op9_urls, op10_fingerprints)
+    named = (op1_minhash, op2_byte_bpe, op3_pii, op4_suffixes, op5_chat, op6_substrings, op7_quality, op8_packing, op9_urls, op10_fingerprints, op11_ranking, op12_nearest, op13_manifest)
     return {f.__name__: f for f in named}
 
 
@@ -152,3 +164,46 @@ words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
 lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r) LEFT JOIN lost USING (r)"""
+
+
+SQL["op11_ranking"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+q AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(w) AS term FROM i) GROUP BY ALL),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+m AS (SELECT r, 25 + (75 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+f AS (SELECT term, floor(1000 * ln((2.0 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s WHERE term IN (SELECT term FROM q) GROUP BY term),
+p AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM t JOIN f USING (term) JOIN m USING (r)),
+x AS (SELECT i, r, sum(times * part)::BIGINT AS score FROM p JOIN q USING (term) GROUP BY i, r),
+o AS (SELECT item_id, i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM x JOIN i USING (i) JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+def _manifest_sql(depth: int = 20, over: int = 6) -> str:
+    """Levels are unrolled: a lang of up to 2^depth rows, 2^over langs. A folded hash meets its sibling at each level."""
+    enc = lambda x: f"coalesce(octet_length(encode({x}::VARCHAR))::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    half = "CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: {half})), 4294967295)"
+    out = [f"""WITH d AS (SELECT documents.doc_id, lang, {leaf('n_chars')} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS tried FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM documents)),
+r0 AS (SELECT g, doc_id, leaf, tried AS h, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+t0 AS (SELECT g, i, leaf AS x FROM r0)"""]
+
+    def level(k: int, tree: str, rows: str) -> str:
+        return f"""t{k + 1} AS (SELECT g, i // 2 AS i, CASE WHEN any_value(n) = 1 THEN any_value(x) ELSE sha256(string_agg(x, '' ORDER BY i)) END AS x FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {tree}) GROUP BY g, i // 2),
+r{k + 1} AS (SELECT r.* EXCLUDE (h, proof, i), r.i // 2 AS i, r.proof || coalesce(s.x, '') AS proof,
+  CASE WHEN n.n = 1 THEN r.h WHEN s.x IS NULL THEN sha256(r.h) WHEN r.i % 2 = 0 THEN sha256(r.h || s.x) ELSE sha256(s.x || r.h) END AS h
+  FROM {rows} r JOIN (SELECT g, count(*) AS n FROM {tree} GROUP BY g) n USING (g) LEFT JOIN {tree} s ON s.g = r.g AND s.i = xor(r.i, 1))"""
+
+    out += [level(k, f"t{k}", f"r{k}") for k in range(depth)]
+    out.append(f"u AS (SELECT 0 AS g, g AS i, x FROM t{depth}), v AS (SELECT 0 AS g, doc_id, leaf, r.g AS i, x AS subroot, h, proof FROM r{depth} r JOIN t{depth} USING (g))")
+    out += [level(k, "u" if k == depth else f"t{k}", "v" if k == depth else f"r{k}") for k in range(depth, depth + over)]
+    end = depth + over
+    return ",\n".join(out) + f" SELECT doc_id, leaf, subroot, x AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = x AS verified FROM r{end}, t{end}"
+
+
+SQL["op13_manifest"] = _manifest_sql()
