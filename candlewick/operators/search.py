@@ -17,9 +17,9 @@ MOST_BROADCAST = 10_000
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:
     """All combinations of the value lists, numbered in their order; its size is the product of the lists' lengths."""
-    one = spark.range(1).select()
+    one = spark.range(0, 1, 1, 1).select()
     for name, options in values.items():
-        one = one.crossJoin(spark.createDataFrame([(v,) for v in options], [name]))  # the grid itself
+        one = one.select("*", F.explode(F.array(*map(F.lit, options))).alias(name))
     w = Window.partitionBy(F.lit(0)).orderBy(*values)
     return one.withColumn("param_id", (F.row_number().over(w) - 1).cast("long"))
 

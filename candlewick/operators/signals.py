@@ -44,6 +44,49 @@ def smooth(df: DataFrame, x: str, n: int, out: str, keys: list[str]) -> DataFram
     return df.withColumn(out, F.avg(x).over(frame(n, *keys)))
 
 
+def smoothed_rsi(bars: DataFrame, pairs: list[tuple[int, int]], keys: list[str]) -> DataFrame:
+    """Adds ``rsi_<mn1>_<mn2>``, the smoothed RSI of each pair, and ``_i``, the bar's number; an RSI is computed once a length."""
+    x = bars
+    for n in sorted({a for a, _ in pairs}):
+        x = expanding_rsi(x, n, f"_r{n}", keys)
+    for a, b in pairs:
+        x = smooth(x, f"_r{a}", b, f"rsi_{a}_{b}", keys)
+    return x.withColumn("_i", F.row_number().over(over(*keys)) - 1).drop(*{f"_r{a}" for a, _ in pairs})
+
+
+def chosen_rsi(pairs: list[tuple[int, int]]) -> Column:
+    """The column of ``smoothed_rsi`` that a row's mn1 and mn2 ask for."""
+    out = F.lit(None).cast("double")
+    for a, b in pairs:
+        out = F.when((F.col("mn1") == a) & (F.col("mn2") == b), F.col(f"rsi_{a}_{b}")).otherwise(out)
+    return out
+
+
+def live_positions(bars: DataFrame, params: DataFrame, pairs: list[tuple[int, int]], timeframes: tuple[str, ...], until: Column | None = None) -> DataFrame:
+    """What a live run decides, from a whole history: (symbol, param_id, ts, enter, leave, pos, rsi_<tf>...) at each close of a bar.
+
+    ``bars``: symbol, tf, ts, close; ``params``: a row for each (param_id, tf). At a time each timeframe has its last bar that
+    has closed by then; entry where all ask for it, exit where any does, once each has two. ``until``: ends before it count.
+    """
+    x = smoothed_rsi(bars.filter(F.col("tf").isin(*timeframes)), pairs, ["symbol", "tf"]).join(params, "tf")
+    seconds = F.create_map(*(F.lit(v) for kv in TF_SECONDS.items() for v in kv))[F.col("tf")]
+    turn = cycle(F.col("_i"), F.col("on"), F.col("off"), F.col("start"))
+    x = x.withColumns({"rsi": chosen_rsi(pairs), "at": F.timestamp_seconds(F.unix_timestamp("ts") + seconds)})
+    x = x.select("symbol", "param_id", "tf", "at", F.when(F.col("_i") > 0, F.struct("rsi", ((F.col("rsi") < F.col("entry")) & turn).alias("enter"), ((F.col("rsi") > F.col("exit")) | ~turn).alias("leave"))).alias("s"))
+    if until is not None:
+        x = x.filter(F.col("at") < until)
+    keys = ["symbol", "param_id"]
+    y = x.groupBy(*keys, F.col("at").alias("ts")).agg(*(F.max(F.when(F.col("tf") == t, F.col("s"))).alias(f"_{t}") for t in timeframes))
+    y = y.withColumns({f"_{t}": F.last(f"_{t}", ignorenulls=True).over(running(*keys)) for t in timeframes})
+    for t in timeframes:
+        y = y.filter(F.col(f"_{t}").isNotNull())
+    enter, leave = F.lit(True), F.lit(False)
+    for t in timeframes:
+        enter, leave = enter & F.col(f"_{t}.enter"), leave | F.col(f"_{t}.leave")
+    y = positions(y.withColumns({"enter": enter, "leave": leave}), keys, "enter", "leave", last_enters=True)
+    return y.select(*keys, "ts", "enter", "leave", "pos", *(F.col(f"_{t}.rsi").alias(f"rsi_{t}") for t in timeframes))
+
+
 def cycle(index: Column, on: Column, off: Column, start: Column) -> Column:
     """On for ``on`` bars, off for ``off``, from ``start``; a cycle of length 0 is always on."""
     return F.when(on + off > 0, F.pmod(index - start, on + off) < on).otherwise(F.lit(True))
@@ -64,22 +107,23 @@ def combine(signals: DataFrame, keys: list[str]) -> DataFrame:
     return signals.groupBy(*keys, "ts").agg(F.bool_and("entry").alias("entry"), F.bool_or("exit").alias("exit"))
 
 
-def positions(df: DataFrame, keys: list[str], entry: str = "entry", exit_: str = "exit") -> DataFrame:
+def positions(df: DataFrame, keys: list[str], entry: str = "entry", exit_: str = "exit", last_enters: bool = False) -> DataFrame:
     """Adds ``pos`` (0/1 after each bar), ``opened`` and ``closed``.
 
-    Entry alone sets, exit alone resets, both together toggle, none keeps; the last bar does not enter. The state is
-    the last set or reset plus the toggles since, modulo 2.
+    Entry alone sets, exit alone resets, both together toggle, none keeps; the last bar does not enter unless ``last_enters``.
+    The state is the last set or reset plus the toggles since, modulo 2; these are the toggles so far less those at the last
+    set or reset, so one order of the rows serves for all.
     """
     w, run = over(*keys), running(*keys)
     last = F.lead(F.lit(1)).over(w).isNull()
-    e = F.coalesce(F.col(entry), F.lit(False)) & ~F.col("_last")
+    e = F.coalesce(F.col(entry), F.lit(False))
+    e = e if last_enters else e & ~F.col("_last")
     x = F.coalesce(F.col(exit_), F.lit(False))
-    out = df.withColumn("_last", last).withColumns({"_base": F.when(e & ~x, 1).when(x & ~e, 0), "_tog": (e & x).cast("int")})
-    out = out.withColumns({"_grp": F.count("_base").over(run), "_since": F.coalesce(F.last("_base", ignorenulls=True).over(run), F.lit(0))})
-    inner = running(*keys, "_grp")
-    out = out.withColumn("pos", F.pmod(F.col("_since") + F.sum("_tog").over(inner), F.lit(2)).cast("int"))
+    out = df.withColumn("_last", last).withColumns({"_base": F.when(e & ~x, 1).when(x & ~e, 0), "_tog": F.sum((e & x).cast("int")).over(run)})
+    since = F.coalesce(F.last(F.when(F.col("_base").isNotNull(), F.col("_base") - F.col("_tog")), ignorenulls=True).over(run), F.lit(0))
+    out = out.withColumn("pos", F.pmod(since + F.col("_tog"), F.lit(2)).cast("int"))
     prev = F.coalesce(F.lag("pos").over(w), F.lit(0))
-    return out.withColumns({"opened": (prev == 0) & (F.col("pos") == 1), "closed": (prev == 1) & (F.col("pos") == 0)}).drop("_base", "_tog", "_grp", "_since")
+    return out.withColumns({"opened": (prev == 0) & (F.col("pos") == 1), "closed": (prev == 1) & (F.col("pos") == 0)}).drop("_base", "_tog")
 
 
 def fills(df: DataFrame, keys: list[str], costs: Costs = STOCKS, start: float = START) -> DataFrame:

@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, checks, execution, features, monitor, regimes
+from ..operators import calibration, checks, execution, features, monitor, regimes, signals
 from ..sources import bars as B
 from ..sources.store import FeatureStore, VersionedStore
-from ..streaming import jobs
+from ..streaming import jobs, live
 from .desk_queries import k07_alerts
 from .market import F_BASE, V, rounded
 from .regime_queries import series
@@ -165,6 +165,63 @@ def t2_stream_metrics(spark, sf_dir):
     return rounded(_run(spark, jobs.stream_metrics(_ticks(spark, sf_dir)), "metrics"), 6)
 
 
+TIMEFRAMES = ("5min", "hourly", "daily")
+#: Rows of (param_id, tf, mn1, mn2, entry, exit, on, off, start).
+LIVE = [(p, tf, mn1, mn2, entry, exit_, on, off, 3) for p, mn1, mn2, on, off, levels in ((0, 14, 3, 20, 5, (50.0, 60.0)), (1, 7, 5, 30, 2, (55.0, 70.0))) for tf in TIMEFRAMES for entry, exit_ in (levels,)]
+_V = ", ".join(str(r) for r in LIVE)
+_K = "(PARTITION BY symbol, tf ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_S = "OVER (PARTITION BY symbol, param_id ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+LIVE_SQL = f"""WITH pa(param_id, tf, mn1, mn2, entry, exit, "on", off, start) AS (VALUES {_V}),
+sec AS (SELECT * FROM (VALUES ('5min', 300), ('hourly', 3600), ('daily', 86400)) AS s(tf, s)),
+b AS (SELECT event_type AS symbol, tf, s, to_timestamp((epoch_us(ts) // (s::BIGINT * 1000000)) * s)::TIMESTAMP AS ts, last(value ORDER BY e.ts, event_id) AS close FROM events e, sec GROUP BY ALL),
+d AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol, tf ORDER BY ts), 0) AS m, row_number() OVER (PARTITION BY symbol, tf ORDER BY ts) - 1 AS i, max(ts) OVER () AS top FROM b),
+r AS (SELECT *, {', '.join(f"CASE WHEN sum(greatest(-m, 0)) OVER w{n} > 1e-12 THEN 100 - 100 / (1 + sum(greatest(m, 0)) OVER w{n} / sum(greatest(-m, 0)) OVER w{n}) ELSE 0 END AS r{n}" for n in (7, 14))} FROM d WINDOW w7 AS {_K.format(6)}, w14 AS {_K.format(13)}),
+q AS (SELECT *, avg(r14) OVER {_K.format(2)} AS r14_3, avg(r7) OVER {_K.format(4)} AS r7_5 FROM r),
+y AS (SELECT symbol, param_id, tf, ts + s * INTERVAL 1 SECOND AS ts, CASE WHEN i > 0 THEN CASE mn1 WHEN 14 THEN r14_3 ELSE r7_5 END END AS rsi, entry, exit, ((i - start) % ("on" + off) + "on" + off) % ("on" + off) < "on" AS cy FROM q JOIN pa USING (tf) WHERE ts + s * INTERVAL 1 SECOND < top),
+z AS (SELECT symbol, param_id, ts, {', '.join(f"max(rsi) FILTER (tf = '{t}') AS r_{t}, bool_and(rsi < entry AND cy) FILTER (tf = '{t}' AND rsi IS NOT NULL) AS e_{t}, bool_and(rsi > exit OR NOT cy) FILTER (tf = '{t}' AND rsi IS NOT NULL) AS x_{t}" for t in TIMEFRAMES)} FROM y GROUP BY ALL),
+v AS (SELECT symbol, param_id, ts, {', '.join(f"last_value({c}_{t} IGNORE NULLS) {_S} AS {c}_{t}" for t in TIMEFRAMES for c in 'rex')} FROM z),
+g AS (SELECT symbol, param_id, ts, {', '.join(f'round(r_{t}, 5) AS rsi_{t}' for t in TIMEFRAMES)}, {' AND '.join(f'e_{t}' for t in TIMEFRAMES)} AS enter, {' OR '.join(f'x_{t}' for t in TIMEFRAMES)} AS leave FROM v WHERE {' AND '.join(f'r_{t} IS NOT NULL' for t in TIMEFRAMES)}),
+h AS (SELECT *, CASE WHEN enter AND NOT leave THEN 1 WHEN leave AND NOT enter THEN 0 END AS base, sum((enter AND leave)::INT) {_S} AS tog FROM g),
+k AS (SELECT *, coalesce(last_value(base - tog IGNORE NULLS) {_S}, 0) AS since FROM h)
+SELECT symbol, param_id, ts, {', '.join(f'rsi_{t}' for t in TIMEFRAMES)}, enter, leave, (((since + tog) % 2 + 2) % 2)::INT AS pos FROM k"""
+
+
+def live_params(spark):
+    return spark.createDataFrame(LIVE, "param_id long, tf string, mn1 int, mn2 int, entry double, exit double, on int, off int, start int")
+
+
+def all_bars(spark, sf_dir):
+    """Closes of all three timeframes."""
+    out = None
+    for tf in TIMEFRAMES:
+        b = B.intraday_bars(spark, sf_dir, tf).select("symbol", F.lit(tf).alias("tf"), F.col("ts").cast("timestamp").alias("ts"), "close")
+        out = b if out is None else out.unionByName(b)
+    return out
+
+
+@query(LIVE_SQL)
+def t3_s15_live_signals(spark, sf_dir):
+    """Entries and exits over three timeframes as bars close; the bars come in two parts, each to a run of its own from the same state."""
+    root = shared(spark, "live")
+    bars = all_bars(spark, sf_dir)
+    middle = bars.agg(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2)).first()[0]
+    for part in (F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle)):
+        bars.filter(part).write.mode("append").parquet(f"{root}/bars")
+        stream = spark.readStream.schema(bars.schema).parquet(f"{root}/bars")
+        out = jobs.run_once(live.multi_timeframe_signals(stream, live_params(spark), TIMEFRAMES), f"{root}/signals", f"{root}/state", jobs.ROCKS)
+    return rounded(out, 5)
+
+
+@query(LIVE_SQL)
+def s15_live_batch(spark, sf_dir):
+    """The same decisions from the whole history, without a stream."""
+    bars = all_bars(spark, sf_dir)
+    top = bars.agg(F.max("ts").alias("top"))
+    pairs = sorted({(r[2], r[3]) for r in LIVE})
+    out = signals.live_positions(bars, live_params(spark), pairs, TIMEFRAMES).join(F.broadcast(top), F.col("ts") < F.col("top")).drop("top")
+    return rounded(out, 5)
+
+
 @query(intraday("hourly", 3600) + f""", m AS (SELECT *, coalesce(close - lag(close) {W}, 0) AS d FROM bars),
 g AS (SELECT *, sum(greatest(d, 0)) OVER w AS g, -sum(least(d, 0)) OVER w AS l FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, CASE WHEN l > 1e-12 THEN 100 - 100 / (1 + g / l) ELSE 0 END AS rsi FROM g), e AS (SELECT *, CASE WHEN rsi < 30 THEN 1 WHEN rsi > 70 THEN 0 END AS ev FROM r)

@@ -85,8 +85,20 @@ def stream_sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return s.select("symbol", F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there, to a Parquet folder, and reads that."""
+#: State that processors with several variables and timers need.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def run_once(stream: DataFrame, out: str, checkpoint: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a stream over what is there, to a Parquet folder, and reads that. ``conf`` holds while it starts."""
     spark = stream.sparkSession
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(out)
