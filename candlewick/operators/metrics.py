@@ -69,21 +69,18 @@ def probabilistic_sharpe(m: DataFrame, keys: list[str], year: float = 252.0, ben
     Without deviation psr is 0.95 for a gain, else 0.05. Where the moments give no positive variance the error is
     1 / sqrt(n - 1) with penalties for skewness and kurtosis. The score's z is within 2, 2.5 from 30 and 3 from 100.
     """
-    n = F.col("n").cast("double")
-    eff = F.when(F.col(trades) < n / 10, F.greatest(F.col(trades).cast("double"), F.lit(10.0))).otherwise(n) if trades else n
-    df = F.greatest(eff - 1, F.lit(1.0))
-    flat = F.col("sd") < 1e-12
-    s = F.col("mean") / F.when(~flat, F.col("sd"))
-    observed = clip(s * math.sqrt(year), -10.0, 10.0)
-    skew, kurt = clip(F.col("skew"), -10.0, 10.0), clip(F.col("kurt"), -10.0, 50.0)
-    var = (1 - skew * s + (kurt - 1) / 4 * s * s) / df * year
-    fallback = (1 + F.least(F.lit(5.0), F.abs(skew)) * 0.3) * (1 + F.least(F.lit(10.0), F.abs(kurt)) * 0.15) * math.sqrt(year) / F.sqrt(df)
-    se = F.when(var > 0, F.sqrt(var)).otherwise(fallback)
-    bound = F.when(eff < 30, 2.0).when(eff < 100, 2.5).otherwise(3.0)
-    z = (observed - benchmark) / F.when(se < 1e-10, 0.2).otherwise(se)
-    z = F.least(F.greatest(z, -bound), bound)
-    psr = F.when((n < 30) | F.col("sd").isNull(), 0.5).when(flat, F.when(F.col("mean") > 0, 0.95).otherwise(0.05)).otherwise(clip(norm_cdf(z), 0.001, 0.999))
-    return m.withColumns({"sharpe": observed, "psr": psr})
+    n, c = F.col("n").cast("double"), F.col
+    eff = F.when(c(trades) < n / 10, F.greatest(c(trades).cast("double"), F.lit(10.0))).otherwise(n) if trades else n
+    # In stages, each a column of its own: written out in one expression the generated code would be too long to compile.
+    x = m.withColumns({"_eff": eff, "_flat": c("sd") < 1e-12, "_skew": clip(c("skew"), -10.0, 10.0), "_kurt": clip(c("kurt"), -10.0, 50.0)})
+    x = x.withColumns({"_s": c("mean") / F.when(~c("_flat"), c("sd")), "_df": F.greatest(c("_eff") - 1, F.lit(1.0))})
+    x = x.withColumns({"sharpe": clip(c("_s") * math.sqrt(year), -10.0, 10.0), "_var": (1 - c("_skew") * c("_s") + (c("_kurt") - 1) / 4 * c("_s") * c("_s")) / c("_df") * year})
+    fallback = (1 + F.least(F.lit(5.0), F.abs("_skew")) * 0.3) * (1 + F.least(F.lit(10.0), F.abs("_kurt")) * 0.15) * math.sqrt(year) / F.sqrt("_df")
+    x = x.withColumns({"_se": F.when(c("_var") > 0, F.sqrt("_var")).otherwise(fallback), "_bound": F.when(c("_eff") < 30, 2.0).when(c("_eff") < 100, 2.5).otherwise(3.0)})
+    x = x.withColumn("_z", (c("sharpe") - benchmark) / F.when(c("_se") < 1e-10, 0.2).otherwise(c("_se")))
+    x = x.withColumn("_z", F.least(F.greatest(c("_z"), -c("_bound")), c("_bound")))
+    psr = F.when((n < 30) | c("sd").isNull(), 0.5).when(c("_flat"), F.when(c("mean") > 0, 0.95).otherwise(0.05)).otherwise(clip(norm_cdf(c("_z")), 0.001, 0.999))
+    return x.withColumn("psr", psr).select(*m.columns, "sharpe", "psr")
 
 
 def trade_multiplier(trades: Column, phase: str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import div, over, running
+from ..session import cut
+from ..sources.bars import TF_SECONDS, bucket_of
 from . import metrics, signals
 
 KEYS = ["symbol", "param_id"]
@@ -64,11 +66,11 @@ def scores(filled: DataFrame, phase: str) -> DataFrame:
     return e.join(t, KEYS).withColumn("score", F.col("sharpe") * metrics.trade_multiplier(F.col("trades"), phase))
 
 
-def psr_scores(filled: DataFrame) -> DataFrame:
+def psr_scores(filled: DataFrame, year: float = 252.0) -> DataFrame:
     """Trades, Sharpe, and the probabilistic Sharpe ratio weighted by trades as the score, of each (symbol, param_id)."""
     t = filled.groupBy(*KEYS).agg(F.count_if("_ends").alias("trades"))
     m = metrics.moments(metrics.equity_returns(signals.equity(filled, KEYS), KEYS), KEYS).join(t, KEYS)
-    p = metrics.probabilistic_sharpe(m, KEYS, trades="trades")
+    p = metrics.probabilistic_sharpe(m, KEYS, year, trades="trades")
     weight = metrics.trade_multiplier(F.col("trades"), "rsi")
     return p.select(*KEYS, "trades", (F.col("sharpe") * weight).alias("sharpe"), (F.col("psr") * weight).alias("score"))
 
@@ -88,11 +90,72 @@ def two_phases(bars: DataFrame, cycles: DataFrame, rsis: DataFrame, base: dict[s
     return found.withColumn("score", F.round("score", digits)).join(second, KEYS)
 
 
-def top_of_batches(results: DataFrame, batch: int = 500, n: int = 5) -> DataFrame:
-    """The n best rows of each symbol's batches of parameter rows, and the best of all as the row ``FINAL``."""
+def timeframe_search(bars: DataFrame, timeframes: tuple[str, ...], cycles: DataFrame, rsis: DataFrame, defaults: dict[str, float], pairs: list[tuple[int, int]], digits: int = 6, costs: signals.Costs = signals.STOCKS) -> DataFrame:
+    """Coordinate descent over timeframes: of each in turn the cycle, then the RSI values, by symbol.
+
+    ``bars``: symbol, tf, ts, open, close; trades are on the finest timeframe, and each bar of it sees the coarser bar of its
+    day, hour or bucket (where there is none, it cannot enter and must leave). Earlier timeframes stand at what was best of
+    them, later ones at ``defaults`` (mn1, mn2, entry, exit, on, off, start). ``cycles``: param_id, on, off, start;
+    ``rsis``: param_id, mn1, mn2, entry, exit; ``pairs``: all (mn1, mn2) that occur. Entry where all timeframes ask for it,
+    exit where any does. Scores: Sharpe ratio by trades in a cycle phase, probabilistic Sharpe ratio by trades in an RSI
+    phase; 0 for fewer than 50 bars. They are rounded to ``digits`` before they are ranked, ties go to the smaller param_id.
+
+    Returns every RSI trial: (symbol, tf, param_id, on, off, start, cycle_score, mn1, mn2, entry, exit, trades, score).
+    The other timeframes' signals are the same for all trials of a phase and are combined once; a phase's winners are cut
+    and joined to the next by symbol.
+    """
+    names = ("mn1", "mn2", "entry", "exit", "on", "off", "start")
+    finest = min(timeframes, key=TF_SECONDS.get)
+    year = 252.0 * {"daily": 1.0, "hourly": 6.5}.get(finest, 6.5 * 12)
+    wide = cut(signals.smoothed_rsi(bars.filter(F.col("tf").isin(*timeframes)), pairs, ["symbol", "tf"]))
+    fine = wide.filter(F.col("tf") == finest).select("symbol", "ts", "open")
+    symbols = fine.select("symbol").distinct()
+    current = {tf: symbols.select("symbol", *(F.lit(defaults[n]).alias(n) for n in names)) for tf in timeframes}
+
+    def asked(tf: str, params: DataFrame) -> DataFrame:
+        """(symbol, [param_id], _key, _e, _x): the signals of one timeframe by bucket, the last bar's where several match."""
+        x = wide.filter(F.col("tf") == tf).join(params, "symbol")
+        on = signals.cycle(F.col("_i"), F.col("on"), F.col("off"), F.col("start"))
+        x = x.withColumn("rsi", signals.chosen_rsi(pairs)).select("symbol", *(["param_id"] if "param_id" in params.columns else []), "ts", F.struct(((F.col("rsi") < F.col("entry")) & on).alias("e"), ((F.col("rsi") > F.col("exit")) | ~on).alias("x")).alias("_s"))
+        keys = [c for c in x.columns if c not in ("ts", "_s")]
+        s = x.groupBy(*keys, bucket_of(F.col("ts"), tf).alias("_key")).agg(F.max_by("_s", "ts").alias("_s"))
+        return s.select(*keys, "_key", F.col("_s.e").alias("_e"), F.col("_s.x").alias("_x"))
+
+    def joined(rows: DataFrame, tf: str, params: DataFrame) -> DataFrame:
+        s = asked(tf, params)
+        y = rows.withColumn("_key", bucket_of(F.col("ts"), tf)).join(s, [c for c in s.columns if c not in ("_e", "_x")], "left")
+        return y.withColumns({"entry": F.col("entry") & F.coalesce("_e", F.lit(False)), "exit": F.col("exit") | F.coalesce("_x", F.lit(True))}).drop("_key", "_e", "_x")
+
+    def phase(tf: str, candidates: DataFrame, kind: str) -> DataFrame:
+        """(symbol, param_id, trades, score) of each candidate of one timeframe."""
+        others = fine.withColumns({"entry": F.lit(True), "exit": F.lit(False)})
+        for other in timeframes:
+            if other != tf:
+                others = joined(others, other, current[other])
+        rows = joined(others.join(candidates.select("symbol", "param_id"), "symbol"), tf, candidates)
+        filled = signals.fills(signals.positions(rows, KEYS), KEYS, costs)
+        found = scores(filled, "cycle") if kind == "cycle" else psr_scores(filled, year)
+        size = fine.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+        return found.join(size, "symbol").select(*KEYS, "trades", F.when(F.col("_n") < 50, 0.0).otherwise(F.round("score", digits)).alias("score"))
+
+    out = None
+    for tf in timeframes:
+        turns = current[tf].drop("on", "off", "start").crossJoin(F.broadcast(cycles))  # symbols times rows of the grid
+        won = best(phase(tf, turns, "cycle"), ["symbol"]).select("symbol", "param_id", F.col("score").alias("cycle_score"))
+        won = cut(won.join(cycles, "param_id").drop("param_id"))
+        values = won.crossJoin(F.broadcast(rsis))
+        trials = cut(phase(tf, values.drop("cycle_score"), "rsi").join(values, KEYS).withColumn("tf", F.lit(tf)))
+        current[tf] = cut(best(trials, ["symbol"]).select("symbol", *names))
+        rows = trials.select("symbol", "tf", "param_id", "on", "off", "start", "cycle_score", "mn1", "mn2", "entry", "exit", "trades", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def top_of_batches(results: DataFrame, batch: int = 500, n: int = 5, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The n best rows of each key's batches of parameter rows, and the best of all as the row ``FINAL``."""
     rows = results.withColumn("batch", F.floor(F.col("param_id") / batch).cast("string"))
-    final = best(results, ["symbol"]).withColumn("batch", F.lit("FINAL"))
-    return best(rows, ["symbol", "batch"], n).unionByName(final)
+    final = best(results, list(keys)).withColumn("batch", F.lit("FINAL"))
+    return best(rows, [*keys, "batch"], n).unionByName(final)
 
 
 def append_results(rows: DataFrame, path: str) -> None:

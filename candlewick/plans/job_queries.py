@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import calibration, checks, execution, features, monitor, regimes, signals
+from ..session import shared_folder
 from ..sources import bars as B
 from ..sources.store import FeatureStore, VersionedStore
 from ..streaming import jobs, live
@@ -18,11 +18,7 @@ from .registry import DAILY, SQL, W, intraday, query, roll
 
 
 def shared(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = root or tempfile.mkdtemp(prefix="candlewick-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(DAILY + " SELECT symbol, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, CAST(2 AS BIGINT) AS versions, true AS intact FROM bars WHERE ts >= TIMESTAMP '1996-01-01' AND ts <= TIMESTAMP '1999-12-31' GROUP BY symbol")

@@ -57,10 +57,10 @@ def b01_b02_sweep(spark, sf_dir):
     return rounded(X.scores(swept(spark, sf_dir), "rsi"), 5)
 
 
-def _phase(k: int, y: str) -> str:
+def _phase(k: int, y: str, enter: str = "rsi < entry AND cy", leave: str = "rsi > exit OR NOT cy") -> str:
     """SQL of a sweep's positions, fills, equity and returns: tables y<k> to er<k>, from a table of (symbol, param_id, ts, open, rsi, entry, exit, cy)."""
     return f"""y{k} AS ({y}),
-s{k} AS (SELECT symbol, param_id, ts, open, rsi < entry AND cy AND lead(1) {K} IS NOT NULL AS e, rsi > exit OR NOT cy AS x, lead(1) {K} IS NULL AS is_last FROM y{k}),
+s{k} AS (SELECT symbol, param_id, ts, open, {enter} AND lead(1) {K} IS NOT NULL AS e, {leave} AS x, lead(1) {K} IS NULL AS is_last FROM y{k}),
 b{k} AS (SELECT *, CASE WHEN e AND NOT x THEN 1 WHEN x AND NOT e THEN 0 END AS base FROM s{k}),
 p{k} AS (SELECT *, coalesce(last_value(base IGNORE NULLS) {R}, 0) AS pos FROM b{k}),
 q{k} AS (SELECT *, coalesce(lag(pos) {K}, 0) AS prev, coalesce(lead(open) {K}, open) AS nxt FROM p{k}),
@@ -71,14 +71,14 @@ fl{k} AS (SELECT *, 1000 * exp(coalesce(sum(ln(f)) {R}, 0)) AS ea FROM z{k}),
 er{k} AS (SELECT *, equity / lag(equity) {K} - 1 AS ret FROM (SELECT symbol, param_id, ts, ends, CASE WHEN pos = 1 AND NOT ends THEN ea * open / ep ELSE ea END AS equity FROM fl{k}))"""
 
 
-def _psr(n: str, m: str, sd: str, sk: str, ku: str, t: str) -> str:
+def _psr(n: str, m: str, sd: str, sk: str, ku: str, t: str, year: int = 252) -> str:
     """SQL of the probabilistic Sharpe ratio from moments."""
     s, eff = f"({m} / CASE WHEN {sd} >= 1e-12 THEN {sd} END)", f"(CASE WHEN {t} < {n} / 10 THEN greatest({t}::DOUBLE, 10.0) ELSE {n} END)"
     sk, ku = f"least(greatest({sk}, -10), 10)", f"least(greatest({ku}, -10), 50)"
-    v = f"((1 - {sk} * {s} + ({ku} - 1) / 4 * {s} * {s}) / greatest({eff} - 1, 1) * 252)"
-    se = f"(CASE WHEN {v} > 0 THEN sqrt({v}) ELSE (1 + least(5, abs({sk})) * 0.3) * (1 + least(10, abs({ku})) * 0.15) * sqrt(252) / sqrt(greatest({eff} - 1, 1)) END)"
+    v = f"((1 - {sk} * {s} + ({ku} - 1) / 4 * {s} * {s}) / greatest({eff} - 1, 1) * {year})"
+    se = f"(CASE WHEN {v} > 0 THEN sqrt({v}) ELSE (1 + least(5, abs({sk})) * 0.3) * (1 + least(10, abs({ku})) * 0.15) * sqrt({year}) / sqrt(greatest({eff} - 1, 1)) END)"
     bound = f"(CASE WHEN {eff} < 30 THEN 2.0 WHEN {eff} < 100 THEN 2.5 ELSE 3.0 END)"
-    z = f"least(greatest(least(greatest({s} * sqrt(252), -10), 10) / CASE WHEN {se} < 1e-10 THEN 0.2 ELSE {se} END, -{bound}), {bound})"
+    z = f"least(greatest(least(greatest({s} * sqrt({year}), -10), 10) / CASE WHEN {se} < 1e-10 THEN 0.2 ELSE {se} END, -{bound}), {bound})"
     return f"CASE WHEN {n} < 30 OR {sd} IS NULL THEN 0.5 WHEN {sd} < 1e-12 THEN CASE WHEN {m} > 0 THEN 0.95 ELSE 0.05 END ELSE least(greatest({_cdf(z)}, 0.001), 0.999) END"
 
 
@@ -95,9 +95,9 @@ cy AS (SELECT re1.symbol, "on", off, start, score AS cycle_score, row_number() O
     + f""",
 mo2 AS (SELECT symbol, param_id, count(ret)::DOUBLE AS n, avg(ret) AS m, stddev_samp(ret) AS sd, skewness(ret) AS sk, kurtosis(ret) AS ku, count(*) FILTER (ends) AS trades FROM er2 GROUP BY ALL),
 re2 AS (SELECT symbol, param_id, trades, round(({_psr('n', 'm', 'sd', 'sk', 'ku', 'trades')}) * CASE WHEN trades < 10 THEN 0.0 WHEN trades >= 30 THEN 1.0 ELSE (trades - 10) / 20.0 END, 6) AS score FROM mo2),
-al AS (SELECT re2.*, "on", off, start, cycle_score, mn1, entry, exit, row_number() OVER (PARTITION BY re2.symbol ORDER BY score DESC, re2.param_id) AS k_all, row_number() OVER (PARTITION BY re2.symbol, re2.param_id // 4 ORDER BY score DESC, re2.param_id) AS k_batch
+al AS (SELECT re2.*, "on", off, start, cycle_score, mn1, entry, exit, row_number() OVER (PARTITION BY re2.symbol ORDER BY score DESC, re2.param_id) AS k_all, row_number() OVER (PARTITION BY re2.symbol, re2.param_id // 500 ORDER BY score DESC, re2.param_id) AS k_batch
   FROM re2 JOIN cy ON re2.symbol = cy.symbol AND cy.k = 1 JOIN pa ON re2.param_id = pa.param_id)
-SELECT symbol, CAST(param_id // 4 AS VARCHAR) AS batch, CAST(k_batch AS INT) AS rank, param_id, "on", off, start, mn1, entry, exit, cycle_score, trades, score FROM al WHERE k_batch <= 3
+SELECT symbol, CAST(param_id // 500 AS VARCHAR) AS batch, CAST(k_batch AS INT) AS rank, param_id, "on", off, start, mn1, entry, exit, cycle_score, trades, score FROM al WHERE k_batch <= 5
 UNION ALL SELECT symbol, 'FINAL', 1, param_id, "on", off, start, mn1, entry, exit, cycle_score, trades, score FROM al WHERE k_all = 1"""
 )
 
@@ -108,10 +108,79 @@ def b01_a13_phases(spark, sf_dir):
     cycles = X.grid(spark, on=[10, 20], off=[5, 10], start=[0, 3])
     rsis = X.grid(spark, mn1=LENGTHS, entry=[25.0, 35.0], exit=[65.0, 75.0])
     found = X.two_phases(B.daily_bars(spark, sf_dir), cycles, rsis, {"mn1": 14, "entry": 30.0, "exit": 70.0}, LENGTHS)
-    t = X.top_of_batches(found, batch=4, n=3)
+    t = X.top_of_batches(found)
     return t.select("symbol", "batch", "rank", "param_id", "on", "off", "start", "mn1", "entry", "exit", "cycle_score", "trades", "score")
 
 
+#: The search over timeframes: its timeframes, grids and defaults.
+MANY, PAIRS = ("daily", "hourly", "5min"), [(7, 1), (7, 3), (14, 1), (14, 3)]
+CYCLES = {"on": [10, 20], "off": [5, 10], "start": [0, 3]}
+VALUES = {"mn1": [7, 14], "mn2": [1, 3], "entry": [30.0, 45.0], "exit": [55.0, 70.0]}
+DEFAULTS = {"mn1": 14, "mn2": 3, "entry": 45.0, "exit": 60.0, "on": 20, "off": 5, "start": 0}
+
+
+def _many_sql() -> str:
+    """SQL of the search: for each timeframe two phases of tables, numbered from 1."""
+    grid = lambda v: "SELECT row_number() OVER (ORDER BY " + ", ".join(f'"{n}"' for n in v) + ") - 1 AS param_id, * FROM " + ", ".join(f"(VALUES {', '.join(f'({x})' for x in xs)}) AS t{i}(\"{n}\")" for i, (n, xs) in enumerate(v.items()))
+    frame = "(PARTITION BY symbol, tf ORDER BY ts ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    rsi = lambda n: f"CASE WHEN sum(greatest(-m, 0)) OVER {frame.format(n - 1)} > 1e-12 THEN 100 - 100 / (1 + sum(greatest(m, 0)) OVER {frame.format(n - 1)} / sum(greatest(-m, 0)) OVER {frame.format(n - 1)}) ELSE 0 END"
+    trunc = {"daily": "date_trunc('day', {})", "hourly": "date_trunc('hour', {})", "5min": "{}"}
+    cols = ("mn1", "mn2", "entry", "exit", '"on"', "off", "start")
+    out = [f"""WITH sec AS (SELECT * FROM (VALUES ('5min', 300), ('hourly', 3600), ('daily', 86400)) AS s(tf, s)),
+b AS (SELECT event_type AS symbol, tf, to_timestamp((epoch_us(ts) // (s::BIGINT * 1000000)) * s)::TIMESTAMP AS ts, first(value ORDER BY e.ts, event_id) AS open, last(value ORDER BY e.ts, event_id) AS close FROM events e, sec GROUP BY ALL),
+d AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol, tf ORDER BY ts), 0) AS m, row_number() OVER (PARTITION BY symbol, tf ORDER BY ts) - 1 AS i FROM b),
+r AS (SELECT *, {', '.join(f'{rsi(n)} AS r{n}' for n in sorted({a for a, _ in PAIRS}))} FROM d),
+q AS MATERIALIZED (SELECT *, {', '.join(f'avg(r{a}) OVER {frame.format(n - 1)} AS r{a}_{n}' for a, n in PAIRS)} FROM r),
+rl AS MATERIALIZED (SELECT symbol, tf, ts, i, unnest([{', '.join(str(a) for a, _ in PAIRS)}]) AS mn1, unnest([{', '.join(str(n) for _, n in PAIRS)}]) AS mn2, unnest([{', '.join(f'r{a}_{n}' for a, n in PAIRS)}]) AS rsi FROM q),
+fi AS (SELECT symbol, ts, open FROM q WHERE tf = '5min'), fn AS (SELECT symbol, count(*) AS bars FROM fi GROUP BY symbol),
+cg AS ({grid(CYCLES)}), vg AS ({grid(VALUES)}), df AS (SELECT DISTINCT symbol, {', '.join(f'{DEFAULTS[c.strip(chr(34))]} AS {c}' for c in cols)} FROM fi)"""]
+    now = dict.fromkeys(MANY, "df")
+
+    def signals_of(name: str, tf: str, params: str, by: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT symbol, {by} rl.ts, rsi < entry AND cy AS e, rsi > exit OR NOT cy AS x FROM (SELECT rl.*, p.* EXCLUDE (symbol, mn1, mn2), ((i - start) % ("on" + off) + "on" + off) % ("on" + off) < "on" AS cy FROM rl JOIN {params} p ON rl.symbol = p.symbol AND rl.mn1 = p.mn1 AND rl.mn2 = p.mn2 WHERE tf = '{tf}') rl)"""
+
+    k, parts = 0, []
+    for tf in MANY:
+        for kind in ("cycle", "rsi"):
+            k += 1
+            if kind == "cycle":
+                out.append(f"ca{k} AS (SELECT symbol, param_id, mn1, mn2, entry, exit, cg.* EXCLUDE param_id FROM {now[tf]} p, cg)".replace("FROM df p, cg", "FROM (SELECT symbol, mn1, mn2, entry, exit FROM df) p, cg"))
+            else:
+                out.append(f'ca{k} AS (SELECT symbol, vg.*, "on", off, start, cycle_score FROM w{k - 1}, vg)')
+            others = [t for t in MANY if t != tf]
+            out += [signals_of(f"sg{k}_{i}", t, now[t], "") for i, t in enumerate(others)] + [signals_of(f"sg{k}", tf, f"(SELECT * {'EXCLUDE cycle_score' if kind == 'rsi' else ''} FROM ca{k})", "param_id,")]
+            join = " ".join(f"LEFT JOIN sg{k}_{i} ON sg{k}_{i}.symbol = f.symbol AND sg{k}_{i}.ts = {trunc[t].format('f.ts')}" for i, t in enumerate(others)) + f" LEFT JOIN sg{k} ON sg{k}.symbol = f.symbol AND sg{k}.param_id = c.param_id AND sg{k}.ts = {trunc[tf].format('f.ts')}"
+            tables = [*(f"sg{k}_{i}" for i in range(len(others))), f"sg{k}"]
+            y = f"SELECT f.symbol, c.param_id, f.ts, f.open, {' AND '.join(f'coalesce({t}.e, false)' for t in tables)} AS e0, {' OR '.join(f'coalesce({t}.x, true)' for t in tables)} AS x0 FROM fi f JOIN ca{k} c USING (symbol) {join}"
+            out.append(_phase(k, y, "e0", "x0"))
+            if kind == "cycle":
+                score = "CASE WHEN stddev_samp(ret) > 0 THEN least(greatest(avg(ret) / stddev_samp(ret) * sqrt(252), -5), 10) ELSE 0 END * CASE WHEN t < 10 THEN 0.0 WHEN t >= 30 THEN 1.0 ELSE t / 30.0 END"
+                out.append(f"sc{k} AS (SELECT symbol, param_id, count(*) FILTER (ends) AS t, {score.replace('t < ', 'count(*) FILTER (ends) < ').replace('t >= ', 'count(*) FILTER (ends) >= ').replace('t / ', 'count(*) FILTER (ends) / ')} AS s0 FROM er{k} GROUP BY ALL)")
+            else:
+                out.append(f"mo{k} AS (SELECT symbol, param_id, count(ret)::DOUBLE AS n, avg(ret) AS m, stddev_samp(ret) AS sd, skewness(ret) AS sk, kurtosis(ret) AS ku, count(*) FILTER (ends) AS t FROM er{k} GROUP BY ALL)")
+                out.append(f"sc{k} AS (SELECT symbol, param_id, t, ({_psr('n', 'm', 'sd', 'sk', 'ku', 't', 19656)}) * CASE WHEN t < 10 THEN 0.0 WHEN t >= 30 THEN 1.0 ELSE (t - 10) / 20.0 END AS s0 FROM mo{k})")
+            out.append(f"re{k} AS MATERIALIZED (SELECT symbol, param_id, t, CASE WHEN bars < 50 THEN 0.0 ELSE round(s0, 6) END AS score FROM sc{k} JOIN fn USING (symbol))")
+            out.append(f"w{k} AS MATERIALIZED (SELECT c.* EXCLUDE param_id{', score AS cycle_score' if kind == 'cycle' else ''} FROM re{k} JOIN ca{k} c USING (symbol, param_id) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, param_id) = 1)")
+        now[tf] = f"(SELECT * EXCLUDE cycle_score FROM w{k})"
+        parts.append(f"SELECT '{tf}' AS tf, c.*, t AS trades, score FROM re{k} JOIN ca{k} c USING (symbol, param_id)")
+    show = 'symbol, tf, batch, CAST(k AS INT) AS rank, param_id, "on", off, start, cycle_score, mn1, mn2, entry, exit, trades, score'
+    return ",\n".join(out) + f""",
+al AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY score DESC, param_id) AS k_all, row_number() OVER (PARTITION BY symbol, tf, param_id // 500 ORDER BY score DESC, param_id) AS k_batch FROM ({' UNION ALL BY NAME '.join(parts)}))
+SELECT {show} FROM (SELECT *, CAST(param_id // 500 AS VARCHAR) AS batch, k_batch AS k FROM al WHERE k_batch <= 5 UNION ALL SELECT *, 'FINAL', 1 FROM al WHERE k_all = 1)"""
+
+
+@query(_many_sql())
+def b01_timeframes(spark, sf_dir):
+    """Cycle, then RSI values of daily, hourly and five-minute bars in turn; the best five of each batch of 500 and the final rows."""
+    bars = None
+    for tf in MANY:
+        b = B.intraday_bars(spark, sf_dir, tf).select("symbol", F.lit(tf).alias("tf"), F.col("ts").cast("timestamp").alias("ts"), "open", "close")
+        bars = b if bars is None else bars.unionByName(b)
+    found = X.timeframe_search(bars, MANY, X.grid(spark, **CYCLES), X.grid(spark, **VALUES), DEFAULTS, PAIRS)
+    t = X.top_of_batches(found, keys=("symbol", "tf"))
+    return t.select("symbol", "tf", "batch", "rank", "param_id", "on", "off", "start", "cycle_score", "mn1", "mn2", "entry", "exit", "trades", "score")
+
+
 @query(SWEEP + ", r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(score, 7) DESC, param_id) AS rank FROM re) SELECT symbol, param_id, trades, round(score, 5) AS score, rank FROM r WHERE rank <= 5")
 def a13_top_trials(spark, sf_dir):
     r = X.scores(swept(spark, sf_dir), "rsi").withColumn("score", F.round("score", 7))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "candlewick", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +16,21 @@ def session(app: str = "candlewick", master: str | None = None, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset a temporary one is taken in local mode only: executors of a
+    cluster would not share it, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="candlewick-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: what follows does not compute this again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
