@@ -31,22 +31,23 @@ def sensitivity(params: DataFrame, name: str, values: list) -> DataFrame:
     return params.withColumn(name, F.explode(F.array(*map(F.lit, values)))).withColumn("param_id", F.col("param_id") * len(values) + F.rank().over(Window.partitionBy("param_id").orderBy(name)) - 1).withColumn("varied", F.lit(name))
 
 
-def sweep(bars: DataFrame, params: DataFrame, lengths: list[int], costs: signals.Costs = signals.STOCKS) -> DataFrame:
-    """The RSI and cycle strategy of every parameter row on every symbol, as filled positions.
+def sweep(bars: DataFrame, params: DataFrame, lengths: list[int], costs: signals.Costs = signals.STOCKS, series: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The RSI and cycle strategy of every parameter row on every series, as filled positions.
 
     ``params``: param_id, mn1 (one of ``lengths``), entry, exit, on, off, start. With a column symbol each symbol has
-    rows of its own and they are joined by it; else all rows meet all bars, and a grid of more than MOST_BROADCAST rows
+    rows of its own and they are joined by it (by all of ``series``); else all rows meet all bars, and a grid of more than MOST_BROADCAST rows
     is joined in as many parts as it needs. The RSI of each length is computed once, not once for each row.
     """
-    x = bars.select("symbol", "ts", "open", "close")
+    keys = [*series, "param_id"]
+    x = bars.select(*series, "ts", "open", "close")
     for n in lengths:
-        x = signals.expanding_rsi(x, n, f"rsi_{n}", ["symbol"])
-    x = x.withColumn("_i", F.row_number().over(over("symbol")) - 1)
+        x = signals.expanding_rsi(x, n, f"rsi_{n}", list(series))
+    x = x.withColumn("_i", F.row_number().over(over(*series)) - 1)
     rsi = F.lit(None).cast("double")
     for n in lengths:
         rsi = F.when(F.col("mn1") == n, F.col(f"rsi_{n}")).otherwise(rsi)
     if "symbol" in params.columns:
-        y = x.join(params, "symbol").withColumn("rsi", rsi)
+        y = x.join(params, list(series)).withColumn("rsi", rsi)
     else:  # bars times parameters is the sweep's size
         parts = -(-params.count() // MOST_BROADCAST)
         grids = [params] if parts <= 1 else [params.filter(F.pmod("param_id", F.lit(parts)) == k) for k in range(parts)]
@@ -55,8 +56,8 @@ def sweep(bars: DataFrame, params: DataFrame, lengths: list[int], costs: signals
             z = x.crossJoin(F.broadcast(g)).withColumn("rsi", rsi)
             y = z if y is None else y.unionByName(z)
     on = signals.cycle(F.col("_i"), F.col("on"), F.col("off"), F.col("start"))
-    y = y.select(*KEYS, "ts", "open", ((F.col("rsi") < F.col("entry")) & on).alias("entry"), ((F.col("rsi") > F.col("exit")) | ~on).alias("exit"))
-    return signals.fills(signals.positions(y, KEYS), KEYS, costs)
+    y = y.select(*keys, "ts", "open", ((F.col("rsi") < F.col("entry")) & on).alias("entry"), ((F.col("rsi") > F.col("exit")) | ~on).alias("exit"))
+    return signals.fills(signals.positions(y, keys), keys, costs)
 
 
 def scores(filled: DataFrame, phase: str) -> DataFrame:
@@ -66,13 +67,13 @@ def scores(filled: DataFrame, phase: str) -> DataFrame:
     return e.join(t, KEYS).withColumn("score", F.col("sharpe") * metrics.trade_multiplier(F.col("trades"), phase))
 
 
-def psr_scores(filled: DataFrame, year: float = 252.0) -> DataFrame:
-    """Trades, Sharpe, and the probabilistic Sharpe ratio weighted by trades as the score, of each (symbol, param_id)."""
-    t = filled.groupBy(*KEYS).agg(F.count_if("_ends").alias("trades"))
-    m = metrics.moments(metrics.equity_returns(signals.equity(filled, KEYS), KEYS), KEYS).join(t, KEYS)
-    p = metrics.probabilistic_sharpe(m, KEYS, year, trades="trades")
+def psr_scores(filled: DataFrame, year: float = 252.0, keys: list[str] = KEYS) -> DataFrame:
+    """Trades, Sharpe, and the probabilistic Sharpe ratio weighted by trades as the score, of each key."""
+    t = filled.groupBy(*keys).agg(F.count_if("_ends").alias("trades"))
+    m = metrics.moments(metrics.equity_returns(signals.equity(filled, keys), keys), keys).join(t, keys)
+    p = metrics.probabilistic_sharpe(m, keys, year, trades="trades")
     weight = metrics.trade_multiplier(F.col("trades"), "rsi")
-    return p.select(*KEYS, "trades", (F.col("sharpe") * weight).alias("sharpe"), (F.col("psr") * weight).alias("score"))
+    return p.select(*keys, "trades", (F.col("sharpe") * weight).alias("sharpe"), (F.col("psr") * weight).alias("score"))
 
 
 def two_phases(bars: DataFrame, cycles: DataFrame, rsis: DataFrame, base: dict[str, float], lengths: list[int], digits: int = 6) -> DataFrame:
@@ -208,23 +209,45 @@ def rolling_windows(counts: DataFrame, train: int = 252, test: int = 63, step: i
     return x.select("symbol", F.floor(F.col("_s") / step).cast("int").alias("window_id"), F.col("_s").alias("train_from"), (F.col("_s") + train).alias("train_to"), (F.col("_s") + train).alias("test_from"), (F.col("_s") + train + test).alias("test_to"))
 
 
-def day_windows(bars: DataFrame, train: int = 180, test: int = 30, least_train: int = 100, least_test: int = 10) -> DataFrame:
-    """Windows by days, one test length apart, as row ranges; those with too few rows are left out."""
-    w = over("symbol")
-    x = bars.select("symbol", "ts", (F.row_number().over(w) - 1).alias("i"))
-    span = x.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    days = F.floor((F.unix_timestamp("b") - F.unix_timestamp("a")) / 86400)
-    k = span.withColumn("_m", F.floor((days - train) / test).cast("int")).filter("_m >= 1").withColumn("window_id", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
-    begin = F.unix_timestamp("a") + F.col("window_id") * test * 86400
-    k = k.select("symbol", "window_id", begin.alias("t0"), (begin + train * 86400).alias("t1"), (begin + (train + test) * 86400).alias("t2"))
-    # A bar lies in the test part of one window and in the train part of train / test of them, so it is dealt to those only.
-    day = F.floor((F.unix_timestamp("ts") - F.unix_timestamp("a")) / (test * 86400)).cast("int")
-    reach = math.ceil(train / test) + 1
-    y = x.join(span, "symbol").select("symbol", "i", F.unix_timestamp("ts").alias("t"), F.explode(F.sequence(F.greatest(day - reach, F.lit(0)), day)).alias("window_id"))
-    z = y.join(k, ["symbol", "window_id"]).filter((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t2")))
-    g = z.groupBy("symbol", "window_id").agg(F.min("i").alias("train_from"), F.min(F.when(F.col("t") >= F.col("t1"), F.col("i"))).alias("test_from"), (F.max("i") + 1).alias("test_to"))
-    g = g.filter((F.col("test_from") - F.col("train_from") >= least_train) & (F.col("test_to") - F.col("test_from") >= least_test))
-    return g.select("symbol", "window_id", F.col("train_from").cast("long"), F.col("test_from").cast("long").alias("train_to"), F.col("test_from").cast("long"), F.col("test_to").cast("long"))
+def day_parts(bars: DataFrame, train: int = 180, test: int = 30, least_train: int = 100, least_test: int = 10) -> DataFrame:
+    """Bars dealt to windows by days, one test length apart: (symbol, window_id, part, ts, open, close), part train or test.
+
+    Windows end within the data; those with too few bars in either part are left out. A bar lies in the test part of one
+    window and in the train part of train / test of them, so a series grows by that factor and by no more.
+    """
+    seconds = F.unix_timestamp("ts")
+    span = bars.groupBy("symbol").agg(F.min(seconds).alias("a"), F.max(seconds).alias("b"))
+    span = span.withColumn("_m", F.greatest(F.floor((F.floor((F.col("b") - F.col("a")) / 86400) - train) / test), F.lit(1)))
+    day = F.floor((seconds - F.col("a")) / (test * 86400))
+    reach = math.ceil(train / test)
+    x = bars.select("symbol", "ts", "open", "close").join(span, "symbol").withColumn("window_id", F.explode(F.sequence(F.greatest(day - reach, F.lit(0)), F.least(day, F.col("_m") - 1))))
+    begin = F.col("a") + F.col("window_id") * test * 86400
+    end = begin + (train + test) * 86400
+    x = x.filter((seconds >= begin) & (seconds < end) & (end <= F.col("b")))
+    x = x.select("symbol", F.col("window_id").cast("int").alias("window_id"), F.when(seconds < begin + train * 86400, "train").otherwise("test").alias("part"), "ts", "open", "close")
+    w = Window.partitionBy("symbol", "window_id")
+    of = lambda p: F.count_if(F.col("part") == p).over(w)
+    return x.withColumn("_ok", (of("train") >= least_train) & (of("test") >= least_test)).filter("_ok").drop("_ok")
+
+
+def walk_forward_days(bars: DataFrame, params: DataFrame, lengths: list[int], least_trades: int = 5, digits: int = 6, **days: int) -> DataFrame:
+    """Walk-forward by days; every part of every window is a series of its own, so RSI, cycle, position and equity start anew in it.
+
+    (symbol, window_id, param_id, train_score, train_return, train_trades, test_return, test_trades, degradation_pct), returns
+    in per cent. The best parameter row of a train part (probabilistic Sharpe ratio by trades, rounded, ties to the smaller
+    param_id) is tried on the test part. Windows with fewer trades than ``least_trades`` in train, or none in test, are left out.
+    """
+    series, keys = ("symbol", "window_id"), ["symbol", "window_id", "param_id"]
+    parts = day_parts(bars, **days)
+    gain = lambda filled, name: filled.groupBy(*keys).agg((100 * (F.max_by("equity_after", "ts") / signals.START - 1)).alias(f"{name}_return"), F.count_if("_ends").alias(f"{name}_trades"))
+    trained = cut(sweep(parts.filter("part = 'train'"), params, lengths, series=series))
+    scored = psr_scores(trained, keys=keys).select(*keys, F.round("score", digits).alias("score"))
+    chosen = best(scored, list(series)).select(*keys, F.col("score").alias("train_score")).join(gain(trained, "train"), keys).filter(F.col("train_trades") >= least_trades)
+    chosen = cut(chosen)
+    tested = gain(sweep(parts.filter("part = 'test'"), chosen.select(*keys).join(params, "param_id"), lengths, series=series), "test").filter("test_trades >= 1")
+    out = chosen.join(tested, keys)
+    lost = F.coalesce(div(100 * (F.col("train_return") - F.col("test_return")), F.abs("train_return")), F.lit(0.0))
+    return out.select(*keys, "train_score", "train_return", "train_trades", "test_return", "test_trades", lost.alias("degradation_pct"))
 
 
 def window_scores(returns: DataFrame, windows: DataFrame, year: float = 252.0) -> DataFrame:
@@ -283,12 +306,14 @@ def chained(chosen: DataFrame, start: float = 1000.0) -> DataFrame:
     return chosen.withColumns({"in_sample_equity": start * F.exp(F.sum("train_growth").over(w)), "out_of_sample_equity": start * F.exp(F.sum("test_growth").over(w))})
 
 
-def walk_forward_summary(chosen: DataFrame) -> DataFrame:
-    """Per symbol: efficiency, consistency, degradation in per cent, and whether that looks overfit."""
-    a = chosen.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("train_score").alias("train_score"), F.avg("test_score").alias("test_score"), F.avg((F.col("test_sum") > 0).cast("double")).alias("consistency"), F.sum("train_growth").alias("in_sample_growth"), F.sum("test_growth").alias("out_of_sample_growth"))
-    eff = F.when(F.col("train_score") > 0, F.col("test_score") / F.col("train_score")).otherwise(0.0)
-    deg = F.when(F.col("train_score") > 0, 100 * (F.col("train_score") - F.col("test_score")) / F.col("train_score")).otherwise(0.0)
-    a = a.withColumns({"efficiency": eff, "degradation_pct": deg})
+def walk_forward_summary(windows: DataFrame) -> DataFrame:
+    """Per symbol, from ``walk_forward_days``: mean returns, efficiency (test by train), share of test parts with a gain, degradation
+    in per cent of the train return's size, the chained equities' growth as logarithms, and whether that looks overfit.
+    """
+    grown = lambda c: F.sum(F.log1p(F.col(c) / 100))
+    a = windows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("train_return").alias("train_return"), F.avg("test_return").alias("test_return"), F.avg((F.col("test_return") > 0).cast("double")).alias("consistency"), grown("train_return").alias("in_sample_growth"), grown("test_return").alias("out_of_sample_growth"))
+    lost = div(100 * (F.col("train_return") - F.col("test_return")), F.abs("train_return"))
+    a = a.withColumns({"efficiency": F.coalesce(div(F.col("test_return"), F.col("train_return")), F.lit(0.0)), "degradation_pct": F.coalesce(lost, F.lit(0.0))})
     return a.withColumn("overfit", (F.col("efficiency") < 0.3) | (F.col("consistency") < 0.4) | (F.col("degradation_pct") > 70))
 
 

@@ -240,22 +240,55 @@ def b08_walk_forward_rows(spark, sf_dir):
     return rounded(ch.select("symbol", "window_id", "param_id", "train_score", "test_score", "degradation"), 6)
 
 
-DAYS = """sp AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM bars GROUP BY symbol),
-wk AS (SELECT symbol, CAST(k AS INT) AS window_id, a + INTERVAL 1 DAY * (k * 30) AS t0, a + INTERVAL 1 DAY * (k * 30 + 180) AS t1, a + INTERVAL 1 DAY * (k * 30 + 210) AS t2 FROM sp, range(0, 1000) AS r(k) WHERE k < (date_diff('day', a, z) - 180) // 30),
-bi AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM bars),
-w AS (SELECT wk.symbol, window_id, min(i) AS train_from, min(i) FILTER (ts >= t1) AS train_to, min(i) FILTER (ts >= t1) AS test_from, max(i) + 1 AS test_to FROM wk JOIN bi ON wk.symbol = bi.symbol AND ts >= t0 AND ts < t2 GROUP BY wk.symbol, window_id
-  HAVING min(i) FILTER (ts >= t1) - min(i) >= 100 AND max(i) + 1 - min(i) FILTER (ts >= t1) >= 10)"""
+SIGNED = lambda x: f"round(sign({x}) * ln(1 + abs({x})), 5)"
+
 
+def signed(df, *names: str):
+    """Values that may be of any size as signed logarithms."""
+    return df.withColumns({n: F.round(F.signum(n) * F.log1p(F.abs(n)), 5) + F.lit(0.0) for n in names})
 
-@query(_wins(DAYS) + """, ch AS (SELECT *, row_number() OVER (PARTITION BY symbol, window_id ORDER BY round(train_score, 6) DESC, param_id) AS k FROM ws),
-a AS (SELECT symbol, count(*) AS n_windows, avg(round(train_score, 6)) AS tr, avg(test_score) AS te, avg((test_sum > 1e-12)::INT::DOUBLE) AS consistency, sum(train_growth) AS ig, sum(test_growth) AS og FROM ch WHERE k = 1 AND train_trades >= 5 GROUP BY symbol),
-e AS (SELECT *, CASE WHEN tr > 0 THEN te / tr ELSE 0 END AS efficiency, CASE WHEN tr > 0 THEN 100 * (tr - te) / tr ELSE 0 END AS degradation_pct FROM a)
-SELECT symbol, n_windows, round(tr, 4) AS train_score, round(te, 4) AS test_score, round(consistency, 4) AS consistency, round(efficiency, 4) AS efficiency, round(degradation_pct, 3) AS degradation_pct, round(ig, 5) AS in_sample_growth, round(og, 5) AS out_of_sample_growth, efficiency < 0.3 OR consistency < 0.4 OR degradation_pct > 70 AS overfit FROM e""")
+
+#: Windows by days as series of their own: the key is symbol, window and part.
+DAYS = (
+    DAILY
+    + f""",
+sp AS (SELECT symbol, min(ts) AS a, max(ts) AS z FROM bars GROUP BY symbol),
+wk AS (SELECT symbol, CAST(k AS INT) AS window_id, a + INTERVAL 1 DAY * (k * 30) AS t0, a + INTERVAL 1 DAY * (k * 30 + 180) AS t1, a + INTERVAL 1 DAY * (k * 30 + 210) AS t2 FROM sp, range(0, 1000) AS r(k) WHERE k < greatest((date_diff('day', a, z) - 180) // 30, 1) AND a + INTERVAL 1 DAY * (k * 30 + 210) <= z),
+pt AS (SELECT wk.symbol AS sym, window_id, ts >= t1 AS test, ts, open, close FROM wk JOIN bars ON wk.symbol = bars.symbol AND ts >= t0 AND ts < t2),
+ok AS (SELECT sym, window_id FROM pt GROUP BY ALL HAVING count(*) FILTER (NOT test) >= 100 AND count(*) FILTER (test) >= 10),
+ke AS (SELECT sym || '#' || window_id || '#' || test AS symbol, sym, window_id, test, ts, open, close FROM pt JOIN ok USING (sym, window_id)),
+pa AS (SELECT row_number() OVER (ORDER BY mn1, entry, exit) - 1 AS param_id, * FROM (VALUES (7), (14)) AS a(mn1), (VALUES (25.0), (35.0)) AS b(entry), (VALUES (65.0), (75.0)) AS c(exit)),
+d AS (SELECT *, close - lag(close) {W} AS diff, row_number() {W} - 1 AS i FROM ke), g AS (SELECT *, coalesce(greatest(diff, 0.0), 0.0) AS up, coalesce(greatest(-diff, 0.0), 0.0) AS down FROM d),
+rs AS (SELECT *, {_rsi(7)}, {_rsi(14)} FROM g WINDOW w7 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), w14 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+"""
+    + _phase(1, "SELECT symbol, param_id, ts, open, CASE mn1 WHEN 7 THEN rsi_7 ELSE rsi_14 END AS rsi, entry, exit, ((i - 3) % 25 + 25) % 25 < 20 AS cy FROM rs, pa WHERE NOT test")
+    + f""",
+id AS (SELECT DISTINCT symbol, sym, window_id FROM ke),
+mo1 AS (SELECT symbol, param_id, count(ret)::DOUBLE AS n, avg(ret) AS m, stddev_samp(ret) AS sd, skewness(ret) AS sk, kurtosis(ret) AS ku, count(*) FILTER (ends) AS trades FROM er1 GROUP BY ALL),
+fe1 AS (SELECT symbol, param_id, 100 * (arg_max(ea, ts) / 1000 - 1) AS r FROM fl1 GROUP BY ALL),
+re1 AS (SELECT symbol, param_id, trades, round(({_psr('n', 'm', 'sd', 'sk', 'ku', 'trades')}) * CASE WHEN trades < 10 THEN 0.0 WHEN trades >= 30 THEN 1.0 ELSE (trades - 10) / 20.0 END, 6) AS score FROM mo1),
+bs AS (SELECT sym, window_id, param_id, score AS train_score, r AS train_return, trades AS train_trades FROM (SELECT * FROM re1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, param_id) = 1) JOIN fe1 USING (symbol, param_id) JOIN id USING (symbol) WHERE trades >= 5), """
+    + _phase(2, "SELECT symbol, param_id, ts, open, CASE mn1 WHEN 7 THEN rsi_7 ELSE rsi_14 END AS rsi, entry, exit, ((i - 3) % 25 + 25) % 25 < 20 AS cy FROM rs JOIN bs USING (sym, window_id) JOIN pa USING (param_id) WHERE test")
+    + """,
+te AS (SELECT symbol, param_id, 100 * (arg_max(ea, ts) / 1000 - 1) AS test_return, count(*) FILTER (ends) AS test_trades FROM fl2 GROUP BY ALL HAVING count(*) FILTER (ends) >= 1),
+wf AS (SELECT bs.*, test_return, test_trades, CASE WHEN train_return <> 0 THEN 100 * (train_return - test_return) / abs(train_return) ELSE 0 END AS degradation_pct FROM bs JOIN id USING (sym, window_id) JOIN te USING (symbol, param_id))"""
+)
+
+
+@query(DAYS + f" SELECT sym AS symbol, window_id, param_id, train_score, {SIGNED('train_return')} AS train_return, train_trades, {SIGNED('test_return')} AS test_return, test_trades, {SIGNED('degradation_pct')} AS degradation_pct FROM wf")
+def b09_windows(spark, sf_dir):
+    """Each window's best parameter, its return and trades in both parts (returns as signed logarithms)."""
+    w = X.walk_forward_days(B.daily_bars(spark, sf_dir), params(spark), LENGTHS)
+    return signed(w, "train_return", "test_return", "degradation_pct")
+
+
+@query(DAYS + f""", a AS (SELECT sym AS symbol, count(*) AS n_windows, avg(train_return) AS tr, avg(test_return) AS te, avg((test_return > 0)::INT::DOUBLE) AS consistency, sum(ln(1 + train_return / 100)) AS ig, sum(ln(1 + test_return / 100)) AS og FROM wf GROUP BY sym),
+e AS (SELECT *, CASE WHEN tr <> 0 THEN te / tr ELSE 0 END AS efficiency, CASE WHEN tr <> 0 THEN 100 * (tr - te) / abs(tr) ELSE 0 END AS degradation_pct FROM a)
+SELECT symbol, n_windows, {SIGNED('tr')} AS train_return, {SIGNED('te')} AS test_return, round(consistency, 4) AS consistency, round(efficiency, 6) AS efficiency, {SIGNED('degradation_pct')} AS degradation_pct, round(ig, 5) AS in_sample_growth, round(og, 5) AS out_of_sample_growth, efficiency < 0.3 OR consistency < 0.4 OR degradation_pct > 70 AS overfit FROM e""")
 def b09_walk_forward_days(spark, sf_dir):
-    """180 and 30 days, five trades at least; the chained equities' growth as logarithms."""
-    ws = X.window_scores(X.strategy_returns(swept(spark, sf_dir)), X.day_windows(B.daily_bars(spark, sf_dir)))
-    ch = X.chained(X.walk_forward(ws.withColumns({"train_score": F.round("train_score", 6), "test_sum": F.round("test_sum", 12)}), least_trades=5))
-    return rounded(X.walk_forward_summary(ch), 4, degradation_pct=3, in_sample_growth=5, out_of_sample_growth=5)
+    """180 and 30 days, five trades at least in train and one in test; returns as signed logarithms, the chained equities' growth as logarithms."""
+    w = X.walk_forward_summary(X.walk_forward_days(B.daily_bars(spark, sf_dir), params(spark), LENGTHS))
+    return rounded(signed(w, "train_return", "test_return", "degradation_pct"), 5, consistency=4, efficiency=6)
 
 
 @query(DAILY + """, a AS (SELECT symbol, CAST(date_diff('day', min(ts), max(ts)) AS INT) AS days FROM bars GROUP BY symbol) SELECT symbol, days, CASE WHEN days < 60 THEN 'limited' WHEN days < 120 THEN 'modest' WHEN days < 365 THEN 'good' ELSE 'excellent' END AS level,
@@ -288,7 +321,6 @@ pd AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY symbol, sim OR
 pm AS (SELECT symbol, sim, arg_max(equity, slot) AS fe, 100 * min(dd) AS mdd, avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) FILTER (x < 0) AS dn, coalesce(sum(x) FILTER (x > 0), 0) AS g, coalesce(-sum(x) FILTER (x < 0), 0) AS l,
   avg((x > 0)::INT::DOUBLE) AS win_rate, max(equity) - min(equity) AS rng FROM pd GROUP BY ALL)"""
 LOG = lambda x: f"round(ln(greatest({x}, 1e-9) / 1000), 5)"
-SIGNED = lambda x: f"round(sign({x}) * ln(1 + abs({x})), 5)"
 DIST = f""", vr AS (SELECT *, 100 * (fe / 1000 - 1) AS r FROM pm), vq AS (SELECT symbol, quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM vr GROUP BY symbol)
 SELECT symbol, count(*) AS n_sims, {LOG('avg(fe)')} AS mean, {LOG('quantile_cont(fe, 0.5)')} AS median, {LOG('quantile_cont(fe, 0.05)')} AS p5, {LOG('quantile_cont(fe, 0.95)')} AS p95, {LOG('stddev_pop(fe)')} AS std, {LOG('min(fe)')} AS min, {LOG('max(fe)')} AS max,
   round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, {SIGNED('any_value(v95)')} AS var_95, {SIGNED('any_value(v99)')} AS var_99, round(avg(mdd), 3) AS dd_mean, round(quantile_cont(mdd, 0.5), 3) AS dd_median, round(quantile_cont(mdd, 0.05), 3) AS dd_p95,
