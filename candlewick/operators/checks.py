@@ -13,7 +13,9 @@ GAP_LIMIT = {"daily": 3 * 86400, "hourly": 7200, "5min": 600, "1min": 120}
 
 
 def suite(bars: DataFrame, universe: DataFrame | None = None, seq: str = "ts") -> DataFrame:
-    """(symbol, tf, check_name, passed, severity, n): n is the number of offending rows.
+    """(symbol, tf, check_name, passed, severity, n, detail): n is the number of offending rows.
+
+    ``detail``: per cent of nulls, the largest move, the largest gap in seconds and the largest z of a return; else NULL.
 
     With a universe of (symbol, tf), series without any bar appear and fail not_empty.
     """
@@ -24,7 +26,7 @@ def suite(bars: DataFrame, universe: DataFrame | None = None, seq: str = "ts") -
         "_back": F.coalesce(F.col("ts") < F.lag("ts").over(by_arrival), F.lit(False)), "_dup": F.count(F.lit(1)).over(Window.partitionBy("symbol", "tf", "ts")),
     })
     whole = Window.partitionBy("symbol", "tf")
-    x = x.withColumns({"_mean": F.avg("_ret").over(whole), "_sd": F.stddev_samp("_ret").over(whole), "_n": F.count("_ret").over(whole)})
+    x = x.withColumns({"_mean": F.avg("_ret").over(whole), "_sd": F.stddev_samp("_ret").over(whole), "_n": F.count(F.lit(1)).over(whole)})
     limit = F.create_map(*(F.lit(v) for kv in GAP_LIMIT.items() for v in kv))[F.col("tf")]
     zoned = dict(bars.dtypes)["ts"] == "timestamp"
     n_if = lambda cond: F.count_if(cond)
@@ -43,16 +45,18 @@ def suite(bars: DataFrame, universe: DataFrame | None = None, seq: str = "ts") -
         "low_lte_open_close": ("error", n_if((F.col("low") > F.col("open")) | (F.col("low") > F.col("close")))),
         "no_statistical_outliers": ("warning", n_if((F.col("_n") >= 30) & (F.abs(F.col("_ret") - F.col("_mean")) > 5 * F.col("_sd")))),
     }
-    wide = x.groupBy("symbol", "tf").agg(*(v.cast("long").alias(k) for k, (_, v) in tests.items()))
+    share = lambda p: 100 * F.count_if(F.col(p).isNull()) / F.count(F.lit(1))
+    details = {f"no_nulls_{p}": share(p) for p in (*PRICES, "volume")} | {"no_extreme_moves_close": F.max(F.abs("_ret")), "no_unexpected_gaps": F.max("_gap").cast("double"), "no_statistical_outliers": F.max(F.when(F.col("_n") >= 30, div(F.abs(F.col("_ret") - F.col("_mean")), F.col("_sd"))))}
+    wide = x.groupBy("symbol", "tf").agg(*(v.cast("long").alias(k) for k, (_, v) in tests.items()), *(v.alias(f"{k}_") for k, v in details.items()))
     if universe is not None:
         wide = universe.select("symbol", "tf").distinct().join(wide.withColumn("_seen", F.lit(True)), ["symbol", "tf"], "left")
         empty = F.when(F.col("_seen").isNull(), 1).otherwise(0)
     else:
         empty = F.lit(0)
-    rows = [F.struct(F.lit("not_empty").alias("check_name"), F.lit("critical").alias("severity"), empty.cast("long").alias("n"))]
-    rows += [F.struct(F.lit(k).alias("check_name"), F.lit(s).alias("severity"), F.col(k).alias("n")) for k, (s, _) in tests.items()]
+    rows = [F.struct(F.lit("not_empty").alias("check_name"), F.lit("critical").alias("severity"), empty.cast("long").alias("n"), F.lit(None).cast("double").alias("detail"))]
+    rows += [F.struct(F.lit(k).alias("check_name"), F.lit(s).alias("severity"), F.col(k).alias("n"), (F.col(f"{k}_") if k in details else F.lit(None).cast("double")).alias("detail")) for k, (s, _) in tests.items()]
     long = wide.select("symbol", "tf", F.explode(F.array(*rows)).alias("c")).filter(F.col("c.n").isNotNull())
-    return long.select("symbol", "tf", "c.check_name", (F.col("c.n") == 0).alias("passed"), "c.severity", "c.n")
+    return long.select("symbol", "tf", "c.check_name", (F.col("c.n") == 0).alias("passed"), "c.severity", "c.n", "c.detail")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -63,6 +67,12 @@ def summary(results: DataFrame) -> DataFrame:
     return out.withColumn("report", F.to_json(F.struct("total", "passed", "critical", "error", "warning")))
 
 
+def full_report(results: DataFrame) -> DataFrame:
+    """A row for each series: the totals of ``summary`` and the list of its checks, in the order of their names."""
+    check = F.struct("check_name", "passed", "severity", "n", "detail")
+    return summary(results).drop("report").join(results.groupBy("symbol", "tf").agg(F.sort_array(F.collect_list(check)).alias("checks")), ["symbol", "tf"])
+
+
 def adjust_splits(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Bars before a split: prices by the product of later ratios, volume times it. ``splits``: (symbol, date, ratio)."""
     events = splits.filter(F.col("ratio") > 0).groupBy("symbol", F.col("date").cast("timestamp").alias("ts")).agg(F.product("ratio").alias("_r"))

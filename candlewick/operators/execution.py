@@ -60,12 +60,12 @@ def capacity_curve(x: DataFrame, aums: list[float], gross: float = 0.10) -> Data
 
 
 def twap(orders: DataFrame, minutes: int = 5) -> DataFrame:
-    """Equal slices; limit orders one basis point away unless urgent. Needs start_ts, end_ts, qty, side, urgency, limit_price."""
+    """Equal slices; limit orders one basis point away from the market (buys below, sells above) unless urgent. Needs start_ts, end_ts, qty, side, urgency, limit_price."""
     span = (F.unix_timestamp("end_ts") - F.unix_timestamp("start_ts")) / 60
     x = orders.withColumn("_n", F.greatest(F.floor(span / minutes).cast("int"), F.lit(1)))
     x = x.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     patient = F.col("urgency") < 0.7
-    limit = F.when(patient, F.col("limit_price") * F.when(F.col("side") == "buy", 1.0001).otherwise(0.9999))
+    limit = F.when(patient, F.col("limit_price") * F.when(F.col("side") == "buy", 0.9999).otherwise(1.0001))
     return x.select("parent_id", "symbol", "side", "slice", F.timestamp_seconds(F.unix_timestamp("start_ts") + F.col("slice") * minutes * 60).alias("ts"), (F.col("qty") / F.col("_n")).alias("qty"), F.when(patient, "limit").otherwise("market").alias("order_type"), limit.alias("limit_price"))
 
 

@@ -63,12 +63,13 @@ def t_test(x: DataFrame) -> DataFrame:
 
 
 def sharpe_decay(returns: DataFrame, keys: list[str], last: int = 63, share: float = 0.7, year: float = 252.0) -> DataFrame:
-    """Sharpe of the last rows against ``share`` of that of all rows."""
+    """Sharpe of the last rows against ``share`` of that of all rows; with fewer rows than ``last`` nothing is judged."""
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"))
     x = returns.filter(F.col("ret").isNotNull()).withColumn("_n", F.row_number().over(w))
     recent = F.when(F.col("_n") <= last, F.col("ret"))
-    a = x.groupBy(*keys).agg((div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("baseline"), (div(F.avg(recent), F.stddev_samp(recent)) * math.sqrt(year)).alias("recent"))
-    return a.withColumn("degraded", F.coalesce(F.col("recent") < share * F.col("baseline"), F.lit(False)))
+    a = x.groupBy(*keys).agg((div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("baseline"), (div(F.avg(recent), F.stddev_samp(recent)) * math.sqrt(year)).alias("recent"), F.count(F.lit(1)).alias("_k"))
+    a = a.withColumns({"recent": F.when(F.col("_k") >= last, F.col("recent")).otherwise(0.0), "degraded": (F.col("_k") >= last) & F.coalesce(F.col("recent") < share * F.col("baseline"), F.lit(False))})
+    return a.drop("_k")
 
 
 def vol_ratio(returns: DataFrame, keys: list[str], n: int = 60) -> DataFrame:

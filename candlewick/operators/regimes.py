@@ -277,11 +277,14 @@ def benchmark_correlation(x: DataFrame, benchmark: str) -> DataFrame:
     return x.join(b, "ts").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.corr("ret", "_b"), F.lit(0.0)).alias("correlation"))
 
 
-def volatility_bins(x: DataFrame, k: int = 3) -> DataFrame:
-    """Volatility regime 0..k-1 by the symbol's own quantiles (a half; 33 and 67 per cent; else equal shares)."""
+def volatility_bins(x: DataFrame, k: int = 3, n: int = 60) -> DataFrame:
+    """Volatility regime 0..k-1 of the deviation of ``n`` returns by the symbol's own quantiles (a half; 33 and 67 per cent; else
+    equal shares); NULL until there are as many. A quantile itself belongs to the bin below it.
+    """
+    x = x.withColumn("_vol", roll(F.stddev_samp, c("ret"), n, *KEYS))
     cuts = [0.5] if k == 2 else [0.33, 0.67] if k == 3 else [j / k for j in range(1, k)]
-    q = x.groupBy(*KEYS).agg(F.percentile("realized_vol", F.array(*map(F.lit, cuts))).alias("_q"))
-    return x.join(q, list(KEYS)).withColumn("vol_bin", sum(((c("realized_vol") > c("_q")[j]).cast("int") for j in range(1, len(cuts))), (c("realized_vol") > c("_q")[0]).cast("int"))).drop("_q")
+    q = x.groupBy(*KEYS).agg(F.percentile("_vol", F.array(*map(F.lit, cuts))).alias("_q"))
+    return x.join(q, list(KEYS)).withColumn("vol_bin", sum(((c("_vol") > c("_q")[j]).cast("int") for j in range(1, len(cuts))), (c("_vol") > c("_q")[0]).cast("int"))).drop("_q", "_vol")
 
 
 def trend(x: DataFrame, n: int = 60, band: float = 0.02) -> DataFrame:
@@ -291,9 +294,9 @@ def trend(x: DataFrame, n: int = 60, band: float = 0.02) -> DataFrame:
 
 
 def by_regime(x: DataFrame, label: str, least: int = 10) -> DataFrame:
-    """Performance of each symbol by a label with at least ``least`` rows."""
+    """Performance of each symbol by a label with at least ``least`` rows; the Sharpe ratio is that of a period, 0 without deviation."""
     a = x.filter(c(label).isNotNull() & c("ret").isNotNull()).groupBy(*KEYS, label).agg(F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("vol"), F.avg((c("ret") > 0).cast("double")).alias("hit_rate"))
-    return a.filter(c("n") >= least).withColumn("sharpe", div(c("mean"), c("vol")) * math.sqrt(252))
+    return a.filter(c("n") >= least).withColumn("sharpe", F.when(c("vol") > 0, c("mean") / c("vol")).otherwise(0.0))
 
 
 def sigmoid(x: Column, center: float, steep: float) -> Column:
@@ -309,7 +312,8 @@ PREMIUM = {"bull": 1.0, "bear": 0.9, "low_volatility": 0.95, "high_volatility":
 def pbr(x: DataFrame, method: str = "grid_search", model: str = "indicator") -> DataFrame:
     """Probability of backtested returns: seven factors, each to its power.
 
-    Needs sharpe, trades, params, models; wf, stay, confidence, regime and dispersion may be null.
+    Needs sharpe, trades, params, models; wf, stay, confidence, regime and dispersion may be null; with a column n_regimes, fewer
+    than two have the neutral factor 0.7.
     """
     dof = c("params") * METHOD_DOF[method] * MODEL_DOF[model]
     sharpe = F.when(c("sharpe") <= 0, 0.1).otherwise(0.3 + 0.65 * sigmoid(c("sharpe"), 1.5, 2.0))
@@ -320,6 +324,8 @@ def pbr(x: DataFrame, method: str = "grid_search", model: str = "indicator") ->
     premium = F.coalesce(F.create_map(*(F.lit(v) for kv in PREMIUM.items() for v in kv))[c("regime")], F.when(c("regime").isNull(), 1.0).otherwise(0.8))
     reg = F.coalesce(clip((0.5 + 0.3 * c("stay") + 0.2 * c("confidence")) * premium, 0.0, 1.0), 0.5 + 0.5 * c("stay"), F.lit(0.7))
     disp = F.coalesce(F.greatest(F.lit(0.3), 1 / (1 + c("dispersion"))), F.lit(0.8))
+    if "n_regimes" in x.columns:
+        disp = F.when(c("n_regimes") < 2, 0.7).otherwise(disp)
     parts = ((sharpe, 0.30), (sample, 0.20), (fit, 0.20), (pick, 0.10), (wf, 0.10), (reg, 0.08), (disp, 0.02))
     total = F.lit(1.0)
     for f, p in parts:

@@ -178,18 +178,56 @@ def limit_fill(side: Column, limit: Column, open_: Column, high: Column, low: Co
     return F.when((side == "buy") & (low <= limit), F.least(limit, open_)).when((side == "sell") & (high >= limit), F.greatest(limit, open_))
 
 
+#: Rows of a block of a scan.
+SCAN = 1024
+
+
+def _applied(m: Column, state: Column) -> Column:
+    """Where a map (a struct of what -1, 0 and 1 become) takes a state."""
+    return F.when(state == -1, m["short"]).when(state == 0, m["flat"]).otherwise(m["long"])
+
+
+def _composed(first: Column, then: Column) -> Column:
+    return F.struct(*(_applied(then, first[n]).alias(n) for n in ("short", "flat", "long")))
+
+
+def state_scan(df: DataFrame, keys: list[str], step: Column, out: str = "pos") -> DataFrame:
+    """Adds the state after each row of a machine with the states -1, 0 and 1 that starts at 0.
+
+    ``step``: what the row makes of each state, a struct (short, flat, long). Maps compose associatively, so rows are cut
+    into blocks of SCAN: a block is folded to one map, the blocks' maps to the state that each block starts in, and then
+    blocks run side by side. No task folds more than a block's rows, or a key's blocks.
+    """
+    same = F.struct(F.lit(-1).alias("short"), F.lit(0).alias("flat"), F.lit(1).alias("long"))
+    x = df.withColumns({"_n": F.row_number().over(over(*keys)) - 1, "_m": step}).withColumn("_b", F.floor(F.col("_n") / SCAN))
+    rows = x.groupBy(*keys, "_b").agg(F.sort_array(F.collect_list(F.struct("_n", "_m", F.struct(*(c for c in df.columns if c not in keys)).alias("row")))).alias("rows"))
+    rows = rows.withColumn("_map", F.aggregate("rows", same, lambda acc, r: _composed(acc, r["_m"])))
+    blocks = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_b", "_map"))).alias("blocks"))
+    none = F.array().cast("array<struct<_b:bigint,state:int>>")
+    first = F.struct(F.lit(0).alias("state"), none.alias("list"))
+    run = F.aggregate("blocks", first, lambda acc, b: F.struct(_applied(b["_map"], acc["state"]).alias("state"), F.concat(acc["list"], F.array(F.struct(b["_b"].alias("_b"), acc["state"].alias("state")))).alias("list")))
+    starts = blocks.select(*keys, F.explode(run["list"]).alias("s")).select(*keys, F.col("s._b").alias("_b"), F.col("s.state").alias("_s"))
+    states = F.aggregate("rows", F.struct(F.col("_s").alias("state"), F.array().cast("array<int>").alias("list")), lambda acc, r: F.struct(_applied(r["_m"], acc["state"]).alias("state"), F.concat(acc["list"], F.array(_applied(r["_m"], acc["state"]))).alias("list")))["list"]
+    done = rows.join(starts, [*keys, "_b"]).select(*keys, F.explode(F.arrays_zip(F.col("rows.row").alias("row"), states.alias("state"))).alias("z"))
+    return done.select(*keys, "z.row.*", F.col("z.state").alias(out)).select(*df.columns, out)
+
+
 def regime_positions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Three-state strategy on regime labels: ``pos`` in -1, 0, 1; exits where the regime changes or confidence is below 0.4.
+    """Three-state strategy on regime labels: ``pos`` in -1, 0, 1 after each bar.
 
+    A flat position opens long in a confident bull regime, else short in a confident bear or crisis regime; a long one closes
+    outside bull, a short one outside bear and crisis, both below a confidence of 0.4. A bar that closes opens nothing.
     Needs regime, confidence and pbr (a score in 0..1).
     """
-    w, run = over(*keys), running(*keys)
-    change = F.coalesce(F.col("regime") != F.lag("regime").over(w), F.lit(False))
-    long_ = (F.col("regime") == "bull") & (F.col("confidence") > 0.6) & (F.col("pbr") > 0.5)
-    short = F.col("regime").isin("bear", "crisis") & (F.col("confidence") > 0.6) & (F.col("pbr") > 0.4)
-    event = F.when(long_, 1).when(short, -1).when(change | (F.col("confidence") < 0.4), 0)
-    out = df.withColumn("_e", event).withColumn("pos", F.coalesce(F.last("_e", ignorenulls=True).over(run), F.lit(0)))
-    return out.withColumn("changed", F.coalesce(F.col("pos") != F.lag("pos").over(w), F.col("pos") != 0)).drop("_e")
+    down = F.coalesce(F.col("regime").isin("bear", "crisis"), F.lit(False))
+    up = F.coalesce(F.col("regime") == "bull", F.lit(False))
+    sure, weak = F.coalesce(F.col("confidence") > 0.6, F.lit(False)), F.coalesce(F.col("confidence") < 0.4, F.lit(False))
+    above = lambda x: F.coalesce(F.col("pbr") > x, F.lit(False))
+    step = F.struct(
+        F.when(~down | weak, 0).otherwise(-1).alias("short"), F.when(up & sure & above(0.5), 1).when(down & sure & above(0.4), -1).otherwise(0).alias("flat"), F.when(~up | weak, 0).otherwise(1).alias("long")
+    )
+    out = state_scan(df, keys, step)
+    return out.withColumn("changed", F.coalesce(F.col("pos") != F.lag("pos").over(over(*keys)), F.col("pos") != 0))
 
 
 def rsi_rule(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

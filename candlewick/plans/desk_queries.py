@@ -52,7 +52,7 @@ def parents(spark, sf_dir):
 
 CHILD = ORDERS + """, vol AS (SELECT event_type AS symbol, to_timestamp((epoch_us(ts) // 300000000) * 300)::TIMESTAMP AS ts, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY ALL),
 tw AS (SELECT *, greatest(span // 5, 1) AS n FROM o WHERE algo IN ('twap', 'smart')),
-tc AS (SELECT parent_id, symbol, side, algo, urgency, limit_price AS lp, CAST(k AS INT) AS slice, start_ts + INTERVAL 5 MINUTE * k AS ts, qty / n AS qty, CASE WHEN urgency < 0.7 THEN 'limit' ELSE 'market' END AS ot, CASE WHEN urgency < 0.7 THEN limit_price * CASE WHEN side = 'buy' THEN 1.0001 ELSE 0.9999 END END AS lim FROM tw, LATERAL (SELECT unnest(range(n)) AS k)),
+tc AS (SELECT parent_id, symbol, side, algo, urgency, limit_price AS lp, CAST(k AS INT) AS slice, start_ts + INTERVAL 5 MINUTE * k AS ts, qty / n AS qty, CASE WHEN urgency < 0.7 THEN 'limit' ELSE 'market' END AS ot, CASE WHEN urgency < 0.7 THEN limit_price * CASE WHEN side = 'buy' THEN 0.9999 ELSE 1.0001 END END AS lim FROM tw, LATERAL (SELECT unnest(range(n)) AS k)),
 sw AS (SELECT parent_id, symbol, side, CAST(k AS INT) AS slice, start_ts + INTERVAL 1 MINUTE * (k * CASE WHEN algo = 'vwap' THEN 15 ELSE 5 END) AS ts, qty AS total, algo, urgency, limit_price FROM (SELECT *, CAST(greatest(ceil(span / CASE WHEN algo = 'vwap' THEN 15.0 ELSE 5.0 END), 1) AS BIGINT) AS n FROM o WHERE algo IN ('vwap', 'pov')), LATERAL (SELECT unnest(range(n)) AS k)),
 sv AS (SELECT sw.*, CASE WHEN algo = 'vwap' THEN total * CASE hour(sw.ts) WHEN 9 THEN 0.15 WHEN 10 THEN 0.12 WHEN 11 THEN 0.08 WHEN 12 THEN 0.06 WHEN 13 THEN 0.07 WHEN 14 THEN 0.09 WHEN 15 THEN 0.13 WHEN 16 THEN 0.30 ELSE 0.08 END * 15 / 60 ELSE least(coalesce(v, 10000.0) * 0.1, coalesce(v, 10000.0) * 0.3) END AS want FROM sw LEFT JOIN vol ON sw.symbol = vol.symbol AND sw.ts = vol.ts),
 sc AS (SELECT *, greatest(0, least(want, total - coalesce(sum(want) OVER (PARTITION BY parent_id ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS q FROM sv),
@@ -76,13 +76,13 @@ la AS (SELECT symbol, max(ts) AS mt FROM hb GROUP BY symbol), fi AS (SELECT symb
 ma AS (SELECT ch.*, coalesce((SELECT min(hb.ts) FROM hb WHERE hb.symbol = ch.symbol AND hb.ts >= ch.ts), mt) AS bt FROM ch JOIN la USING (symbol)),
 fl AS (SELECT ma.*, CASE WHEN order_type = 'market' THEN hb.close * CASE WHEN side = 'buy' THEN 1.00025 ELSE 0.99975 END WHEN side = 'buy' AND hb.low <= limit_price THEN least(limit_price, hb.open) WHEN side = 'sell' AND hb.high >= limit_price THEN greatest(limit_price, hb.open) END AS px FROM ma JOIN hb ON ma.symbol = hb.symbol AND bt = hb.ts),
 a AS (SELECT parent_id, symbol, side, sum(qty) FILTER (px IS NOT NULL) AS filled, sum(qty * px) AS v, sum(qty) AS q FROM fl GROUP BY ALL)
-SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 6) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
+SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 9) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
 def x12_x13_fills(spark, sf_dir):
     """First bar at or after each child order, fills (all touched limits fill), statistics by parent."""
     bars = B.intraday_bars(spark, sf_dir, "hourly")
     kids = X.route(parents(spark, sf_dir), volumes(spark, sf_dir))
     f = X.fill(X.next_bar(kids, bars), probability=1.0)
-    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4)
+    return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4, avg_price=9)
 
 
 @query(ORDERS + " SELECT parent_id, CAST(k AS INT) AS slice, round(qty * (1 - k / 6.0), 6) AS remaining FROM o, range(7) AS r(k)")
@@ -268,7 +268,7 @@ def ret_rows(spark, sf_dir):
     return b.select("symbol", "ts", (div(F.col("close"), F.lag("close").over(over("symbol"))) - 1).alias("ret"))
 
 
-@query(RET + ", x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM re WHERE ret IS NOT NULL), a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS b, avg(ret) FILTER (k <= 63) / nullif(stddev_samp(ret) FILTER (k <= 63), 0) * sqrt(252) AS r FROM x GROUP BY symbol) SELECT symbol, round(b, 6) AS baseline, round(r, 6) AS recent, coalesce(r < 0.7 * b, false) AS degraded FROM a")
+@query(RET + ", x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM re WHERE ret IS NOT NULL), a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS b, CASE WHEN count(*) >= 63 THEN avg(ret) FILTER (k <= 63) / nullif(stddev_samp(ret) FILTER (k <= 63), 0) * sqrt(252) ELSE 0 END AS r, count(*) AS n FROM x GROUP BY symbol) SELECT symbol, round(b, 6) AS baseline, round(r, 6) AS recent, n >= 63 AND coalesce(r < 0.7 * b, false) AS degraded FROM a")
 def k05_sharpe_decay(spark, sf_dir):
     return rounded(M.sharpe_decay(ret_rows(spark, sf_dir), ["symbol"]))
 

@@ -43,13 +43,16 @@ def a06_a07_f19_feature_store(spark, sf_dir):
     return fs.get("small").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("rsi_14").alias("n_rsi"), F.round(F.avg("atr_14"), 6).alias("mean_atr"))
 
 
-@query(DAILY + V.replace("GAP", "259200") + """ SELECT symbol, tf, count(*) AS total, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0 AND severity = 'critical') AS critical, count(*) FILTER (n > 0 AND severity = 'error') AS error,
-  count(*) FILTER (n > 0 AND severity = 'warning') AS warning, count(*) FILTER (n > 0 AND severity = 'critical') > 0 AS has_critical FROM dq GROUP BY symbol, tf""")
+@query(DAILY + V.replace("GAP", "259200") + """, t AS (SELECT symbol, tf, count(*) AS total, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0 AND severity = 'critical') AS critical, count(*) FILTER (n > 0 AND severity = 'error') AS error,
+  count(*) FILTER (n > 0 AND severity = 'warning') AS warning, count(*) FILTER (n > 0 AND severity = 'critical') > 0 AS has_critical FROM dq GROUP BY symbol, tf)
+SELECT t.*, check_name, n = 0 AS ok, severity, n::BIGINT AS n, round(detail, 6) AS detail FROM t JOIN dq USING (symbol, tf)""")
 def a14_json_report(spark, sf_dir):
-    """The quality report written as JSON and read back."""
+    """The quality report, totals and checks, written as JSON and read back."""
     out = shared(spark, "report")
-    checks.summary(checks.suite(B.daily_bars(spark, sf_dir))).drop("report").write.json(out)
-    return spark.read.schema("symbol string, tf string, total long, passed long, critical long, error long, warning long, has_critical boolean").json(out)
+    checks.full_report(checks.suite(B.daily_bars(spark, sf_dir))).write.json(out)
+    kept = "symbol string, tf string, total long, passed long, critical long, error long, warning long, has_critical boolean"
+    back = spark.read.schema(kept + ", checks array<struct<check_name:string,passed:boolean,severity:string,n:bigint,detail:double>>").json(out)
+    return rounded(back.withColumn("c", F.explode("checks")).select("symbol", "tf", "total", "passed", "critical", "error", "warning", "has_critical", "c.check_name", F.col("c.passed").alias("ok"), "c.severity", "c.n", "c.detail"))
 
 
 @query(DAILY + ", e AS (SELECT symbol, max(ts) AS m FROM bars GROUP BY symbol) SELECT symbol, count(*) AS n, round(sum(volume), 3) AS volume, round(avg(close), 6) AS mean_close, min(ts) AS first_ts FROM bars JOIN e USING (symbol) WHERE ts >= m - INTERVAL 3650 DAYS GROUP BY symbol")

@@ -115,23 +115,26 @@ def c07_tail(spark, sf_dir):
 
 V = f""", x AS (
   SELECT *, close / nullif(lag(close) {W}, 0) - 1 AS ret, epoch(ts) - epoch(lag(ts) {W}) AS gap, coalesce(ts < lag(ts) {W}, false) AS back FROM bars),
-y AS (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS m, stddev_samp(ret) OVER (PARTITION BY symbol) AS sd, count(ret) OVER (PARTITION BY symbol) AS nr FROM x),
+y AS (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS m, stddev_samp(ret) OVER (PARTITION BY symbol) AS sd, count(*) OVER (PARTITION BY symbol) AS nr FROM x),
 wide AS (SELECT symbol, tf, count(*) AS n_all, count(*) FILTER (back) AS v2, count(*) - count(DISTINCT ts) AS v3,
   count(*) FILTER (open IS NULL) AS v4o, count(*) FILTER (high IS NULL) AS v4h, count(*) FILTER (low IS NULL) AS v4l, count(*) FILTER (close IS NULL) AS v4c, count(*) FILTER (volume IS NULL) AS v4v,
   count(*) FILTER (open <= 0) AS v5o, count(*) FILTER (high <= 0) AS v5h, count(*) FILTER (low <= 0) AS v5l, count(*) FILTER (close <= 0) AS v5c,
   count(*) FILTER (abs(ret) > 0.5) AS v6, count(*) FILTER (volume < 0) AS v7, CASE WHEN count(*) FILTER (volume = 0) >= 0.05 * count(*) THEN count(*) FILTER (volume = 0) ELSE 0 END AS v8,
   count(*) FILTER (gap > GAP) AS v9, 0 AS v10, count(*) FILTER (high < low) AS v11, count(*) FILTER (high < open OR high < close) AS v12, count(*) FILTER (low > open OR low > close) AS v13,
-  count(*) FILTER (nr >= 30 AND abs(ret - m) > 5 * sd) AS v14 FROM y GROUP BY symbol, tf),
+  count(*) FILTER (nr >= 30 AND abs(ret - m) > 5 * sd) AS v14,
+  [100.0 * count(*) FILTER (open IS NULL) / count(*), 100.0 * count(*) FILTER (high IS NULL) / count(*), 100.0 * count(*) FILTER (low IS NULL) / count(*), 100.0 * count(*) FILTER (close IS NULL) / count(*), 100.0 * count(*) FILTER (volume IS NULL) / count(*)] AS nulls,
+  max(abs(ret)) AS most, max(gap)::DOUBLE AS longest, max(abs(ret - m) / nullif(sd, 0)) FILTER (nr >= 30) AS z FROM y GROUP BY symbol, tf),
 dq AS (SELECT symbol, tf, unnest(['not_empty', 'index_sorted', 'no_duplicate_timestamps', 'no_nulls_open', 'no_nulls_high', 'no_nulls_low', 'no_nulls_close', 'no_nulls_volume',
   'positive_prices_open', 'positive_prices_high', 'positive_prices_low', 'positive_prices_close', 'no_extreme_moves_close', 'non_negative_volume', 'sufficient_volume', 'no_unexpected_gaps', 'has_timezone',
   'high_gte_low', 'high_gte_open_close', 'low_lte_open_close', 'no_statistical_outliers']) AS check_name,
   unnest(['critical', 'critical', 'error', 'critical', 'critical', 'critical', 'critical', 'critical', 'critical', 'critical', 'critical', 'critical', 'warning', 'error', 'warning', 'warning', 'warning', 'error', 'error', 'error', 'warning']) AS severity,
-  unnest([0, v2, v3, v4o, v4h, v4l, v4c, v4v, v5o, v5h, v5l, v5c, v6, v7, v8, v9, v10, v11, v12, v13, v14]) AS n FROM wide)"""
+  unnest([0, v2, v3, v4o, v4h, v4l, v4c, v4v, v5o, v5h, v5l, v5c, v6, v7, v8, v9, v10, v11, v12, v13, v14]) AS n,
+  unnest([NULL, NULL, NULL, nulls[1], nulls[2], nulls[3], nulls[4], nulls[5], NULL, NULL, NULL, NULL, most, NULL, NULL, longest, NULL, NULL, NULL, NULL, z]) AS detail FROM wide)"""
 
 
-@query(DAILY + V.replace("GAP", "259200") + " SELECT symbol, tf, check_name, n = 0 AS passed, severity, CAST(n AS BIGINT) AS n FROM dq")
+@query(DAILY + V.replace("GAP", "259200") + " SELECT symbol, tf, check_name, n = 0 AS passed, severity, CAST(n AS BIGINT) AS n, round(detail, 6) AS detail FROM dq")
 def v01_v14_checks(spark, sf_dir):
-    return checks.suite(B.daily_bars(spark, sf_dir))
+    return rounded(checks.suite(B.daily_bars(spark, sf_dir)))
 
 
 @query(intraday("hourly", 3600) + V.replace("GAP", "7200") + """ SELECT symbol, tf, count(*) AS total, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0 AND severity = 'critical') AS critical,

@@ -251,34 +251,34 @@ def r34_correlation(spark, sf_dir):
     return rounded(R.benchmark_correlation(R.features(series(spark, sf_dir)), "Brand#11"), 5)
 
 
-@query(REG + f""", q AS (SELECT symbol, quantile_cont(realized_vol, 0.33) AS qa, quantile_cont(realized_vol, 0.67) AS qb FROM rg GROUP BY symbol),
-v AS (SELECT rg.*, (realized_vol > qa)::INT + (realized_vol > qb)::INT AS vol_bin, {roll('avg', 'close', 60)} AS m60 FROM rg JOIN q USING (symbol))
+@query(REG + f""", rv AS (SELECT *, {roll('stddev_samp', 'ret', 60)} AS vol60 FROM rg), q AS (SELECT symbol, quantile_cont(vol60, 0.33) AS qa, quantile_cont(vol60, 0.67) AS qb FROM rv GROUP BY symbol),
+v AS (SELECT rv.*, (vol60 > qa)::INT + (vol60 > qb)::INT AS vol_bin, {roll('avg', 'close', 60)} AS m60 FROM rv JOIN q USING (symbol))
 SELECT symbol, vol_bin, CASE WHEN close > m60 * 1.02 THEN 'up' WHEN close < m60 * 0.98 THEN 'down' WHEN m60 IS NOT NULL THEN 'sideways' END AS trend, count(*) AS n FROM v GROUP BY ALL""")
 def b30_b31_bins(spark, sf_dir):
     x = R.trend(R.volatility_bins(R.features(series(spark, sf_dir))))
     return x.groupBy("symbol", "vol_bin", "trend").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(REG + """ SELECT symbol, regime, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS vol, round(avg((ret > 0)::INT::DOUBLE), 6) AS hit_rate, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 5) AS sharpe
+@query(REG + """ SELECT symbol, regime, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS vol, round(avg((ret > 0)::INT::DOUBLE), 6) AS hit_rate, round(coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0), 6) AS sharpe
 FROM rg WHERE ret IS NOT NULL GROUP BY symbol, regime HAVING count(*) >= 10""")
 def b32_by_regime(spark, sf_dir):
     x = R.by_regime(R.labels(R.scores(R.features(series(spark, sf_dir)))), "regime")
-    return rounded(x, sharpe=5)
+    return rounded(x)
 
 
 @query(REG + """, g AS (SELECT symbol, regime, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS s FROM rg WHERE ret IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
 p AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, CAST(count(*) // 10 AS BIGINT) AS trades, last(regime ORDER BY ts) AS regime, last(stay ORDER BY ts) AS stay, last(confidence ORDER BY ts) AS confidence FROM rg GROUP BY symbol),
-d AS (SELECT symbol, stddev_pop(s) AS dispersion FROM g GROUP BY symbol),
+d AS (SELECT symbol, stddev_pop(s) AS dispersion, count(*) AS nr FROM g GROUP BY symbol),
 f AS (SELECT symbol, CASE WHEN sharpe <= 0 THEN 0.1 ELSE 0.3 + 0.65 / (1 + exp(-2.0 * (sharpe - 1.5))) END AS f1, 0.5 + 0.45 / (1 + exp(-0.02 * (trades - 100))) AS f2, 0.4 + 0.6 / (1 + exp(-2.0 * (trades / (4 * 1.5 * 10 + 1e-6) - 1))) AS f3,
   greatest(0.3, 1 / sqrt(ln(9 + 1))) AS f4, least(greatest((0.5 + 0.3 * stay + 0.2 * confidence) * CASE regime WHEN 'bull' THEN 1.0 WHEN 'bear' THEN 0.9 WHEN 'low_volatility' THEN 0.95 WHEN 'high_volatility' THEN 0.7 ELSE 0.5 END, 0), 1) AS f6,
-  coalesce(greatest(0.3, 1 / (1 + dispersion)), 0.8) AS f7 FROM p LEFT JOIN d USING (symbol)),
+  CASE WHEN nr < 2 THEN 0.7 ELSE coalesce(greatest(0.3, 1 / (1 + dispersion)), 0.8) END AS f7 FROM p LEFT JOIN d USING (symbol)),
 x AS (SELECT symbol, least(greatest(pow(f1, 0.3) * pow(f2, 0.2) * pow(f3, 0.2) * pow(f4, 0.1) * pow(0.7, 0.1) * pow(f6, 0.08) * pow(f7, 0.02), 0), 1) AS pbr FROM f)
 SELECT symbol, round(pbr, 6) AS pbr, CASE WHEN pbr >= 0.8 THEN 'very_high' WHEN pbr >= 0.65 THEN 'high' WHEN pbr >= 0.5 THEN 'moderate' WHEN pbr >= 0.35 THEN 'low' ELSE 'very_low' END AS reading FROM x""")
 def b33_pbr(spark, sf_dir):
     x = R.detect(series(spark, sf_dir))
     import math
 
-    disp = R.by_regime(x, "regime").groupBy("symbol").agg(F.stddev_pop("sharpe").alias("dispersion"))
+    disp = R.by_regime(x, "regime").groupBy("symbol").agg(F.stddev_pop(F.when(F.col("vol") > 0, F.col("sharpe") * math.sqrt(252))).alias("dispersion"), F.count(F.lit(1)).alias("n_regimes"))
     from ..functions.exprs import div
 
     p = x.groupBy("symbol").agg((div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(252)).alias("sharpe"), F.floor(F.count(F.lit(1)) / 10).alias("trades"), *(F.max_by(n, "ts").alias(n) for n in ("regime", "stay", "confidence")))
@@ -286,10 +286,11 @@ def b33_pbr(spark, sf_dir):
     return rounded(R.pbr(p).select("symbol", "pbr", "reading"))
 
 
-@query(REG + f""", e AS (SELECT symbol, ts, i, regime, confidence, pow(confidence, 0.3) * pow(least(0.95, 0.5 + duration / 100.0), 0.3) * pow(CASE WHEN ma_trend > 0.05 THEN 0.8 WHEN ma_trend < -0.05 THEN 0.3 ELSE 0.6 END, 0.2) * pow(CASE WHEN realized_vol < 0.10 THEN 0.9 WHEN realized_vol > 0.50 THEN 0.2 ELSE 0.6 END, 0.2) AS pbr, coalesce(regime <> lag(regime) {W}, false) AS ch FROM rg),
-v AS (SELECT *, CASE WHEN regime = 'bull' AND confidence > 0.6 AND pbr > 0.5 THEN 1 WHEN regime IN ('bear', 'crisis') AND confidence > 0.6 AND pbr > 0.4 THEN -1 WHEN ch OR confidence < 0.4 THEN 0 END AS ev FROM e),
-p AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS pos FROM v)
-SELECT symbol, ts, pos, coalesce(pos <> lag(pos) {W}, pos <> 0) AS changed FROM p""")
+@query("WITH RECURSIVE " + REG.split("WITH ", 1)[1] + f""", e AS (SELECT symbol, ts, row_number() {W} AS k, regime, confidence, pow(confidence, 0.3) * pow(least(0.95, 0.5 + duration / 100.0), 0.3) * pow(CASE WHEN ma_trend > 0.05 THEN 0.8 WHEN ma_trend < -0.05 THEN 0.3 ELSE 0.6 END, 0.2) * pow(CASE WHEN realized_vol < 0.10 THEN 0.9 WHEN realized_vol > 0.50 THEN 0.2 ELSE 0.6 END, 0.2) AS pbr FROM rg),
+v AS MATERIALIZED (SELECT symbol, ts, k, CASE WHEN regime = 'bull' AND confidence > 0.6 AND pbr > 0.5 THEN 1 WHEN regime IN ('bear', 'crisis') AND confidence > 0.6 AND pbr > 0.4 THEN -1 ELSE 0 END AS flat,
+  CASE WHEN regime = 'bull' AND NOT coalesce(confidence < 0.4, false) THEN 1 ELSE 0 END AS long, CASE WHEN regime IN ('bear', 'crisis') AND NOT coalesce(confidence < 0.4, false) THEN -1 ELSE 0 END AS short FROM e),
+m(symbol, k, pos) AS (SELECT DISTINCT symbol, 0::BIGINT, 0 FROM v UNION ALL SELECT v.symbol, v.k, CASE pos WHEN 0 THEN flat WHEN 1 THEN long ELSE short END FROM m JOIN v ON v.symbol = m.symbol AND v.k = m.k + 1)
+SELECT symbol, ts, pos, coalesce(pos <> lag(pos) {W}, pos <> 0) AS changed FROM m JOIN v USING (symbol, k)""")
 def s14_regime_strategy(spark, sf_dir):
     from ..operators import signals
 

@@ -430,11 +430,22 @@ def b21_shape(spark, sf_dir):
     return rounded(S.shape(base(spark, sf_dir)).select("symbol", "skew", "kurt"), 5)
 
 
-@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + " SELECT symbol, round(quantile_cont(mean, 0.025), 4) AS mean_low, round(quantile_cont(mean, 0.975), 4) AS mean_high, round(quantile_cont(mdd, 0.025), 3) AS dd_low, round(quantile_cont(mdd, 0.975), 3) AS dd_high, round(quantile_cont(win_rate, 0.025), 7) AS win_low, round(quantile_cont(win_rate, 0.975), 7) AS win_high, round(quantile_cont(mean / nullif(sd, 0), 0.025), 4) AS sharpe_low, round(quantile_cont(mean / nullif(sd, 0), 0.975), 4) AS sharpe_high FROM pm GROUP BY symbol")
+RATIO = "CASE WHEN sd > 0 THEN least(greatest(mean / sd * sqrt(252), -5), 10) END"
+MEASURES = f", iv AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY sim) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, 100 * (fe / 1000 - 1) AS ret, {RATIO} AS sharpe, -mdd AS drawdown, win_rate FROM pm), rs AS (SELECT DISTINCT symbol, n, r FROM iv, range(1000) AS t(r)), dw AS (SELECT symbol, r, {_draw(9, 'j', 'r')} % n AS k FROM rs, LATERAL (SELECT unnest(range(n)) AS j)), mn AS (SELECT symbol, r, avg(ret) AS ret, avg(sharpe) AS sharpe, avg(drawdown) AS drawdown, avg(win_rate) AS win_rate FROM dw JOIN iv USING (symbol, k) GROUP BY ALL)"
+
+
+def measures(sims):
+    """Of each simulation its return in per cent, yearly Sharpe ratio, worst drawdown in per cent and share of winners."""
+    p = S.path_metrics(sims)
+    ratio = F.when(F.col("sd") > 0, F.least(F.greatest(F.col("mean") / F.col("sd") * 252**0.5, F.lit(-5.0)), F.lit(10.0)))
+    return p.select("symbol", "sim", (100 * (F.col("final_equity") / 1000 - 1)).alias("ret"), ratio.alias("sharpe"), (-F.col("max_drawdown")).alias("drawdown"), "win_rate")
+
+
+@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + MEASURES + f" SELECT symbol, {SIGNED('quantile_cont(ret, 0.025)')} AS ret_low, {SIGNED('quantile_cont(ret, 0.975)')} AS ret_high, " + ", ".join(f"round(quantile_cont({c}, {q}), {d}) AS {c}_{e}" for c, d in (("sharpe", 4), ("drawdown", 3), ("win_rate", 7)) for q, e in ((0.025, "low"), (0.975, "high"))) + " FROM mn GROUP BY symbol")
 def b23_intervals(spark, sf_dir):
-    p = S.path_metrics(S.bootstrap(base(spark, sf_dir), SIMS))
-    q = [F.percentile(c, k).alias(f"{n}_{e}") for n, c in (("mean", "mean"), ("dd", "max_drawdown"), ("win", "win_rate"), ("sharpe", "sharpe")) for e, k in (("low", 0.025), ("high", 0.975))]
-    return rounded(p.groupBy("symbol").agg(*q), 4, dd_low=3, dd_high=3, win_low=7, win_high=7)
+    """1,000 resamples of the means over 1,000 simulations (returns as signed logarithms)."""
+    i = S.mean_intervals(measures(S.bootstrap(base(spark, sf_dir), SIMS)), ["ret", "sharpe", "drawdown", "win_rate"])
+    return rounded(signed(i, "ret_low", "ret_high"), 5, sharpe_low=4, sharpe_high=4, drawdown_low=3, drawdown_high=3, win_rate_low=7, win_rate_high=7)
 
 
 @query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + f" SELECT symbol, slot AS step, {LOG('quantile_cont(equity, 0.5)')} AS median, {LOG('quantile_cont(equity, 0.05)')} AS p5, {LOG('quantile_cont(equity, 0.95)')} AS p95 FROM pe GROUP BY ALL")
@@ -443,13 +454,16 @@ def b24_bands(spark, sf_dir):
     return rounded(b.withColumns({n: F.ln(F.greatest(F.col(n), F.lit(1e-9)) / 1000) for n in ("median", "p5", "p95")}), 5)
 
 
-@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + """, ra AS (SELECT symbol, avg(mean / nullif(sd, 0)) AS sh, -avg(mdd) AS dd, quantile_cont(100 * (fe / 1000 - 1), 0.05) AS v, avg((fe > 1000)::INT::DOUBLE) AS pp, least(avg(rng) / 2000, 1) AS path FROM pm GROUP BY symbol),
+@query(BASE + SLOTS + ", " + PICK["iid"] + PATHS + f""", og AS (SELECT symbol, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS og FROM base GROUP BY symbol),
+ra AS (SELECT symbol, avg({RATIO}) AS sh, -avg(mdd) AS dd, quantile_cont(100 * (fe / 1000 - 1), 0.05) AS v, avg((fe > 1000)::INT::DOUBLE) AS pp, least((max(fe) - min(fe)) / any_value(og) / 2, 1) AS path FROM pm JOIN og USING (symbol) GROUP BY symbol),
 rs AS (SELECT symbol, CASE WHEN sh > 1 THEN 2 WHEN sh > 0.5 THEN 1 ELSE 0 END + CASE WHEN dd < 20 THEN 2 WHEN dd < 35 THEN 1 ELSE 0 END + CASE WHEN v > -10 THEN 2 WHEN v > -20 THEN 1 ELSE 0 END + CASE WHEN pp > 0.7 THEN 2 WHEN pp > 0.5 THEN 1 ELSE 0 END + CASE WHEN path < 0.3 THEN 2 WHEN path < 0.5 THEN 1 ELSE 0 END AS points FROM ra)
-SELECT symbol, points, CASE WHEN points >= 8 THEN 'low' WHEN points >= 6 THEN 'moderate' WHEN points >= 4 THEN 'high' ELSE 'very_high' END AS risk FROM rs""")
+SELECT symbol, points, CASE WHEN points >= 8 THEN 'excellent' WHEN points >= 6 THEN 'good' WHEN points >= 4 THEN 'moderate' ELSE 'poor' END AS risk FROM rs""")
 def b25_risk_grade(spark, sf_dir):
-    p = S.path_metrics(S.bootstrap(base(spark, sf_dir), SIMS))
-    a = p.groupBy("symbol").agg(F.avg("sharpe").alias("sh"), (-F.avg("max_drawdown")).alias("dd"), F.percentile(100 * (F.col("final_equity") / 1000 - 1), 0.05).alias("v"), F.avg((F.col("final_equity") > 1000).cast("double")).alias("pp"), F.least(F.avg("range") / 2000, F.lit(1.0)).alias("path"))
-    s, k = S.risk_grade(F.col("sh"), F.col("dd"), F.col("v"), F.col("pp"), F.col("path"))
+    """Yearly Sharpe ratio, mean worst drawdown, value at risk, chance of profit, and the spread of final equities against the original's."""
+    b = base(spark, sf_dir)
+    sims = S.bootstrap(b, SIMS)
+    a = S.analysis(sims, b).select("symbol", "sharpe_mean", "path_dependency").join(S.distribution(S.path_metrics(sims)).select("symbol", "dd_mean", "var_95", "p_profit"), "symbol")
+    s, k = S.risk_grade(F.col("sharpe_mean"), -F.col("dd_mean"), F.col("var_95"), F.col("p_profit"), F.col("path_dependency"))
     return a.select("symbol", s.alias("points"), k.alias("risk"))
 
 
@@ -483,8 +497,8 @@ def b28_sharpe_interval(spark, sf_dir):
 
 
 @query(STAT + """, y AS (SELECT symbol, m / nullif(s, 0) * sqrt(n) AS t, (bm - m) / nullif(bs, 0) * sqrt(n) AS bt FROM bo JOIN ob USING (symbol)), p AS (SELECT symbol, avg((bt >= t)::INT::DOUBLE) AS p FROM y GROUP BY symbol)
-SELECT count(*) AS n_tests, count(*) FILTER (p < 0.05) AS significant, CASE WHEN count(*) FILTER (p < 0.05) * 3 >= count(*) * 2 THEN 'strong' WHEN count(*) FILTER (p < 0.05) > 0 THEN 'partial' ELSE 'none' END AS verdict FROM p""")
+SELECT count(*) AS n_tests, count(*) FILTER (p < 0.05) AS significant, CASE WHEN count(*) FILTER (p < 0.05) = count(*) THEN 'highly_robust' WHEN count(*) FILTER (p < 0.05) * 2 >= count(*) THEN 'moderately_robust' ELSE 'not_robust' END AS verdict FROM p""")
 def b29_verdict(spark, sf_dir):
     p = S.reality_check(hbase(spark, sf_dir), SIMS)
     k = F.count_if(F.col("p") < 0.05)
-    return p.agg(F.count(F.lit(1)).alias("n_tests"), k.alias("significant"), F.when(k * 3 >= F.count(F.lit(1)) * 2, "strong").when(k > 0, "partial").otherwise("none").alias("verdict"))
+    return p.agg(F.count(F.lit(1)).alias("n_tests"), k.alias("significant"), S.verdict(k, F.count(F.lit(1))).alias("verdict"))
