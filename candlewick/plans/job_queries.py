@@ -248,6 +248,33 @@ def t5_stream_risk(spark, sf_dir):
     return rounded(_run(spark, jobs.stream_risk(e), "risk"), 4, drawdown=7)
 
 
+#: Fills of the exposure query, and its limits.
+FILLS = "CASE WHEN event_id % 3 = 0 THEN -2.0 ELSE 1.0 END * (1 + user_id % 3)"
+DESK = {"gross": 60_000.0, "net": 30_000.0, "single": 25_000.0, "leverage": 0.9, "drawdown": -0.10}
+RUN = "OVER (PARTITION BY portfolio ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)"
+
+
+@query(f"""WITH f AS (SELECT event_id, 'P' || (user_id % 5) AS portfolio, event_type AS symbol, date_trunc('millisecond', ts) AS t, ({FILLS})::DOUBLE AS qty, value AS price, max(date_trunc('millisecond', ts)) OVER () AS top FROM events),
+b AS (SELECT event_type AS symbol, date_trunc('hour', e.ts) + INTERVAL 1 HOUR AS bar, last(value ORDER BY e.ts, event_id) AS close FROM events e GROUP BY 1, 2),
+m AS (SELECT f.*, b.bar, b.close FROM f ASOF LEFT JOIN b ON f.symbol = b.symbol AND f.t >= b.bar),
+k AS (SELECT * EXCLUDE (bar, close), CASE WHEN bar > t - INTERVAL 6 HOUR THEN close ELSE price END AS mark, sum(qty) OVER (PARTITION BY portfolio, symbol ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS held FROM m WHERE t < top - INTERVAL 370 MINUTES),
+g AS (SELECT k.portfolio, k.event_id, k.t, k.qty * k.price AS paid, s.symbol AS sym, CASE WHEN s.symbol = k.symbol THEN held * mark END AS worth FROM k JOIN (SELECT DISTINCT portfolio, symbol FROM k) s USING (portfolio)),
+h AS (SELECT *, coalesce(last_value(worth IGNORE NULLS) OVER (PARTITION BY portfolio, sym ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) AS w FROM g),
+x AS (SELECT portfolio, event_id, t, any_value(paid) AS paid, sum(abs(w)) AS gross, sum(w) AS net, max(abs(w)) AS single FROM h GROUP BY ALL),
+v AS (SELECT *, 100000 - sum(paid) {RUN} + net AS value FROM x), p AS (SELECT *, greatest(100000, max(value) {RUN}) AS peak, CASE WHEN value > 0 THEN gross / value ELSE 0 END AS leverage FROM v),
+d AS (SELECT *, (value - peak) / peak AS drawdown FROM p),
+l AS (SELECT *, CASE WHEN gross > 60000 OR leverage > 0.9 OR drawdown < -0.1 THEN 'red' WHEN abs(net) > 30000 OR single > 25000 THEN 'orange' WHEN gross > 54000 THEN 'yellow' ELSE 'green' END AS level FROM d)
+SELECT portfolio, event_id, t AS ts, round(gross, 4) AS gross, round(net, 4) AS net, round(leverage, 6) AS leverage, round(value, 4) AS value, round(drawdown, 7) AS drawdown, level, max((level = 'red')::INT) {RUN} = 1 AS killed FROM l""")
+def t5_stream_exposure(spark, sf_dir):
+    """T5: running exposure of portfolios, marked at the last hourly close within six hours; fills and closes are two streams."""
+    root = shared(spark, "exposure")
+    B.intraday_bars(spark, sf_dir, "hourly").select("symbol", (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.col("close").alias("price")).write.parquet(f"{root}/closes")
+    closes = spark.readStream.schema("symbol string, ts timestamp, price double").parquet(f"{root}/closes")
+    fills = _ticks(spark, sf_dir).select("event_id", F.concat(F.lit("P"), F.col("user_id") % 5).alias("portfolio"), "symbol", F.date_trunc("millisecond", "ts").alias("ts"), F.expr(FILLS).alias("qty"), "price")
+    out = jobs.run_once(live.stream_exposure(fills, closes, limits=DESK), f"{root}/out", f"{root}/state", jobs.ROCKS)
+    return rounded(out, 4, leverage=6, drawdown=7)
+
+
 @query(TICKS + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) <= INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS st FROM e), s AS (SELECT *, sum(st) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT symbol, min(ts) AS start_ts, max(ts) + INTERVAL 30 MINUTES AS end_ts, count(*) AS n FROM s GROUP BY symbol, k HAVING max(ts) + INTERVAL 30 MINUTES <= any_value(top) - INTERVAL 1 HOUR""")
 def t6_stream_sessions(spark, sf_dir):

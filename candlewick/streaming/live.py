@@ -141,3 +141,106 @@ def multi_timeframe_signals(bars: DataFrame, params: DataFrame, timeframes: tupl
     rows = rows.select("symbol", F.col("param_id").cast("long").alias("param_id"), "tf", "ts", "close", *(["seq"] if "seq" in bars.columns else []), *typed)
     schema = "symbol string, param_id long, ts timestamp, enter boolean, leave boolean, pos int, " + ", ".join(f"rsi_{t} double" for t in timeframes)
     return rows.groupBy("symbol", "param_id").transformWithStateInPandas(MultiTimeframe(timeframes), schema, "Append", "EventTime")
+
+
+#: Limits of exposures (defaults): gross, net, one position, leverage, drawdown from the peak.
+LIMITS = {"gross": 1_000_000.0, "net": 500_000.0, "single": 100_000.0, "leverage": 1.0, "drawdown": -0.10}
+LEVELS = ("green", "yellow", "orange", "red")
+EXPOSURE = "portfolio string, event_id long, ts timestamp, gross double, net double, leverage double, value double, drawdown double, level string, killed boolean"
+
+
+def risk_level(gross: float, net: float, leverage: float, single: float, drawdown: float, limits: dict[str, float]) -> int:
+    """The worst of all limits, as an index of LEVELS."""
+    level = 3 if gross > limits["gross"] else 1 if gross > 0.9 * limits["gross"] else 0
+    if abs(net) > limits["net"] or single > limits["single"]:
+        level = max(level, 2)
+    return 3 if leverage > limits["leverage"] or drawdown < limits["drawdown"] else level
+
+
+class Exposure(StatefulProcessor):
+    """Keyed by portfolio. State: the positions and marks by symbol, the money with its peak and the latch, and the fills that wait.
+
+    A fill waits until the watermark has passed it, with the latest price seen for it so far; then fills count in the order
+    of their times, whatever trigger brought them.
+    """
+
+    def __init__(self, limits: dict[str, float], start: float):
+        self.limits, self.start = limits, start
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.positions = handle.getMapState("positions", "symbol string", "qty double, mark double")
+        self.money = handle.getValueState("money", "cash double, peak double, killed boolean, timer long")
+        self.waiting = handle.getMapState("waiting", "event_id long", "at long, symbol string, qty double, price double, bar long, mark double")
+
+    def close(self) -> None:
+        pass
+
+    def _money(self) -> tuple:
+        return self.money.get() if self.money.exists() else (self.start, self.start, False, 0)
+
+    def _wait(self, at: int | None, cash: float, peak: float, killed: bool, timer: int) -> None:
+        if at is not None and (not timer or at < timer):
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+            timer = at
+        self.money.update((cash, peak, killed, timer))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for frame in rows:
+            frame = frame.sort_values("bar", na_position="first").drop_duplicates("event_id", keep="last")
+            for r in frame.itertuples(index=False):
+                bar = -1 if pd.isna(r.bar) else int(r.bar)
+                if self.waiting.containsKey((r.event_id,)) and self.waiting.getValue((r.event_id,))[4] >= bar:
+                    continue
+                mark = float(r.price if pd.isna(r.mark) else r.mark)
+                self.waiting.updateValue((r.event_id,), (int(r.at), r.symbol, float(r.qty), float(r.price), bar, mark))
+                earliest = int(r.at) if earliest is None else min(earliest, int(r.at))
+        self._wait(earliest, *self._money())
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        water = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((v[0], k[0], *v[1:]) for k, v in self.waiting.iterator())
+        due = [w for w in waiting if w[0] < water]
+        held = {k[0]: list(v) for k, v in self.positions.iterator()}
+        cash, peak, killed, _ = self._money()
+        out, touched = [], set()
+        for at, event_id, symbol, qty, price, _, mark in due:
+            was = held.get(symbol, [0.0, 0.0])
+            held[symbol] = [was[0] + qty, mark]
+            cash -= qty * price
+            worth = [q * m for q, m in held.values()]
+            gross, net = sum(map(abs, worth)), sum(worth)
+            value = cash + net
+            peak = max(peak, value)
+            leverage, fall = (gross / value if value > 0 else 0.0), (value - peak) / peak if peak > 0 else 0.0
+            level = risk_level(gross, net, leverage, max(map(abs, worth)), fall, self.limits)
+            killed = killed or level == 3
+            out.append((key[0], event_id, stamp(at), gross, net, leverage, value, fall, LEVELS[level], killed))
+            touched.add(symbol)
+            self.waiting.removeKey((event_id,))
+        for symbol in touched:
+            self.positions.updateValue((symbol,), tuple(held[symbol]))
+        left = [w[0] for w in waiting if w[0] >= water]
+        self._wait(min(left) if left else None, cash, peak, killed, 0)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EXPOSURE.split(", ")])
+
+
+def stream_exposure(fills: DataFrame, prices: DataFrame, within: str = "6 hours", late: str = "10 minutes", limits: dict[str, float] | None = None, start: float = 100_000.0) -> DataFrame:
+    """T5: gross and net exposure, leverage, value, drawdown, risk level and latched kill switch of a portfolio after each fill.
+
+    ``fills``: event_id, portfolio, symbol, ts, qty, price, marked at the last of ``prices`` (symbol, ts, price) that is not
+    later than they are and within ``within``, else at their own price: a join of two streams over a range of time. A fill
+    counts once the watermark less that range has passed it, as a join lets its output wait that long.
+    """
+    f = fills.withWatermark("ts", late).select("event_id", "portfolio", F.col("symbol").alias("_s"), F.col("ts").alias("_at"), "qty", "price")
+    p = prices.withWatermark("ts", late).select("symbol", F.col("ts").alias("_bar"), F.col("price").alias("mark"))
+    near = (F.col("_s") == F.col("symbol")) & (F.col("_bar") <= F.col("_at")) & (F.col("_bar") > F.col("_at") - F.expr(f"INTERVAL {within}"))
+    joined = f.join(p, near, "leftOuter")
+    ms = lambda c: F.unix_millis(c)
+    rows = joined.select("portfolio", "event_id", F.col("_s").alias("symbol"), "qty", "price", "mark", ms("_at").alias("at"), ms("_bar").alias("bar"), "_at")
+    return rows.groupBy("portfolio").transformWithStateInPandas(Exposure(LIMITS | (limits or {}), start), EXPOSURE, "Append", "EventTime")
