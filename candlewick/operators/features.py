@@ -8,6 +8,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,31 @@ def standard() -> list[Feature]:
     return [returns(1), returns(5), returns(20), volatility(20), rsi(14), bollinger(20), atr(14), volume_ratio(20), obv(), hl_spread(), macd(), adx(14)]
 
 
+def grouped_feature(bars: DataFrame, name: str, compute: Callable[[pd.DataFrame], pd.Series], reach: int, rows: int = 10_000) -> DataFrame:
+    """Adds a column that a caller's function computes from a frame of consecutive bars, for what no expression can say.
+
+    ``reach``: bars before a bar that its value may hang on. A series is cut into groups of ``rows`` bars, each with the
+    ``reach`` bars before it, so a group is bounded however long the series is; the function sees them in order.
+    """
+    x = bars.withColumn("_i", F.row_number().over(over(*KEYS)) - 1)
+    own = F.floor(F.col("_i") / rows)
+    parts = F.when(F.pmod("_i", F.lit(rows)) >= max(rows - reach, 0), F.array(own, own + 1)).otherwise(F.array(own))
+    x = x.withColumn("_g", F.explode(parts))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema) + f", `{name}` double"
+
+    kept = list(bars.columns)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_i")
+        values = compute(group.reset_index(drop=True)).to_numpy()
+        mine = (group["_i"] // rows == group["_g"]).to_numpy()
+        return group[kept].assign(**{name: values})[mine]
+
+    if reach >= rows:
+        raise ValueError("groups must be longer than what a value hangs on")
+    return x.groupBy(*KEYS, "_g").applyInPandas(run, schema)
+
+
 class Pipeline:
     """Features computed together, stage by stage, so that equal windows are one sort."""
 

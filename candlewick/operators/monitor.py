@@ -53,6 +53,22 @@ def kl_divergence(x: DataFrame, bins: int = 50, threshold: float = 0.1) -> DataF
     return g.groupBy("key").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl")).withColumn("drift", F.col("kl") > threshold)
 
 
+def histogram(x: DataFrame, ranges: DataFrame, keys: list[str], bins: int = 50) -> DataFrame:
+    """(keys, bin, n): counts of values within each key's range; ``ranges``: key, lo, hi. Histograms of parts add up."""
+    y = x.filter("value IS NOT NULL").join(ranges, "key").filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")) & (F.col("hi") > F.col("lo")))
+    b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    return y.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram_drift(reference: DataFrame, current: DataFrame, keys: list[str], threshold: float = 0.1) -> DataFrame:
+    """(keys, kl, drift): divergence of current histograms (keys with key, bin, n) from the reference's (key, bin, n)."""
+    known = current.select(*keys).distinct().join(reference.select("key", "bin", F.col("n").alias("a")), "key")
+    both = known.join(current.withColumnRenamed("n", "b"), [*keys, "bin"], "full").fillna(0, ["a", "b"])
+    w = Window.partitionBy(*keys)
+    g = both.withColumns({"p": F.col("b") / F.sum("b").over(w) + 1e-10, "q": F.try_divide(F.col("a"), F.sum("a").over(w)) + 1e-10})
+    return g.groupBy(*keys).agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl")).withColumn("drift", F.col("kl") > threshold)
+
+
 def t_test(x: DataFrame) -> DataFrame:
     """Pooled two-sample t and its p by the normal distribution (large samples)."""
     s = lambda k, f: f(F.when(F.col("sample") == k, F.col("value")))

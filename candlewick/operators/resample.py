@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -207,6 +207,27 @@ def mean_intervals(values: DataFrame, columns: list[str], resamples: int = 1000,
     return means.groupBy("symbol").agg(*(F.percentile(F.nanvl(c, F.lit(None)), q).alias(f"{c}_{e}") for c in columns for q, e in ends))
 
 
+def user_statistic(base: DataFrame, statistic: Callable[[np.ndarray], float], sims: int, seed: int = 7) -> DataFrame:
+    """(symbol, sim, value): a caller's statistic of each bootstrap sample of a symbol's observations.
+
+    The samples are those of ``bootstrap``. A symbol's observations travel as one array with 50 simulations a row and are
+    drawn from inside a task; the statistic gets one sample at a time.
+    """
+    step = 50
+    one = base.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("v"))
+    one = one.select("symbol", F.col("v.x").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(-(-sims // step) - 1))).alias("part"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                x = np.asarray(row.x, float)
+                sim = np.arange(row.part * step, min((row.part + 1) * step, sims))
+                picked = x[draws(seed, sim[:, None], np.arange(len(x))[None, :]) % len(x)]
+                yield pd.DataFrame({"symbol": row.symbol, "sim": sim, "value": [float(statistic(p)) for p in picked]})
+
+    return one.mapInPandas(run, "symbol string, sim long, value double")
+
+
 def risk_grade(sharpe: Column, drawdown: Column, var95: Column, profit: Column, path: Column) -> tuple[Column, Column]:
     """Ten points and their class."""
     two = lambda hi, lo: F.when(hi, 2).when(lo, 1).otherwise(0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import div, over, running
 from ..session import cut
 from ..sources.bars import TF_SECONDS, bucket_of
+from ..sources.store import AppendTable
 from . import metrics, signals
 
 KEYS = ["symbol", "param_id"]
@@ -159,9 +160,11 @@ def top_of_batches(results: DataFrame, batch: int = 500, n: int = 5, keys: tuple
     return best(rows, [*keys, "batch"], n).unionByName(final)
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Adds result rows to a Parquet table."""
-    rows.write.mode("append").parquet(path)
+def append_results(rows: DataFrame, path: str) -> DataFrame:
+    """Adds result rows to a table, all or none of them; returns all that it holds."""
+    table = AppendTable(rows.sparkSession, path, rows.schema)
+    table.append(rows)
+    return table.read()
 
 
 def best(results: DataFrame, keys: list[str], n: int = 1) -> DataFrame:

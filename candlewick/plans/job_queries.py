@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import calibration, checks, execution, features, monitor, regimes, signals
+from ..operators import calibration, checks, execution, features, monitor, regimes, resample, signals
 from ..session import shared_folder
 from ..sources import bars as B
-from ..sources.store import FeatureStore, VersionedStore
+from ..sources.store import AppendTable, FeatureStore, VersionedStore
 from ..streaming import jobs, live
 from .desk_queries import k07_alerts
 from .market import F_BASE, V, rounded
 from .regime_queries import series
 from .registry import DAILY, SQL, W, intraday, query, roll
+from .search_queries import BASE, PICK, SIMS, SLOTS, a13_top_trials, base
 
 
 def shared(spark, name: str) -> str:
@@ -164,6 +166,49 @@ def t2_stream_metrics(spark, sf_dir):
     return rounded(_run(spark, jobs.stream_metrics(_ticks(spark, sf_dir)), "metrics"), 6)
 
 
+@query(TICKS + """, r AS (SELECT symbol, min(price) AS lo, max(price) AS hi FROM e WHERE ts < TIMESTAMP '2024-01-11' GROUP BY symbol),
+h AS (SELECT symbol, ts, price, lo, hi, least(floor((price - lo) / (hi - lo) * 50), 49)::INT AS bin, top FROM e JOIN r USING (symbol) WHERE price >= lo AND price <= hi AND hi > lo),
+a AS (SELECT symbol, bin, count(*) AS a FROM h WHERE ts < TIMESTAMP '2024-01-11' GROUP BY ALL),
+b AS (SELECT symbol, date_trunc('day', ts) + INTERVAL 1 DAY * k AS z, bin, count(*) AS b FROM h, range(1, 8) AS t(k) WHERE date_trunc('day', ts) + INTERVAL 1 DAY * k <= top - INTERVAL 1 HOUR GROUP BY ALL),
+w AS (SELECT DISTINCT symbol, z FROM b), f AS (SELECT coalesce(b.symbol, x.symbol) AS symbol, coalesce(b.z, x.z) AS z, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT w.*, bin, a FROM w JOIN a USING (symbol)) x FULL JOIN b ON b.symbol = x.symbol AND b.z = x.z AND b.bin = x.bin),
+g AS (SELECT symbol, z, b / sum(b) OVER o + 1e-10 AS p, a / sum(a) OVER o + 1e-10 AS q FROM f WINDOW o AS (PARTITION BY symbol, z))
+SELECT z AS ts, symbol, 'kl' AS name, round(sum(p * ln(p / q)), 6) AS value, sum(p * ln(p / q)) > 0.1 AS drift FROM g GROUP BY symbol, z""")
+def t2_stream_drift(spark, sf_dir):
+    """Weekly windows, a day apart, against the histogram of the first ten days; the sink is keyed by the number of the batch."""
+    root = shared(spark, "drift")
+    past = B.ticks_of(spark, sf_dir).filter("ts < TIMESTAMP '2024-01-11'").select(F.col("symbol").alias("key"), F.col("price").alias("value"))
+    ranges = past.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    sink = jobs.drift_sink(monitor.histogram(past, ranges, ["key"]), root)
+    jobs.run_batches(jobs.stream_drift(_ticks(spark, sf_dir), ranges, "7 days"), sink, f"{root}/state")
+    return rounded(spark.read.schema("ts timestamp, symbol string, name string, value double, drift boolean, batch long").parquet(f"{root}/metrics").drop("batch"))
+
+
+@query(SQL["a13_top_trials"])
+def a13_appended_trials(spark, sf_dir):
+    """The best trials added to a table in two appends; a third that is not committed is not there."""
+    rows = a13_top_trials(spark, sf_dir)
+    table = AppendTable(spark, shared(spark, "trials"), rows.schema)
+    part = F.pmod(F.xxhash64("symbol"), F.lit(2))
+    table.append(rows.filter(part == 0))
+    table.append(rows.filter(part == 1))
+    table.stage(rows)
+    return table.read()
+
+
+@query(DAILY + f" SELECT symbol, ts, round({roll('median', 'close', 15)}, 9) AS median_15 FROM bars")
+def u01_user_feature(spark, sf_dir):
+    """User-defined feature: a median of 15 closes by pandas, in groups of 500 bars with the 14 before them."""
+    x = features.grouped_feature(B.daily_bars(spark, sf_dir), "median_15", lambda g: g["close"].rolling(15).median(), reach=14, rows=500)
+    return rounded(x.select("symbol", "ts", F.nanvl("median_15", F.lit(None)).alias("median_15")), 9)
+
+
+@query(BASE + SLOTS + ", " + PICK["iid"] + ", sx AS (SELECT pk.symbol, pk.sim, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx), md AS (SELECT symbol, sim, median(x) AS m FROM sx GROUP BY ALL) SELECT symbol, count(*) AS n, round(quantile_cont(m, 0.025), 6) AS low, round(median(m), 6) AS middle, round(quantile_cont(m, 0.975), 6) AS high FROM md GROUP BY symbol")
+def u02_user_statistic(spark, sf_dir):
+    """User-defined statistic: the median of 1,000 bootstrap samples of trade results."""
+    s = resample.user_statistic(base(spark, sf_dir), np.median, SIMS)
+    return rounded(s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), *(F.percentile("value", q).alias(k) for k, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975)))))
+
+
 TIMEFRAMES = ("5min", "hourly", "daily")
 #: Rows of (param_id, tf, mn1, mn2, entry, exit, on, off, start).
 LIVE = [(p, tf, mn1, mn2, entry, exit_, on, off, 3) for p, mn1, mn2, on, off, levels in ((0, 14, 3, 20, 5, (50.0, 60.0)), (1, 7, 5, 30, 2, (55.0, 70.0))) for tf in TIMEFRAMES for entry, exit_ in (levels,)]

@@ -18,11 +18,56 @@ def checksum(df: DataFrame, keys: list[str]) -> DataFrame:
     return a.select(*keys, "record_count", F.sha2(F.concat_ws(":", F.col("record_count").cast("string"), F.col("_s").cast("string"), F.col("_x").cast("string")), 256).alias("checksum"))
 
 
+class AppendTable:
+    """A Parquet table whose appends are seen whole or not at all, under any Hadoop file system.
+
+    An append writes a folder of its own and then one empty marker, which readers go by: what a failed or running append has
+    left is never read. Markers are put in place by a rename, so appends at the same time do not disturb each other.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def _files(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), where
+
+    def stage(self, df: DataFrame) -> str:
+        """Writes rows that nobody sees yet; returns the name under which ``commit`` shows them."""
+        name = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/part-{name}")
+        return name
+
+    def commit(self, name: str) -> None:
+        fs, staged = self._files(f"{self.root}/_staged-{name}")
+        fs.create(staged, True).close()
+        _, folder = self._files(f"{self.root}/_commits")
+        fs.mkdirs(folder)
+        _, marker = self._files(f"{self.root}/_commits/{name}")
+        if not fs.rename(staged, marker):
+            raise OSError(f"could not commit {name}")
+
+    def append(self, df: DataFrame) -> None:
+        self.commit(self.stage(df))
+
+    def read(self) -> DataFrame:
+        """All committed rows; a table without any is empty."""
+        fs, folder = self._files(f"{self.root}/_commits")
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.root}/part-{n}" for n in sorted(names)))
+
+
 class VersionedStore:
-    """Tables under one root, which any Hadoop file system may hold: data by type, symbol, version and year (files by month would be tiny for daily bars); and ``versions``."""
+    """Tables under one root, which any Hadoop file system may hold: data by type, symbol, version and year (files by month would be tiny for daily bars); and ``versions``.
+
+    A version is there once its rows in ``versions`` are committed, all at once; data without them is never read.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.log = AppendTable(spark, f"{self.root}/versions", VERSION_SCHEMA)
 
     def write(self, df: DataFrame, data_type: str = "raw", metadata: dict[str, str] | None = None) -> str:
         """Appends all symbols of a frame as one new version, a row in ``versions`` for each symbol."""
@@ -31,14 +76,14 @@ class VersionedStore:
         rows.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "ts").write.mode("append").partitionBy("symbol", "version_id", "year").parquet(f"{self.root}/{data_type}")
         sums = checksum(df, ["symbol"]).join(df.groupBy("symbol").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")), "symbol")
         tags = F.create_map(*(F.lit(x) for kv in (metadata or {}).items() for x in kv)) if metadata else F.create_map().cast("map<string,string>")
-        sums.select(
+        self.log.append(sums.select(
             F.lit(version).alias("version_id"), F.current_timestamp().alias("created_at"), F.lit(data_type).alias("data_type"), "symbol", F.col("start_ts").cast("timestamp").alias("start_ts"), F.col("end_ts").cast("timestamp").alias("end_ts"), "record_count", "checksum", F.lit("1.0").alias("schema_version"), tags.alias("metadata"),
-        ).write.mode("append").parquet(f"{self.root}/versions")
+        ))
         return version
 
     def versions(self, data_type: str | None = None) -> DataFrame:
         """Newest first."""
-        v = self.spark.read.schema(VERSION_SCHEMA).parquet(f"{self.root}/versions")
+        v = self.log.read()
         v = v.filter(F.col("data_type") == data_type) if data_type else v
         return v.orderBy(F.desc("created_at"), F.desc("version_id"))
 
@@ -55,7 +100,8 @@ class VersionedStore:
             x = x.filter((F.col("year") >= F.year(F.lit(start).cast("timestamp"))) & (F.col("ts") >= F.lit(start).cast("timestamp")))
         if end is not None:
             x = x.filter((F.col("year") <= F.year(F.lit(end).cast("timestamp"))) & (F.col("ts") <= F.lit(end).cast("timestamp")))
-        x = x.filter(F.col("version_id") == version) if version else x.join(self.latest(data_type), ["symbol", "version_id"], "left_semi")
+        known = self.versions(data_type).filter(F.col("version_id") == version).select("symbol", "version_id") if version else self.latest(data_type)
+        x = x.join(known, ["symbol", "version_id"], "left_semi")
         return x.drop("year", "version_id")
 
     def integrity(self, data_type: str = "raw") -> DataFrame:

@@ -35,6 +35,33 @@ def stream_metrics(ticks: DataFrame, width: str = "2 days", slide: str = "1 day"
     return g.select(F.col("window.end").alias("ts"), "symbol", rows).select("ts", "symbol", "m.name", "m.value")
 
 
+def drift_sink(reference: DataFrame, path: str, threshold: float = 0.1):
+    """A function for foreachBatch: the drift of each closed window's histogram against the reference's, as metric rows.
+
+    A batch writes the folder of its own number and nothing else, so a batch that is run again replaces what it wrote before.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        now = batch.select("key", "ts", "bin", "n")
+        rows = monitor.histogram_drift(reference.sparkSession.read.parquet(f"{path}/reference"), now, ["key", "ts"], threshold)
+        rows.select("ts", F.col("key").alias("symbol"), F.lit("kl").alias("name"), F.col("kl").alias("value"), "drift").write.mode("overwrite").parquet(f"{path}/metrics/batch={number}")
+
+    reference.write.mode("overwrite").parquet(f"{path}/reference")
+    return write
+
+
+def stream_drift(ticks: DataFrame, ranges: DataFrame, width: str = "60 days", slide: str = "1 day", bins: int = 50, late: str = "1 hour") -> DataFrame:
+    """(key, ts, bin, n): histograms of sliding windows that the watermark has passed; ``ranges``: key, lo, hi of the reference."""
+    x = ticks.withWatermark("ts", late).select("ts", F.col("symbol").alias("key"), F.col("price").alias("value"))
+    h = monitor.histogram(x.withColumn("w", F.window("ts", width, slide)), ranges, ["w", "key"], bins)
+    return h.select("key", F.col("w.end").alias("ts"), "bin", "n")
+
+
+def run_batches(stream: DataFrame, sink, checkpoint: str) -> None:
+    """Runs a stream over what is there, each micro-batch through ``sink``."""
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_signals(bars: DataFrame, n: int = 14, low: float = 30.0, high: float = 70.0) -> DataFrame:
     """RSI of the last n moves of each symbol and a long or flat flag; the state is n + 1 closes and the flag.
 
