@@ -68,8 +68,9 @@ P61 = np.uint64(2**61 - 1)
 FIELD_BASE, FIELD_BASE_2 = 0x1B0A7D5C3E91F24D % (2**61 - 1), 0x0E9C51F7A83D6B25 % (2**61 - 1)
 _31, _30, _61, _32, _29 = (np.uint64(k) for k in (31, 30, 61, 32, 29))
 _L31, _L30, _L32, _L29 = (np.uint64(2**k - 1) for k in (31, 30, 32, 29))
-#: Characters whose products are summed without overflow.
-FIELD_RUN = 1 << 21
+#: Characters whose products are summed without overflow, and bytes of words that are hashed at once: about ten arrays of
+#: eight times that size are held.
+FIELD_RUN, WORD_RUN = 1 << 21, 1 << 18
 
 _field_powers: dict[int, np.ndarray] = {}
 
@@ -151,8 +152,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, base: int = FIELD_BASE) -> np.ndarray:
-    """A hash of each word, about half of FIELD_RUN bytes at once; words that are longer by themselves go piece by piece."""
-    size, out, first = FIELD_RUN >> 1, np.empty(len(starts), np.uint64), 0
+    """A hash of each word, about WORD_RUN bytes at once; words that are longer by themselves go piece by piece."""
+    size, out, first = WORD_RUN, np.empty(len(starts), np.uint64), 0
     piece = (lambda a, b: LOWER[data[a:b]]) if lower else (lambda a, b: data[a:b])
     while first < len(starts):
         begin, last = int(starts[first]), int(np.searchsorted(ends, int(starts[first]) + size, side="right"))

@@ -34,7 +34,7 @@ def test_words_longer_than_a_run(monkeypatch):
     data = np.frombuffer(text, np.uint8)
     starts, ends, _ = hashing.word_bounds(data, np.array([0, len(data)]))
     whole = hashing.word_hashes(data, starts, ends, lower=True)
-    monkeypatch.setattr(hashing, "FIELD_RUN", 128)
+    monkeypatch.setattr(hashing, "WORD_RUN", 64)
     hashing_of = hashing.word_hashes(data, starts, ends, lower=True)
     assert hashing_of.tolist() == whole.tolist() and len(set(whole.tolist())) == 3
 

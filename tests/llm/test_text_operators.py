@@ -297,7 +297,7 @@ def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
     for i, t in rows:
         kept = "".join(c for c, g in zip(t, gone[i].tolist(), strict=True) if not g)
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept"].decode()) == (len(t), int(gone[i].sum()), kept), i
-    monkeypatch.setattr(hashing, "FIELD_RUN", 128)
+    monkeypatch.setattr(hashing, "WORD_RUN", 64)
     monkeypatch.setattr(substrings, "RUN", 50)
     text = " ".join(noise(rng.choice([1, 5, 300])).replace(" ", "x") for _ in range(400))
     small = substrings.Words(pa.array([text, "", text[:900]]))
