@@ -68,7 +68,7 @@ class MultiTimeframe(StatefulProcessor):
                     self.rules.updateValue((tf,), tuple(float(r[p]) if p in ("entry", "exit") else int(r[p]) for p in PARAMS))
                 end = state["starts"][0] + 1000 * TF_SECONDS[tf]
                 earliest = end if earliest is None else min(earliest, end)
-        self._wait(earliest)
+        self._wait(earliest, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -100,7 +100,7 @@ class MultiTimeframe(StatefulProcessor):
                 end = left[0][0] + 1000 * TF_SECONDS[tf]
                 earliest = end if earliest is None else min(earliest, end)
         self.position.update((pos, 0))
-        self._wait(earliest)
+        self._wait(earliest, water)
         if out:
             yield pd.DataFrame(out, columns=["symbol", "param_id", "ts", "enter", "leave", "pos", *(f"rsi_{t}" for t in self.timeframes)])
 
@@ -118,9 +118,12 @@ class MultiTimeframe(StatefulProcessor):
     def _keep(self, tf: str, state: dict) -> None:
         self.series.updateValue((tf,), tuple(state.values()))
 
-    def _wait(self, end: int | None) -> None:
-        """One timer at the earliest end; a later one that stands already is taken back."""
+    def _wait(self, end: int | None, water: int) -> None:
+        """One timer at the earliest end, after the watermark (an earlier one would not be found again); a later one that
+        stands already is taken back.
+        """
         pos, timer = self.position.get() if self.position.exists() else (0, 0)
+        end = None if end is None else max(end, water + 1)
         if end is not None and (not timer or end < timer):
             if timer:
                 self.handle.deleteTimer(timer)
@@ -179,7 +182,8 @@ class Exposure(StatefulProcessor):
     def _money(self) -> tuple:
         return self.money.get() if self.money.exists() else (self.start, self.start, False, 0)
 
-    def _wait(self, at: int | None, cash: float, peak: float, killed: bool, timer: int) -> None:
+    def _wait(self, at: int | None, water: int, cash: float, peak: float, killed: bool, timer: int) -> None:
+        at = None if at is None else max(at, water + 1)
         if at is not None and (not timer or at < timer):
             if timer:
                 self.handle.deleteTimer(timer)
@@ -198,7 +202,7 @@ class Exposure(StatefulProcessor):
                 mark = float(r.price if pd.isna(r.mark) else r.mark)
                 self.waiting.updateValue((r.event_id,), (int(r.at), r.symbol, float(r.qty), float(r.price), bar, mark))
                 earliest = int(r.at) if earliest is None else min(earliest, int(r.at))
-        self._wait(earliest, *self._money())
+        self._wait(earliest, timerValues.getCurrentWatermarkInMs(), *self._money())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -225,7 +229,7 @@ class Exposure(StatefulProcessor):
         for symbol in touched:
             self.positions.updateValue((symbol,), tuple(held[symbol]))
         left = [w[0] for w in waiting if w[0] >= water]
-        self._wait(min(left) if left else None, cash, peak, killed, 0)
+        self._wait(min(left) if left else None, water, cash, peak, killed, 0)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in EXPOSURE.split(", ")])
 

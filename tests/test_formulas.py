@@ -1,9 +1,14 @@
 """Scores and ladders against values worked out by hand."""
 
+import datetime as d
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
-from candlewick.operators import execution, features, metrics, regimes
+from candlewick.operators import checks, execution, features, metrics, monitor, regimes, resample, search, signals
+from candlewick.sources.store import AppendTable, VersionedStore
 from pyspark.sql import functions as F
 
 
@@ -81,3 +86,209 @@ def test_pine_set(spark):
     assert got[50]["pine_vol"] == pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in rets) / 20 * 252))
     falls = {i: closes[i] / max(closes[i - 59 : i + 1]) - 1 for i in range(59, 140)}
     assert got[117]["pine_max_drawdown"] is None and got[130]["pine_max_drawdown"] == pytest.approx(min(falls[i] for i in range(71, 131)))
+
+
+DAY = d.datetime(2020, 1, 1)
+
+
+def test_slices_are_away_from_the_market(spark):
+    o = spark.createDataFrame([(1, "A", s, 100.0, u, 50.0) for s in ("buy", "sell") for u in (0.5, 0.9)], "parent_id long, symbol string, side string, qty double, urgency double, limit_price double").withColumns({"start_ts": F.lit(DAY), "end_ts": F.lit(DAY + d.timedelta(minutes=5))})
+    got = {(r["side"], r["order_type"]): r["limit_price"] for r in execution.twap(o).collect()}
+    assert got == {("buy", "limit"): pytest.approx(49.995), ("sell", "limit"): pytest.approx(50.005), ("buy", "market"): None, ("sell", "market"): None}
+
+
+def test_regime_machine_equals_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(signals, "SCAN", 7)
+    rng, rows, want = random.Random(4), [], {}
+    for k in "ABC":
+        pos = 0
+        for i in range(120 if k == "A" else 5):
+            regime, conf, pbr = rng.choice(["bull", "bear", "crisis", "low_volatility", None]), rng.choice([0.3, 0.5, 0.7, None]), rng.choice([0.3, 0.45, 0.6])
+            up, down, c = regime == "bull", regime in ("bear", "crisis"), 0.5 if conf is None else conf
+            if pos == 0:
+                pos = 1 if up and c > 0.6 and pbr > 0.5 else -1 if down and c > 0.6 and pbr > 0.4 else 0
+            elif pos == 1:
+                pos = 0 if not up or c < 0.4 else 1
+            else:
+                pos = 0 if not down or c < 0.4 else -1
+            rows.append((k, DAY + d.timedelta(days=i), regime, conf, pbr))
+            want[k, i] = pos
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, regime string, confidence double, pbr double").repartition(3)
+    got = {(r["symbol"], (r["ts"] - DAY).days): r["pos"] for r in signals.regime_positions(df, ["symbol"]).collect()}
+    assert got == want and set(want.values()) == {-1, 0, 1}
+
+
+def test_a_short_is_held_from_bear_into_crisis(spark):
+    rows = [("bear", 0.7), ("crisis", 0.5), ("bear", 0.39), ("bull", 0.9), ("bear", 0.9), ("bear", 0.9)]
+    df = spark.createDataFrame([("A", DAY + d.timedelta(days=i), r, c, 0.9) for i, (r, c) in enumerate(rows)], "symbol string, ts timestamp, regime string, confidence double, pbr double")
+    assert [r["pos"] for r in signals.regime_positions(df, ["symbol"]).orderBy("ts").collect()] == [-1, -1, 0, 1, 0, -1]
+
+
+def test_walk_forward_starts_anew_and_takes_returns(spark):
+    """Two windows of 6 and 3 days. RSI of 2 with entry below 50 and exit above 50: falls are bought, rises are sold."""
+    closes = [10, 9, 11, 9, 11, 9, 11, 9, 11, 9, 11, 9, 11, 12]
+    bars = spark.createDataFrame([("A", DAY + d.timedelta(days=i), float(c), float(c)) for i, c in enumerate(closes)], "symbol string, ts timestamp, open double, close double")
+    params = spark.createDataFrame([(0, 1, 50.0, 50.0, 0, 0, 0)], "param_id long, mn1 int, entry double, exit double, on int, off int, start int")
+    w = search.walk_forward_days(bars, params, [1], least_trades=1, train=6, test=3, least_train=6, least_test=3).orderBy("window_id").collect()
+
+    def loop(x, cost=0.0006):
+        equity, pos, price, trades = 1000.0, 0, 0.0, 0
+        for i, c in enumerate(x):
+            rsi = 0  # of one move: no loss gives 0, a loss alone gives 0
+            if not pos and rsi < 50 and i + 1 < len(x):
+                pos, price = 1, x[i + 1] * (1 + cost)
+            elif pos and rsi > 50:
+                equity, pos, trades = equity * (x[i + 1] if i + 1 < len(x) else c) * (1 - cost) / price, 0, trades + 1
+        if pos:
+            equity, trades = equity * x[-1] * (1 - cost) / price, trades + 1
+        return 100 * (equity / 1000 - 1), trades
+
+    assert [r["window_id"] for r in w] == [0, 1]
+    for r in w:
+        a = 3 * r["window_id"]
+        assert (r["train_return"], r["train_trades"]) == (pytest.approx(loop(closes[a : a + 6])[0]), 1)
+        assert (r["test_return"], r["test_trades"]) == (pytest.approx(loop(closes[a + 6 : a + 9])[0]), 1)
+        assert r["degradation_pct"] == pytest.approx(100 * (r["train_return"] - r["test_return"]) / abs(r["train_return"]))
+
+
+def test_walk_forward_summary(spark):
+    rows = [("A", 10.0, 5.0), ("A", 30.0, -1.0), ("B", -10.0, 2.0), ("B", -10.0, 4.0), ("C", 0.0, 1.0)]
+    got = {r["symbol"]: r for r in search.walk_forward_summary(spark.createDataFrame(rows, "symbol string, train_return double, test_return double")).collect()}
+    assert (got["A"]["efficiency"], got["A"]["consistency"], got["A"]["degradation_pct"], got["A"]["overfit"]) == (pytest.approx(0.1), 0.5, pytest.approx(90.0), True)
+    assert (got["B"]["efficiency"], got["B"]["degradation_pct"], got["B"]["overfit"]) == (pytest.approx(-0.3), pytest.approx(-130.0), True)
+    assert (got["C"]["efficiency"], got["C"]["degradation_pct"]) == (0.0, 0.0)
+    assert got["A"]["out_of_sample_growth"] == pytest.approx(math.log(1.05 * 0.99))
+
+
+def test_search_over_timeframes_sees_the_coarse_bar_of_the_day(spark):
+    """A day without a daily bar cannot be entered and must be left; the second timeframe's phases stand on the first's best."""
+    rng = random.Random(2)
+    hours = [(DAY + d.timedelta(hours=h), round(100 + rng.uniform(-5, 5), 2)) for h in range(24 * 12)]
+    days = [(DAY + d.timedelta(days=k), round(100 + rng.uniform(-5, 5), 2)) for k in range(12) if k != 5]
+    bars = spark.createDataFrame([("A", "hourly", t, c, c) for t, c in hours] + [("A", "daily", t, c, c) for t, c in days], "symbol string, tf string, ts timestamp, open double, close double")
+    cycles = search.grid(spark, on=[3, 30], off=[1], start=[0])
+    rsis = search.grid(spark, mn1=[2, 3], mn2=[1, 2], entry=[60.0], exit=[70.0])
+    base = {"mn1": 2, "mn2": 1, "entry": 60.0, "exit": 70.0, "on": 30, "off": 1, "start": 0}
+    found = search.timeframe_search(bars, ("daily", "hourly"), cycles, rsis, base, [(2, 1), (2, 2), (3, 1), (3, 2)]).collect()
+    assert len(found) == 8
+
+    def rsi(closes, a, b):
+        moves = [0.0] + [y - x for x, y in zip(closes, closes[1:], strict=False)]
+        out = []
+        for i in range(len(closes)):
+            w = moves[max(0, i - a + 1) : i + 1]
+            gain, loss = sum(m for m in w if m > 0), -sum(m for m in w if m < 0)
+            out.append(100 - 100 / (1 + gain / loss) if loss > 0 else 0.0)
+        return [sum(out[max(0, i - b + 1) : i + 1]) / len(out[max(0, i - b + 1) : i + 1]) for i in range(len(out))]
+
+    def trades(daily, hourly):
+        series = {}
+        for tf, rows, p in (("d", days, daily), ("h", hours, hourly)):
+            r = rsi([c for _, c in rows], p["mn1"], p["mn2"])
+            cy = [(i - p["start"]) % (p["on"] + p["off"]) < p["on"] for i in range(len(rows))]
+            series[tf] = {t: (x < p["entry"] and y, x > p["exit"] or not y) for (t, _), x, y in zip(rows, r, cy, strict=True)}
+        pos, n = 0, 0
+        for i, (t, _) in enumerate(hours):
+            day = series["d"].get(t.replace(hour=0), (False, True))
+            enter, leave = day[0] and series["h"][t][0], day[1] or series["h"][t][1]
+            if not pos and enter and i + 1 < len(hours):
+                pos = 1
+            elif pos and leave:
+                pos, n = 0, n + 1
+        return n + pos
+
+    best = {}
+    for tf in ("daily", "hourly"):
+        for r in (x for x in found if x["tf"] == tf):
+            p = {k: r[k] for k in base}
+            assert r["trades"] == trades(p if tf == "daily" else best["daily"], p if tf == "hourly" else base)
+        best[tf] = {k: max((x for x in found if x["tf"] == tf), key=lambda x: (x["score"], -x["param_id"]))[k] for k in base}
+
+
+def test_intervals_of_means_and_user_statistics(spark):
+    rng = random.Random(6)
+    x = [rng.gauss(0, 1) for _ in range(40)]
+    v = spark.createDataFrame([("A", i, float(a), None if i == 3 else float(a) * 2) for i, a in enumerate(x)], "symbol string, sim long, a double, b double")
+    r = resample.mean_intervals(v, ["a", "b"], 120).first()
+    picks = resample.draws(9, np.arange(120)[:, None], np.arange(40)[None, :]) % 40
+    means = np.array(x)[picks].mean(axis=1)
+    assert (r["a_low"], r["a_high"]) == (pytest.approx(np.percentile(means, 2.5)), pytest.approx(np.percentile(means, 97.5)))
+    twice = np.array([np.nan if i == 3 else 2 * a for i, a in enumerate(x)])[picks]
+    assert r["b_low"] == pytest.approx(np.percentile(np.nanmean(twice, axis=1), 2.5))
+    base = resample.numbered(spark.createDataFrame([("A", i, a) for i, a in enumerate(x)], "symbol string, i long, v double"), "v", "i")
+    own = {s["sim"]: s["value"] for s in resample.user_statistic(base, np.mean, 60).collect()}
+    native = {s["sim"]: s["m"] for s in resample.bootstrap(base, 60).groupBy("sim").agg(F.avg("x").alias("m")).collect()}
+    assert own == pytest.approx(native)
+
+
+def test_verdicts_and_grades(spark):
+    got = values(spark, "k long, n long", [(4, 4), (2, 4), (1, 4), (0, 0)], resample.verdict(F.col("k"), F.col("n")))
+    assert [x for (x,) in got] == ["highly_robust", "moderately_robust", "not_robust", "highly_robust"]
+    s, g = resample.risk_grade(*(F.col(k) for k in "abcde"))
+    got = values(spark, "a double, b double, c double, d double, e double", [(1.5, 10.0, -5.0, 0.8, 0.1), (0.7, 30.0, -15.0, 0.6, 0.4), (0.0, 50.0, -50.0, 0.1, 1.0), (1.5, 30.0, -15.0, 0.6, 0.4)], s, g)
+    assert got == [(10, "excellent"), (5, "moderate"), (0, "poor"), (6, "good")]
+
+
+def test_volatility_bins_and_performance(spark):
+    n = 100
+    rng = random.Random(1)
+    rows = [("A", "daily", DAY + d.timedelta(days=i), rng.gauss(0, 0.01 + 0.0002 * i)) for i in range(n)]
+    x = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp, ret double")
+    got = [r["vol_bin"] for r in regimes.volatility_bins(x).orderBy("ts").collect()]
+    vol = pd.Series([r[3] for r in rows]).rolling(60).std()
+    want = pd.cut(vol, bins=vol.quantile([0, 0.33, 0.67, 1.0]), labels=range(3), include_lowest=True)
+    assert [None if pd.isna(w) else int(w) for w in want] == got
+    p = regimes.by_regime(x.withColumn("label", F.lit("one")), "label").first()
+    ret = pd.Series([r[3] for r in rows])
+    assert (p["n"], p["sharpe"]) == (n, pytest.approx(ret.mean() / ret.std()))
+
+
+def test_details_of_checks_and_the_bar_count(spark):
+    def run(n):
+        closes = [100.0 + (i % 2) for i in range(n - 1)] + [300.0]
+        rows = [("A", "daily", DAY + d.timedelta(days=i if i < 5 else i + 3), c, c, c, c, None if i == 0 else 1.0) for i, c in enumerate(closes)]
+        df = spark.createDataFrame(rows, "symbol string, tf string, ts timestamp, open double, high double, low double, close double, volume double")
+        return {r["check_name"]: r for r in checks.suite(df).collect()}, pd.Series(closes).pct_change().dropna()
+
+    got, ret = run(30)  # 30 bars are 29 returns
+    z = (ret - ret.mean()).abs() / ret.std()
+    assert (got["no_statistical_outliers"]["n"], got["no_statistical_outliers"]["detail"]) == (int((z > 5).sum()), pytest.approx(z.max())) and (z > 5).any()
+    assert got["no_nulls_volume"]["detail"] == pytest.approx(100 / 30) and got["no_extreme_moves_close"]["detail"] == pytest.approx(ret.abs().max())
+    assert got["no_unexpected_gaps"]["detail"] == 4 * 86400
+    assert run(29)[0]["no_statistical_outliers"]["n"] == 0
+
+
+def test_few_returns_are_not_degraded(spark):
+    x = spark.createDataFrame([("A", DAY + d.timedelta(days=i), 0.01 if i < 50 else -0.01 - i * 1e-5) for i in range(62)], "symbol string, ts timestamp, ret double")
+    r = monitor.sharpe_decay(x, ["symbol"]).first()
+    assert (r["recent"], r["degraded"]) == (0.0, False)
+
+
+def test_an_append_is_whole_or_not_there(spark, tmp_path):
+    t = AppendTable(spark, f"{tmp_path}/t", "a long")
+    assert t.read().count() == 0
+    t.append(spark.range(3).withColumnRenamed("id", "a"))
+    name = t.stage(spark.range(5).withColumnRenamed("id", "a"))  # a failure between the two steps
+    assert t.read().count() == 3
+    t.commit(name)
+    assert t.read().count() == 8
+    assert search.append_results(spark.range(2).withColumnRenamed("id", "a"), f"{tmp_path}/t").count() == 10
+
+
+def test_a_version_without_its_commit_is_not_read(spark, tmp_path, monkeypatch):
+    bars = lambda n: spark.createDataFrame([("A", "daily", DAY + d.timedelta(days=i), 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(n)], "symbol string, tf string, ts timestamp, open double, high double, low double, close double, volume double")
+    s = VersionedStore(spark, str(tmp_path))
+    v = s.write(bars(2))
+    monkeypatch.setattr(AppendTable, "commit", lambda self, name: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        s.write(bars(5))
+    assert s.read().count() == 2 and s.versions().count() == 1 and s.read(version=v).count() == 2 and all(r["intact"] for r in s.integrity().collect())
+
+
+def test_grouped_features_do_not_hang_on_their_groups(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([("A", "daily", DAY + d.timedelta(days=i), rng.random()) for i in range(50)], "symbol string, tf string, ts timestamp, close double")
+    run = lambda rows: [r["m"] for r in features.grouped_feature(df, "m", lambda g: g["close"].rolling(4, min_periods=1).max(), 3, rows).orderBy("ts").collect()]
+    assert run(1000) == run(7) == run(4) and len(run(7)) == 50
+    with pytest.raises(ValueError, match="longer"):
+        run(3)
