@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def reliability(x: DataFrame, bins: int = 10) -> DataFrame:
     """Per bin of p: n, mean p, mean y, and for all bins Brier score, ECE, MCE and whether that is calibrated.
@@ -59,16 +61,24 @@ def training_frame(detected: DataFrame, horizon: int = 5, least: int = 100) -> D
     return x.select("symbol", "ts", "regime", "label", "train", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*FEATURES, *one_hot)))
 
 
-def fit_regime_model(frame: DataFrame, kind: str = "forest", trees: int = 100, depth: int = 10, seed: int = 42):
-    """A fitted pipeline: indexed label, scaled features, random forest or boosted trees one against the rest."""
+#: Boosted trees: rounds, depth and rate of learning (fixed values).
+ROUNDS, BOOST_DEPTH, RATE = 100, 6, 0.1
+
+
+def fit_regime_model(frame: DataFrame, kind: str = "forest", trees: int = 100, depth: int = 10, seed: int = 42, rows: int = 100_000):
+    """A fitted pipeline: indexed label, scaled features, and a random forest of ``trees`` trees, or boosted trees of ROUNDS rounds,
+    one ensemble against the rest for each label, side by side. A round is a few short jobs, so the rows are first gathered
+    into partitions of about ``rows``.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 
     names = [c for c in frame.columns if c not in ("symbol", "ts", "regime", "label", "train")]
-    model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed) if kind == "forest" else OneVsRest(classifier=GBTClassifier(maxIter=max(2, trees // 10), maxDepth=min(depth, 5), seed=seed), labelCol="y", featuresCol="x")
+    model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed) if kind == "forest" else OneVsRest(classifier=GBTClassifier(maxIter=ROUNDS, maxDepth=BOOST_DEPTH, stepSize=RATE, seed=seed).setRawPredictionCol("margins"), labelCol="y", featuresCol="x", parallelism=5, rawPredictionCol="margins")
     stages = [StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]
-    return Pipeline(stages=stages).fit(frame.filter("train"))
+    train = cut(frame.filter("train"))
+    return Pipeline(stages=stages).fit(train.coalesce(max(1, -(-train.count() // rows))))
 
 
 def forecast(model, rows: DataFrame) -> DataFrame:
@@ -78,16 +88,21 @@ def forecast(model, rows: DataFrame) -> DataFrame:
     labels = model.stages[0].labels
     out = model.transform(rows)
     name = F.element_at(F.array(*map(F.lit, labels)), F.col("prediction").cast("int") + 1)
-    if "probability" not in out.columns:  # one against the rest has no probabilities of its own
-        return out.select("symbol", "ts", "label", name.alias("predicted"), F.lit(None).cast("double").alias("confidence"))
-    p = vector_to_array("probability")
+    if "margins" in out.columns:  # one against the rest has margins only: their softmax
+        out = out.withColumn("_m", vector_to_array("margins")).withColumn("_e", F.transform("_m", lambda x: F.exp(x - F.array_max("_m"))))
+        p = F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b))
+    else:
+        p = vector_to_array("probability")
+    out = out.withColumn("_p", p)
+    p = F.col("_p")
     return out.select("symbol", "ts", "label", name.alias("predicted"), F.array_max(p).alias("confidence"), *(p[k].alias(f"p_{x}") for k, x in enumerate(labels)))
 
 
 def importances(model, spark, top: int = 10) -> DataFrame:
-    """(rank, feature, importance): the features that a fitted forest leans on most."""
-    names = model.stages[1].getInputCols()
-    rows = sorted(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=True), key=lambda r: (-r[1], r[0]))
+    """(rank, feature, importance): the features that a fitted forest leans on most; of boosted trees the mean over the labels."""
+    names, last = model.stages[1].getInputCols(), model.stages[-1]
+    parts = [m.featureImportances.toArray() for m in getattr(last, "models", [last])]
+    rows = sorted(zip(names, (float(sum(x) / len(parts)) for x in zip(*parts, strict=True)), strict=True), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(k + 1, n, v) for k, (n, v) in enumerate(rows[:top])], "rank int, feature string, importance double")
 
 

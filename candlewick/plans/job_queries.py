@@ -116,12 +116,22 @@ def r15_importances(spark, sf_dir):
     return calibration.importances(model, spark)
 
 
+def _boosted(spark, sf_dir):
+    frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
+    return frame, calibration.fit_regime_model(frame, "boosted")
+
+
 @query()
 def r14_boosted(spark, sf_dir):
-    """Boosted trees, one against the rest; accuracy on the last 20 per cent by symbol."""
-    frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
-    f = calibration.forecast(calibration.fit_regime_model(frame, "boosted"), frame.filter("NOT train"))
-    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    """Boosted trees, 100 rounds of depth 6 at rate 0.1, one ensemble against the rest for each label; on the last 20 per
+    cent by symbol the accuracy, the mean confidence, and the mean logarithm of the probability of what came.
+    """
+    frame, model = _boosted(spark, sf_dir)
+    f = calibration.forecast(model, frame.filter("NOT train"))
+    of = F.lit(None).cast("double")
+    for k in model.stages[0].labels:
+        of = F.when(F.col("label") == k, F.col(f"p_{k}")).otherwise(of)
+    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg("confidence").alias("confidence"), F.avg(F.ln(F.greatest(of, F.lit(1e-12)))).alias("log_likelihood"))
 
 
 @query()
