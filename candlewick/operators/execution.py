@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import Z95, Z99, div, running
+from ..functions.exprs import Z95, Z99, div, draw, running
 
 #: Impact model (fixed values): permanent and temporary coefficient, exponent.
 GAMMA, ETA, POWER = 0.1, 0.01, 0.6
@@ -116,24 +116,30 @@ def route(orders: DataFrame, volumes: DataFrame) -> DataFrame:
 def next_bar(children: DataFrame, bars: DataFrame) -> DataFrame:
     """Each child order with the first bar at or after its time, else the symbol's last bar.
 
-    Both sides are one stream by falling time, bars before orders at equal times, and each order takes the last bar
-    seen: one sort and one running value a symbol, no range join.
+    Bars and orders of a symbol's day are one stream by falling time, bars before orders at equal times, and each order takes
+    the last bar seen. An order after its day's last bar takes the first bar of the next day that has one, which is found
+    over the days, a row each. So no task holds more of a symbol than a day, and there is no range join.
     """
-    bar = F.struct("ts", "open", "high", "low", "close")
-    b = bars.select("symbol", "ts", F.lit(1).alias("_k"), bar.alias("_bar"))
-    o = children.withColumn("_o", F.struct(*children.columns)).select("symbol", "ts", F.lit(0).alias("_k"), "_o")
-    w = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    both = b.unionByName(o, allowMissingColumns=True).withColumn("_next", F.last("_bar", ignorenulls=True).over(w))
+    bar, day = F.struct("ts", "open", "high", "low", "close"), F.to_date("ts").alias("_d")
+    b = bars.select("symbol", "ts", day, F.lit(1).alias("_k"), bar.alias("_bar"))
+    o = children.withColumn("_o", F.struct(*children.columns)).select("symbol", "ts", day, F.lit(0).alias("_k"), "_o")
+    w = Window.partitionBy("symbol", "_d").orderBy(F.desc("ts"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    both = b.unionByName(o, allowMissingColumns=True).withColumn("_next", F.last("_bar", ignorenulls=True).over(w)).filter("_k = 0")
+    days = b.groupBy("symbol", "_d").agg(F.min_by("_bar", "ts").alias("_first")).unionByName(o.select("symbol", "_d").distinct(), allowMissingColumns=True)
+    days = days.groupBy("symbol", "_d").agg(F.max("_first").alias("_first"))
+    later = Window.partitionBy("symbol").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_later", F.last("_first", ignorenulls=True).over(later)).drop("_first")
     last = bars.groupBy("symbol").agg(F.max_by(bar, "ts").alias("_last"))
-    x = both.filter("_k = 0").join(last, "symbol", "left").select("_o.*", F.coalesce("_next", "_last").alias("bar"))
-    return x
+    return both.join(days, ["symbol", "_d"]).join(last, "symbol", "left").select("_o.*", F.coalesce("_next", "_later", "_last").alias("bar"))
 
 
 def fill(matched: DataFrame, spread_bps: float = 5.0, probability: float = 0.95, seed: int = 7) -> DataFrame:
-    """Fills of orders matched to bars: market at close with half the spread, limit if touched and lucky."""
+    """Fills of orders matched to bars: market at close with half the spread, limit if touched and lucky. Luck is a draw by
+    parent and slice, the same in any engine.
+    """
     half = spread_bps / 2 / 10000
     buy = F.col("side") == "buy"
-    luck = F.pmod(F.xxhash64(F.lit(seed), "parent_id", "slice"), F.lit(10000)) < probability * 10000
+    luck = F.pmod(draw(seed, F.col("parent_id"), F.col("slice")), F.lit(10000)) < round(probability * 10000)
     limit = F.when(buy & (F.col("bar.low") <= F.col("limit_price")) & luck, F.least("limit_price", "bar.open")).when(~buy & (F.col("bar.high") >= F.col("limit_price")) & luck, F.greatest("limit_price", "bar.open"))
     price = F.when(F.col("order_type") == "market", F.col("bar.close") * F.when(buy, 1 + half).otherwise(1 - half)).otherwise(limit)
     return matched.withColumn("fill_price", price)

@@ -9,7 +9,7 @@ from ..operators import execution as X
 from ..operators import monitor as M
 from ..sources import bars as B
 from .market import rounded
-from .registry import DAILY, W, query, roll
+from .registry import DAILY, W, draw_sql, query, roll
 
 TRADES = "WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS size, l_extendedprice / l_quantity AS price, l_discount AS sigma, 1000.0 + l_partkey % 500 AS adv, 1.0 + l_linenumber AS minutes, CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side FROM lineitem)"
 
@@ -74,14 +74,14 @@ def x08_x11_child_orders(spark, sf_dir):
 @query(CHILD + """, hb AS (SELECT symbol, ts, open, high, low, close FROM (SELECT event_type AS symbol, date_trunc('hour', e.ts) AS ts, first(value ORDER BY e.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY e.ts, event_id) AS close FROM events e GROUP BY 1, 2)),
 la AS (SELECT symbol, max(ts) AS mt FROM hb GROUP BY symbol), fi AS (SELECT symbol, first(close ORDER BY ts) AS fc FROM hb GROUP BY symbol),
 ma AS (SELECT ch.*, coalesce((SELECT min(hb.ts) FROM hb WHERE hb.symbol = ch.symbol AND hb.ts >= ch.ts), mt) AS bt FROM ch JOIN la USING (symbol)),
-fl AS (SELECT ma.*, CASE WHEN order_type = 'market' THEN hb.close * CASE WHEN side = 'buy' THEN 1.00025 ELSE 0.99975 END WHEN side = 'buy' AND hb.low <= limit_price THEN least(limit_price, hb.open) WHEN side = 'sell' AND hb.high >= limit_price THEN greatest(limit_price, hb.open) END AS px FROM ma JOIN hb ON ma.symbol = hb.symbol AND bt = hb.ts),
+fl AS (SELECT ma.*, CASE WHEN order_type = 'market' THEN hb.close * CASE WHEN side = 'buy' THEN 1.00025 ELSE 0.99975 END WHEN LUCK AND side = 'buy' AND hb.low <= limit_price THEN least(limit_price, hb.open) WHEN LUCK AND side = 'sell' AND hb.high >= limit_price THEN greatest(limit_price, hb.open) END AS px FROM ma JOIN hb ON ma.symbol = hb.symbol AND bt = hb.ts),
 a AS (SELECT parent_id, symbol, side, sum(qty) FILTER (px IS NOT NULL) AS filled, sum(qty * px) AS v, sum(qty) AS q FROM fl GROUP BY ALL)
-SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 9) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""")
+SELECT parent_id, symbol, round(coalesce(filled, 0), 6) AS filled, round(v / filled, 9) AS avg_price, round(coalesce(filled / nullif(q, 0), 0), 6) AS fill_rate, round(10000 * CASE WHEN side = 'buy' THEN (v / filled - fc) / fc ELSE (fc - v / filled) / fc END, 4) AS slippage_bps FROM a JOIN fi USING (symbol)""".replace("LUCK", draw_sql(7, "slice", "parent_id") + " % 10000 < 9500"))
 def x12_x13_fills(spark, sf_dir):
-    """First bar at or after each child order, fills (all touched limits fill), statistics by parent."""
+    """First bar at or after each child order, fills (19 of 20 touched limits fill), statistics by parent."""
     bars = B.intraday_bars(spark, sf_dir, "hourly")
     kids = X.route(parents(spark, sf_dir), volumes(spark, sf_dir))
-    f = X.fill(X.next_bar(kids, bars), probability=1.0)
+    f = X.fill(X.next_bar(kids, bars))
     return rounded(X.fill_stats(f, bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("first_close"))), slippage_bps=4, avg_price=9)
 
 

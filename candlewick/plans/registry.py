@@ -30,6 +30,13 @@ def roll(agg: str, x: str, n: int, by: str = "symbol", gate: int | None = None)
     return f"CASE WHEN count({x}) {w} = {n if gate is None else gate} THEN {agg}({x}) {w} END"
 
 
+def draw_sql(seed: int, slot: str = "slot", sim: str = "sim") -> str:
+    """SQL of the repeatable draw."""
+    x = f"((({seed}::BIGINT * 1103515245 + {sim}::BIGINT * 1664525 + ({slot})::BIGINT * 22695477) % 2147483647))"
+    y = f"(({x} * {x} + 12345) % 2147483647)"
+    return f"(({y} * {y} + {x} + 67891) % 2147483647)"
+
+
 #: SQL of the daily bars, and of the bars of ticks; each begins a WITH list.
 DAILY = """WITH tick AS (
   SELECT p_brand AS symbol, l_shipdate AS ts, l_extendedprice / l_quantity AS price, l_quantity AS qty,

@@ -10,7 +10,7 @@ from ..operators import search as X
 from ..operators import signals
 from ..sources import bars as B
 from .market import _cdf, rounded, rule
-from .registry import DAILY, RSI_RULE, W, intraday, query, roll
+from .registry import DAILY, RSI_RULE, W, draw_sql, intraday, query, roll
 
 LENGTHS = [7, 14]
 
@@ -298,22 +298,16 @@ def b10_adequacy(spark, sf_dir):
     return X.adequacy(B.daily_bars(spark, sf_dir))
 
 
-def _draw(seed: int, slot: str = "slot", sim: str = "sim") -> str:
-    x = f"((({seed}::BIGINT * 1103515245 + {sim}::BIGINT * 1664525 + ({slot})::BIGINT * 22695477) % 2147483647))"
-    y = f"(({x} * {x} + 12345) % 2147483647)"
-    return f"(({y} * {y} + {x} + 67891) % 2147483647)"
-
-
 SIMS = 1000
 BASE = RSI_RULE + """, base AS (SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY trade_id) - 1 AS INT) AS idx, count(*) OVER (PARTITION BY symbol) AS n, 100 * (f - 1) AS x FROM filled WHERE ends)"""
 SLOTS = f""", sl AS (SELECT DISTINCT symbol, n, sim, slot FROM base, range({SIMS}) AS a(sim), LATERAL (SELECT unnest(range(n)) AS slot))"""
 PICK = {
-    "iid": f"pk AS (SELECT *, {_draw(7)} % n AS idx FROM sl)",
-    "block": f"pk AS (SELECT *, least({_draw(7, 'slot // 5')} % greatest(n - 4, 1) + slot % 5, n - 1) AS idx FROM sl)",
-    "stationary": f"""p0 AS (SELECT *, slot = 0 OR {_draw(8)} % 10 = 0 AS nw, {_draw(7)} % n AS st FROM sl),
+    "iid": f"pk AS (SELECT *, {draw_sql(7)} % n AS idx FROM sl)",
+    "block": f"pk AS (SELECT *, least({draw_sql(7, 'slot // 5')} % greatest(n - 4, 1) + slot % 5, n - 1) AS idx FROM sl)",
+    "stationary": f"""p0 AS (SELECT *, slot = 0 OR {draw_sql(8)} % 10 = 0 AS nw, {draw_sql(7)} % n AS st FROM sl),
 p1 AS (SELECT *, max(CASE WHEN nw THEN slot END) OVER wq AS at0, last_value(CASE WHEN nw THEN st END IGNORE NULLS) OVER wq AS s0 FROM p0 WINDOW wq AS (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING)),
 pk AS (SELECT *, (s0 + slot - at0) % n AS idx FROM p1)""",
-    "permutation": f"p0 AS (SELECT *, {_draw(7)} AS dr FROM sl), pk AS (SELECT *, row_number() OVER (PARTITION BY symbol, sim ORDER BY dr, slot) - 1 AS idx FROM p0)",
+    "permutation": f"p0 AS (SELECT *, {draw_sql(7)} AS dr FROM sl), pk AS (SELECT *, row_number() OVER (PARTITION BY symbol, sim ORDER BY dr, slot) - 1 AS idx FROM p0)",
 }
 PATHS = """, sx AS (SELECT pk.symbol, pk.sim, pk.slot, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx),
 pe AS (SELECT *, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9))) OVER (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING)) AS equity FROM sx),
@@ -391,7 +385,7 @@ def b15_shuffle(spark, sf_dir):
     return rounded(a, 3, dd_std=4, p_profit=4, range_mean=5)
 
 
-@query(BASE + SLOTS + f""", sx AS (SELECT sl.symbol, sim, CASE WHEN {_draw(7)} % 2 = 0 THEN x ELSE -x END AS x FROM sl JOIN base ON sl.symbol = base.symbol AND sl.slot = base.idx), sm AS (SELECT symbol, sim, avg(x) AS m FROM sx GROUP BY ALL),
+@query(BASE + SLOTS + f""", sx AS (SELECT sl.symbol, sim, CASE WHEN {draw_sql(7)} % 2 = 0 THEN x ELSE -x END AS x FROM sl JOIN base ON sl.symbol = base.symbol AND sl.slot = base.idx), sm AS (SELECT symbol, sim, avg(x) AS m FROM sx GROUP BY ALL),
 so AS (SELECT symbol, avg(x) AS o FROM base GROUP BY symbol) SELECT symbol, round(any_value(o), 4) AS observed, round(avg((abs(m) >= abs(o) - 1e-9)::INT::DOUBLE), 4) AS p FROM sm JOIN so USING (symbol) GROUP BY symbol""")
 def b14_sign_flip(spark, sf_dir):
     b = base(spark, sf_dir)
@@ -400,7 +394,7 @@ def b14_sign_flip(spark, sf_dir):
 
 
 @query(BASE + SLOTS + f""", mo AS (SELECT symbol, avg(x) AS m, coalesce(stddev_samp(x), 0) AS s FROM base GROUP BY symbol),
-sx AS (SELECT sl.symbol, sim, slot, m + s * sqrt(-2 * ln(({_draw(7)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({_draw(8)} + 1) / 2147483648.0::DOUBLE)) AS x FROM sl JOIN mo USING (symbol))
+sx AS (SELECT sl.symbol, sim, slot, m + s * sqrt(-2 * ln(({draw_sql(7)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({draw_sql(8)} + 1) / 2147483648.0::DOUBLE)) AS x FROM sl JOIN mo USING (symbol))
 SELECT symbol, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd FROM sx GROUP BY symbol""")
 def b16_normal(spark, sf_dir):
     return rounded(S.normal(base(spark, sf_dir), SIMS).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")), 4)
@@ -431,7 +425,7 @@ def b21_shape(spark, sf_dir):
 
 
 RATIO = "CASE WHEN sd > 0 THEN least(greatest(mean / sd * sqrt(252), -5), 10) END"
-MEASURES = f", iv AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY sim) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, 100 * (fe / 1000 - 1) AS ret, {RATIO} AS sharpe, -mdd AS drawdown, win_rate FROM pm), rs AS (SELECT DISTINCT symbol, n, r FROM iv, range(1000) AS t(r)), dw AS (SELECT symbol, r, {_draw(9, 'j', 'r')} % n AS k FROM rs, LATERAL (SELECT unnest(range(n)) AS j)), mn AS (SELECT symbol, r, avg(ret) AS ret, avg(sharpe) AS sharpe, avg(drawdown) AS drawdown, avg(win_rate) AS win_rate FROM dw JOIN iv USING (symbol, k) GROUP BY ALL)"
+MEASURES = f", iv AS MATERIALIZED (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY sim) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n, 100 * (fe / 1000 - 1) AS ret, {RATIO} AS sharpe, -mdd AS drawdown, win_rate FROM pm), rs AS (SELECT DISTINCT symbol, n, r FROM iv, range(1000) AS t(r)), dw AS (SELECT symbol, r, {draw_sql(9, 'j', 'r')} % n AS k FROM rs, LATERAL (SELECT unnest(range(n)) AS j)), mn AS (SELECT symbol, r, avg(ret) AS ret, avg(sharpe) AS sharpe, avg(drawdown) AS drawdown, avg(win_rate) AS win_rate FROM dw JOIN iv USING (symbol, k) GROUP BY ALL)"
 
 
 def measures(sims):

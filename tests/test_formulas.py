@@ -292,3 +292,50 @@ def test_grouped_features_do_not_hang_on_their_groups(spark):
     assert run(1000) == run(7) == run(4) and len(run(7)) == 50
     with pytest.raises(ValueError, match="longer"):
         run(3)
+
+
+def test_next_bar_looks_into_later_days(spark):
+    bar = lambda t: ("A", t, 1.0, 1.0, 1.0, float(t.day * 100 + t.hour))
+    times = [DAY.replace(hour=9), DAY.replace(hour=15), DAY + d.timedelta(days=3, hours=9)]
+    bars = spark.createDataFrame([bar(t) for t in times], "symbol string, ts timestamp, open double, high double, low double, close double")
+    asked = [DAY, DAY.replace(hour=9), DAY.replace(hour=10), DAY.replace(hour=16), DAY + d.timedelta(days=1), DAY + d.timedelta(days=9)]
+    o = spark.createDataFrame([("A", t, k) for k, t in enumerate(asked)] + [("B", DAY, 9)], "symbol string, ts timestamp, parent_id long")
+    got = {r["parent_id"]: r["bar"] and r["bar"]["ts"] for r in execution.next_bar(o, bars).collect()}
+    assert got == {0: times[0], 1: times[0], 2: times[1], 3: times[2], 4: times[2], 5: times[2], 9: None}
+
+
+def test_isotonic_equals_pooled_violators(spark):
+    """Adjacent groups whose means fall are pooled until none do."""
+    rng = random.Random(3)
+    x = [(round(rng.random(), 2), float(rng.random() < 0.5)) for _ in range(60)]
+    groups = []
+    for p in sorted({p for p, _ in x}):
+        ys = [y for q, y in x if q == p]
+        groups.append([p, p, sum(ys), len(ys)])
+        while len(groups) > 1 and groups[-2][2] / groups[-2][3] >= groups[-1][2] / groups[-1][3]:
+            low, high = groups[-2], groups.pop()
+            groups[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(featuresCol="p", labelCol="y").fit(spark.createDataFrame(x, "p double, y double"))
+    want = {p: s / n for low, high, s, n in groups for p, _ in x if low <= p <= high}
+    got = {r["p"]: r["prediction"] for r in model.transform(spark.createDataFrame(x, "p double, y double")).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_boosted_probabilities(spark, monkeypatch):
+    from candlewick.operators import calibration
+
+    monkeypatch.setattr(calibration, "ROUNDS", 3)
+    rng = random.Random(5)
+    rows = []
+    for i in range(150):
+        a, b = rng.random(), rng.random()
+        rows.append(("A", DAY + d.timedelta(days=i), "bull", "bull" if a > 0.6 else "bear" if b > 0.5 else "crisis", i < 120, a, b))
+    frame = spark.createDataFrame(rows, "symbol string, ts timestamp, regime string, label string, train boolean, a double, b double")
+    model = calibration.fit_regime_model(frame, "boosted")
+    out = calibration.forecast(model, frame).collect()
+    assert all(r["p_bull"] + r["p_bear"] + r["p_crisis"] == pytest.approx(1) and r["confidence"] == max(r["p_bull"], r["p_bear"], r["p_crisis"]) for r in out)
+    assert all(r["confidence"] == r[f"p_{r['predicted']}"] for r in out) and sum(r["predicted"] == r["label"] for r in out) > 140
+    top = calibration.importances(model, spark).collect()
+    assert {r["feature"] for r in top} == {"a", "b"} and sum(r["importance"] for r in top) == pytest.approx(1)
