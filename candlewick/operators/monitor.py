@@ -173,12 +173,22 @@ def run_artifacts(events: DataFrame) -> DataFrame:
     return events.filter("kind = 'artifact'").groupBy("run_id", "name").agg(F.max_by("text", "ts").alias("text"))
 
 
-def compare_runs(rows: DataFrame, names: list[str], prefix: str, value: str = "value") -> DataFrame:
-    """A row a run, a column for each name: ``rows`` is (run_id, name, value)."""
-    return rows.groupBy("run_id").pivot("name", names).agg(F.first(value)).select("run_id", *(F.col(n).alias(f"{prefix}_{n}") for n in names))
+#: Columns that a comparison of runs may have.
+MOST_NAMES = 10_000
 
 
-def comparison(events: DataFrame, params: list[str], metrics: list[str]) -> DataFrame:
+def compare_runs(rows: DataFrame, names: list[str] | None, prefix: str, value: str = "value") -> DataFrame:
+    """A row a run, a column for each name: ``rows`` is (run_id, name, value). Without names all that occur are taken, in order."""
+    if names is None:
+        names = [r["name"] for r in rows.filter("name IS NOT NULL").select("name").distinct().orderBy("name").limit(MOST_NAMES + 1).collect()]
+        if len(names) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} names; choose some")
+    if not names:
+        return rows.select("run_id").distinct()
+    return rows.groupBy("run_id").pivot("name", names).agg(F.first(value)).select("run_id", *(F.col(f"`{n}`").alias(f"{prefix}_{n}") for n in names))
+
+
+def comparison(events: DataFrame, params: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
     """The runs side by side: param_<name> and the last metric_<name>."""
     p = compare_runs(run_params(events), params, "param", "text")
     return p.join(compare_runs(last_metrics(run_metrics(events)), metrics, "metric"), "run_id", "full")

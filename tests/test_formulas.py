@@ -339,3 +339,11 @@ def test_boosted_probabilities(spark, monkeypatch):
     assert all(r["confidence"] == r[f"p_{r['predicted']}"] for r in out) and sum(r["predicted"] == r["label"] for r in out) > 140
     top = calibration.importances(model, spark).collect()
     assert {r["feature"] for r in top} == {"a", "b"} and sum(r["importance"] for r in top) == pytest.approx(1)
+
+
+def test_runs_are_compared_by_the_names_that_occur(spark):
+    rows = spark.createDataFrame([(1, "b.c", 2.0), (1, "a", 1.0), (2, "a", 3.0), (2, None, 9.0)], "run_id long, name string, value double")
+    got = monitor.compare_runs(rows, None, "metric")
+    assert got.columns == ["run_id", "metric_a", "metric_b.c"]
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, 2.0), (2, 3.0, None)]
+    assert monitor.compare_runs(rows.limit(0), None, "metric").columns == ["run_id"]
