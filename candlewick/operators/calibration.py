@@ -49,15 +49,25 @@ def platt(x: DataFrame, p: str = "p", y: str = "y", fit_on: str = "true") -> Dat
 FEATURES = ["p_bull", "p_bear", "p_high_volatility", "p_low_volatility", "p_crisis", "confidence", "duration_scaled", "stay", "realized_vol", "ret_20", "skew", "kurt", "vs_fast", "vs_slow", "rsi", "drawdown"]
 
 
-def training_frame(detected: DataFrame, horizon: int = 5, least: int = 100) -> DataFrame:
-    """Predictor features of a detected table with the label ``horizon`` bars ahead; symbols of at least ``least`` rows."""
+def training_frame(detected: DataFrame, horizon: int = 5, least: int = 100, warm: int = 200) -> DataFrame:
+    """Predictor features of a detected table with the label ``horizon`` bars ahead, after the first ``warm`` bars, of symbols that have
+    at least ``least`` such rows; the first 80 per cent of them are for training.
+
+    Two features are not the detector's: ``ret_20`` is the mean of 20 returns times 252, ``rsi`` (0 to 1) is over the last 14 returns.
+    """
     from pyspark.sql import Window
 
-    from ..functions.exprs import over
+    from ..functions.exprs import frame, over
 
-    x = detected.withColumns({"label": F.lead("regime", horizon).over(over("symbol")), "duration_scaled": F.col("duration") / 100.0, "_n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    r, last = F.col("ret"), frame(14, "symbol")
+    gain, loss = (F.coalesce(F.sum(F.when(k, r)).over(last), F.lit(0.0)) for k in (r > 0, r < 0))
+    x = detected.withColumns({
+        "label": F.lead("regime", horizon).over(over("symbol")), "duration_scaled": F.col("duration") / 100.0,
+        "ret_20": F.avg("ret").over(frame(20, "symbol")) * 252, "rsi": 1 - 1 / (1 + gain / (F.abs(loss) + 1e-10)),
+    }).filter((F.col("i") > warm) & F.col("label").isNotNull())
+    x = x.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "_k": F.row_number().over(over("symbol"))})
     one_hot = {f"is_{k}": (F.col("regime") == k).cast("double") for k in ("bull", "bear", "high_volatility", "low_volatility", "crisis")}
-    x = x.withColumns(one_hot | {"train": F.col("i") <= 0.8 * F.col("_n")}).filter((F.col("_n") >= least) & F.col("label").isNotNull())
+    x = x.withColumns(one_hot | {"train": F.col("_k") <= F.floor(0.8 * F.col("_n"))}).filter(F.col("_n") >= least)
     return x.select("symbol", "ts", "regime", "label", "train", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*FEATURES, *one_hot)))
 
 
@@ -78,7 +88,10 @@ def fit_regime_model(frame: DataFrame, kind: str = "forest", trees: int = 100, d
     model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, maxDepth=depth, seed=seed) if kind == "forest" else OneVsRest(classifier=GBTClassifier(maxIter=ROUNDS, maxDepth=BOOST_DEPTH, stepSize=RATE, seed=seed).setRawPredictionCol("margins"), labelCol="y", featuresCol="x", parallelism=5, rawPredictionCol="margins")
     stages = [StringIndexer(inputCol="label", outputCol="y", handleInvalid="keep"), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), model]
     train = cut(frame.filter("train"))
-    return Pipeline(stages=stages).fit(train.coalesce(max(1, -(-train.count() // rows))))
+    n = train.count()
+    if n == 0:
+        raise ValueError("no symbol has enough rows to fit a model")
+    return Pipeline(stages=stages).fit(train.coalesce(-(-n // rows)))
 
 
 def forecast(model, rows: DataFrame) -> DataFrame:

@@ -47,12 +47,14 @@ def trade_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def engine_metrics(equity: DataFrame, keys: list[str], year: float = 252.0) -> DataFrame:
-    """Total and yearly return, volatility, Sharpe as yearly return by volatility, worst drawdown."""
+    """Total return, yearly return (a year is ``year`` points of equity), volatility, Sharpe as yearly return by volatility (0 without
+    any), worst drawdown.
+    """
     x = equity_returns(equity, keys)
-    a = x.groupBy(*keys).agg(F.count("ret").alias("n"), F.min_by("equity", "ts").alias("_a"), F.max_by("equity", "ts").alias("_b"), (F.stddev_samp("ret") * math.sqrt(year)).alias("volatility"), F.min("drawdown").alias("max_drawdown"))
+    a = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min_by("equity", "ts").alias("_a"), F.max_by("equity", "ts").alias("_b"), (F.stddev_samp("ret") * math.sqrt(year)).alias("volatility"), F.min("drawdown").alias("max_drawdown"))
     total = F.col("_b") / F.col("_a") - 1
-    annual = F.when((F.col("n") > 0) & (F.col("_b") > 0), F.pow(F.col("_b") / F.col("_a"), year / F.col("n")) - 1)
-    return a.select(*keys, total.alias("total_return"), annual.alias("annual_return"), "volatility", F.when(F.col("volatility") > 0, annual / F.col("volatility")).alias("sharpe"), "max_drawdown")
+    annual = F.when(F.col("_b") > 0, F.pow(F.col("_b") / F.col("_a"), year / F.col("n")) - 1)
+    return a.select(*keys, total.alias("total_return"), annual.alias("annual_return"), "volatility", F.when(F.col("volatility") > 0, annual / F.col("volatility")).otherwise(0.0).alias("sharpe"), "max_drawdown")
 
 
 def moments(returns: DataFrame, keys: list[str], x: str = "ret") -> DataFrame:
@@ -120,13 +122,14 @@ def composite(psr: Column, pbo: Column, turn: Column, drawdown: Column, trades:
 
 
 def episodes(equity: DataFrame, keys: list[str], least: float = 0.01) -> DataFrame:
-    """Drawdown episodes deeper than ``least``: start, trough, length in bars, bars from trough to recovery (NULL if open)."""
+    """Drawdown episodes, stretches of bars more than ``least`` below the peak: start, depth, length in bars, bars from the first deepest
+    one to the end of the stretch (of the series, if it is open).
+    """
     w, run = over(*keys), running(*keys)
-    x = equity_returns(equity, keys).withColumn("_i", F.row_number().over(w)).withColumn("_under", F.col("drawdown") < 0)
+    x = equity_returns(equity, keys).withColumn("_i", F.row_number().over(w)).withColumn("_under", F.col("drawdown") < -least)
     x = x.withColumn("_start", F.col("_under") & ~F.coalesce(F.lag("_under").over(w), F.lit(False))).withColumn("episode", F.sum(F.col("_start").cast("long")).over(run))
-    x = x.withColumn("_more", F.lead(F.lit(1)).over(w).isNotNull())
-    e = x.filter("_under").groupBy(*keys, "episode").agg(F.min("ts").alias("start_ts"), F.min("drawdown").alias("depth"), F.min_by("_i", F.struct("drawdown", "_i")).alias("_trough"), F.max("_i").alias("_end"), F.min("_i").alias("_first"), F.max_by("_more", "_i").alias("_healed"))
-    return e.filter(F.col("depth") < -least).select(*keys, "episode", "start_ts", "depth", (F.col("_end") - F.col("_first") + 1).cast("long").alias("length"), F.when(F.col("_healed"), F.col("_end") + 1 - F.col("_trough")).cast("long").alias("recovery"))
+    e = x.filter("_under").groupBy(*keys, "episode").agg(F.min("ts").alias("start_ts"), F.min("drawdown").alias("depth"), F.min_by("_i", F.struct("drawdown", "_i")).alias("_trough"), F.max("_i").alias("_end"), F.count(F.lit(1)).alias("length"))
+    return e.select(*keys, "episode", "start_ts", "depth", "length", (F.col("_end") + 1 - F.col("_trough")).cast("long").alias("recovery"))
 
 
 #: Retracement zones of a drawdown (fixed values), as [low, high).

@@ -84,15 +84,19 @@ def sharpe_decay(returns: DataFrame, keys: list[str], last: int = 63, share: flo
     x = returns.filter(F.col("ret").isNotNull()).withColumn("_n", F.row_number().over(w))
     recent = F.when(F.col("_n") <= last, F.col("ret"))
     a = x.groupBy(*keys).agg((div(F.avg("ret"), F.stddev_samp("ret")) * math.sqrt(year)).alias("baseline"), (div(F.avg(recent), F.stddev_samp(recent)) * math.sqrt(year)).alias("recent"), F.count(F.lit(1)).alias("_k"))
-    a = a.withColumns({"recent": F.when(F.col("_k") >= last, F.col("recent")).otherwise(0.0), "degraded": (F.col("_k") >= last) & F.coalesce(F.col("recent") < share * F.col("baseline"), F.lit(False))})
+    a = a.withColumns({"recent": F.when(F.col("_k") >= last, F.coalesce("recent", F.lit(0.0))).otherwise(0.0), "degraded": (F.col("_k") >= last) & F.coalesce(F.coalesce("recent", F.lit(0.0)) < share * F.col("baseline"), F.lit(False))})
     return a.drop("_k")
 
 
 def vol_ratio(returns: DataFrame, keys: list[str], n: int = 60) -> DataFrame:
-    """Volatility of the last n rows by that of the n before; a change above 1.5 or below 0.67."""
+    """Volatility of the last n rows by that of the n before (1 if that is 0); a change above 1.5 or below 0.67, and what the volatility is
+    called then; unknown below 2 n returns.
+    """
     x = returns.withColumn("_v", roll(F.stddev_samp, F.col("ret"), n, *keys))
-    x = x.withColumn("ratio", div(F.col("_v"), F.lag("_v", n).over(over(*keys)))).drop("_v")
-    return x.withColumn("changed", F.coalesce((F.col("ratio") > 1.5) | (F.col("ratio") < 0.67), F.lit(False)))
+    x = x.withColumn("_old", F.lag("_v", n).over(over(*keys)))
+    x = x.withColumn("ratio", F.when(F.col("_old") == 0, 1.0).otherwise(div(F.col("_v"), F.col("_old")))).drop("_v", "_old")
+    name = F.when(F.col("ratio") > 1.5, "high_volatility").when(F.col("ratio") < 0.67, "low_volatility").when(F.col("ratio").isNotNull(), "normal").otherwise("unknown")
+    return x.withColumn("regime", name).withColumn("changed", F.col("regime").isin("high_volatility", "low_volatility"))
 
 
 def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -138,9 +142,9 @@ def active(alerts_: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 
 def compare_baseline(runs: DataFrame, by: str, order: str, value: str, worse: float = -0.20) -> DataFrame:
-    """Each run against the first one of its strategy."""
+    """Each run against the first one of its strategy; against a baseline of 0 there is no change."""
     base = F.first(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    x = runs.withColumn("baseline", base).withColumn("change", div(F.col(value) - F.col("baseline"), F.abs("baseline")))
+    x = runs.withColumn("baseline", base).withColumn("change", F.when(F.col("baseline") == 0, 0.0).otherwise(div(F.col(value) - F.col("baseline"), F.abs("baseline"))))
     return x.withColumn("degraded", F.coalesce(F.col("change") < worse, F.lit(False)))
 
 

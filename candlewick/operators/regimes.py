@@ -136,15 +136,20 @@ def detect(bars: DataFrame) -> DataFrame:
     return x.withColumn("size", position_size(c("regime"), c("confidence"), c("stay")))
 
 
-def statistics(x: DataFrame) -> DataFrame:
-    """Per symbol and regime: yearly return, volatility, Sharpe, worst drawdown inside it, win rate, mean length of ended runs."""
+def statistics(x: DataFrame, warm: int = 200) -> DataFrame:
+    """Per symbol and regime that occurs: yearly return, volatility, Sharpe (0 without volatility), worst drawdown inside it, win rate,
+    mean length of ended runs in whole bars (0 if none ended).
+
+    Only bars after the first ``warm`` count, as before them the slow mean is not full.
+    """
     w = over(*KEYS, "regime").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.filter(c("i") > warm)
     y = x.filter(c("ret").isNotNull() & (c("ret") > -1)).withColumn("_v", F.exp(F.sum(F.ln(1 + c("ret"))).over(w)))
-    y = y.withColumn("_dd", c("_v") / F.greatest(F.max("_v").over(w), F.lit(1.0)) - 1)
+    y = y.withColumn("_dd", c("_v") / F.max("_v").over(w) - 1)
     a = y.groupBy(*KEYS, "regime").agg(F.count(F.lit(1)).alias("n"), (F.avg("ret") * 252).alias("ann_return"), (F.stddev_samp("ret") * math.sqrt(252)).alias("ann_vol"), F.min("_dd").alias("max_drawdown"), F.avg((c("ret") > 0).cast("double")).alias("win_rate"))
     runs = x.groupBy(*KEYS, "run", "regime").agg(F.count(F.lit(1)).alias("len")).withColumn("_last", c("run") == F.max("run").over(Window.partitionBy(*KEYS)))
-    mean = runs.filter(~c("_last")).groupBy(*KEYS, "regime").agg(F.avg("len").alias("avg_duration"))
-    return a.join(mean, [*KEYS, "regime"], "left").withColumn("sharpe", div(c("ann_return"), c("ann_vol")))
+    mean = runs.filter(~c("_last")).groupBy(*KEYS, "regime").agg(F.floor(F.avg("len")).alias("avg_duration"))
+    return a.join(mean, [*KEYS, "regime"], "left").fillna(0, ["avg_duration"]).withColumn("sharpe", F.when(c("ann_vol") > 0, c("ann_return") / c("ann_vol")).otherwise(0.0))
 
 
 def transitions(x: DataFrame) -> DataFrame:
@@ -172,17 +177,18 @@ def changes(x: DataFrame, label: str) -> DataFrame:
 
 
 def latency(x: DataFrame, true: str, detected: str, horizon: int = 10) -> DataFrame:
-    """Mean bars from a true change to the first detected one, ``horizon`` where none comes within it."""
+    """Mean bars from a true change to the first detected one, ``horizon`` where none comes within it; 0 without true changes."""
     both = changes(x, true).withColumn("found", F.lit(False)).unionByName(changes(x, detected).withColumn("found", F.lit(True)))
     # From the end of the series on: the last detected change seen is the next one after a row.
     back = Window.partitionBy("symbol").orderBy(F.desc("i"), F.desc("found")).rowsBetween(Window.unboundedPreceding, 0)
     lag = F.last(F.when(c("found"), c("i")), ignorenulls=True).over(back) - c("i")
     t = both.withColumn("lag", lag).filter(~c("found"))
-    return t.groupBy("symbol").agg(F.avg(F.least(F.coalesce("lag", F.lit(horizon)), F.lit(horizon))).alias("latency"))
+    mean = t.groupBy("symbol").agg(F.avg(F.least(F.coalesce("lag", F.lit(horizon)), F.lit(horizon))).alias("latency"))
+    return x.select("symbol").distinct().join(mean, "symbol", "left").fillna(0.0, ["latency"])
 
 
 def transition_rates(x: DataFrame, true: str, detected: str, tolerance: int = 3) -> DataFrame:
-    """Shares of detected changes near no true one, and of true changes with and without a detected one near."""
+    """Shares of detected changes near no true one and near one, and of true changes without a detected one near; 0 of nothing."""
     t, d = changes(x, true), changes(x, detected)
     # Rows are dealt to buckets as wide as the tolerance; a match is in the same or a neighbouring bucket.
     def reach(df: DataFrame) -> DataFrame:
@@ -194,8 +200,8 @@ def transition_rates(x: DataFrame, true: str, detected: str, tolerance: int = 3)
         return a.join(m, ["symbol", "i"], "left").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("m"))
 
     td, dt = hit(t, d).select("symbol", c("n").alias("nt"), c("m").alias("mt")), hit(d, t)
-    y = td.join(dt, "symbol", "full")
-    return y.select("symbol", F.coalesce(1 - div(c("m"), c("n")), F.lit(0.0)).alias("false_rate"), F.coalesce(div(c("mt"), c("nt")), F.lit(0.0)).alias("true_rate"), F.coalesce(1 - div(c("mt"), c("nt")), F.lit(0.0)).alias("missed_rate"))
+    y = x.select("symbol").distinct().join(td, "symbol", "left").join(dt, "symbol", "left")
+    return y.select("symbol", F.coalesce(1 - div(c("m"), c("n")), F.lit(0.0)).alias("false_rate"), F.coalesce(div(c("m"), c("n")), F.lit(0.0)).alias("true_rate"), F.coalesce(1 - div(c("mt"), c("nt")), F.lit(0.0)).alias("missed_rate"))
 
 
 def purity(x: DataFrame) -> DataFrame:
@@ -219,10 +225,9 @@ def detection_quality(latency_: Column, false_rate: Column, true_rate: Column, s
 
 
 def agreement(predictions: DataFrame, key: list[str]) -> DataFrame:
-    """Agreement of horizons. ``predictions``: key, horizon, regime, confidence; at least two horizons."""
-    by = predictions.groupBy(*key, "regime").agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("conf")).withColumn("w", c("votes") * c("conf"))
-    rank = F.create_map(*(v for k, n in enumerate(REGIMES) for v in (F.lit(n), F.lit(-k))))
-    a = by.groupBy(*key).agg(F.sum("votes").alias("n"), F.max("votes").alias("most"), F.sum("w").alias("all_w"), F.max("w").alias("max_w"), F.max_by(F.struct("regime", "conf"), F.struct(c("w"), rank[c("regime")])).alias("top"), (F.count(F.lit(1)) - 1).alias("n_other")).filter(c("n") >= 2)
+    """Agreement of horizons. ``predictions``: key, horizon, regime, confidence; at least two horizons. Ties go to the shortest horizon."""
+    by = predictions.groupBy(*key, "regime").agg(F.count(F.lit(1)).alias("votes"), F.avg("confidence").alias("conf"), F.min("horizon").alias("_h")).withColumn("w", c("votes") * c("conf"))
+    a = by.groupBy(*key).agg(F.sum("votes").alias("n"), F.max("votes").alias("most"), F.sum("w").alias("all_w"), F.max("w").alias("max_w"), F.max_by(F.struct("regime", "conf"), F.struct(c("w"), -c("_h"))).alias("top"), (F.count(F.lit(1)) - 1).alias("n_other")).filter(c("n") >= 2)
     index = F.sqrt(c("most") / c("n") * F.when(c("all_w") > 0, c("max_w") / c("all_w")).otherwise(0.0))
     a = a.select(*key, index.alias("agreement_index"), c("top.regime").alias("consensus"), c("top.conf").alias("strength"), "n_other")
     good = F.when((c("agreement_index") >= 0.8) & (c("strength") >= 0.7), "strong").when((c("agreement_index") >= 0.6) & (c("strength") >= 0.6), "moderate").when(c("n_other") >= 3, "conflicting").otherwise("weak")

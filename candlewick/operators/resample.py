@@ -72,8 +72,8 @@ def sign_flip(base: DataFrame, sims: int, seed: int = 7) -> DataFrame:
 
 
 def normal(base: DataFrame, sims: int, seed: int = 7) -> DataFrame:
-    """Normal draws with each symbol's mean and deviation (Box and Muller)."""
-    m = base.groupBy("symbol").agg(F.avg("x").alias("_m"), F.stddev_samp("x").alias("_s"))
+    """Normal draws with each symbol's mean and population deviation (Box and Muller)."""
+    m = base.groupBy("symbol").agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
     u = lambda k: (draw(seed + k, F.col("sim"), F.col("slot")) + 1) / float(PRIME + 1)
     z = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * math.pi * u(1))
     return slots(base, sims).join(m, "symbol").select("symbol", "sim", "slot", (F.col("_m") + F.coalesce("_s", F.lit(0.0)) * z).alias("x"))
@@ -235,23 +235,27 @@ def risk_grade(sharpe: Column, drawdown: Column, var95: Column, profit: Column,
     return s, F.when(s >= 8, "excellent").when(s >= 6, "good").when(s >= 4, "moderate").otherwise("poor")
 
 
+def _t(mean: Column, deviation: Column) -> Column:
+    """t of a mean of n observations; 0 without deviation."""
+    return F.coalesce(div(mean, deviation) * F.sqrt("n"), F.lit(0.0))
+
+
 def reality_check(base: DataFrame, sims: int, mean: int = 10, seed: int = 7) -> DataFrame:
     """Reality check of each strategy's mean: t, share of recentred bootstrap t at least as large, Bonferroni correction."""
     obs = base.groupBy("symbol").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
     b = stationary_bootstrap(base, sims, mean, seed).groupBy("symbol", "sim").agg(F.avg("x").alias("bm"), F.stddev_samp("x").alias("bs"))
-    t = div(F.col("m"), F.col("s")) * F.sqrt("n")
-    y = b.join(obs, "symbol").withColumns({"t": t, "bt": div(F.col("bm") - F.col("m"), F.col("bs")) * F.sqrt("n")})
+    y = b.join(obs, "symbol").withColumns({"t": _t(F.col("m"), F.col("s")), "bt": _t(F.col("bm") - F.col("m"), F.col("bs"))})
     k = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))  # one row a strategy
     p = y.groupBy("symbol").agg(F.first("t").alias("t"), F.avg((F.col("bt") >= F.col("t")).cast("double")).alias("p"))
     return p.withColumn("p_corrected", F.least(F.col("p") * k, F.lit(1.0)))
 
 
 def superior_ability(base: DataFrame, sims: int, mean: int = 10, seed: int = 7) -> DataFrame:
-    """Hansen's test: the best t of all strategies against the best bootstrap t, with one draw for all of them."""
+    """Hansen's test: the best t of all strategies against the best bootstrap t, each by its sample's own deviation, with one draw for all of them."""
     obs = base.groupBy("symbol").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
-    top = obs.agg(F.max(div(F.col("m"), F.col("s")) * F.sqrt("n")).alias("t"))
-    b = stationary_bootstrap(base, sims, mean, seed).groupBy("symbol", "sim").agg(F.avg("x").alias("bm"))
-    y = b.join(obs, "symbol").groupBy("sim").agg(F.max(div(F.col("bm") - F.col("m"), F.col("s")) * F.sqrt("n")).alias("bt"))
+    top = obs.agg(F.max(_t(F.col("m"), F.col("s"))).alias("t"))
+    b = stationary_bootstrap(base, sims, mean, seed).groupBy("symbol", "sim").agg(F.avg("x").alias("bm"), F.stddev_samp("x").alias("bs"))
+    y = b.join(obs, "symbol").groupBy("sim").agg(F.max(_t(F.col("bm") - F.col("m"), F.col("bs"))).alias("bt"))
     return y.crossJoin(F.broadcast(top)).agg(F.max("t").alias("t"), F.avg((F.col("bt") >= F.col("t")).cast("double")).alias("p"), F.count(F.lit(1)).alias("n_sims"))  # one row
 
 
@@ -260,7 +264,9 @@ def verdict(significant: Column, tests: Column) -> Column:
     return F.when(significant == tests, "highly_robust").when(significant >= tests / 2, "moderately_robust").otherwise("not_robust")
 
 
-def sharpe_interval(base: DataFrame, sims: int, block: int = 5, seed: int = 7, year: float = 252.0) -> DataFrame:
-    """Block-bootstrap interval of the yearly Sharpe ratio."""
-    b = block_bootstrap(base, sims, block, seed).groupBy("symbol", "sim").agg((div(F.avg("x"), F.stddev_samp("x")) * math.sqrt(year)).alias("s"))
-    return b.groupBy("symbol").agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.5).alias("median"), F.percentile("s", 0.975).alias("high"))
+def sharpe_interval(base: DataFrame, sims: int, block: int = 10, seed: int = 7, year: float = 252.0) -> DataFrame:
+    """The yearly Sharpe ratio (0 without deviation) and its block-bootstrap interval."""
+    ratio = F.coalesce(div(F.avg("x"), F.stddev_samp("x")) * math.sqrt(year), F.lit(0.0))
+    b = block_bootstrap(base, sims, block, seed).groupBy("symbol", "sim").agg(ratio.alias("s"))
+    ends = b.groupBy("symbol").agg(F.percentile("s", 0.025).alias("low"), F.percentile("s", 0.5).alias("median"), F.percentile("s", 0.975).alias("high"))
+    return base.groupBy("symbol").agg(ratio.alias("sharpe")).join(ends, "symbol")

@@ -268,14 +268,14 @@ def ret_rows(spark, sf_dir):
     return b.select("symbol", "ts", (div(F.col("close"), F.lag("close").over(over("symbol"))) - 1).alias("ret"))
 
 
-@query(RET + ", x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM re WHERE ret IS NOT NULL), a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS b, CASE WHEN count(*) >= 63 THEN avg(ret) FILTER (k <= 63) / nullif(stddev_samp(ret) FILTER (k <= 63), 0) * sqrt(252) ELSE 0 END AS r, count(*) AS n FROM x GROUP BY symbol) SELECT symbol, round(b, 6) AS baseline, round(r, 6) AS recent, n >= 63 AND coalesce(r < 0.7 * b, false) AS degraded FROM a")
+@query(RET + ", x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM re WHERE ret IS NOT NULL), a AS (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS b, CASE WHEN count(*) >= 63 THEN coalesce(avg(ret) FILTER (k <= 63) / nullif(stddev_samp(ret) FILTER (k <= 63), 0) * sqrt(252), 0) ELSE 0 END AS r, count(*) AS n FROM x GROUP BY symbol) SELECT symbol, round(b, 6) AS baseline, round(r, 6) AS recent, n >= 63 AND coalesce(r < 0.7 * b, false) AS degraded FROM a")
 def k05_sharpe_decay(spark, sf_dir):
     return rounded(M.sharpe_decay(ret_rows(spark, sf_dir), ["symbol"]))
 
 
-@query(RET + f", v AS (SELECT symbol, ts, {roll('stddev_samp', 'ret', 60)} AS v FROM re), q AS (SELECT symbol, ts, v / nullif(lag(v, 60) {W}, 0) AS r FROM v) SELECT symbol, ts, round(r, 6) AS ratio, coalesce(r > 1.5 OR r < 0.67, false) AS changed FROM q")
+@query(RET + f", v AS (SELECT symbol, ts, {roll('stddev_samp', 'ret', 60)} AS v FROM re), q AS (SELECT symbol, ts, CASE WHEN lag(v, 60) {W} = 0 THEN 1 ELSE v / lag(v, 60) {W} END AS r FROM v) SELECT symbol, ts, round(r, 6) AS ratio, CASE WHEN r > 1.5 THEN 'high_volatility' WHEN r < 0.67 THEN 'low_volatility' WHEN r IS NOT NULL THEN 'normal' ELSE 'unknown' END AS regime, coalesce(r > 1.5 OR r < 0.67, false) AS changed FROM q")
 def k06_vol_ratio(spark, sf_dir):
-    return rounded(M.vol_ratio(ret_rows(spark, sf_dir), ["symbol"]).select("symbol", "ts", "ratio", "changed"))
+    return rounded(M.vol_ratio(ret_rows(spark, sf_dir), ["symbol"]).select("symbol", "ts", "ratio", "regime", "changed"))
 
 
 @query("WITH t AS (SELECT event_type AS name, event_id, value, row_number() OVER () AS z FROM events), k AS (SELECT event_type AS name, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)), ru AS (SELECT name, CASE k WHEN 1 THEN '>' WHEN 2 THEN '<' ELSE '>=' END AS c, CASE k WHEN 1 THEN 480.0 WHEN 2 THEN 5.0 ELSE 470.0 END AS th FROM k WHERE k <= 3) SELECT event_id, name, c AS comparison, value FROM t JOIN ru USING (name) WHERE CASE c WHEN '>' THEN value > th WHEN '<' THEN value < th ELSE value >= th END")

@@ -97,36 +97,38 @@ def s13_positions(spark, sf_dir):
     return rounded(execution.average_cost(t.select(F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("portfolio"), F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), (sign * F.col("l_quantity")).cast("double").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))), 4, realized=2)
 
 
-def _forest(spark, sf_dir):
+def _fitted(spark, sf_dir, kind="forest"):
+    """The predictor's rows, and a model of them: None where no symbol has enough rows."""
     frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
-    return frame, calibration.fit_regime_model(frame)
+    return frame, None if frame.isEmpty() else calibration.fit_regime_model(frame, kind)
 
 
 @query()
 def r14_r16_forest(spark, sf_dir):
     """A forest of 100 trees of depth 10 fitted on the first 80 per cent; its confusion, recall, precision and accuracy on the rest."""
-    frame, model = _forest(spark, sf_dir)
+    frame, model = _fitted(spark, sf_dir)
+    if model is None:
+        return spark.createDataFrame([], "label string, predicted string, n long, recall double, precision double, accuracy double")
     return calibration.confusion(calibration.forecast(model, frame.filter("NOT train")))
 
 
 @query()
 def r15_importances(spark, sf_dir):
     """The features that the forest leans on most."""
-    _, model = _forest(spark, sf_dir)
+    _, model = _fitted(spark, sf_dir)
+    if model is None:
+        return spark.createDataFrame([], "rank int, feature string, importance double")
     return calibration.importances(model, spark)
 
 
-def _boosted(spark, sf_dir):
-    frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
-    return frame, calibration.fit_regime_model(frame, "boosted")
-
-
 @query()
 def r14_boosted(spark, sf_dir):
     """Boosted trees, 100 rounds of depth 6 at rate 0.1, one ensemble against the rest for each label; on the last 20 per
     cent by symbol the accuracy, the mean confidence, and the mean logarithm of the probability of what came.
     """
-    frame, model = _boosted(spark, sf_dir)
+    frame, model = _fitted(spark, sf_dir, "boosted")
+    if model is None:
+        return spark.createDataFrame([], "symbol string, n long, accuracy double, confidence double, log_likelihood double")
     f = calibration.forecast(model, frame.filter("NOT train"))
     of = F.lit(None).cast("double")
     for k in model.stages[0].labels:
@@ -138,6 +140,8 @@ def r14_boosted(spark, sf_dir):
 def r18_isotonic(spark, sf_dir):
     """Isotonic calibration of the regime probabilities against the label five bars ahead, fitted on the first 80 per cent; mean squared error on the rest before and after."""
     frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
+    if frame.isEmpty():
+        return spark.createDataFrame([], "symbol string, n long, brier_before double, brier_after double")
     out = calibration.isotonic(frame, list(regimes.REGIMES), "train").filter("NOT train")
     error = lambda c: sum((F.avg((F.col(f"{c}_{k}") - (F.col("label") == k).cast("double")) ** 2) for k in regimes.REGIMES), F.lit(0.0))
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), error("p").alias("brier_before"), error("c").alias("brier_after"))

@@ -300,9 +300,9 @@ def s12_limit_fills(spark, sf_dir):
     return rounded(x.select("symbol", "ts", "side", signals.limit_fill(F.col("side"), F.col("lim"), F.col("open"), F.col("high"), F.col("low")).alias("price")), 9)
 
 
-@query(RSI_RULE + """, a AS (SELECT symbol, count(ret) AS n, arg_min(equity, ts) AS a, arg_max(equity, ts) AS b, stddev_samp(ret) * sqrt(252) AS vol, min(drawdown) AS dd, avg(ret) AS m, stddev_samp(ret) AS sd FROM er GROUP BY symbol),
+@query(RSI_RULE + """, a AS (SELECT symbol, count(*) AS n, arg_min(equity, ts) AS a, arg_max(equity, ts) AS b, stddev_samp(ret) * sqrt(252) AS vol, min(drawdown) AS dd, avg(ret) AS m, stddev_samp(ret) AS sd FROM er GROUP BY symbol),
 tr AS (SELECT symbol, count(*) AS n_trades, avg((f > 1)::INT::DOUBLE) AS win_rate, avg(100 * (f - 1)) AS avg_pct FROM filled WHERE ends GROUP BY symbol)
-SELECT symbol, round(b / a - 1, 4) AS total_return, round(pow(b / a, 252.0 / n) - 1, 4) AS annual_return, round(vol, 4) AS volatility, round(CASE WHEN vol > 0 THEN (pow(b / a, 252.0 / n) - 1) / vol END, 4) AS engine_sharpe,
+SELECT symbol, round(b / a - 1, 4) AS total_return, round(pow(b / a, 252.0 / n) - 1, 4) AS annual_return, round(vol, 4) AS volatility, round(CASE WHEN vol > 0 THEN (pow(b / a, 252.0 / n) - 1) / vol ELSE 0 END, 4) AS engine_sharpe,
   round(dd, 4) AS max_drawdown, round(CASE WHEN sd > 0 THEN least(greatest(m / sd * sqrt(252), -5), 10) ELSE 0 END, 4) AS sharpe, n_trades, round(win_rate, 4) AS win_rate, round(avg_pct, 4) AS avg_pct
 FROM a JOIN tr USING (symbol)""")
 def m02_m03_engine(spark, sf_dir):
@@ -376,9 +376,9 @@ def m11_zones(spark, sf_dir):
     return e.groupBy("symbol", metrics.zone(F.col("drawdown")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(RSI_RULE + f""", i AS (SELECT *, row_number() {W} AS i, drawdown < 0 AS u FROM er), j AS (SELECT *, u AND NOT coalesce(lag(u) {W}, false) AS st, lead(1) {W} IS NOT NULL AS more FROM i),
+@query(RSI_RULE + f""", i AS (SELECT *, row_number() {W} AS i, drawdown < -0.01 AS u FROM er), j AS (SELECT *, u AND NOT coalesce(lag(u) {W}, false) AS st FROM i),
 k AS (SELECT *, CAST(sum(st::INT) OVER (PARTITION BY symbol ORDER BY ts) AS BIGINT) AS episode FROM j),
-e AS (SELECT symbol, episode, min(ts) AS start_ts, min(drawdown) AS depth, first(i ORDER BY drawdown, i) AS tr, max(i) AS e, min(i) AS s, last(more ORDER BY i) AS healed FROM k WHERE u GROUP BY symbol, episode)
-SELECT symbol, episode, start_ts, round(depth, 5) AS depth, e - s + 1 AS length, CASE WHEN healed THEN e + 1 - tr END AS recovery FROM e WHERE depth < -0.01""")
+e AS (SELECT symbol, episode, min(ts) AS start_ts, min(drawdown) AS depth, first(i ORDER BY drawdown, i) AS tr, max(i) AS e, count(*) AS length FROM k WHERE u GROUP BY symbol, episode)
+SELECT symbol, episode, start_ts, round(depth, 5) AS depth, length, e + 1 - tr AS recovery FROM e""")
 def m12_episodes(spark, sf_dir):
     return rounded(metrics.episodes(signals.equity(rule(spark, sf_dir), S), S), 5)

@@ -83,39 +83,41 @@ def r07_r09_display(spark, sf_dir):
     return rounded(x.select("symbol", "ts", "pine_stay", R.display_score(F.col("confidence"), F.col("pine_stay"), F.col("ma_trend"), F.col("realized_vol")).alias("score")))
 
 
-@query(REG + """, v AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS v FROM rg WHERE ret IS NOT NULL AND ret > -1),
-d AS (SELECT *, v / greatest(max(v) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) - 1 AS dd FROM v),
+@query(REG + """, v AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING)) AS v FROM rg WHERE ret IS NOT NULL AND ret > -1 AND i > 200),
+d AS (SELECT *, v / max(v) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM v),
 a AS (SELECT symbol, regime, count(*) AS n, avg(ret) * 252 AS ann_return, stddev_samp(ret) * sqrt(252) AS ann_vol, min(dd) AS max_drawdown, avg((ret > 0)::INT::DOUBLE) AS win_rate FROM d GROUP BY ALL),
-u AS (SELECT symbol, run, regime, count(*) AS len, run = max(run) OVER (PARTITION BY symbol) AS is_last FROM rg GROUP BY symbol, run, regime),
-l AS (SELECT symbol, regime, avg(len) AS avg_duration FROM u WHERE NOT is_last GROUP BY ALL)
-SELECT symbol, regime, n, round(ann_return, 5) AS ann_return, round(ann_vol, 5) AS ann_vol, round(max_drawdown, 5) AS max_drawdown, round(win_rate, 5) AS win_rate, round(avg_duration, 5) AS avg_duration, round(ann_return / nullif(ann_vol, 0), 5) AS sharpe FROM a LEFT JOIN l USING (symbol, regime)""")
+u AS (SELECT symbol, run, regime, count(*) AS len, run = max(run) OVER (PARTITION BY symbol) AS is_last FROM rg WHERE i > 200 GROUP BY symbol, run, regime),
+l AS (SELECT symbol, regime, floor(avg(len))::BIGINT AS avg_duration FROM u WHERE NOT is_last GROUP BY ALL)
+SELECT symbol, regime, n, round(ann_return, 5) AS ann_return, round(ann_vol, 5) AS ann_vol, round(max_drawdown, 5) AS max_drawdown, round(win_rate, 5) AS win_rate, coalesce(avg_duration, 0) AS avg_duration, round(CASE WHEN ann_vol > 0 THEN ann_return / ann_vol ELSE 0 END, 5) AS sharpe FROM a LEFT JOIN l USING (symbol, regime)""")
 def r10_statistics(spark, sf_dir):
     return rounded(R.statistics(R.durations(R.labels(R.scores(R.features(series(spark, sf_dir)))))), 5)
 
 
+_W14, _W20 = (f"OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (14, 20))
+#: SQL of the predictor's rows: from bar 201 on, with a label, of symbols with 100 of them; the first 80 per cent train.
+TRAINING = f"""(SELECT *, row_number() {W} <= floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS train FROM (
+  SELECT * REPLACE (avg(ret) {_W20} * 252 AS ret_20, 1 - 1 / (1 + coalesce(sum(ret) FILTER (ret > 0) {_W14}, 0) / (abs(coalesce(sum(ret) FILTER (ret < 0) {_W14}, 0)) + 1e-10)) AS rsi), lead(regime, 5) {W} AS label, duration / 100.0 AS duration_scaled FROM rg)
+  WHERE i > 200 AND label IS NOT NULL QUALIFY count(*) OVER (PARTITION BY symbol) >= 100)"""
 FRAME = [*P, "confidence", "duration_scaled", "stay", "realized_vol", "ret_20", "skew", "vs_fast", "vs_slow", "rsi", "drawdown"]
 
 
-@query(REG + f""", f AS (SELECT *, lead(regime, 5) {W} AS label, duration / 100.0 AS duration_scaled, count(*) OVER (PARTITION BY symbol) AS nn FROM rg)
-SELECT symbol, ts, label, i <= 0.8 * nn AS train, regime = 'bull' AS is_bull, regime = 'crisis' AS is_crisis, {', '.join(f"round(coalesce({c}, 0), {3 if c in ('skew', 'kurt', 'rsi', 'ret_20') else 5}) + 0 AS {c}" for c in FRAME)} FROM f WHERE label IS NOT NULL AND nn >= 100""")
+@query(REG + f""", f AS {TRAINING}
+SELECT symbol, ts, label, train, regime = 'bull' AS is_bull, regime = 'crisis' AS is_crisis, {', '.join(f"round(coalesce({c}, 0), {3 if c in ('skew', 'ret_20') else 5}) + 0 AS {c}" for c in FRAME)} FROM f""")
 def r12_features(spark, sf_dir):
     """The predictor's features, label and split, row by row."""
     from ..operators import calibration
 
     x = calibration.training_frame(R.detect(series(spark, sf_dir)))
-    return rounded(x.select("symbol", "ts", "label", "train", (F.col("is_bull") > 0).alias("is_bull"), (F.col("is_crisis") > 0).alias("is_crisis"), *FRAME), 5, skew=3, rsi=3, ret_20=3)
+    return rounded(x.select("symbol", "ts", "label", "train", (F.col("is_bull") > 0).alias("is_bull"), (F.col("is_crisis") > 0).alias("is_crisis"), *FRAME), 5, skew=3, ret_20=3)
 
 
-@query(REG + f""", f AS (SELECT symbol, regime, lead(regime, 5) {W} AS label, (i - 1) / (count(*) OVER (PARTITION BY symbol) - 1) <= 0.8 AS train FROM rg)
-SELECT symbol, train, regime, label, count(*) AS n FROM f WHERE label IS NOT NULL GROUP BY ALL""")
+@query(REG + f""", f AS {TRAINING} SELECT symbol, train, regime, label, count(*) AS n FROM f GROUP BY ALL""")
 def r12_r13_training_set(spark, sf_dir):
     """Label five bars ahead, chronological split."""
-    from pyspark.sql import Window
+    from ..operators import calibration
 
-    x = R.labels(R.scores(R.features(series(spark, sf_dir))))
-    total = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    x = x.select("symbol", "regime", F.lead("regime", 5).over(over("symbol")).alias("label"), ((F.col("i") - 1) / (total - 1) <= 0.8).alias("train"))
-    return x.filter("label IS NOT NULL").groupBy("symbol", "train", "regime", "label").agg(F.count(F.lit(1)).alias("n"))
+    x = calibration.training_frame(R.detect(series(spark, sf_dir)))
+    return x.groupBy("symbol", "train", "regime", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(REG + f""", f AS (SELECT regime AS pred, unnest([1, 5, 20]) AS horizon, unnest([lead(regime, 1) {W}, lead(regime, 5) {W}, lead(regime, 20) {W}]) AS label FROM rg),
@@ -153,7 +155,7 @@ PRED = REG + f""", pr AS (SELECT symbol, ts, unnest([1, 5, 10, 20]) AS horizon,
   unnest([lag(confidence, 1) {W}, lag(confidence, 5) {W}, lag(confidence, 10) {W}, lag(confidence, 20) {W}]) AS confidence FROM rg), pp AS (SELECT * FROM pr WHERE regime IS NOT NULL)"""
 
 
-@query(PRED + """, b AS (SELECT symbol, ts, regime, count(*) AS votes, avg(confidence) AS conf, count(*) * avg(confidence) AS w, CASE regime WHEN 'bull' THEN 0 WHEN 'bear' THEN -1 WHEN 'high_volatility' THEN -2 WHEN 'low_volatility' THEN -3 ELSE -4 END AS k FROM pp GROUP BY symbol, ts, regime),
+@query(PRED + """, b AS (SELECT symbol, ts, regime, count(*) AS votes, avg(confidence) AS conf, count(*) * avg(confidence) AS w, -min(horizon) AS k FROM pp GROUP BY symbol, ts, regime),
 a AS (SELECT symbol, ts, sum(votes) AS n, max(votes) AS most, sum(w) AS aw, max(w) AS mw, last(regime ORDER BY w, k) AS consensus, last(conf ORDER BY w, k) AS strength, count(*) - 1 AS n_other FROM b GROUP BY symbol, ts HAVING sum(votes) >= 2),
 i AS (SELECT *, sqrt(most / n * CASE WHEN aw > 0 THEN mw / aw ELSE 0 END) AS ix FROM a),
 q AS (SELECT *, CASE WHEN ix >= 0.8 AND strength >= 0.7 THEN 'strong' WHEN ix >= 0.6 AND strength >= 0.6 THEN 'moderate' WHEN n_other >= 3 THEN 'conflicting' ELSE 'weak' END AS quality FROM i)
@@ -179,17 +181,17 @@ def two_labels(spark, sf_dir):
 
 
 TWO = REG + f""", tl AS (SELECT symbol, ts, i, regime, coalesce(lag(regime, 2) {W}, regime) AS late FROM rg), cl AS (SELECT *, regime <> lag(regime) {W} AS ct, late <> lag(late) {W} AS cd FROM tl),
-t AS (SELECT symbol, i FROM cl WHERE ct), d AS (SELECT symbol, i FROM cl WHERE cd)"""
+t AS (SELECT symbol, i FROM cl WHERE ct), d AS (SELECT symbol, i FROM cl WHERE cd), sy AS (SELECT DISTINCT symbol FROM tl)"""
 
 
-@query(TWO + " SELECT symbol, round(avg(coalesce((SELECT min(d.i - t.i) FROM d WHERE d.symbol = t.symbol AND d.i BETWEEN t.i AND t.i + 9), 10)), 6) AS latency FROM t GROUP BY symbol")
+@query(TWO + ", la AS (SELECT symbol, avg(coalesce((SELECT min(d.i - t.i) FROM d WHERE d.symbol = t.symbol AND d.i BETWEEN t.i AND t.i + 9), 10)) AS latency FROM t GROUP BY symbol) SELECT symbol, round(coalesce(latency, 0), 6) AS latency FROM sy LEFT JOIN la USING (symbol)")
 def r24_latency(spark, sf_dir):
     return rounded(R.latency(two_labels(spark, sf_dir), "regime", "late"))
 
 
 @query(TWO + """, td AS (SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE d.symbol = t.symbol AND abs(d.i - t.i) <= 3)) AS m FROM t GROUP BY symbol),
 dt AS (SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE d.symbol = t.symbol AND abs(d.i - t.i) <= 3)) AS m FROM d GROUP BY symbol)
-SELECT symbol, round(coalesce(1 - dt.m / dt.n, 0), 6) AS false_rate, round(coalesce(td.m / td.n, 0), 6) AS true_rate, round(coalesce(1 - td.m / td.n, 0), 6) AS missed_rate FROM td FULL JOIN dt USING (symbol)""")
+SELECT symbol, round(coalesce(1 - dt.m / dt.n, 0), 6) AS false_rate, round(coalesce(dt.m / dt.n, 0), 6) AS true_rate, round(coalesce(1 - td.m / td.n, 0), 6) AS missed_rate FROM sy LEFT JOIN td USING (symbol) LEFT JOIN dt USING (symbol)""")
 def r25_transition_rates(spark, sf_dir):
     return rounded(R.transition_rates(two_labels(spark, sf_dir), "regime", "late"))
 
@@ -206,11 +208,10 @@ def r28_transitions(spark, sf_dir):
 
 
 @query(TWO + """, la AS (SELECT symbol, avg(coalesce((SELECT min(d.i - t.i) FROM d WHERE d.symbol = t.symbol AND d.i BETWEEN t.i AND t.i + 9), 10)) AS latency FROM t GROUP BY symbol),
-td AS (SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM d WHERE d.symbol = t.symbol AND abs(d.i - t.i) <= 3)) AS m FROM t GROUP BY symbol),
-dt AS (SELECT symbol, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE d.symbol = t.symbol AND abs(d.i - t.i) <= 3)) AS m FROM d GROUP BY symbol),
+dt AS (SELECT symbol, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE d.symbol = t.symbol AND abs(d.i - t.i) <= 3)) / count(*) AS hit FROM d GROUP BY symbol),
 st AS (SELECT symbol, greatest(1 - 2 * coalesce(sum(ct::INT), 0) / count(*), 0) AS stability FROM cl GROUP BY symbol),
-q AS (SELECT symbol, stability, CASE WHEN latency < 2 THEN 25 WHEN latency < 5 THEN 15 WHEN latency < 10 THEN 5 ELSE 0 END + CASE WHEN 1 - dt.m / dt.n < 0.2 THEN 25 WHEN 1 - dt.m / dt.n < 0.4 THEN 15 WHEN 1 - dt.m / dt.n < 0.6 THEN 5 ELSE 0 END
-  + CASE WHEN td.m / td.n > 0.8 THEN 25 WHEN td.m / td.n > 0.6 THEN 15 WHEN td.m / td.n > 0.4 THEN 5 ELSE 0 END + CASE WHEN stability > 0.7 THEN 25 WHEN stability > 0.5 THEN 15 WHEN stability > 0.3 THEN 5 ELSE 0 END AS score FROM la JOIN td USING (symbol) JOIN dt USING (symbol) JOIN st USING (symbol))
+q AS (SELECT symbol, stability, CASE WHEN coalesce(latency, 0) < 2 THEN 25 WHEN latency < 5 THEN 15 WHEN latency < 10 THEN 5 ELSE 0 END + CASE WHEN coalesce(1 - hit, 0) < 0.2 THEN 25 WHEN 1 - hit < 0.4 THEN 15 WHEN 1 - hit < 0.6 THEN 5 ELSE 0 END
+  + CASE WHEN hit > 0.8 THEN 25 WHEN hit > 0.6 THEN 15 WHEN hit > 0.4 THEN 5 ELSE 0 END + CASE WHEN stability > 0.7 THEN 25 WHEN stability > 0.5 THEN 15 WHEN stability > 0.3 THEN 5 ELSE 0 END AS score FROM st LEFT JOIN la USING (symbol) LEFT JOIN dt USING (symbol))
 SELECT symbol, round(stability, 6) AS stability, score, CASE WHEN score >= 80 THEN 'EXCELLENT' WHEN score >= 60 THEN 'GOOD' WHEN score >= 40 THEN 'ADEQUATE' ELSE 'POOR' END AS quality FROM q""")
 def r27_r30_quality(spark, sf_dir):
     x = two_labels(spark, sf_dir)

@@ -393,7 +393,7 @@ def b14_sign_flip(spark, sf_dir):
     return rounded(m.groupBy("symbol").agg(F.first("o").alias("observed"), F.avg((F.abs("m") >= F.abs("o") - 1e-9).cast("double")).alias("p")), 4)
 
 
-@query(BASE + SLOTS + f""", mo AS (SELECT symbol, avg(x) AS m, coalesce(stddev_samp(x), 0) AS s FROM base GROUP BY symbol),
+@query(BASE + SLOTS + f""", mo AS (SELECT symbol, avg(x) AS m, coalesce(stddev_pop(x), 0) AS s FROM base GROUP BY symbol),
 sx AS (SELECT sl.symbol, sim, slot, m + s * sqrt(-2 * ln(({draw_sql(7)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({draw_sql(8)} + 1) / 2147483648.0::DOUBLE)) AS x FROM sl JOIN mo USING (symbol))
 SELECT symbol, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd FROM sx GROUP BY symbol""")
 def b16_normal(spark, sf_dir):
@@ -475,22 +475,22 @@ def hbase(spark, sf_dir):
 STAT = HBASE + SLOTS + ", " + PICK["stationary"] + ", sx AS (SELECT pk.symbol, pk.sim, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx), ob AS (SELECT symbol, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM base GROUP BY symbol), bo AS (SELECT symbol, sim, avg(x) AS bm, stddev_samp(x) AS bs FROM sx GROUP BY ALL)"
 
 
-@query(STAT + ", y AS (SELECT symbol, m / nullif(s, 0) * sqrt(n) AS t, (bm - m) / nullif(bs, 0) * sqrt(n) AS bt FROM bo JOIN ob USING (symbol)), p AS (SELECT symbol, any_value(t) AS t, avg((bt >= t)::INT::DOUBLE) AS p FROM y GROUP BY symbol) SELECT symbol, round(t, 4) AS t, round(p, 4) AS p, round(least(p * count(*) OVER (), 1), 4) AS p_corrected FROM p")
+@query(STAT + ", y AS (SELECT symbol, coalesce(m / nullif(s, 0) * sqrt(n), 0) AS t, coalesce((bm - m) / nullif(bs, 0) * sqrt(n), 0) AS bt FROM bo JOIN ob USING (symbol)), p AS (SELECT symbol, any_value(t) AS t, avg((bt >= t)::INT::DOUBLE) AS p FROM y GROUP BY symbol) SELECT symbol, round(t, 4) AS t, round(p, 4) AS p, round(least(p * count(*) OVER (), 1), 4) AS p_corrected FROM p")
 def b26_reality_check(spark, sf_dir):
     return rounded(S.reality_check(hbase(spark, sf_dir), SIMS), 4)
 
 
-@query(STAT + ", y AS (SELECT sim, max((bm - m) / nullif(s, 0) * sqrt(n)) AS bt FROM bo JOIN ob USING (symbol) GROUP BY sim), t AS (SELECT max(m / nullif(s, 0) * sqrt(n)) AS t FROM ob) SELECT round(max(t), 4) AS t, round(avg((bt >= t)::INT::DOUBLE), 4) AS p, count(*) AS n_sims FROM y, t")
+@query(STAT + ", y AS (SELECT sim, max(coalesce((bm - m) / nullif(bs, 0) * sqrt(n), 0)) AS bt FROM bo JOIN ob USING (symbol) GROUP BY sim), t AS (SELECT max(coalesce(m / nullif(s, 0) * sqrt(n), 0)) AS t FROM ob) SELECT round(max(t), 4) AS t, round(avg((bt >= t)::INT::DOUBLE), 4) AS p, count(*) AS n_sims FROM y, t")
 def b27_superior_ability(spark, sf_dir):
     return rounded(S.superior_ability(hbase(spark, sf_dir), SIMS), 4)
 
 
-@query(HBASE + SLOTS + ", " + PICK["block"] + ", sx AS (SELECT pk.symbol, pk.sim, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx), s AS (SELECT symbol, sim, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252) AS s FROM sx GROUP BY ALL) SELECT symbol, round(quantile_cont(s, 0.025), 4) AS low, round(quantile_cont(s, 0.5), 4) AS median, round(quantile_cont(s, 0.975), 4) AS high FROM s GROUP BY symbol")
+@query(HBASE + SLOTS + f", pk AS (SELECT *, least({draw_sql(7, 'slot // 10')} % greatest(n - 9, 1) + slot % 10, n - 1) AS idx FROM sl)" + ", sx AS (SELECT pk.symbol, pk.sim, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx), s AS (SELECT symbol, sim, coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252), 0) AS s FROM sx GROUP BY ALL), ob AS (SELECT symbol, coalesce(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252), 0) AS o FROM base GROUP BY symbol) SELECT symbol, round(any_value(o), 4) AS sharpe, round(quantile_cont(s, 0.025), 4) AS low, round(quantile_cont(s, 0.5), 4) AS median, round(quantile_cont(s, 0.975), 4) AS high FROM s JOIN ob USING (symbol) GROUP BY symbol")
 def b28_sharpe_interval(spark, sf_dir):
     return rounded(S.sharpe_interval(hbase(spark, sf_dir), SIMS), 4)
 
 
-@query(STAT + """, y AS (SELECT symbol, m / nullif(s, 0) * sqrt(n) AS t, (bm - m) / nullif(bs, 0) * sqrt(n) AS bt FROM bo JOIN ob USING (symbol)), p AS (SELECT symbol, avg((bt >= t)::INT::DOUBLE) AS p FROM y GROUP BY symbol)
+@query(STAT + """, y AS (SELECT symbol, coalesce(m / nullif(s, 0) * sqrt(n), 0) AS t, coalesce((bm - m) / nullif(bs, 0) * sqrt(n), 0) AS bt FROM bo JOIN ob USING (symbol)), p AS (SELECT symbol, avg((bt >= t)::INT::DOUBLE) AS p FROM y GROUP BY symbol)
 SELECT count(*) AS n_tests, count(*) FILTER (p < 0.05) AS significant, CASE WHEN count(*) FILTER (p < 0.05) = count(*) THEN 'highly_robust' WHEN count(*) FILTER (p < 0.05) * 2 >= count(*) THEN 'moderately_robust' ELSE 'not_robust' END AS verdict FROM p""")
 def b29_verdict(spark, sf_dir):
     p = S.reality_check(hbase(spark, sf_dir), SIMS)

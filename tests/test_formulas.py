@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from candlewick.operators import checks, execution, features, metrics, monitor, regimes, resample, search, signals
+from candlewick.operators import calibration, checks, execution, features, metrics, monitor, regimes, resample, search, signals
 from candlewick.sources.store import AppendTable, VersionedStore
 from pyspark.sql import functions as F
 
@@ -347,3 +347,97 @@ def test_runs_are_compared_by_the_names_that_occur(spark):
     assert got.columns == ["run_id", "metric_a", "metric_b.c"]
     assert sorted(map(tuple, got.collect())) == [(1, 1.0, 2.0), (2, 3.0, None)]
     assert monitor.compare_runs(rows.limit(0), None, "metric").columns == ["run_id"]
+
+
+def test_statistics_begin_after_the_warm_bars(spark):
+    ret = {1: 0.5, 2: 0.5, 3: -0.1, 4: 0.2, 5: 0.3, 6: -0.5, 7: 0.1, 8: 0.1}
+    label = {1: "bull", 2: "bull", 3: "bull", 4: "bull", 5: "bear", 6: "bull", 7: "bull", 8: "bull"}
+    run = {1: 1, 2: 1, 3: 1, 4: 1, 5: 2, 6: 3, 7: 3, 8: 3}
+    x = spark.createDataFrame([("A", i, i, ret[i], label[i], run[i]) for i in ret], "symbol string, ts long, i int, ret double, regime string, run long")
+    got = {r["regime"]: r for r in regimes.statistics(x, warm=2).collect()}
+    bull = [-0.1, 0.2, -0.5, 0.1, 0.1]
+    assert (got["bull"]["n"], got["bull"]["win_rate"], got["bull"]["avg_duration"]) == (5, 0.6, 2)  # the run of bars 3 and 4; the last is open
+    assert got["bull"]["max_drawdown"] == pytest.approx(-0.5)  # from 0.9 * 1.2; the first loss has no peak before it
+    assert got["bull"]["sharpe"] == pytest.approx(np.mean(bull) * 252 / (np.std(bull, ddof=1) * math.sqrt(252)))
+    assert (got["bear"]["n"], got["bear"]["sharpe"], got["bear"]["avg_duration"]) == (1, 0.0, 1)
+
+
+def test_rates_of_detected_changes(spark):
+    true = ["a"] * 10 + ["b"] * 10 + ["a"] * 20
+    found = ["a"] * 12 + ["b"] * 4 + ["a"] * 14 + ["b"] * 10  # changes at 12 (near 10), 16 and 30 (near none); 20 is missed
+    rows = [("A", "d", i, t, f) for i, (t, f) in enumerate(zip(true, found, strict=True))] + [("B", "d", i, "a", "a") for i in range(5)]
+    x = spark.createDataFrame(rows, "symbol string, tf string, ts long, t string, f string")
+    got = {r["symbol"]: (r["false_rate"], r["true_rate"], r["missed_rate"]) for r in regimes.transition_rates(x, "t", "f").collect()}
+    assert got["A"] == pytest.approx((2 / 3, 1 / 3, 1 / 2)) and got["B"] == (0.0, 0.0, 0.0)
+    assert {r["symbol"]: r["latency"] for r in regimes.latency(x, "t", "f").collect()} == {"A": (2 + 10) / 2, "B": 0.0}
+
+
+def test_episodes_lie_below_the_threshold(spark):
+    equity = [100.0, 99.5, 98.0, 97.0, 98.5, 99.2, 100.0, 90.0, 95.0]
+    x = spark.createDataFrame([("A", i, e) for i, e in enumerate(equity)], "symbol string, ts long, equity double")
+    got = [(r["start_ts"], r["length"], r["recovery"]) for r in metrics.episodes(x, ["symbol"]).orderBy("episode").collect()]
+    assert got == [(2, 3, 2), (7, 2, 2)]  # 99.5 and 99.2 are less than a hundredth down; the second is open
+
+
+def test_engine_year_counts_equity_points(spark):
+    x = spark.createDataFrame([("A", i, e) for i, e in enumerate([100.0, 110.0, 121.0])] + [("B", i, 5.0) for i in range(3)], "symbol string, ts long, equity double")
+    got = {r["symbol"]: r for r in metrics.engine_metrics(x, ["symbol"], year=6.0).collect()}
+    assert got["A"]["annual_return"] == pytest.approx(1.21**2 - 1) and (got["B"]["annual_return"], got["B"]["sharpe"]) == (0.0, 0.0)
+
+
+def test_superior_ability_and_sharpe_interval_equal_loops(spark):
+    rng = random.Random(5)
+    data = {s: [rng.gauss(0.2, 1.0) for _ in range(40)] for s in "AB"}
+    base = resample.numbered(spark.createDataFrame([(s, i, v) for s, xs in data.items() for i, v in enumerate(xs)], "symbol string, ts long, v double"), "v", "ts")
+    t = lambda m, xs: m / np.std(xs, ddof=1) * math.sqrt(len(xs))
+    best = max(t(np.mean(xs), xs) for xs in data.values())
+    drawn: dict = {}
+    for r in resample.stationary_bootstrap(base, 50).collect():
+        drawn.setdefault(r["sim"], {}).setdefault(r["symbol"], []).append(r["x"])
+    tops = [max(t(np.mean(xs) - np.mean(data[s]), xs) for s, xs in by.items()) for by in drawn.values()]
+    got = resample.superior_ability(base, 50).first()
+    assert got["t"] == pytest.approx(best) and got["p"] == pytest.approx(np.mean([x >= best for x in tops]))
+    sharpe = lambda xs: np.mean(xs) / np.std(xs, ddof=1) * math.sqrt(252)
+    blocks: dict = {}
+    for r in resample.block_bootstrap(base, 50, 10).collect():
+        blocks.setdefault((r["symbol"], r["sim"]), []).append(r["x"])
+    for r in resample.sharpe_interval(base, 50).collect():
+        low, high = np.percentile([sharpe(xs) for (s, _), xs in blocks.items() if s == r["symbol"]], [2.5, 97.5])
+        assert (r["sharpe"], r["low"], r["high"]) == pytest.approx((sharpe(data[r["symbol"]]), low, high))
+
+
+def test_names_of_volatility_changes(spark):
+    series = {"A": [0.01, -0.01] * 2 + [0.03, -0.03] * 2, "B": [0.0] * 4 + [0.01, -0.01] * 2, "C": [0.03, -0.03] * 2 + [0.01, -0.01] * 2}
+    x = spark.createDataFrame([(s, i, v) for s, xs in series.items() for i, v in enumerate(xs)], "symbol string, ts long, ret double")
+    rows = monitor.vol_ratio(x, ["symbol"], n=4).collect()
+    assert {r["symbol"]: (r["regime"], r["changed"]) for r in rows if r["ts"] == 7} == {"A": ("high_volatility", True), "B": ("normal", False), "C": ("low_volatility", True)}
+    assert {r["regime"] for r in rows if r["ts"] < 7} == {"unknown"}
+
+
+def test_rows_of_the_predictor(spark):
+    rng = random.Random(8)
+    rets = [None] + [rng.gauss(0, 0.02) for _ in range(329)]
+    columns = [n for n in calibration.FEATURES if n not in ("duration_scaled", "ret_20", "rsi")]
+    rows = [("A", i + 1, i + 1, r, rng.choice(regimes.REGIMES), 7, *([0.5] * (len(columns) + 2))) for i, r in enumerate(rets)]
+    x = spark.createDataFrame(rows, "symbol string, ts long, i int, ret double, regime string, duration long, ret_20 double, rsi double, " + ", ".join(f"{n} double" for n in columns))
+    got = calibration.training_frame(x).orderBy("ts").collect()
+    assert [r["ts"] for r in got] == list(range(201, 326)) and sum(r["train"] for r in got) == 100
+    assert all(r["label"] == rows[r["ts"] - 1 + 5][4] for r in got)
+    last = rets[200 - 13 : 201]  # bar 201 and the 13 before
+    gain, loss = sum(v for v in last if v > 0), -sum(v for v in last if v < 0)
+    assert got[0]["ret_20"] == pytest.approx(np.mean(rets[181:201]) * 252) and got[0]["rsi"] == pytest.approx(1 - 1 / (1 + gain / (loss + 1e-10)))
+    assert calibration.training_frame(x.filter("ts <= 304")).isEmpty()  # 99 rows
+
+
+def test_ties_of_agreement_go_to_the_shortest_horizon(spark):
+    x = spark.createDataFrame([(1, 1, "crisis", 0.5), (1, 5, "bull", 0.5), (2, 1, "bull", 0.5), (2, 5, "crisis", 0.5)], "k long, horizon int, regime string, confidence double")
+    assert {r["k"]: r["consensus"] for r in regimes.agreement(x, ["k"]).collect()} == {1: "crisis", 2: "bull"}
+
+
+def test_a_baseline_of_nothing_and_flat_returns(spark):
+    x = spark.createDataFrame([("s", 1, 0.0), ("s", 2, -5.0), ("t", 1, 2.0), ("t", 2, 1.0)], "strategy string, ts long, v double")
+    got = {(r["strategy"], r["ts"]): (r["change"], r["degraded"]) for r in monitor.compare_baseline(x, "strategy", "ts", "v").collect()}
+    assert got[("s", 2)] == (0.0, False) and got[("t", 2)] == (-0.5, True)
+    flat = spark.createDataFrame([("A", i, 0.02 if i % 3 else 0.001) for i in range(40)] + [("A", 40 + i, 0.0) for i in range(63)], "symbol string, ts long, ret double")
+    r = monitor.sharpe_decay(flat, ["symbol"]).first()
+    assert (r["recent"], r["degraded"]) == (0.0, True)
