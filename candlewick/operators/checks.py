@@ -15,7 +15,7 @@ GAP_LIMIT = {"daily": 3 * 86400, "hourly": 7200, "5min": 600, "1min": 120}
 def suite(bars: DataFrame, universe: DataFrame | None = None, seq: str = "ts") -> DataFrame:
     """(symbol, tf, check_name, passed, severity, n, detail): n is the number of offending rows.
 
-    ``detail``: per cent of nulls, the largest move, the largest gap in seconds and the largest z of a return; else NULL.
+    ``detail``: per cent of nulls, the largest move, the largest unexpected gap in seconds and the largest z of a return; else NULL.
 
     With a universe of (symbol, tf), series without any bar appear and fail not_empty.
     """
@@ -46,7 +46,7 @@ def suite(bars: DataFrame, universe: DataFrame | None = None, seq: str = "ts") -
         "no_statistical_outliers": ("warning", n_if((F.col("_n") >= 30) & (F.abs(F.col("_ret") - F.col("_mean")) > 5 * F.col("_sd")))),
     }
     share = lambda p: 100 * F.count_if(F.col(p).isNull()) / F.count(F.lit(1))
-    details = {f"no_nulls_{p}": share(p) for p in (*PRICES, "volume")} | {"no_extreme_moves_close": F.max(F.abs("_ret")), "no_unexpected_gaps": F.max("_gap").cast("double"), "no_statistical_outliers": F.max(F.when(F.col("_n") >= 30, div(F.abs(F.col("_ret") - F.col("_mean")), F.col("_sd"))))}
+    details = {f"no_nulls_{p}": share(p) for p in (*PRICES, "volume")} | {"no_extreme_moves_close": F.max(F.abs("_ret")), "no_unexpected_gaps": F.max(F.when(F.col("_gap") > limit, F.col("_gap"))).cast("double"), "no_statistical_outliers": F.max(F.when(F.col("_n") >= 30, div(F.abs(F.col("_ret") - F.col("_mean")), F.col("_sd"))))}
     wide = x.groupBy("symbol", "tf").agg(*(v.cast("long").alias(k) for k, (_, v) in tests.items()), *(v.alias(f"{k}_") for k, v in details.items()))
     if universe is not None:
         wide = universe.select("symbol", "tf").distinct().join(wide.withColumn("_seen", F.lit(True)), ["symbol", "tf"], "left")

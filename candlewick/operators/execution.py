@@ -52,11 +52,11 @@ def capacity(turnover: Column, adv: Column, sigma: Column, most: float = 0.001,
 
 
 def capacity_curve(x: DataFrame, aums: list[float], gross: float = 0.10) -> DataFrame:
-    """Net return by assets; needs turnover, adv, sigma."""
+    """Net return and share of the day's volume by assets; needs turnover, adv, sigma."""
     y = x.withColumn("aum", F.explode(F.array(*map(F.lit, aums))))
     perm, temp = impacts(F.col("aum") * F.col("turnover") / 252, F.col("adv"), F.col("sigma"), F.lit(1.0))
     y = y.withColumn("annual_cost", (perm + temp + 3.5 / 10000) * F.col("turnover"))
-    return y.withColumns({"net_return": gross - F.col("annual_cost"), "cost_share": F.col("annual_cost") / gross})
+    return y.withColumns({"net_return": gross - F.col("annual_cost"), "cost_share": F.col("annual_cost") / gross, "participation": div(F.col("aum") * F.col("turnover") / 252, F.col("adv"))})
 
 
 def twap(orders: DataFrame, minutes: int = 5) -> DataFrame:

@@ -330,4 +330,4 @@ def adequacy(bars: DataFrame) -> DataFrame:
         "train_days": F.when(x < 60, F.greatest(F.lit(14), F.floor(x / 3).cast("int"))).when(x < 120, F.greatest(F.lit(30), F.floor(x / 3).cast("int"))).when(x < 365, 90).otherwise(180),
         "test_days": F.when(x < 60, F.greatest(F.lit(7), F.floor(x / 6).cast("int"))).when(x < 120, F.greatest(F.lit(10), F.floor(x / 6).cast("int"))).when(x < 365, 20).otherwise(30),
         "trials": F.when(x < 60, 300).when(x < 120, 400).otherwise(500),
-    })
+    }).withColumn("windows", F.greatest(F.lit(0), F.floor((x - F.col("train_days")) / F.col("test_days"))).cast("int"))

@@ -112,10 +112,10 @@ def x06_capacity(spark, sf_dir):
     return rounded(c.select("symbol", a.alias("aum"), b.alias("breakeven"), p.alias("participation")), 3, breakeven=1, participation=6)
 
 
-@query(CAP + ", a AS (SELECT *, unnest([1e4, 1e5, 1e6, 1e7]) AS aum FROM c), k AS (SELECT *, (0.11 * sigma * pow(aum * turnover / 252 / adv, 0.6) + 0.00035) * turnover AS cost FROM a) SELECT symbol, aum, round(cost, 7) AS annual_cost, round(0.1 - cost, 7) AS net_return, round(cost / 0.1, 7) AS cost_share FROM k")
+@query(CAP + ", a AS (SELECT *, unnest([1e4, 1e5, 1e6, 1e7]) AS aum FROM c), k AS (SELECT *, (0.11 * sigma * pow(aum * turnover / 252 / adv, 0.6) + 0.00035) * turnover AS cost FROM a) SELECT symbol, aum, round(cost, 7) AS annual_cost, round(0.1 - cost, 7) AS net_return, round(cost / 0.1, 7) AS cost_share, round(aum * turnover / 252 / adv, 7) AS participation FROM k")
 def x07_capacity_curve(spark, sf_dir):
     c = X.capacity_curve(capacities(spark, sf_dir), [1e4, 1e5, 1e6, 1e7])
-    return rounded(c.select("symbol", "aum", "annual_cost", "net_return", "cost_share"), 7)
+    return rounded(c.select("symbol", "aum", "annual_cost", "net_return", "cost_share", "participation"), 7)
 
 
 @query(ORDERS + f""", ps AS (SELECT *, coalesce(sum(CASE WHEN side = 'buy' THEN qty ELSE -qty END) OVER (PARTITION BY symbol, parent_id // 64 ORDER BY parent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o),

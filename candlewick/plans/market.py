@@ -123,7 +123,7 @@ wide AS (SELECT symbol, tf, count(*) AS n_all, count(*) FILTER (back) AS v2, cou
   count(*) FILTER (gap > GAP) AS v9, 0 AS v10, count(*) FILTER (high < low) AS v11, count(*) FILTER (high < open OR high < close) AS v12, count(*) FILTER (low > open OR low > close) AS v13,
   count(*) FILTER (nr >= 30 AND abs(ret - m) > 5 * sd) AS v14,
   [100.0 * count(*) FILTER (open IS NULL) / count(*), 100.0 * count(*) FILTER (high IS NULL) / count(*), 100.0 * count(*) FILTER (low IS NULL) / count(*), 100.0 * count(*) FILTER (close IS NULL) / count(*), 100.0 * count(*) FILTER (volume IS NULL) / count(*)] AS nulls,
-  max(abs(ret)) AS most, max(gap)::DOUBLE AS longest, max(abs(ret - m) / nullif(sd, 0)) FILTER (nr >= 30) AS z FROM y GROUP BY symbol, tf),
+  max(abs(ret)) AS most, (max(gap) FILTER (gap > GAP))::DOUBLE AS longest, max(abs(ret - m) / nullif(sd, 0)) FILTER (nr >= 30) AS z FROM y GROUP BY symbol, tf),
 dq AS (SELECT symbol, tf, unnest(['not_empty', 'index_sorted', 'no_duplicate_timestamps', 'no_nulls_open', 'no_nulls_high', 'no_nulls_low', 'no_nulls_close', 'no_nulls_volume',
   'positive_prices_open', 'positive_prices_high', 'positive_prices_low', 'positive_prices_close', 'no_extreme_moves_close', 'non_negative_volume', 'sufficient_volume', 'no_unexpected_gaps', 'has_timezone',
   'high_gte_low', 'high_gte_open_close', 'low_lte_open_close', 'no_statistical_outliers']) AS check_name,

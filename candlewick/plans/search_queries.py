@@ -293,7 +293,7 @@ def b09_walk_forward_days(spark, sf_dir):
 
 @query(DAILY + """, a AS (SELECT symbol, CAST(date_diff('day', min(ts), max(ts)) AS INT) AS days FROM bars GROUP BY symbol) SELECT symbol, days, CASE WHEN days < 60 THEN 'limited' WHEN days < 120 THEN 'modest' WHEN days < 365 THEN 'good' ELSE 'excellent' END AS level,
   CASE WHEN days < 60 THEN greatest(14, days // 3) WHEN days < 120 THEN greatest(30, days // 3) WHEN days < 365 THEN 90 ELSE 180 END AS train_days, CASE WHEN days < 60 THEN greatest(7, days // 6) WHEN days < 120 THEN greatest(10, days // 6) WHEN days < 365 THEN 20 ELSE 30 END AS test_days,
-  CASE WHEN days < 60 THEN 300 WHEN days < 120 THEN 400 ELSE 500 END AS trials FROM a""")
+  CASE WHEN days < 60 THEN 300 WHEN days < 120 THEN 400 ELSE 500 END AS trials, CAST(greatest(0, (days - train_days) // test_days) AS INT) AS windows FROM a""")
 def b10_adequacy(spark, sf_dir):
     return X.adequacy(B.daily_bars(spark, sf_dir))
 
@@ -309,7 +309,8 @@ p1 AS (SELECT *, max(CASE WHEN nw THEN slot END) OVER wq AS at0, last_value(CASE
 pk AS (SELECT *, (s0 + slot - at0) % n AS idx FROM p1)""",
     "permutation": f"p0 AS (SELECT *, {draw_sql(7)} AS dr FROM sl), pk AS (SELECT *, row_number() OVER (PARTITION BY symbol, sim ORDER BY dr, slot) - 1 AS idx FROM p0)",
 }
-PATHS = """, sx AS (SELECT pk.symbol, pk.sim, pk.slot, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx),
+PICKED = ", sx AS (SELECT pk.symbol, pk.sim, pk.slot, x FROM pk JOIN base ON pk.symbol = base.symbol AND pk.idx = base.idx)"
+PATHS = PICKED + """,
 pe AS (SELECT *, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9))) OVER (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING)) AS equity FROM sx),
 pd AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY symbol, sim ORDER BY slot ROWS UNBOUNDED PRECEDING), 1000) - 1 AS dd FROM pe),
 pm AS (SELECT symbol, sim, arg_max(equity, slot) AS fe, 100 * min(dd) AS mdd, avg(x) AS mean, stddev_samp(x) AS sd, stddev_samp(x) FILTER (x < 0) AS dn, coalesce(sum(x) FILTER (x > 0), 0) AS g, coalesce(-sum(x) FILTER (x < 0), 0) AS l,
@@ -393,29 +394,30 @@ def b14_sign_flip(spark, sf_dir):
     return rounded(m.groupBy("symbol").agg(F.first("o").alias("observed"), F.avg((F.abs("m") >= F.abs("o") - 1e-9).cast("double")).alias("p")), 4)
 
 
-@query(BASE + SLOTS + f""", mo AS (SELECT symbol, avg(x) AS m, coalesce(stddev_pop(x), 0) AS s FROM base GROUP BY symbol),
-sx AS (SELECT sl.symbol, sim, slot, m + s * sqrt(-2 * ln(({draw_sql(7)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({draw_sql(8)} + 1) / 2147483648.0::DOUBLE)) AS x FROM sl JOIN mo USING (symbol))
-SELECT symbol, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd FROM sx GROUP BY symbol""")
+NORMAL = f"""mo AS (SELECT symbol, avg(x) AS m, coalesce(stddev_pop(x), 0) AS s FROM base GROUP BY symbol),
+sx AS (SELECT sl.symbol, sim, slot, m + s * sqrt(-2 * ln(({draw_sql(7)} + 1) / 2147483648.0::DOUBLE)) * cos(2 * pi() * (({draw_sql(8)} + 1) / 2147483648.0::DOUBLE)) AS x FROM sl JOIN mo USING (symbol))"""
+
+
+@query(BASE + SLOTS + ", " + NORMAL + " SELECT symbol, count(*) AS n, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS sd FROM sx GROUP BY symbol")
 def b16_normal(spark, sf_dir):
     return rounded(S.normal(base(spark, sf_dir), SIMS).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd")), 4)
 
 
-def _method(name: str) -> str:
-    inner = (BASE + SLOTS + ", " + PICK[name] + PATHS).split("WITH ", 1)[1]
-    return f"(WITH {inner} SELECT '{name}' AS method, pm.symbol, fe, og FROM pm JOIN (SELECT symbol, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS og FROM base GROUP BY symbol) USING (symbol))"
+def _final(name: str, drawn: str) -> str:
+    return f"SELECT '{name}' AS method, symbol, sim, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS fe FROM (WITH {(BASE + SLOTS + ', ' + drawn).split('WITH ', 1)[1]} SELECT symbol, sim, x FROM sx) GROUP BY symbol, sim"
+
 
+_TENTH = f"pk AS (SELECT *, least({draw_sql(7, 'slot // greatest(2, n // 10)')} % greatest(n - greatest(2, n // 10) + 1, 1) + slot % greatest(2, n // 10), n - 1) AS idx FROM sl)"
+_FINALS = " UNION ALL ".join(_final(n, d) for n, d in (("randomization", PICK["permutation"] + PICKED), ("bootstrap", PICK["iid"] + PICKED), ("parametric", NORMAL), ("block", _TENTH + PICKED)))
 
-@query(f"SELECT method, count(*) AS n, round(avg((fe > 1000)::INT::DOUBLE), 4) AS p_profit, round(avg((fe > og * (1 + 1e-9))::INT::DOUBLE), 4) AS p_beats, round(avg((fe < 500)::INT::DOUBLE), 4) AS p_ruin, {LOG('quantile_cont(fe, 0.025)')} AS low, {LOG('quantile_cont(fe, 0.975)')} AS high FROM ({_method('iid')} UNION ALL {_method('block')} UNION ALL {_method('stationary')}) GROUP BY method")
+
+@query(f"""{BASE}, al AS ({_FINALS}), og AS (SELECT symbol, 1000 * exp(sum(ln(greatest(1 + x / 100, 1e-9)))) AS og FROM base GROUP BY symbol),
+me AS (SELECT symbol, method, count(*) AS n_sims, avg((fe > 1000)::INT::DOUBLE) AS p_profit, avg((fe > og * (1 + 1e-9))::INT::DOUBLE) AS p_beats, avg((fe < 500)::INT::DOUBLE) AS p_ruin, quantile_cont(fe, 0.025) AS low, quantile_cont(fe, 0.975) AS high, any_value(og) AS og FROM al JOIN og USING (symbol) GROUP BY symbol, method)
+SELECT symbol, method, n_sims, round(p_profit, 4) AS p_profit, round(p_beats, 4) AS p_beats, round(p_ruin, 4) AS p_ruin, {LOG('low')} AS low, {LOG('high')} AS high, {LOG('og')} AS original, og >= low * (1 - 1e-9) AND og <= high * (1 + 1e-9) AS inside FROM me""")
 def b17_methods(spark, sf_dir):
-    b = base(spark, sf_dir)
-    og = b.groupBy("symbol").agg((1000 * F.exp(F.sum(F.ln(F.greatest(1 + F.col("x") / 100, F.lit(1e-9)))))).alias("og"))
-    all_ = None
-    for name, sims in (("iid", S.bootstrap(b, SIMS)), ("block", S.block_bootstrap(b, SIMS)), ("stationary", S.stationary_bootstrap(b, SIMS))):
-        p = S.path_metrics(sims).withColumn("method", F.lit(name))
-        all_ = p if all_ is None else all_.unionByName(p)
-    fe, share = F.col("final_equity"), lambda c: F.avg(c.cast("double"))
-    out = all_.join(og, "symbol").groupBy("method").agg(F.count(F.lit(1)).alias("n"), share(fe > 1000).alias("p_profit"), share(fe > F.col("og") * (1 + 1e-9)).alias("p_beats"), share(fe < 500).alias("p_ruin"), *(F.ln(F.greatest(F.percentile("final_equity", q), F.lit(1e-9)) / 1000).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
-    return rounded(out, 4, low=5, high=5)
+    """Four methods side by side; money as logarithms of growth."""
+    growth = {n: F.ln(F.greatest(F.col(n), F.lit(1e-9)) / 1000) for n in ("low", "high", "original")}
+    return rounded(S.compare_methods(base(spark, sf_dir), SIMS).withColumns(growth), 4, low=5, high=5, original=5)
 
 
 @query(BASE + """, a AS (SELECT symbol, count(x)::DOUBLE AS n, skewness(x) AS sk, kurtosis(x) AS ku FROM base GROUP BY symbol) SELECT symbol, round(CASE WHEN n < 8 THEN 0 ELSE sk END, 5) AS skew, round(CASE WHEN n < 8 THEN 0 ELSE ku END, 5) AS kurt FROM a""")

@@ -441,3 +441,27 @@ def test_a_baseline_of_nothing_and_flat_returns(spark):
     flat = spark.createDataFrame([("A", i, 0.02 if i % 3 else 0.001) for i in range(40)] + [("A", 40 + i, 0.0) for i in range(63)], "symbol string, ts long, ret double")
     r = monitor.sharpe_decay(flat, ["symbol"]).first()
     assert (r["recent"], r["degraded"]) == (0.0, True)
+
+
+def test_methods_of_simulation_equal_a_loop(spark):
+    results = [5.0, -3.0, 8.0, -60.0, 4.0, 2.0, -1.0]
+    base = resample.numbered(spark.createDataFrame([("A", i, v) for i, v in enumerate(results)], "symbol string, ts long, v double"), "v", "ts")
+    final = lambda xs: 1000 * math.prod(1 + x / 100 for x in xs)
+    got = {r["method"]: r for r in resample.compare_methods(base, 40).collect()}
+    assert set(got) == {"randomization", "bootstrap", "parametric", "block"} and all(r["n_sims"] == 40 and r["original"] == pytest.approx(final(results)) for r in got.values())
+    assert (got["randomization"]["p_beats"], got["randomization"]["inside"], got["randomization"]["p_ruin"]) == (0.0, True, 1.0)  # 1000 * ... = 460
+    for name, sims in (("bootstrap", resample.bootstrap(base, 40)), ("block", resample.block_bootstrap(base, 40, 2))):
+        drawn: dict = {}
+        for r in sims.collect():
+            drawn.setdefault(r["sim"], []).append(r["x"])
+        ends = [final(xs) for xs in drawn.values()]
+        low, high = np.percentile(ends, [2.5, 97.5])
+        r = got[name]
+        assert (r["p_profit"], r["p_ruin"], r["low"], r["high"]) == pytest.approx((np.mean([e > 1000 for e in ends]), np.mean([e < 500 for e in ends]), low, high))
+
+
+def test_windows_that_the_data_allow(spark):
+    day = d.datetime(2024, 1, 1)
+    x = spark.createDataFrame([(s, day + d.timedelta(days=k)) for s, n in (("A", 40), ("B", 100), ("C", 200), ("D", 400)) for k in (0, n)], "symbol string, ts timestamp")
+    got = {r["symbol"]: (r["train_days"], r["test_days"], r["windows"]) for r in search.adequacy(x).collect()}
+    assert got == {"A": (14, 7, 3), "B": (33, 16, 4), "C": (90, 20, 5), "D": (180, 30, 7)}
