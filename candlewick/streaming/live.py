@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -152,99 +154,169 @@ LEVELS = ("green", "yellow", "orange", "red")
 EXPOSURE = "portfolio string, event_id long, ts timestamp, gross double, net double, leverage double, value double, drawdown double, level string, killed boolean"
 
 
-def risk_level(gross: float, net: float, leverage: float, single: float, drawdown: float, limits: dict[str, float]) -> int:
-    """The worst of all limits, as an index of LEVELS."""
-    level = 3 if gross > limits["gross"] else 1 if gross > 0.9 * limits["gross"] else 0
-    if abs(net) > limits["net"] or single > limits["single"]:
-        level = max(level, 2)
-    return 3 if leverage > limits["leverage"] or drawdown < limits["drawdown"] else level
+def risk_level(gross, net, leverage, single, drawdown, limits: dict[str, float]):
+    """The worst of all limits, as an index of LEVELS; of numbers or arrays."""
+    red = (gross > limits["gross"]) | (leverage > limits["leverage"]) | (drawdown < limits["drawdown"])
+    orange = (np.abs(net) > limits["net"]) | (single > limits["single"])
+    return np.where(red, 3, np.where(orange, 2, np.where(gross > 0.9 * limits["gross"], 1, 0)))
+
+
+#: Groups that portfolios are dealt to: prices go to each of them. Milliseconds of fills that are folded at once, and rows that
+#: are put by at once.
+DESKS, SPAN, PIECE = 16, 86_400_000, 500_000
 
 
 class Exposure(StatefulProcessor):
-    """Keyed by portfolio. State: the positions and marks by symbol, the money with its peak and the latch, and the fills that wait.
+    """Keyed by desk, a number that portfolios are dealt to. State: positions, money with its peak and the latch, the last price of
+    each symbol, and the rows that wait, in blocks by day.
 
-    A fill waits until the watermark has passed it, with the latest price seen for it so far; then fills count in the order
-    of their times, whatever trigger brought them.
+    Rows (fills, and prices, which have no event_id) wait until the watermark less ``within`` has passed them. Then they count in the
+    order of their times, a price before fills of its time, whatever trigger brought them. A day is folded by running sums, so
+    the work is a few array operations for each day and symbol, and no more than a day (or PIECE rows of input) is held at once.
     """
 
-    def __init__(self, limits: dict[str, float], start: float):
-        self.limits, self.start = limits, start
+    def __init__(self, limits: dict[str, float], start: float, within: int):
+        self.limits, self.start, self.within = limits, start, within
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.positions = handle.getMapState("positions", "symbol string", "qty double, mark double")
-        self.money = handle.getValueState("money", "cash double, peak double, killed boolean, timer long")
-        self.waiting = handle.getMapState("waiting", "event_id long", "at long, symbol string, qty double, price double, bar long, mark double")
+        self.positions = handle.getMapState("positions", "portfolio string, symbol string", "qty double, worth double")
+        self.money = handle.getMapState("money", "portfolio string", "cash double, peak double, killed boolean")
+        self.prices = handle.getMapState("prices", "symbol string", "bar long, mark double")
+        self.waiting = handle.getMapState("waiting", "day long, part long", "rows binary")
+        self.book = handle.getValueState("book", "timer long, parts long")
 
     def close(self) -> None:
         pass
 
-    def _money(self) -> tuple:
-        return self.money.get() if self.money.exists() else (self.start, self.start, False, 0)
-
-    def _wait(self, at: int | None, water: int, cash: float, peak: float, killed: bool, timer: int) -> None:
-        at = None if at is None else max(at, water + 1)
+    def _wait(self, first: int | None, water: int, timer: int, parts: int) -> None:
+        """One timer, at which the earliest row that waits is due."""
+        at = None if first is None else max(first + self.within, water + 1)
         if at is not None and (not timer or at < timer):
             if timer:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(at)
             timer = at
-        self.money.update((cash, peak, killed, timer))
+        self.book.update((timer, parts))
+
+    def _put(self, rows: pd.DataFrame, part: int) -> None:
+        for day, block in rows.groupby(rows["at"] // SPAN, sort=False):
+            with pa.BufferOutputStream() as sink:
+                table = pa.Table.from_pandas(block, preserve_index=False)
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                self.waiting.updateValue((int(day), part), (sink.getvalue().to_pybytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        timer, parts = self.book.get() if self.book.exists() else (0, 0)
+        first, frames, n = None, [], 0
+
+        def put() -> None:
+            nonlocal frames, n, parts
+            if frames:
+                self._put(pd.concat(frames), parts)
+                frames, n, parts = [], 0, parts + 1
+
         for frame in rows:
-            frame = frame.sort_values("bar", na_position="first").drop_duplicates("event_id", keep="last")
-            for r in frame.itertuples(index=False):
-                bar = -1 if pd.isna(r.bar) else int(r.bar)
-                if self.waiting.containsKey((r.event_id,)) and self.waiting.getValue((r.event_id,))[4] >= bar:
-                    continue
-                mark = float(r.price if pd.isna(r.mark) else r.mark)
-                self.waiting.updateValue((r.event_id,), (int(r.at), r.symbol, float(r.qty), float(r.price), bar, mark))
-                earliest = int(r.at) if earliest is None else min(earliest, int(r.at))
-        self._wait(earliest, timerValues.getCurrentWatermarkInMs(), *self._money())
+            frame = frame.drop(columns="desk").astype({"portfolio": "category", "symbol": "category"})
+            first = int(frame["at"].min()) if first is None else min(first, int(frame["at"].min()))
+            frames.append(frame)
+            n += len(frame)
+            if n >= PIECE:
+                put()
+        put()
+        self._wait(first, timerValues.getCurrentWatermarkInMs(), timer, parts)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         water = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((v[0], k[0], *v[1:]) for k, v in self.waiting.iterator())
-        due = [w for w in waiting if w[0] < water]
-        held = {k[0]: list(v) for k, v in self.positions.iterator()}
-        cash, peak, killed, _ = self._money()
-        out, touched = [], set()
-        for at, event_id, symbol, qty, price, _, mark in due:
-            was = held.get(symbol, [0.0, 0.0])
-            held[symbol] = [was[0] + qty, mark]
-            cash -= qty * price
-            worth = [q * m for q, m in held.values()]
-            gross, net = sum(map(abs, worth)), sum(worth)
-            value = cash + net
-            peak = max(peak, value)
-            leverage, fall = (gross / value if value > 0 else 0.0), (value - peak) / peak if peak > 0 else 0.0
-            level = risk_level(gross, net, leverage, max(map(abs, worth)), fall, self.limits)
-            killed = killed or level == 3
-            out.append((key[0], event_id, stamp(at), gross, net, leverage, value, fall, LEVELS[level], killed))
-            touched.add(symbol)
-            self.waiting.removeKey((event_id,))
-        for symbol in touched:
-            self.positions.updateValue((symbol,), tuple(held[symbol]))
-        left = [w[0] for w in waiting if w[0] >= water]
-        self._wait(min(left) if left else None, water, cash, peak, killed, 0)
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EXPOSURE.split(", ")])
+        due = water - self.within
+        keys: dict[int, list[int]] = {}
+        for day, part in self.waiting.keys():
+            keys.setdefault(int(day), []).append(int(part))
+        prices = {k[0]: tuple(v) for k, v in self.prices.iterator()}
+        money = {k[0]: tuple(v) for k, v in self.money.iterator()}
+        held: dict[str, dict[str, tuple]] = {}
+        for (portfolio, symbol), v in self.positions.iterator():
+            held.setdefault(portfolio, {})[symbol] = tuple(v)
+        parts, first, touched = self.book.get()[1], None, set()
+        for day in sorted(keys):
+            if day * SPAN >= due:
+                first = day * SPAN
+                break
+            blocks = [(day, part) for part in keys[day]]
+            rows = pd.concat([pa.ipc.open_stream(self.waiting.getValue(b)[0]).read_pandas() for b in blocks])
+            rows = rows.astype({"portfolio": object, "symbol": object}).sort_values(["at", "event_id"], na_position="first", ignore_index=True)
+            for b in blocks:
+                self.waiting.removeKey(b)
+            late = rows[rows["at"] >= due]
+            if len(late):
+                self._put(late, parts)
+                parts, first = parts + 1, int(late["at"].iloc[0])
+            fills = self._marked(rows[rows["at"] < due], prices)
+            for portfolio, mine in fills.groupby("portfolio", sort=False):
+                mine_held, out = held.setdefault(portfolio, {}), mine["event_id"]
+                money[portfolio], frame = self._fold(mine, mine_held, money.get(portfolio, (self.start, self.start, False)))
+                touched |= {(portfolio, s) for s in mine["symbol"].unique()}
+                frame.insert(0, "portfolio", portfolio)
+                frame.insert(1, "event_id", out.to_numpy("int64"))
+                yield frame
+            if first is not None:
+                break
+        for symbol, v in prices.items():
+            self.prices.updateValue((symbol,), v)
+        for portfolio in {p for p, _ in touched}:
+            self.money.updateValue((portfolio,), money[portfolio])
+        for portfolio, symbol in touched:
+            self.positions.updateValue((portfolio, symbol), held[portfolio][symbol])
+        self._wait(first, water, 0, parts)
+
+    def _marked(self, rows: pd.DataFrame, prices: dict[str, tuple]) -> pd.DataFrame:
+        """The fills among rows in order, each with its mark: the last price within reach, else its own."""
+        bar, mark, is_fill = np.full(len(rows), -1, "int64"), np.zeros(len(rows)), rows["event_id"].notna().to_numpy()
+        at, price = rows["at"].to_numpy(), rows["price"].to_numpy(float)
+        for symbol, index in rows.groupby("symbol", sort=False).indices.items():
+            last, was = prices.get(symbol, (-1, 0.0))
+            seen = np.maximum.accumulate(np.where(is_fill[index], -1, np.arange(len(index))))
+            none = seen < 0
+            bar[index], mark[index] = np.where(none, last, at[index][seen]), np.where(none, was, price[index][seen])
+            prices[symbol] = (int(bar[index[-1]]), float(mark[index[-1]]))
+        reach = (bar >= 0) & (bar > at - self.within)
+        return rows.assign(mark=np.where(reach, mark, price))[is_fill].drop_duplicates("event_id")
+
+    def _fold(self, fills: pd.DataFrame, held: dict[str, tuple], money: tuple) -> tuple[tuple, pd.DataFrame]:
+        """Money and exposure after each of a portfolio's fills, which are in order; ``held`` is brought up to date."""
+        cash, peak, killed = money
+        n, qty, price, mark = len(fills), fills["qty"].to_numpy(float), fills["price"].to_numpy(float), fills["mark"].to_numpy(float)
+        groups = fills.groupby("symbol", sort=False).indices
+        still = [w for s, (_, w) in held.items() if s not in groups]
+        gross, net, single = np.full(n, float(sum(map(abs, still)))), np.full(n, float(sum(still))), np.full(n, max(map(abs, still), default=0.0))
+        for symbol, index in groups.items():
+            q, w = held.get(symbol, (0.0, 0.0))
+            after = np.cumsum(np.concatenate([[q], qty[index]]))[1:]
+            worth = np.repeat(np.concatenate([[w], after * mark[index]]), np.diff(np.concatenate([[0], index, [n]])))
+            gross, net, single = gross + np.abs(worth), net + worth, np.maximum(single, np.abs(worth))
+            held[symbol] = (float(after[-1]), float(worth[-1]))
+        paid = np.cumsum(np.concatenate([[cash], -qty * price]))[1:]
+        value = paid + net
+        peaks = np.maximum.accumulate(np.concatenate([[peak], value]))[1:]
+        leverage = np.divide(gross, value, out=np.zeros(n), where=value > 0)
+        fall = np.divide(value - peaks, peaks, out=np.zeros(n), where=peaks > 0)
+        level = risk_level(gross, net, leverage, single, fall, self.limits)
+        dead = np.logical_or.accumulate(np.concatenate([[killed], level == 3]))[1:]
+        frame = pd.DataFrame({"ts": fills["at"].to_numpy().astype("datetime64[ms]").astype("datetime64[us]"), "gross": gross, "net": net, "leverage": leverage, "value": value, "drawdown": fall, "level": np.array(LEVELS)[level], "killed": dead})
+        return (float(paid[-1]), float(peaks[-1]), bool(dead[-1])), frame
 
 
 def stream_exposure(fills: DataFrame, prices: DataFrame, within: str = "6 hours", late: str = "10 minutes", limits: dict[str, float] | None = None, start: float = 100_000.0) -> DataFrame:
     """T5: gross and net exposure, leverage, value, drawdown, risk level and latched kill switch of a portfolio after each fill.
 
     ``fills``: event_id, portfolio, symbol, ts, qty, price, marked at the last of ``prices`` (symbol, ts, price) that is not
-    later than they are and within ``within``, else at their own price: a join of two streams over a range of time. A fill
-    counts once the watermark less that range has passed it, as a join lets its output wait that long.
+    later than they are and within ``within``, else at their own price. Both are one stream of rows by time, so a fill meets one price
+    and not all of its range. A fill counts once the watermark less ``within`` has passed it.
     """
-    f = fills.withWatermark("ts", late).select("event_id", "portfolio", F.col("symbol").alias("_s"), F.col("ts").alias("_at"), "qty", "price")
-    p = prices.withWatermark("ts", late).select("symbol", F.col("ts").alias("_bar"), F.col("price").alias("mark"))
-    near = (F.col("_s") == F.col("symbol")) & (F.col("_bar") <= F.col("_at")) & (F.col("_bar") > F.col("_at") - F.expr(f"INTERVAL {within}"))
-    joined = f.join(p, near, "leftOuter")
-    ms = lambda c: F.unix_millis(c)
-    rows = joined.select("portfolio", "event_id", F.col("_s").alias("symbol"), "qty", "price", "mark", ms("_at").alias("at"), ms("_bar").alias("bar"), "_at")
-    return rows.groupBy("portfolio").transformWithStateInPandas(Exposure(LIMITS | (limits or {}), start), EXPOSURE, "Append", "EventTime")
+    ms = int(pd.Timedelta(within).total_seconds() * 1000)
+    f = fills.withWatermark("ts", late).select("ts", F.pmod(F.xxhash64("portfolio"), F.lit(DESKS)).alias("desk"), F.unix_millis("ts").alias("at"), F.col("event_id").cast("long").alias("event_id"), "portfolio", "symbol", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    p = prices.withWatermark("ts", late).select("ts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DESKS - 1).cast("long"))).alias("desk"), F.unix_millis("ts").alias("at"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("portfolio"), "symbol", F.lit(None).cast("double").alias("qty"), F.col("price").cast("double").alias("price"))
+    rows = f.unionByName(p)
+    return rows.groupBy("desk").transformWithStateInPandas(Exposure(LIMITS | (limits or {}), start, ms), EXPOSURE, "Append", "EventTime")
