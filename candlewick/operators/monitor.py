@@ -54,8 +54,11 @@ def kl_divergence(x: DataFrame, bins: int = 50, threshold: float = 0.1) -> DataF
 
 
 def histogram(x: DataFrame, ranges: DataFrame, keys: list[str], bins: int = 50) -> DataFrame:
-    """(keys, bin, n): counts of values within each key's range; ``ranges``: key, lo, hi. Histograms of parts add up."""
-    y = x.filter("value IS NOT NULL").join(ranges, "key").filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")) & (F.col("hi") > F.col("lo")))
+    """(keys, bin, n): counts of values within each key's range; ``ranges``: key, lo, hi. Histograms of parts add up.
+
+    The ranges, a row a key, are sent to the values, which are counted where they lie: by key a task would hold all values of its keys.
+    """
+    y = x.filter("value IS NOT NULL").join(F.broadcast(ranges), "key").filter((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")) & (F.col("hi") > F.col("lo")))
     b = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     return y.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

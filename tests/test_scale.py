@@ -4,7 +4,10 @@ import datetime as d
 import random
 
 import pytest
+from candlewick.operators import calibration, monitor, regimes
+from candlewick.plans import job_queries
 from candlewick.streaming import jobs, live
+from pyspark.sql import functions as F
 
 START = d.datetime(2024, 1, 1)
 
@@ -39,3 +42,31 @@ def test_exposure_equals_a_loop_without_a_join(spark, tmp_path):
     last = min(max(f[3] for f in fills), max(p[1] for p in prices)) - d.timedelta(minutes=130)
     got = {r["event_id"]: (r["portfolio"], r["ts"], r["gross"], r["net"], r["value"], pytest.approx(r["drawdown"]), r["level"], r["killed"]) for r in out.collect()}
     assert got == {i: w for i, w in want.items() if w[1] < last} and {w[6] for w in want.values()} >= {"green", "red"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def unknown_sizes(spark):
+    """As with large tables: nothing is sent to all tasks because it looks small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_histograms_do_not_gather_a_key(spark, unknown_sizes):
+    x = spark.range(100).select(F.lit("k").alias("key"), F.col("id").cast("double").alias("value"))
+    h = monitor.histogram(x, x.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi")), ["key"], 10)
+    assert "SortMergeJoin" not in plan(h) and sorted(r["n"] for r in h.collect()) == [10] * 10
+
+
+def test_rows_of_the_predictor_are_worked_out_once(spark, monkeypatch):
+    """Five calibrations read what was cut, not the line items."""
+    seen, whole = [], calibration.isotonic
+    monkeypatch.setattr(calibration, "isotonic", lambda x, *a: seen.append(plan(x)) or whole(x, *a))
+    got = job_queries.r18_isotonic(spark, "/root/testdata/sf0.001").collect()
+    assert (bool(got), all("parquet" not in p.lower() for p in seen)) == (bool(seen), True)
+    frame = job_queries.predictor_rows(spark, "/root/testdata/sf0.01")
+    assert "parquet" not in plan(frame).lower() and frame.count() == calibration.training_frame(regimes.detect(job_queries.series(spark, "/root/testdata/sf0.01"))).count()
