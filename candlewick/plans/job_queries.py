@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import calibration, checks, execution, features, monitor, regimes, resample, signals
-from ..session import shared_folder
+from ..session import cut, shared_folder
 from ..sources import bars as B
 from ..sources.store import AppendTable, FeatureStore, VersionedStore
 from ..streaming import jobs, live
@@ -97,9 +97,14 @@ def s13_positions(spark, sf_dir):
     return rounded(execution.average_cost(t.select(F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("portfolio"), F.col("p_brand").alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), (sign * F.col("l_quantity")).cast("double").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))), 4, realized=2)
 
 
+def predictor_rows(spark, sf_dir):
+    """The predictor's rows, worked out once: fits and forecasts read them many times."""
+    return cut(calibration.training_frame(regimes.detect(series(spark, sf_dir))))
+
+
 def _fitted(spark, sf_dir, kind="forest"):
     """The predictor's rows, and a model of them: None where no symbol has enough rows."""
-    frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
+    frame = predictor_rows(spark, sf_dir)
     return frame, None if frame.isEmpty() else calibration.fit_regime_model(frame, kind)
 
 
@@ -139,7 +144,7 @@ def r14_boosted(spark, sf_dir):
 @query()
 def r18_isotonic(spark, sf_dir):
     """Isotonic calibration of the regime probabilities against the label five bars ahead, fitted on the first 80 per cent; mean squared error on the rest before and after."""
-    frame = calibration.training_frame(regimes.detect(series(spark, sf_dir)))
+    frame = predictor_rows(spark, sf_dir)
     if frame.isEmpty():
         return spark.createDataFrame([], "symbol string, n long, brier_before double, brier_after double")
     out = calibration.isotonic(frame, list(regimes.REGIMES), "train").filter("NOT train")
