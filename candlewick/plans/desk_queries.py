@@ -42,7 +42,7 @@ def parents(spark, sf_dir):
     sym = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol")) - 1)
     k = F.col("o_orderkey")
     start = F.lit("2024-01-02 09:00:00").cast("timestamp")
-    x = o.join(sym, F.col("o_custkey") % 5 == F.col("k"))
+    x = o.join(F.broadcast(sym.filter("k < 5")), F.col("o_custkey") % 5 == F.col("k"))  # five symbols; by key five tasks would hold all orders
     secs = F.unix_timestamp(start) + (k % 20) * 86400
     return x.select(
         k.alias("parent_id"), "symbol", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"), F.floor(F.col("o_totalprice") / 100).cast("double").alias("qty"), F.element_at(F.array(*map(F.lit, ("market", "twap", "vwap", "pov", "smart"))), (k % 5).cast("int") + 1).alias("algo"),
