@@ -137,19 +137,23 @@ def detect(bars: DataFrame) -> DataFrame:
 
 
 def statistics(x: DataFrame, warm: int = 200) -> DataFrame:
-    """Per symbol and regime that occurs: yearly return, volatility, Sharpe (0 without volatility), worst drawdown inside it, win rate,
-    mean length of ended runs in whole bars (0 if none ended).
+    """Per symbol and each of the regimes: bars, yearly return, volatility, Sharpe (0 without volatility), worst drawdown inside it, win
+    rate, mean length of ended runs in whole bars (0 if none ended); zeros for a regime that does not occur.
 
-    Only bars after the first ``warm`` count, as before them the slow mean is not full.
+    Only bars after the first ``warm`` count, as before them the slow mean is not full; a symbol without such bars has zeros.
     """
     w = over(*KEYS, "regime").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.filter(c("i") > warm)
-    y = x.filter(c("ret").isNotNull() & (c("ret") > -1)).withColumn("_v", F.exp(F.sum(F.ln(1 + c("ret"))).over(w)))
+    y = x.filter((c("i") > warm) & c("ret").isNotNull() & (c("ret") > -1)).withColumn("_v", F.exp(F.sum(F.ln(1 + c("ret"))).over(w)))
     y = y.withColumn("_dd", c("_v") / F.max("_v").over(w) - 1)
     a = y.groupBy(*KEYS, "regime").agg(F.count(F.lit(1)).alias("n"), (F.avg("ret") * 252).alias("ann_return"), (F.stddev_samp("ret") * math.sqrt(252)).alias("ann_vol"), F.min("_dd").alias("max_drawdown"), F.avg((c("ret") > 0).cast("double")).alias("win_rate"))
-    runs = x.groupBy(*KEYS, "run", "regime").agg(F.count(F.lit(1)).alias("len")).withColumn("_last", c("run") == F.max("run").over(Window.partitionBy(*KEYS)))
-    mean = runs.filter(~c("_last")).groupBy(*KEYS, "regime").agg(F.floor(F.avg("len")).alias("avg_duration"))
-    return a.join(mean, [*KEYS, "regime"], "left").fillna(0, ["avg_duration"]).withColumn("sharpe", F.when(c("ann_vol") > 0, c("ann_return") / c("ann_vol")).otherwise(0.0))
+    runs = x.groupBy(*KEYS, "run", "regime").agg(F.count_if(c("i") > warm).alias("len")).withColumn("_last", c("run") == F.max("run").over(Window.partitionBy(*KEYS)))
+    mean = {k: F.floor(F.avg(F.when((c("regime") == k) & (c("len") > 0) & ~c("_last"), c("len")))) for k in REGIMES}
+    every = runs.groupBy(*KEYS).agg(F.array(*(F.struct(F.lit(k).alias("regime"), F.coalesce(m, F.lit(0)).alias("avg_duration")) for k, m in mean.items())).alias("_r")).select(*KEYS, F.inline("_r"))
+    none = c("n").isNull()
+    z = every.alias("e").join(a.alias("a"), (c("e.symbol").eqNullSafe(c("a.symbol"))) & (c("e.regime") == c("a.regime")), "left")
+    z = z.select("e.*", F.coalesce("n", F.lit(0)).alias("n"), *(F.when(none, 0.0).otherwise(c(k)).alias(k) for k in ("ann_return", "ann_vol", "max_drawdown", "win_rate")))
+    sharpe = F.when(c("ann_vol") > 0, c("ann_return") / c("ann_vol")).otherwise(0.0)
+    return z.select(*KEYS, "regime", "n", "ann_return", "ann_vol", "max_drawdown", "win_rate", "avg_duration", sharpe.alias("sharpe"))
 
 
 def transitions(x: DataFrame) -> DataFrame:

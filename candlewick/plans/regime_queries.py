@@ -87,8 +87,11 @@ def r07_r09_display(spark, sf_dir):
 d AS (SELECT *, v / max(v) OVER (PARTITION BY symbol, regime ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM v),
 a AS (SELECT symbol, regime, count(*) AS n, avg(ret) * 252 AS ann_return, stddev_samp(ret) * sqrt(252) AS ann_vol, min(dd) AS max_drawdown, avg((ret > 0)::INT::DOUBLE) AS win_rate FROM d GROUP BY ALL),
 u AS (SELECT symbol, run, regime, count(*) AS len, run = max(run) OVER (PARTITION BY symbol) AS is_last FROM rg WHERE i > 200 GROUP BY symbol, run, regime),
-l AS (SELECT symbol, regime, floor(avg(len))::BIGINT AS avg_duration FROM u WHERE NOT is_last GROUP BY ALL)
-SELECT symbol, regime, n, round(ann_return, 5) AS ann_return, round(ann_vol, 5) AS ann_vol, round(max_drawdown, 5) AS max_drawdown, round(win_rate, 5) AS win_rate, coalesce(avg_duration, 0) AS avg_duration, round(CASE WHEN ann_vol > 0 THEN ann_return / ann_vol ELSE 0 END, 5) AS sharpe FROM a LEFT JOIN l USING (symbol, regime)""")
+l AS (SELECT symbol, regime, floor(avg(len))::BIGINT AS avg_duration FROM u WHERE NOT is_last GROUP BY ALL),
+ev AS (SELECT symbol, unnest([""" + ", ".join(f"'{n}'" for n in NAMES) + """]) AS regime FROM (SELECT DISTINCT symbol FROM rg))
+SELECT ev.symbol, ev.regime, coalesce(n, 0) AS n, round(coalesce(ann_return, 0), 5) AS ann_return, round(CASE WHEN n IS NULL THEN 0 ELSE ann_vol END, 5) AS ann_vol, round(coalesce(max_drawdown, 0), 5) AS max_drawdown, round(coalesce(win_rate, 0), 5) AS win_rate,
+  coalesce(avg_duration, 0) AS avg_duration, round(CASE WHEN ann_vol > 0 THEN ann_return / ann_vol ELSE 0 END, 5) AS sharpe
+FROM ev LEFT JOIN a ON ev.symbol IS NOT DISTINCT FROM a.symbol AND ev.regime = a.regime LEFT JOIN l ON ev.symbol IS NOT DISTINCT FROM l.symbol AND ev.regime = l.regime""")
 def r10_statistics(spark, sf_dir):
     return rounded(R.statistics(R.durations(R.labels(R.scores(R.features(series(spark, sf_dir)))))), 5)
 

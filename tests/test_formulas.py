@@ -362,6 +362,18 @@ def test_statistics_begin_after_the_warm_bars(spark):
     assert (got["bear"]["n"], got["bear"]["sharpe"], got["bear"]["avg_duration"]) == (1, 0.0, 1)
 
 
+def test_statistics_have_every_regime(spark):
+    ret = [None, 0.1, -0.2, 0.3, 0.1]
+    rows = [(s, i + 1, i + 1, ret[i], "bear" if i < 2 else "bull", 1 if i < 2 else 2) for s, n in (("A", 5), ("B", 2), (None, 5)) for i in range(n)]
+    x = spark.createDataFrame(rows, "symbol string, ts long, i int, ret double, regime string, run long")
+    got = {(r["symbol"], r["regime"]): tuple(r)[2:] for r in regimes.statistics(x, warm=2).collect()}
+    assert set(got) == {(s, k) for s in ("A", "B", None) for k in regimes.REGIMES}
+    assert {k for k, v in got.items() if v != (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0)} == {("A", "bull"), (None, "bull")}  # the bear bars are too early
+    assert got["A", "bull"] == got[None, "bull"] and (got["A", "bull"][0], got["A", "bull"][3]) == (3, 0.0)
+    one = {r["regime"]: r for r in regimes.statistics(x, warm=4).filter("symbol = 'A'").collect()}["bull"]
+    assert (one["n"], one["ann_vol"], one["sharpe"]) == (1, None, 0.0)
+
+
 def test_rates_of_detected_changes(spark):
     true = ["a"] * 10 + ["b"] * 10 + ["a"] * 20
     found = ["a"] * 12 + ["b"] * 4 + ["a"] * 14 + ["b"] * 10  # changes at 12 (near 10), 16 and 30 (near none); 20 is missed
